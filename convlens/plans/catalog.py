@@ -87,3 +87,99 @@ def q_mart_summary(spark, sf_dir):
 def q_mart_checks(spark, sf_dir):
     p = _mart_parts(spark, sf_dir)
     return mart.quality_checks(p["staging"], p["goals"], p["goals_mart"], p["activation"])
+
+
+# ------------------------------------------------------------------ cleaning
+from convlens.operators import clean  # noqa: E402
+from convlens.sources import inspect as inspect_  # noqa: E402
+from convlens.sources.log import fixture_log_with_duplicates, fixture_text_log  # noqa: E402
+
+
+@query("log_profile")
+def q_log_profile(spark, sf_dir):
+    return inspect_.profile(fixture_log(spark, sf_dir))
+
+
+@query("log_preview")
+def q_log_preview(spark, sf_dir):
+    return inspect_.preview(fixture_log(spark, sf_dir), ["ORGANIZATION_ID", "TIMESTAMP", "EVENT_ID"], 5)
+
+
+@query("dedup_log")
+def q_dedup(spark, sf_dir):
+    return clean.drop_duplicate_events(fixture_log_with_duplicates(spark, sf_dir))
+
+
+@query("duplicate_report")
+def q_dup_report(spark, sf_dir):
+    return clean.duplicate_report(fixture_log_with_duplicates(spark, sf_dir))
+
+
+@query("duplicate_top_activities")
+def q_dup_top(spark, sf_dir):
+    return clean.duplicate_top_activities(fixture_log_with_duplicates(spark, sf_dir))
+
+
+@query("typed_log")
+def q_typed_log(spark, sf_dir):
+    return clean.type_log(fixture_text_log(spark, sf_dir), org_type="long")
+
+
+@query("type_conversion_report")
+def q_type_report(spark, sf_dir):
+    return clean.type_conversion_report(fixture_text_log(spark, sf_dir))
+
+
+@query("timestamp_ranges")
+def q_ts_ranges(spark, sf_dir):
+    return clean.timestamp_ranges(clean.type_log(fixture_text_log(spark, sf_dir), org_type="long"))
+
+
+@query("missing_values")
+def q_missing(spark, sf_dir):
+    return clean.missing_values(clean.type_log(fixture_text_log(spark, sf_dir), org_type="long"))
+
+
+@query("conversion_consistency")
+def q_conv_consistency(spark, sf_dir):
+    return clean.conversion_consistency(fixture_log(spark, sf_dir))
+
+
+@query("conversion_summary")
+def q_conv_summary(spark, sf_dir):
+    return clean.conversion_summary(fixture_log(spark, sf_dir))
+
+
+@query("rule_anomalies")
+def q_rule_anomalies(spark, sf_dir):
+    return clean.rule_violations(fixture_log(spark, sf_dir))
+
+
+@query("rule_results")
+def q_rule_results(spark, sf_dir):
+    return clean.rule_results(fixture_log(spark, sf_dir))
+
+
+@query("rule_summary")
+def q_rule_summary(spark, sf_dir):
+    return clean.rule_summary(fixture_log(spark, sf_dir))
+
+
+@query("trial_duration_stats")
+def q_duration_stats(spark, sf_dir):
+    return clean.trial_duration_stats(fixture_log(spark, sf_dir))
+
+
+@query("robust_orgs")
+def q_robust_orgs(spark, sf_dir):
+    return clean.robust_orgs(fixture_log(spark, sf_dir))
+
+
+@query("robust_log")
+def q_robust_log(spark, sf_dir):
+    return clean.robust_filter(fixture_log(spark, sf_dir))
+
+
+@query("robust_filter_impact")
+def q_robust_impact(spark, sf_dir):
+    return clean.robust_filter_impact(fixture_log(spark, sf_dir))

@@ -157,3 +157,139 @@ SELECT * FROM c
 UNION ALL
 SELECT 'all_checks_passed', bool_and(passed OR check_name = 'open_trial_count_consistency'),
        CAST(count(*) FILTER (WHERE passed) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM c""").replace("\n)\n, c AS", "),\nc AS"))
+
+
+# ------------------------------------------------------------------ cleaning
+LOG_COLS = ["ORGANIZATION_ID", "ACTIVITY_NAME", "TIMESTAMP", "CONVERTED", "CONVERTED_AT", "TRIAL_START", "TRIAL_END", "EVENT_ID"]
+LOG_TYPES = ["bigint", "string", "timestamp_ntz", "boolean", "timestamp_ntz", "timestamp_ntz", "timestamp_ntz", "bigint"]
+
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
+register("log_profile", fixture_sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{t}' AS dtype, "
+    f"count(*) FILTER (WHERE {_q(c)} IS NULL) AS null_count, "
+    f"CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE {_q(c)} IS NULL) / count(*) * 100.0 ELSE 0.0 END AS null_pct, "
+    f"count(DISTINCT {_q(c)}) AS distinct_count, count(*) AS row_count, CAST({len(LOG_COLS)} AS INTEGER) AS column_count FROM trial_log"
+    for i, (c, t) in enumerate(zip(LOG_COLS, LOG_TYPES))) + ")"))
+
+register("log_preview", fixture_sql('SELECT * FROM trial_log ORDER BY ORGANIZATION_ID, "TIMESTAMP", EVENT_ID LIMIT 5'))
+
+DUP_CTE = """
+dup_log AS (
+  SELECT * FROM trial_log
+  UNION ALL SELECT ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP", CONVERTED, CONVERTED_AT, TRIAL_START, TRIAL_END,
+                   EVENT_ID + 1000000000 FROM trial_log WHERE EVENT_ID % 10 = 0),
+key_counts AS (
+  SELECT ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP", count(*) AS n FROM dup_log GROUP BY ALL)
+"""
+register("dedup_log", with_ctes(FIXTURE_CTE, DUP_CTE, body="""
+SELECT ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP", CONVERTED, CONVERTED_AT, TRIAL_START, TRIAL_END, EVENT_ID
+FROM dup_log QUALIFY row_number() OVER (PARTITION BY ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP" ORDER BY EVENT_ID) = 1"""))
+register("duplicate_report", with_ctes(FIXTURE_CTE, DUP_CTE, body="""
+SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+       CASE WHEN sum(n) > 0 THEN sum(n - 1) / sum(n) * 100.0 ELSE 0.0 END AS duplicate_pct,
+       count(DISTINCT CASE WHEN n > 1 THEN ORGANIZATION_ID END) AS orgs_with_duplicates,
+       count(DISTINCT CASE WHEN n > 1 THEN ACTIVITY_NAME END) AS activities_with_duplicates,
+       count(*) AS rows_after
+FROM key_counts"""))
+register("duplicate_top_activities", with_ctes(FIXTURE_CTE, DUP_CTE, body="""
+SELECT ACTIVITY_NAME, CAST(sum(n - 1) AS BIGINT) AS duplicate_count FROM key_counts WHERE n > 1
+GROUP BY ACTIVITY_NAME ORDER BY duplicate_count DESC, ACTIVITY_NAME LIMIT 10"""))
+
+TEXT_CTE = """
+text_log AS (
+  SELECT CAST(ORGANIZATION_ID AS VARCHAR) AS ORGANIZATION_ID, ACTIVITY_NAME,
+         CASE WHEN EVENT_ID % 97 = 0 THEN 'garbage' ELSE CAST("TIMESTAMP" AS VARCHAR) END AS "TIMESTAMP",
+         CAST(CONVERTED AS VARCHAR) AS CONVERTED, CAST(CONVERTED_AT AS VARCHAR) AS CONVERTED_AT,
+         CAST(TRIAL_START AS VARCHAR) AS TRIAL_START, CAST(TRIAL_END AS VARCHAR) AS TRIAL_END, EVENT_ID
+  FROM trial_log),
+typed AS (
+  SELECT TRY_CAST(ORGANIZATION_ID AS BIGINT) AS ORGANIZATION_ID, ACTIVITY_NAME,
+         TRY_CAST("TIMESTAMP" AS TIMESTAMP) AS "TIMESTAMP", TRY_CAST(CONVERTED AS BOOLEAN) AS CONVERTED,
+         TRY_CAST(CONVERTED_AT AS TIMESTAMP) AS CONVERTED_AT, TRY_CAST(TRIAL_START AS TIMESTAMP) AS TRIAL_START,
+         TRY_CAST(TRIAL_END AS TIMESTAMP) AS TRIAL_END, TRY_CAST(EVENT_ID AS BIGINT) AS EVENT_ID
+  FROM text_log)
+"""
+register("typed_log", with_ctes(FIXTURE_CTE, TEXT_CTE, body="SELECT * FROM typed"))
+_TARGETS = [("TIMESTAMP", "timestamp_ntz", "TIMESTAMP"), ("CONVERTED_AT", "timestamp_ntz", "TIMESTAMP"),
+            ("TRIAL_START", "timestamp_ntz", "TIMESTAMP"), ("TRIAL_END", "timestamp_ntz", "TIMESTAMP"),
+            ("CONVERTED", "boolean", "BOOLEAN")]
+register("type_conversion_report", with_ctes(FIXTURE_CTE, TEXT_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS target_type, count(*) FILTER (WHERE {_q(c)} IS NULL) AS raw_nulls, "
+    f"count(*) FILTER (WHERE TRY_CAST({_q(c)} AS {d}) IS NULL) AS typed_nulls, "
+    f"count(*) FILTER (WHERE {_q(c)} IS NOT NULL AND TRY_CAST({_q(c)} AS {d}) IS NULL) AS failures FROM text_log"
+    for c, t, d in _TARGETS)))
+register("timestamp_ranges", with_ctes(FIXTURE_CTE, TEXT_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, min({_q(c)}) AS min_value, max({_q(c)}) AS max_value FROM typed"
+    for c in ["TIMESTAMP", "CONVERTED_AT", "TRIAL_START", "TRIAL_END"])))
+register("missing_values", with_ctes(FIXTURE_CTE, TEXT_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_q(c)} IS NULL) AS missing_count, "
+    f"CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE {_q(c)} IS NULL) / count(*) * 100.0 ELSE 0.0 END AS missing_pct FROM typed"
+    for c in LOG_COLS)))
+register("conversion_consistency", fixture_sql("""
+SELECT count(*) FILTER (WHERE CONVERTED = true) AS rows_converted_true,
+       count(*) FILTER (WHERE CONVERTED = false) AS rows_converted_false,
+       count(*) FILTER (WHERE CONVERTED_AT IS NULL) AS rows_converted_at_null,
+       count(*) FILTER (WHERE CONVERTED = false AND CONVERTED_AT IS NOT NULL) AS false_with_time,
+       count(*) FILTER (WHERE CONVERTED = true AND CONVERTED_AT IS NULL) AS true_without_time
+FROM trial_log"""))
+register("conversion_summary", fixture_sql("""
+SELECT count(DISTINCT ORGANIZATION_ID) AS total_orgs,
+       count(DISTINCT ORGANIZATION_ID) FILTER (WHERE CONVERTED) AS converted_orgs,
+       CASE WHEN count(DISTINCT ORGANIZATION_ID) > 0
+            THEN count(DISTINCT ORGANIZATION_ID) FILTER (WHERE CONVERTED) / count(DISTINCT ORGANIZATION_ID) * 100.0 END AS conversion_rate_pct
+FROM trial_log"""))
+register("rule_anomalies", fixture_sql("""
+SELECT * FROM trial_log WHERE "TIMESTAMP" < TRIAL_START OR "TIMESTAMP" > TRIAL_END"""))
+
+DUR_CTE = f"""
+durations AS (
+  SELECT ORGANIZATION_ID, arg_min({days('TRIAL_START', 'TRIAL_END')}, EVENT_ID) FILTER (WHERE TRIAL_START IS NOT NULL AND TRIAL_END IS NOT NULL) AS trial_duration
+  FROM trial_log WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ORGANIZATION_ID)
+"""
+register("trial_duration_stats", with_ctes(FIXTURE_CTE, DUR_CTE, body="""
+SELECT count(trial_duration) AS orgs, min(trial_duration) AS min_duration, max(trial_duration) AS max_duration,
+       avg(trial_duration) AS mean_duration, count(*) FILTER (WHERE abs(trial_duration - 30) > 1) AS orgs_out_of_tolerance
+FROM durations"""))
+RULES_CTE = """
+rules AS (
+  SELECT CAST(1 AS INTEGER) AS rule_id, 'timestamp_within_trial' AS rule_name,
+         count(*) FILTER (WHERE "TIMESTAMP" < TRIAL_START OR "TIMESTAMP" > TRIAL_END) AS violations, count(*) AS checked FROM trial_log
+  UNION ALL SELECT 2, 'converted_at_within_trial', count(*) FILTER (WHERE CONVERTED_AT > TRIAL_END), count(CONVERTED_AT) FROM trial_log
+  UNION ALL SELECT 3, 'trial_duration_valid', count(*) FILTER (WHERE abs(trial_duration - 30) > 1), count(*) FROM durations)
+"""
+register("rule_results", with_ctes(FIXTURE_CTE, DUR_CTE, RULES_CTE,
+                                   body="SELECT rule_id, rule_name, violations = 0 AS passed, violations, checked FROM rules"))
+register("rule_summary", with_ctes(FIXTURE_CTE, DUR_CTE, RULES_CTE, body="""
+SELECT count(*) AS rules_checked, count(*) FILTER (WHERE violations = 0) AS rules_passed,
+       count(*) FILTER (WHERE violations = 0) / count(*) * 100.0 AS success_pct,
+       CAST(sum(CASE WHEN rule_id = 1 THEN violations ELSE 0 END) AS BIGINT) AS anomalous_records
+FROM rules"""))
+ROBUST_CTE = """
+org_counts AS (
+  SELECT ORGANIZATION_ID, count(*) AS total_activities, count(*) FILTER (WHERE CONVERTED = true) AS conv_rows
+  FROM trial_log GROUP BY ORGANIZATION_ID),
+p95 AS (SELECT quantile_cont(CAST(total_activities AS DOUBLE), 0.95) AS p FROM org_counts WHERE ORGANIZATION_ID IS NOT NULL),
+kept AS (
+  SELECT ORGANIZATION_ID, total_activities, (SELECT p FROM p95) AS max_activities FROM org_counts
+  WHERE ORGANIZATION_ID IS NOT NULL AND total_activities >= 3 AND total_activities <= (SELECT p FROM p95))
+"""
+register("robust_orgs", with_ctes(FIXTURE_CTE, ROBUST_CTE, body="SELECT * FROM kept"))
+register("robust_log", with_ctes(FIXTURE_CTE, ROBUST_CTE, body="""
+SELECT * FROM trial_log WHERE ORGANIZATION_ID IN (SELECT ORGANIZATION_ID FROM kept)"""))
+register("robust_filter_impact", with_ctes(FIXTURE_CTE, ROBUST_CTE, body="""
+SELECT CAST(sum(total_activities) AS BIGINT) AS records_before,
+       CAST((SELECT sum(total_activities) FROM kept) AS BIGINT) AS records_after,
+       CAST(sum(total_activities) - (SELECT sum(total_activities) FROM kept) AS BIGINT) AS records_removed,
+       CASE WHEN sum(total_activities) > 0 THEN (sum(total_activities) - (SELECT sum(total_activities) FROM kept)) / sum(total_activities) * 100.0 END AS records_removed_pct,
+       count(ORGANIZATION_ID) AS orgs_before, (SELECT count(*) FROM kept) AS orgs_after,
+       count(ORGANIZATION_ID) - (SELECT count(*) FROM kept) AS orgs_removed,
+       CASE WHEN count(ORGANIZATION_ID) > 0 THEN (count(ORGANIZATION_ID) - (SELECT count(*) FROM kept)) / count(ORGANIZATION_ID) * 100.0 END AS orgs_removed_pct,
+       CASE WHEN sum(total_activities) > 0 THEN sum(conv_rows) / sum(total_activities) END AS row_conversion_rate_before,
+       CASE WHEN (SELECT sum(total_activities) FROM kept) > 0
+            THEN (SELECT sum(o.conv_rows) FROM org_counts o JOIN kept k USING (ORGANIZATION_ID)) / (SELECT sum(total_activities) FROM kept) END AS row_conversion_rate_after,
+       (SELECT p FROM p95) AS max_activities
+FROM org_counts"""))
