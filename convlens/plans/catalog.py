@@ -183,3 +183,150 @@ def q_robust_log(spark, sf_dir):
 @query("robust_filter_impact")
 def q_robust_impact(spark, sf_dir):
     return clean.robust_filter_impact(fixture_log(spark, sf_dir))
+
+
+# ------------------------------------------------------ features and segments
+from convlens.functions.categories import fixture_category_map  # noqa: E402
+from convlens.operators import charts, features, segments  # noqa: E402
+
+STAT_DIGITS = 9  # order-dependent floating sums are compared at 9 decimals
+
+
+def _round_doubles(df: DataFrame, digits: int = STAT_DIGITS) -> DataFrame:
+    from pyspark.sql import functions as F
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _feature_log(spark, sf_dir):
+    log = fixture_log(spark, sf_dir)
+    return features.activity_categories(features.temporal_features(log), fixture_category_map())
+
+
+def _org_table(spark, sf_dir):
+    return features.org_features(_feature_log(spark, sf_dir))
+
+
+@query("temporal_features")
+def q_temporal(spark, sf_dir):
+    return _feature_log(spark, sf_dir)
+
+
+@query("temporal_feature_stats")
+def q_temporal_stats(spark, sf_dir):
+    return _round_doubles(features.temporal_feature_stats(_feature_log(spark, sf_dir)))
+
+
+@query("activity_distribution")
+def q_activity_dist(spark, sf_dir):
+    return charts.value_counts(_feature_log(spark, sf_dir), "ACTIVITY_NAME")
+
+
+@query("category_distribution")
+def q_category_dist(spark, sf_dir):
+    return charts.value_counts(_feature_log(spark, sf_dir), "activity_category")
+
+
+@query("top_activities")
+def q_top_activities(spark, sf_dir):
+    return charts.value_counts(_feature_log(spark, sf_dir), "ACTIVITY_NAME", top=10)
+
+
+@query("unmapped_activities")
+def q_unmapped(spark, sf_dir):
+    return features.unmapped_activities(fixture_log(spark, sf_dir), fixture_category_map())
+
+
+@query("org_features")
+def q_org_features(spark, sf_dir):
+    return _round_doubles(_org_table(spark, sf_dir))
+
+
+@query("segment_sizes")
+def q_segment_sizes(spark, sf_dir):
+    return segments.segment_sizes(fixture_log(spark, sf_dir))
+
+
+@query("pre_conversion_log")
+def q_pre_conversion(spark, sf_dir):
+    return segments.segment(fixture_log(spark, sf_dir), segments.PRE_CONVERSION)
+
+
+@query("segment_conversion_rate")
+def q_segment_rate(spark, sf_dir):
+    return segments.segment_conversion_rate(fixture_log(spark, sf_dir))
+
+
+@query("activity_comparison")
+def q_activity_comparison(spark, sf_dir):
+    return segments.activity_comparison(fixture_log(spark, sf_dir))
+
+
+@query("feature_comparison")
+def q_feature_comparison(spark, sf_dir):
+    return _round_doubles(segments.feature_comparison(_org_table(spark, sf_dir)))
+
+
+SEGMENT_METRICS = ["days_since_trial_start", "hour", "day_of_week", "is_weekend", "trial_week"]
+
+
+@query("segment_comparison")
+def q_segment_comparison(spark, sf_dir):
+    log = _feature_log(spark, sf_dir)
+    return _round_doubles(segments.compare_segments(
+        segments.segment(log, segments.NOT_CONVERTED), segments.segment(log, segments.PRE_CONVERSION),
+        SEGMENT_METRICS, segments.NOT_CONVERTED, segments.PRE_CONVERSION))
+
+
+@query("pattern_differences")
+def q_pattern_differences(spark, sf_dir):
+    return _round_doubles(segments.pattern_differences(_org_table(spark, sf_dir)))
+
+
+@query("hourly_counts")
+def q_hourly(spark, sf_dir):
+    return charts.hourly_counts(fixture_log(spark, sf_dir))
+
+
+@query("weekday_counts")
+def q_weekday(spark, sf_dir):
+    return charts.weekday_counts(fixture_log(spark, sf_dir))
+
+
+@query("daily_counts")
+def q_daily(spark, sf_dir):
+    return charts.daily_counts(fixture_log(spark, sf_dir))
+
+
+@query("weekend_counts")
+def q_weekend(spark, sf_dir):
+    return charts.weekend_counts(fixture_log(spark, sf_dir))
+
+
+@query("feature_histograms")
+def q_histograms(spark, sf_dir):
+    return _round_doubles(charts.feature_histograms(_org_table(spark, sf_dir)))
+
+
+@query("feature_correlations")
+def q_correlations(spark, sf_dir):
+    return charts.feature_correlations(_org_table(spark, sf_dir), digits=STAT_DIGITS)
+
+
+@query("activity_sequence")
+def q_sequence(spark, sf_dir):
+    return _round_doubles(charts.activity_sequence(fixture_log(spark, sf_dir)))
+
+
+@query("activity_sequence_sample")
+def q_sequence_sample(spark, sf_dir):
+    return _round_doubles(charts.activity_sequence(fixture_log(spark, sf_dir), max_orgs=5))
+
+
+@query("log_summary")
+def q_log_summary(spark, sf_dir):
+    return charts.log_summary(fixture_log(spark, sf_dir))
+
+
+@query("conversion_class_sizes")
+def q_class_sizes(spark, sf_dir):
+    return charts.conversion_class_sizes(_org_table(spark, sf_dir))

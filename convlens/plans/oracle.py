@@ -293,3 +293,196 @@ SELECT CAST(sum(total_activities) AS BIGINT) AS records_before,
             THEN (SELECT sum(o.conv_rows) FROM org_counts o JOIN kept k USING (ORGANIZATION_ID)) / (SELECT sum(total_activities) FROM kept) END AS row_conversion_rate_after,
        (SELECT p FROM p95) AS max_activities
 FROM org_counts"""))
+
+
+# ------------------------------------------------------ features and segments
+def r9(expr: str) -> str:
+    return f"round({expr}, 9)"
+
+
+FEATURE_CTE = f"""
+feat AS (
+  SELECT *,
+         {days('TRIAL_START', 'TRIAL_END')} AS trial_duration_days,
+         {days('TRIAL_START', '"TIMESTAMP"')} AS days_since_trial_start,
+         {days('"TIMESTAMP"', 'TRIAL_END')} AS days_until_trial_end,
+         CAST(hour("TIMESTAMP") AS INTEGER) AS hour,
+         CAST(isodow("TIMESTAMP") - 1 AS INTEGER) AS day_of_week,
+         CAST(CASE WHEN isodow("TIMESTAMP") IN (6, 7) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+         CAST(LEAST(floor({days('TRIAL_START', '"TIMESTAMP"')} / 7.0) + 1, 4) AS INTEGER) AS trial_week,
+         CASE WHEN ACTIVITY_NAME IN ('click.0','click.1','click.2','click.3','click.4','click.5',
+                                     'view.0','view.1','view.2','view.3','view.4','view.5') THEN 'Engagement'
+              WHEN ACTIVITY_NAME IN ('purchase.0','purchase.1','purchase.2','purchase.3','purchase.4','purchase.5') THEN 'Commerce'
+              WHEN ACTIVITY_NAME IN ('signup.0','signup.1','signup.2','signup.3','signup.4','signup.5') THEN 'Onboarding'
+              ELSE 'Other' END AS activity_category
+  FROM trial_log),
+org_raw AS (
+  SELECT ORGANIZATION_ID,
+         count(DISTINCT ACTIVITY_NAME) AS unique_activities_count,
+         count(*) AS total_activities_count,
+         arg_min(trial_duration_days, EVENT_ID) AS dur,
+         count(DISTINCT activity_category) AS unique_categories_count,
+         count(DISTINCT days_since_trial_start) AS days_active,
+         date_diff('microsecond', arg_min(TRIAL_START, EVENT_ID), min("TIMESTAMP")) / 1000000.0 / 3600.0 AS time_to_first_activity,
+         CASE WHEN count(*) > 1 THEN stddev_samp(days_since_trial_start) ELSE 0.0 END AS activity_spread,
+         count(*) FILTER (WHERE days_since_trial_start < 7) AS week1_activity_count,
+         count(*) FILTER (WHERE days_since_trial_start >= 7) AS late,
+         count(*) FILTER (WHERE days_since_trial_start >= 7 AND days_since_trial_start < 14) AS activities_week2,
+         count(*) FILTER (WHERE days_since_trial_start >= 14 AND days_since_trial_start < 21) AS activities_week3,
+         count(*) FILTER (WHERE days_since_trial_start >= 21) AS activities_week4_plus,
+         arg_min(CONVERTED, EVENT_ID) AS converted
+  FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ORGANIZATION_ID),
+org AS (
+  SELECT ORGANIZATION_ID, unique_activities_count, total_activities_count,
+         CASE WHEN dur > 0 THEN total_activities_count / dur ELSE 0.0 END AS activities_per_day,
+         unique_categories_count, days_active,
+         CASE WHEN days_active > 0 THEN (CASE WHEN dur > 0 THEN total_activities_count / dur ELSE 0.0 END) / days_active ELSE 0.0 END AS activity_density,
+         time_to_first_activity, activity_spread, week1_activity_count,
+         CASE WHEN total_activities_count > 0 THEN week1_activity_count / total_activities_count ELSE 0.0 END AS week1_activity_ratio,
+         CASE WHEN late > 0 THEN week1_activity_count / late ELSE CAST('inf' AS DOUBLE) END AS early_vs_late_ratio,
+         CAST(CASE WHEN (CASE WHEN total_activities_count > 0 THEN week1_activity_count / total_activities_count ELSE 0.0 END) > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS front_loaded_pattern,
+         CAST(CASE WHEN week1_activity_count > 0 THEN 1 ELSE 0 END AS INTEGER) AS week1_engagement_binary,
+         week1_activity_count AS activities_week1, activities_week2, activities_week3, activities_week4_plus, converted
+  FROM org_raw)
+"""
+
+
+def feature_sql(body: str, *more: str) -> str:
+    return with_ctes(FIXTURE_CTE, FEATURE_CTE, *more, body=body)
+
+
+register("temporal_features", feature_sql("SELECT * FROM feat"))
+TF = ["trial_duration_days", "days_since_trial_start", "days_until_trial_end", "hour", "day_of_week", "trial_week"]
+register("temporal_feature_stats", feature_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r9(f'CAST(min({c}) AS DOUBLE)')} AS min_value, {r9(f'CAST(max({c}) AS DOUBLE)')} AS max_value, "
+    f"{r9(f'avg({c})')} AS mean_value, {r9(f'stddev_samp({c})')} AS std_value FROM feat" for c in TF)))
+register("activity_distribution", feature_sql(
+    "SELECT ACTIVITY_NAME, count(*) AS count, count(*) / (SELECT count(*) FROM feat) * 100.0 AS pct FROM feat GROUP BY ACTIVITY_NAME"))
+register("category_distribution", feature_sql(
+    "SELECT activity_category, count(*) AS count, count(*) / (SELECT count(*) FROM feat) * 100.0 AS pct FROM feat GROUP BY activity_category"))
+register("top_activities", feature_sql("""
+SELECT ACTIVITY_NAME, count(*) AS count, count(*) / (SELECT count(*) FROM feat) * 100.0 AS pct,
+       GREATEST((SELECT count(DISTINCT ACTIVITY_NAME) + max(CASE WHEN ACTIVITY_NAME IS NULL THEN 1 ELSE 0 END) FROM feat) - 10, 0) AS remaining_values
+FROM feat GROUP BY ACTIVITY_NAME ORDER BY count DESC, ACTIVITY_NAME LIMIT 10"""))
+register("unmapped_activities", feature_sql(
+    "SELECT DISTINCT ACTIVITY_NAME FROM feat WHERE activity_category = 'Other'"))
+ORG_COLS = ["ORGANIZATION_ID", "unique_activities_count", "total_activities_count", "activities_per_day",
+            "unique_categories_count", "days_active", "activity_density", "time_to_first_activity", "activity_spread",
+            "week1_activity_count", "week1_activity_ratio", "early_vs_late_ratio", "front_loaded_pattern",
+            "week1_engagement_binary", "activities_week1", "activities_week2", "activities_week3",
+            "activities_week4_plus", "converted"]
+ORG_DOUBLES = {"activities_per_day", "activity_density", "time_to_first_activity", "activity_spread",
+               "week1_activity_ratio", "early_vs_late_ratio"}
+register("org_features", feature_sql("SELECT " + ", ".join(
+    f"{r9(c)} AS {c}" if c in ORG_DOUBLES else c for c in ORG_COLS) + " FROM org"))
+
+SEG_CTE = """
+seg AS (
+  SELECT *, COALESCE(CONVERTED = false, false) AS s1,
+            COALESCE(CONVERTED = true AND "TIMESTAMP" < CONVERTED_AT, false) AS s2,
+            COALESCE(CONVERTED = true, false) AS s3
+  FROM trial_log)
+"""
+register("segment_sizes", with_ctes(FIXTURE_CTE, SEG_CTE, body="""
+SELECT 'not_converted' AS segment, count(*) FILTER (WHERE s1) AS records, count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s1) AS orgs FROM seg
+UNION ALL SELECT 'pre_conversion', count(*) FILTER (WHERE s2), count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2) FROM seg
+UNION ALL SELECT 'all_converted', count(*) FILTER (WHERE s3), count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s3) FROM seg"""))
+register("pre_conversion_log", fixture_sql(
+    'SELECT * FROM trial_log WHERE CONVERTED = true AND "TIMESTAMP" < CONVERTED_AT'))
+register("segment_conversion_rate", with_ctes(FIXTURE_CTE, SEG_CTE, body="""
+SELECT count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s1) + count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2) AS total_orgs,
+       count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2) AS converted_orgs,
+       CASE WHEN count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s1) + count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2) > 0
+            THEN count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2)
+                 / (count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s1) + count(DISTINCT ORGANIZATION_ID) FILTER (WHERE s2)) * 100.0
+       END AS conversion_rate_pct
+FROM seg"""))
+register("activity_comparison", with_ctes(FIXTURE_CTE, SEG_CTE, body="""
+SELECT ACTIVITY_NAME, count(*) FILTER (WHERE s1) AS not_converted_count, count(*) FILTER (WHERE s2) AS pre_conversion_count,
+       count(*) FILTER (WHERE s2) - count(*) FILTER (WHERE s1) AS difference
+FROM seg GROUP BY ACTIVITY_NAME HAVING count(*) FILTER (WHERE s1) > 0 OR count(*) FILTER (WHERE s2) > 0
+ORDER BY abs(difference) DESC, ACTIVITY_NAME LIMIT 20"""))
+BIV = ["total_activities_count", "unique_activities_count", "unique_categories_count", "activities_per_day",
+       "days_active", "week1_activity_count", "week1_activity_ratio", "front_loaded_pattern"]
+register("feature_comparison", feature_sql(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {r9(f'avg({f}) FILTER (WHERE converted = true)')} AS converted_mean, "
+    f"{r9(f'avg({f}) FILTER (WHERE converted = false)')} AS non_converted_mean, "
+    f"{r9(f'avg({f}) FILTER (WHERE converted = true) - avg({f}) FILTER (WHERE converted = false)')} AS difference, "
+    f"{r9(f'CASE WHEN avg({f}) FILTER (WHERE converted = false) <> 0 THEN (avg({f}) FILTER (WHERE converted = true) - avg({f}) FILTER (WHERE converted = false)) / avg({f}) FILTER (WHERE converted = false) * 100.0 ELSE 0.0 END')} AS percent_difference FROM org"
+    for f in BIV)))
+SM = ["days_since_trial_start", "hour", "day_of_week", "is_weekend", "trial_week"]
+register("segment_comparison", feature_sql(" UNION ALL ".join(
+    f"SELECT '{m}' AS metric, 'not_converted' AS segment1, 'pre_conversion' AS segment2, "
+    f"{r9(f'avg({m}) FILTER (WHERE CONVERTED = false)')} AS segment1_mean, "
+    f"{r9(f'avg({m}) FILTER (WHERE CONVERTED = true AND \"TIMESTAMP\" < CONVERTED_AT)')} AS segment2_mean, "
+    f"{r9(f'avg({m}) FILTER (WHERE CONVERTED = true AND \"TIMESTAMP\" < CONVERTED_AT) - avg({m}) FILTER (WHERE CONVERTED = false)')} AS difference, "
+    f"{r9(f'CASE WHEN avg({m}) FILTER (WHERE CONVERTED = false) IS NULL OR avg({m}) FILTER (WHERE CONVERTED = true AND \"TIMESTAMP\" < CONVERTED_AT) IS NULL OR avg({m}) FILTER (WHERE CONVERTED = false) = 0 THEN NULL ELSE (avg({m}) FILTER (WHERE CONVERTED = true AND \"TIMESTAMP\" < CONVERTED_AT) - avg({m}) FILTER (WHERE CONVERTED = false)) / avg({m}) FILTER (WHERE CONVERTED = false) * 100.0 END')} AS pct_change FROM feat"
+    for m in SM)))
+register("pattern_differences", feature_sql("""
+SELECT round(c_w1, 9) AS converted_week1_engagement_pct, round(n_w1, 9) AS non_converted_week1_engagement_pct,
+       round(c_fl, 9) AS converted_front_loaded_pct, round(n_fl, 9) AS non_converted_front_loaded_pct,
+       round(c_ua, 9) AS converted_unique_activities, round(n_ua, 9) AS non_converted_unique_activities,
+       round(c_ca, 9) AS converted_categories, round(n_ca, 9) AS non_converted_categories,
+       round(c_w1 - n_w1, 9) AS week1_engagement_diff, round(c_fl - n_fl, 9) AS front_loaded_diff,
+       round(c_ua - n_ua, 9) AS unique_activities_diff, round(c_ca - n_ca, 9) AS categories_diff
+FROM (SELECT avg(week1_engagement_binary) FILTER (WHERE converted = true) * 100.0 AS c_w1,
+             avg(week1_engagement_binary) FILTER (WHERE converted = false) * 100.0 AS n_w1,
+             avg(front_loaded_pattern) FILTER (WHERE converted = true) * 100.0 AS c_fl,
+             avg(front_loaded_pattern) FILTER (WHERE converted = false) * 100.0 AS n_fl,
+             avg(unique_activities_count) FILTER (WHERE converted = true) AS c_ua,
+             avg(unique_activities_count) FILTER (WHERE converted = false) AS n_ua,
+             avg(unique_categories_count) FILTER (WHERE converted = true) AS c_ca,
+             avg(unique_categories_count) FILTER (WHERE converted = false) AS n_ca FROM org)"""))
+register("hourly_counts", fixture_sql(
+    'SELECT CAST(hour("TIMESTAMP") AS INTEGER) AS hour, count(*) AS records FROM trial_log GROUP BY 1'))
+register("weekday_counts", fixture_sql("""
+SELECT CAST(d.i AS INTEGER) AS day_index, d.name AS day_name, c.records
+FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) d(i, name)
+LEFT JOIN (SELECT isodow("TIMESTAMP") - 1 AS i, count(*) AS records FROM trial_log GROUP BY 1) c ON c.i = d.i"""))
+register("daily_counts", fixture_sql(
+    'SELECT CAST("TIMESTAMP" AS DATE) AS date, count(*) AS records FROM trial_log GROUP BY 1'))
+register("weekend_counts", fixture_sql(
+    'SELECT isodow("TIMESTAMP") IN (6, 7) AS is_weekend, count(*) AS records FROM trial_log GROUP BY 1'))
+HF = ["total_activities_count", "unique_activities_count", "unique_categories_count", "week1_activity_count",
+      "week1_activity_ratio", "activities_per_day"]
+register("feature_histograms", feature_sql("""
+SELECT feature, converted, CAST(b AS INTEGER) AS bin,
+       round(lo + b * ((hi - lo) / 20.0), 9) AS bin_start, round(lo + (b + 1) * ((hi - lo) / 20.0), 9) AS bin_end,
+       COALESCE(cnt, 0) AS count, round(COALESCE(cnt, 0) / (n * ((hi - lo) / 20.0)), 9) AS density
+FROM ranges CROSS JOIN range(0, 20) t(b)
+LEFT JOIN binned USING (feature, converted, b)""", """
+long AS (""" + " UNION ALL ".join(f"SELECT converted, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM org" for f in HF) + """),
+ranges AS (
+  SELECT feature, converted, count(*) AS n,
+         CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+         CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
+  FROM long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature, converted),
+binned AS (
+  SELECT l.feature, l.converted, LEAST(CAST(floor((l.value - r.lo) * (20.0 / (r.hi - r.lo))) AS BIGINT), 19) AS b, count(*) AS cnt
+  FROM long l JOIN ranges r USING (feature, converted) WHERE l.value IS NOT NULL AND NOT isnan(l.value) GROUP BY ALL)"""))
+CF = ["total_activities_count", "unique_activities_count", "activities_per_day", "unique_categories_count",
+      "days_active", "week1_activity_count", "week1_activity_ratio"]
+register("feature_correlations", feature_sql(" UNION ALL ".join(
+    f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, round(CASE WHEN stddev_samp(CAST({x} AS DOUBLE)) * stddev_samp(CAST({y} AS DOUBLE)) > 0 "
+    f"THEN covar_samp(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) / (stddev_samp(CAST({x} AS DOUBLE)) * stddev_samp(CAST({y} AS DOUBLE))) END, 9) AS correlation FROM org"
+    for x in CF for y in CF)))
+SEQ_SELECT = """
+SELECT ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP", EVENT_ID, position,
+       round(date_diff('microsecond', first_ts, "TIMESTAMP") / 1000000.0 / 86400.0, 9) AS days_from_start,
+       position % 5 = 0 AS labelled, CASE WHEN position % 5 = 0 THEN substr(ACTIVITY_NAME, 1, 20) END AS label
+FROM (SELECT *, row_number() OVER (PARTITION BY ORGANIZATION_ID ORDER BY "TIMESTAMP", EVENT_ID) - 1 AS position,
+             min("TIMESTAMP") OVER (PARTITION BY ORGANIZATION_ID) AS first_ts FROM src)"""
+register("activity_sequence", with_ctes(FIXTURE_CTE, "src AS (SELECT * FROM trial_log)", body=SEQ_SELECT))
+register("activity_sequence_sample", with_ctes(FIXTURE_CTE, """
+src AS (SELECT * FROM trial_log WHERE ORGANIZATION_ID IN (
+  SELECT ORGANIZATION_ID FROM (SELECT DISTINCT ORGANIZATION_ID FROM trial_log)
+  ORDER BY md5(CAST(ORGANIZATION_ID AS VARCHAR) || ':42'), ORGANIZATION_ID LIMIT 5))""", body=SEQ_SELECT))
+register("log_summary", fixture_sql("""
+SELECT count(*) AS total_records, count(DISTINCT ORGANIZATION_ID) AS total_orgs, min("TIMESTAMP") AS first_activity,
+       max("TIMESTAMP") AS last_activity, count(DISTINCT ACTIVITY_NAME) AS unique_activities,
+       count(DISTINCT ORGANIZATION_ID) FILTER (WHERE CONVERTED) AS converted_orgs,
+       CASE WHEN count(DISTINCT ORGANIZATION_ID) > 0
+            THEN count(DISTINCT ORGANIZATION_ID) FILTER (WHERE CONVERTED) / count(DISTINCT ORGANIZATION_ID) * 100.0 END AS conversion_rate_pct
+FROM trial_log"""))
+register("conversion_class_sizes", feature_sql(
+    "SELECT converted, count(*) AS orgs, count(*) / (SELECT count(*) FROM org) * 100.0 AS share_pct FROM org GROUP BY converted"))
