@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convlens.operators import mart
+from convlens.session import materialize
 from convlens.sources.log import fixture_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +31,7 @@ def query(name: str):
 
 def _mart_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prepared = mart.prepare_log(fixture_log(spark, sf_dir))
-    staging = mart.staging_metrics(prepared)
+    staging = materialize(mart.staging_metrics(prepared))
     goals = mart.activation_goals(staging)
     goals_mart = mart.trial_goals(staging, goals)
     activation = mart.trial_activation(goals_mart)
@@ -203,7 +205,9 @@ def _feature_log(spark, sf_dir):
 
 
 def _org_table(spark, sf_dir):
-    return features.org_features(_feature_log(spark, sf_dir))
+    # one row per org, reused by every comparison, test and model: cut its
+    # lineage once (reliable checkpoint) instead of re-deriving it per use
+    return materialize(features.org_features(_feature_log(spark, sf_dir)))
 
 
 @query("temporal_features")
@@ -330,3 +334,59 @@ def q_log_summary(spark, sf_dir):
 @query("conversion_class_sizes")
 def q_class_sizes(spark, sf_dir):
     return charts.conversion_class_sizes(_org_table(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ tests
+from convlens.operators import stats  # noqa: E402
+
+
+@query("chi_square_test")
+def q_chi2(spark, sf_dir):
+    org = _org_table(spark, sf_dir)
+    return _round_doubles(stats.chi_square_test(org, "week1_engagement_binary").unionByName(
+        stats.chi_square_test(org, "front_loaded_pattern")))
+
+
+@query("t_test")
+def q_ttest(spark, sf_dir):
+    return _round_doubles(stats.t_test(_org_table(spark, sf_dir), "week1_activity_ratio"))
+
+
+@query("mann_whitney_total")
+def q_mwu_total(spark, sf_dir):
+    return _round_doubles(stats.mann_whitney_test(_org_table(spark, sf_dir), "total_activities_count"))
+
+
+@query("mann_whitney_categories")
+def q_mwu_categories(spark, sf_dir):
+    return _round_doubles(stats.mann_whitney_test(_org_table(spark, sf_dir), "unique_categories_count"))
+
+
+@query("hypothesis_tests")
+def q_tests(spark, sf_dir):
+    return _round_doubles(stats.hypothesis_tests(_org_table(spark, sf_dir)))
+
+
+@query("tests_summary")
+def q_tests_summary(spark, sf_dir):
+    return stats.tests_summary(stats.hypothesis_tests(_org_table(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ models
+from convlens.operators import models  # noqa: E402
+
+
+@query("model_split")
+def q_model_split(spark, sf_dir):
+    org = _org_table(spark, sf_dir).select("ORGANIZATION_ID", F.col("converted").cast("int").alias("label"))
+    return models.stratified_split(org, "ORGANIZATION_ID", "label")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    return models.build_models(_org_table(spark, sf_dir), "ORGANIZATION_ID")["comparison"]
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return models.build_models(_org_table(spark, sf_dir), "ORGANIZATION_ID")["importance"]

@@ -486,3 +486,81 @@ SELECT count(*) AS total_records, count(DISTINCT ORGANIZATION_ID) AS total_orgs,
 FROM trial_log"""))
 register("conversion_class_sizes", feature_sql(
     "SELECT converted, count(*) AS orgs, count(*) / (SELECT count(*) FROM org) * 100.0 AS share_pct FROM org GROUP BY converted"))
+
+
+# ------------------------------------------------------------------ tests
+def _ct_cte(f: str) -> str:
+    return f"""ct_{f} AS (
+  SELECT {f} AS value, count(*) FILTER (WHERE converted = true) AS converted, count(*) FILTER (WHERE converted = false) AS non_converted
+  FROM org WHERE converted IS NOT NULL GROUP BY {f})"""
+
+
+def _chi2_full(f: str) -> str:
+    return f"""
+SELECT '{f}' AS feature, round(CASE WHEN dof > 0 THEN s ELSE 0.0 END, 9) AS chi2_statistic, dof AS degrees_of_freedom,
+       n AS n_orgs, dof = 1 AS yates_correction
+FROM (
+  SELECT tot.dof, CAST(tot.r1 + tot.r0 AS BIGINT) AS n,
+         sum(CASE WHEN tot.r1 > 0 THEN pow(abs(ct.converted - tot.r1 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0))
+                 - CASE WHEN tot.dof = 1 THEN LEAST(0.5, abs(ct.converted - tot.r1 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0))) ELSE 0 END, 2)
+                 / (tot.r1 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0)) ELSE 0.0 END
+           + CASE WHEN tot.r0 > 0 THEN pow(abs(ct.non_converted - tot.r0 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0))
+                 - CASE WHEN tot.dof = 1 THEN LEAST(0.5, abs(ct.non_converted - tot.r0 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0))) ELSE 0 END, 2)
+                 / (tot.r0 * (ct.converted + ct.non_converted) / (tot.r1 + tot.r0)) ELSE 0.0 END) AS s
+  FROM ct_{f} ct CROSS JOIN (
+    SELECT r1, r0, CAST(((CASE WHEN r1 > 0 THEN 1 ELSE 0 END + CASE WHEN r0 > 0 THEN 1 ELSE 0 END) - 1) * (c - 1) AS BIGINT) AS dof
+    FROM (SELECT sum(converted) AS r1, sum(non_converted) AS r0, count(*) AS c FROM ct_{f})) tot
+  GROUP BY tot.dof, tot.r1, tot.r0)"""
+
+
+register("chi_square_test", feature_sql(
+    _chi2_full("week1_engagement_binary") + " UNION ALL " + _chi2_full("front_loaded_pattern"),
+    _ct_cte("week1_engagement_binary"), _ct_cte("front_loaded_pattern")))
+register("t_test", feature_sql("""
+SELECT 'week1_activity_ratio' AS feature,
+       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
+       round(m1, 9) AS converted_mean, round(m2, 9) AS non_converted_mean, n1 AS n_converted, n2 AS n_non_converted
+FROM (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1.0 / n1 + 1.0 / n2)) AS se
+      FROM (SELECT count(week1_activity_ratio) FILTER (WHERE converted = true) AS n1,
+                   count(week1_activity_ratio) FILTER (WHERE converted = false) AS n2,
+                   avg(week1_activity_ratio) FILTER (WHERE converted = true) AS m1,
+                   avg(week1_activity_ratio) FILTER (WHERE converted = false) AS m2,
+                   var_samp(week1_activity_ratio) FILTER (WHERE converted = true) AS v1,
+                   var_samp(week1_activity_ratio) FILTER (WHERE converted = false) AS v2,
+                   count(week1_activity_ratio) FILTER (WHERE converted = true) + count(week1_activity_ratio) FILTER (WHERE converted = false) - 2 AS dof
+            FROM org))"""))
+
+
+def _mwu_sql(f: str) -> str:
+    return f"""
+SELECT '{f}' AS feature, round(r1 - n1 * (n1 + 1) / 2.0, 9) AS u_statistic, n1 AS n_converted, n2 AS n_non_converted,
+       round(r1, 9) AS rank_sum_converted, CAST(tie AS DOUBLE) AS tie_term,
+       round(CASE WHEN var > 0 THEN (GREATEST(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5) / sqrt(var) END, 9) AS z_statistic,
+       max_tie <= 1 AND LEAST(n1, n2) <= 8 AS exact,
+       round(cm, 9) AS converted_median, round(nm, 9) AS non_converted_median
+FROM (
+  SELECT *, n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1))) AS var
+  FROM (
+    SELECT sum(t1 * (before + (t + 1) / 2.0)) AS r1, CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t2) AS BIGINT) AS n2,
+           sum(t * t * t - t) AS tie, max(t) AS max_tie
+    FROM (SELECT *, COALESCE(sum(t) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM (SELECT CAST({f} AS DOUBLE) AS value, count(*) FILTER (WHERE converted = true) AS t1,
+                       count(*) FILTER (WHERE converted = false) AS t2, count(*) AS t
+                FROM org WHERE converted IS NOT NULL AND {f} IS NOT NULL GROUP BY 1))) a,
+  (SELECT quantile_cont(CAST({f} AS DOUBLE), 0.5) FILTER (WHERE converted = true) AS cm,
+          quantile_cont(CAST({f} AS DOUBLE), 0.5) FILTER (WHERE converted = false) AS nm
+   FROM org WHERE converted IS NOT NULL AND {f} IS NOT NULL) m)"""
+
+
+register("mann_whitney_total", feature_sql(_mwu_sql("total_activities_count")))
+register("mann_whitney_categories", feature_sql(_mwu_sql("unique_categories_count")))
+
+
+# ------------------------------------------------------------------ models
+register("model_split", feature_sql("""
+SELECT ORGANIZATION_ID, label, pos < ceil(n_class * 0.2) AS is_test,
+       CAST(CASE WHEN pos < ceil(n_class * 0.2) THEN -1 ELSE (pos - ceil(n_class * 0.2)) % 5 END AS INTEGER) AS fold
+FROM (SELECT ORGANIZATION_ID, label,
+             row_number() OVER (PARTITION BY label ORDER BY md5(CAST(ORGANIZATION_ID AS VARCHAR) || ':42'), ORGANIZATION_ID) - 1 AS pos,
+             count(*) OVER (PARTITION BY label) AS n_class
+      FROM (SELECT ORGANIZATION_ID, CAST(converted AS INTEGER) AS label FROM org))"""))
