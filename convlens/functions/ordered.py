@@ -12,20 +12,33 @@ columns, and a join with a table of at most groups + slices rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlens.session import materialize
 
 
+# Inputs with at most this many rows (counted first) take one plain window:
+# a single task sorting a bounded, proven-small table is cheaper than the
+# range shuffle + checkpoint + join of the sliced path.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
 def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group_cols: list[str] | None = None,
-                   slices: int | None = None, inclusive: bool = False, prefix: str = "before_") -> DataFrame:
+                   slices: int | None = None, inclusive: bool = False, prefix: str = "before_",
+                   single_task_max_rows: int | None = None) -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``value_cols``: the sum of ``c``
     over the rows of the same group that come strictly before this row in
     ``order_cols`` order (``inclusive=True`` includes the row).  The order
     must be total (add a tiebreak column) for a deterministic result."""
     group_cols = list(group_cols or [])
     spark = df.sparkSession
+    limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
+    frame_end = Window.currentRow if inclusive else -1
+    if limit > 0 and df.count() <= limit:
+        ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+        w = Window.partitionBy(*group_cols).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(prefix + c) for c in value_cols])
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     # The slice id is read once and checkpointed: the range bounds come from a
@@ -34,7 +47,6 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     # folder) also survives the loss of an executor.
     keyed = materialize(df.repartitionByRange(slices, *[F.col(g) for g in group_cols], *ordered).withColumn(
         "_slice", F.spark_partition_id()))
-    frame_end = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(*group_cols, "_slice").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, frame_end)
     local = keyed.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{c}") for c in value_cols])
     pieces = keyed.groupBy(*group_cols, "_slice").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
@@ -46,12 +58,10 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
 
 
 def position_in_group(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "position",
-                      slices: int | None = None) -> DataFrame:
+                      slices: int | None = None, single_task_max_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group in ``order_cols`` order."""
     one = "_one"
-    out = running_totals(df.withColumn(one, F.lit(1)), order_cols, [one], group_cols, slices, prefix="_p")
+    out = running_totals(df.withColumn(one, F.lit(1)), order_cols, [one], group_cols, slices, prefix="_p",
+                         single_task_max_rows=single_task_max_rows)
     return out.withColumnRenamed("_p" + one, name).drop(one)
 
-
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

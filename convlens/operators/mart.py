@@ -101,14 +101,19 @@ def activation_goals(staging: DataFrame) -> DataFrame:
     return thr.select(rows)
 
 
-def _goal(goals: DataFrame, goal_id: str) -> F.Column:
-    return goals.filter(F.col("goal_id") == goal_id).agg(F.max("threshold_value")).scalar()
+def goal_thresholds(goals: DataFrame) -> F.Column:
+    """The three thresholds as ONE struct-valued scalar subquery (one job)."""
+    def pick(goal_id):
+        return F.max(F.when(F.col("goal_id") == goal_id, F.col("threshold_value")))
+    return goals.agg(F.struct(pick(WEEK1_GOAL).alias("w1"), pick(MINIMAL_EVENTS_GOAL).alias("me"),
+                              pick(STEADINESS_GOAL).alias("ratio"))).scalar()
 
 
 def trial_goals(staging: DataFrame, goals: DataFrame) -> DataFrame:
     """``mart_trial_goals``: open trials (not converted) with completion % per
     goal, the week-4 target and the all-goals flag."""
-    g1, g2, g3 = _goal(goals, WEEK1_GOAL), _goal(goals, MINIMAL_EVENTS_GOAL), _goal(goals, STEADINESS_GOAL)
+    thr = goal_thresholds(goals)
+    g1, g2, g3 = thr.getField("w1"), thr.getField("me"), thr.getField("ratio")
     target = F.col("week1_activities") * g3
     out = staging.filter(~F.col("converted")).select(
         "org_id", "week1_activities", "week2_activities", "week4_activities", "total_activities", "converted",
@@ -193,12 +198,13 @@ def quality_checks(staging: DataFrame, goals: DataFrame, goals_mart: DataFrame,
     ``open_trial_count_consistency`` is the comparison that was meant."""
     st = staging.agg(F.count(F.lit(1)).cast("double").alias("n"),
                      F.count_if(~F.col("converted")).cast("double").alias("open"))
-    n_mart = goals_mart.agg(F.count(F.lit(1)).cast("double")).scalar()
-    w1 = goals.filter(F.col("goal_id") == WEEK1_GOAL).agg(F.max("threshold_value")).scalar()
-    me = goals.filter(F.col("goal_id") == MINIMAL_EVENTS_GOAL).agg(F.max("threshold_value")).scalar()
+    gm = goals_mart.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
+                                 F.count_if(F.col("overall_achieved") == 1).cast("double").alias("ach"))).scalar()
+    n_mart, n_ach = gm.getField("n"), gm.getField("ach")
+    thr = goal_thresholds(goals)
+    w1, me = thr.getField("w1"), thr.getField("me")
     sample = goals_mart.orderBy("org_id").limit(5).agg(F.count(F.lit(1)).cast("double")).scalar()
     n_act = activation.agg(F.count(F.lit(1)).cast("double")).scalar()
-    n_ach = goals_mart.agg(F.count_if(F.col("overall_achieved") == 1).cast("double")).scalar()
     rows = rows_of(["check_name", "passed", "lhs", "rhs"], [
         ["record_count_consistency", F.col("n") == n_mart, F.col("n"), n_mart],
         ["open_trial_count_consistency", F.col("open") == n_mart, F.col("open"), n_mart],

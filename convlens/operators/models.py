@@ -14,6 +14,7 @@ Only model summaries (a few numbers per model) reach the driver.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -85,15 +86,27 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
         return RandomForestClassifier(featuresCol="raw_features", labelCol="label", numTrees=RF_TREES, maxDepth=RF_DEPTH,
                                       seed=seed)
 
-    results, importance = [], []
-    for name, make, tr, te in (("logistic_regression", lr, train_s, test_s), ("random_forest", None, train, test)):
-        fold_aucs = []
-        for f in range(k):
-            fit_part = tr.filter(F.col("fold") != f)
-            est = make(fit_part.count()) if make else rf()
-            fold_aucs.append(_auc(est.fit(fit_part).transform(tr.filter(F.col("fold") == f)), "label"))
+    fold_sizes = {r["fold"]: int(r["n"]) for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def fold_auc(make, tr, f):
+        fit_part = tr.filter(F.col("fold") != f)
+        est = make(n_train - fold_sizes.get(f, 0)) if make else rf()
+        return _auc(est.fit(fit_part).transform(tr.filter(F.col("fold") == f)), "label")
+
+    def final(make, tr, te):
         model = (make(n_train) if make else rf()).fit(tr)
-        test_auc = _auc(model.transform(te), "label")
+        return model, _auc(model.transform(te), "label")
+
+    # The folds and the final fits are independent Spark jobs: submit them
+    # concurrently (the scheduler interleaves their tasks).
+    plan = (("logistic_regression", lr, train_s, test_s), ("random_forest", None, train, test))
+    with ThreadPoolExecutor(max_workers=2 * (k + 1)) as pool:
+        fold_futs = {name: [pool.submit(fold_auc, make, tr, f) for f in range(k)] for name, make, tr, _ in plan}
+        final_futs = {name: pool.submit(final, make, tr, te) for name, make, tr, te in plan}
+        done = {name: ([fu.result() for fu in fold_futs[name]], final_futs[name].result()) for name, *_ in plan}
+    results, importance = [], []
+    for name, make, _, _ in plan:
+        fold_aucs, (model, test_auc) = done[name]
         results.append((name, sum(fold_aucs) / len(fold_aucs), _std0(fold_aucs), test_auc, n_train))
         weights = list(model.coefficients) if make else list(model.featureImportances.toArray())
         ranked = sorted(range(len(features)), key=lambda i: -abs(weights[i]))

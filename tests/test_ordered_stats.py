@@ -16,7 +16,8 @@ def test_running_totals_match_brute_force_with_hot_group(spark):
             rows.append((f"g{g}", rnd.randint(0, 50), nid, rnd.randint(1, 5)))
             nid += 1
     df = spark.createDataFrame(rows, "g string, o long, id long, v long")
-    out = running_totals(df, ["o", "id"], ["v"], ["g"], slices=6).collect()
+    out = running_totals(df, ["o", "id"], ["v"], ["g"], slices=6, single_task_max_rows=0).collect()
+    small = running_totals(df, ["o", "id"], ["v"], ["g"]).collect()  # size-checked single-task path
     expect = {}
     for g in {r[0] for r in rows}:
         acc = 0
@@ -24,7 +25,8 @@ def test_running_totals_match_brute_force_with_hot_group(spark):
             expect[r[2]] = acc
             acc += r[3]
     assert {r.id: r.before_v for r in out} == expect
-    pos = position_in_group(df, ["g"], ["o", "id"], "p", slices=5).filter("g = 'hot'").collect()
+    assert {r.id: r.before_v for r in small} == expect
+    pos = position_in_group(df, ["g"], ["o", "id"], "p", slices=5, single_task_max_rows=0).filter("g = 'hot'").collect()
     assert sorted(r.p for r in pos) == list(range(600))
 
 
