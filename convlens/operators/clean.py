@@ -83,9 +83,12 @@ def type_log(text_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, org_type:
     """Type a text log: the four time columns to TIMESTAMP_NTZ and the flag
     to BOOLEAN with ``try_cast`` (bad values become null)."""
     out = text_log
+    present = set(text_log.columns)
     for c in cols.timestamps:
-        out = out.withColumn(c, F.col(c).try_cast("timestamp_ntz"))
-    out = out.withColumn(cols.converted, F.col(cols.converted).try_cast("boolean"))
+        if c in present:  # optional columns are coerced only when present
+            out = out.withColumn(c, F.col(c).try_cast("timestamp_ntz"))
+    if cols.converted in present:
+        out = out.withColumn(cols.converted, F.col(cols.converted).try_cast("boolean"))
     if org_type:
         out = out.withColumn(cols.org, F.col(cols.org).try_cast(org_type))
     if cols.order and cols.order in out.columns:

@@ -140,6 +140,15 @@ def trial_activation(goals_mart: DataFrame) -> DataFrame:
     return goals_mart.filter(F.col("overall_achieved") == 1).withColumn("avg_performance_score", score)
 
 
+SAMPLE_COLUMNS = ["org_id", "week1_activities", "total_activities", "week4_activities", "week1_completion_pct",
+                  "minimal_events_completion_pct", "week4_completion_pct", "overall_achieved"]
+
+
+def mart_sample(goals_mart: DataFrame, n: int = 5) -> DataFrame:
+    """The checks' sample: the first ``n`` open trials by org id."""
+    return goals_mart.select(*SAMPLE_COLUMNS).orderBy("org_id").limit(n)
+
+
 # ---------------------------------------------------------------- statistics
 
 def goal_stats(goals_mart: DataFrame) -> DataFrame:

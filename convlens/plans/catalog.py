@@ -85,6 +85,11 @@ def q_mart_summary(spark, sf_dir):
     return mart.mart_summary(p["staging"], p["goals"], p["activation"])
 
 
+@query("mart_sample")
+def q_mart_sample(spark, sf_dir):
+    return mart.mart_sample(_mart_parts(spark, sf_dir)["goals_mart"])
+
+
 @query("mart_checks")
 def q_mart_checks(spark, sf_dir):
     p = _mart_parts(spark, sf_dir)
@@ -347,6 +352,11 @@ def q_chi2(spark, sf_dir):
         stats.chi_square_test(org, "front_loaded_pattern")))
 
 
+@query("contingency_table")
+def q_contingency(spark, sf_dir):
+    return stats.contingency_table(_org_table(spark, sf_dir), "front_loaded_pattern")
+
+
 @query("t_test")
 def q_ttest(spark, sf_dir):
     return _round_doubles(stats.t_test(_org_table(spark, sf_dir), "week1_activity_ratio"))

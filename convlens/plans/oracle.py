@@ -133,6 +133,10 @@ SELECT (SELECT count(*) FROM staging) AS total_orgs, (SELECT count(*) FROM goals
        (SELECT count(*) FROM mart_activation) AS activated_orgs,
        CASE WHEN (SELECT count(*) FROM staging) > 0
             THEN (SELECT count(*) FROM mart_activation) / (SELECT count(*) FROM staging) * 100.0 END AS activation_rate_all_pct"""))
+register("mart_sample", mart_sql("""
+SELECT org_id, week1_activities, total_activities, week4_activities, week1_completion_pct,
+       minimal_events_completion_pct, week4_completion_pct, overall_achieved
+FROM mart_goals ORDER BY org_id LIMIT 5"""))
 register("mart_checks", mart_sql("""
 , c AS (
   SELECT 'record_count_consistency' AS check_name,
@@ -516,6 +520,10 @@ FROM (
 register("chi_square_test", feature_sql(
     _chi2_full("week1_engagement_binary") + " UNION ALL " + _chi2_full("front_loaded_pattern"),
     _ct_cte("week1_engagement_binary"), _ct_cte("front_loaded_pattern")))
+register("contingency_table", feature_sql("""
+SELECT front_loaded_pattern AS value, count(*) FILTER (WHERE converted = true) AS converted,
+       count(*) FILTER (WHERE converted = false) AS non_converted
+FROM org WHERE converted IS NOT NULL GROUP BY front_loaded_pattern"""))
 register("t_test", feature_sql("""
 SELECT 'week1_activity_ratio' AS feature,
        round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,

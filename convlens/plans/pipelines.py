@@ -76,6 +76,9 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
     if output_path:
         clean_log.write.mode("overwrite").parquet(output_path)
         clean_log = clean_log.sparkSession.read.parquet(output_path)
+    else:
+        # every later step reads the cleaned log: write it once
+        clean_log = materialize(clean_log)
     out["clean_log"] = clean_log
     feat = features.activity_categories(features.temporal_features(clean_log, cols), category_map, cols)
     out["feature_log"] = feat
