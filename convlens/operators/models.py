@@ -62,9 +62,39 @@ def _std0(xs: list[float]) -> float:
     return math.sqrt(sum((x - m) ** 2 for x in xs) / len(xs))
 
 
+MODEL_KINDS = ("logistic_regression", "random_forest")
+EXTRA_MODEL_KINDS = ("decision_tree", "gradient_boosted_trees")
+GBT_ITERATIONS = 50
+
+
+def _estimator(kind: str, n_fit: int, seed: int):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+    if kind == "logistic_regression":
+        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=LR_MAX_ITER,
+                                  regParam=1.0 / max(n_fit, 1), elasticNetParam=0.0, standardization=False,
+                                  fitIntercept=True)
+    if kind == "random_forest":
+        return RandomForestClassifier(featuresCol="raw_features", labelCol="label", numTrees=RF_TREES,
+                                      maxDepth=RF_DEPTH, seed=seed)
+    if kind == "decision_tree":
+        return DecisionTreeClassifier(featuresCol="raw_features", labelCol="label", maxDepth=RF_DEPTH, seed=seed)
+    if kind == "gradient_boosted_trees":
+        return GBTClassifier(featuresCol="raw_features", labelCol="label", maxDepth=RF_DEPTH, maxIter=GBT_ITERATIONS,
+                             seed=seed)
+    raise ValueError(kind)
+
+
+def _weights(kind: str, model) -> list[float]:
+    if kind == "logistic_regression":
+        return list(model.coefficients)
+    return list(model.featureImportances.toArray())
+
+
 def build_models(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
-                 seed: int = SEED) -> dict[str, DataFrame]:
-    """Fit both models; returns ``{"comparison", "importance"}`` frames."""
+                 seed: int = SEED, kinds: tuple[str, ...] = MODEL_KINDS) -> dict[str, DataFrame]:
+    """Fit the models; returns ``{"comparison", "importance"}`` frames.  The
+    best model has the highest test AUC; on a tie the later kind wins (so
+    with the default pair, logistic regression must be strictly better)."""
     spark = org_table.sparkSession
     features = features or MODEL_FEATURES
     data = org_table.select(key_col, *[F.col(f).cast("double").alias(f) for f in features],
@@ -75,46 +105,39 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
     test = assembled.filter(F.col("is_test"))
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(train)
     train_s, test_s = scaler.transform(train), scaler.transform(test)
-    counts = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("k")).first()
-    n_train, k = int(counts["n"]), int(counts["k"])
-
-    def lr(n):
-        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=LR_MAX_ITER, regParam=1.0 / max(n, 1),
-                                  elasticNetParam=0.0, standardization=False, fitIntercept=True)
-
-    def rf():
-        return RandomForestClassifier(featuresCol="raw_features", labelCol="label", numTrees=RF_TREES, maxDepth=RF_DEPTH,
-                                      seed=seed)
-
     fold_sizes = {r["fold"]: int(r["n"]) for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_train = sum(fold_sizes.values())
+    k = len(fold_sizes)
 
-    def fold_auc(make, tr, f):
-        fit_part = tr.filter(F.col("fold") != f)
-        est = make(n_train - fold_sizes.get(f, 0)) if make else rf()
-        return _auc(est.fit(fit_part).transform(tr.filter(F.col("fold") == f)), "label")
+    def fold_auc(kind, f):
+        fit_part = train_s.filter(F.col("fold") != f)
+        model = _estimator(kind, n_train - fold_sizes.get(f, 0), seed).fit(fit_part)
+        return _auc(model.transform(train_s.filter(F.col("fold") == f)), "label")
 
-    def final(make, tr, te):
-        model = (make(n_train) if make else rf()).fit(tr)
-        return model, _auc(model.transform(te), "label")
+    def final(kind):
+        model = _estimator(kind, n_train, seed).fit(train_s)
+        return model, _auc(model.transform(test_s), "label")
 
     # The folds and the final fits are independent Spark jobs: submit them
     # concurrently (the scheduler interleaves their tasks).
-    plan = (("logistic_regression", lr, train_s, test_s), ("random_forest", None, train, test))
-    with ThreadPoolExecutor(max_workers=2 * (k + 1)) as pool:
-        fold_futs = {name: [pool.submit(fold_auc, make, tr, f) for f in range(k)] for name, make, tr, _ in plan}
-        final_futs = {name: pool.submit(final, make, tr, te) for name, make, tr, te in plan}
-        done = {name: ([fu.result() for fu in fold_futs[name]], final_futs[name].result()) for name, *_ in plan}
+    with ThreadPoolExecutor(max_workers=min(16, len(kinds) * (k + 1))) as pool:
+        fold_futs = {kind: [pool.submit(fold_auc, kind, f) for f in sorted(fold_sizes)] for kind in kinds}
+        final_futs = {kind: pool.submit(final, kind) for kind in kinds}
+        done = {kind: ([fu.result() for fu in fold_futs[kind]], final_futs[kind].result()) for kind in kinds}
     results, importance = [], []
-    for name, make, _, _ in plan:
-        fold_aucs, (model, test_auc) = done[name]
-        results.append((name, sum(fold_aucs) / len(fold_aucs), _std0(fold_aucs), test_auc, n_train))
-        weights = list(model.coefficients) if make else list(model.featureImportances.toArray())
+    for kind in kinds:
+        fold_aucs, (model, test_auc) = done[kind]
+        results.append((kind, sum(fold_aucs) / len(fold_aucs), _std0(fold_aucs), test_auc, n_train))
+        weights = _weights(kind, model)
         ranked = sorted(range(len(features)), key=lambda i: -abs(weights[i]))
         for r, i in enumerate(ranked):
-            importance.append((name, features[i], float(weights[i]), abs(float(weights[i])), r + 1))
-    best = "logistic_regression" if results[0][3] > results[1][3] else "random_forest"
+            importance.append((kind, features[i], float(weights[i]), abs(float(weights[i])), r + 1))
+    best = None
+    for name, _, _, auc, _ in results:
+        if best is None or not auc < best[1]:
+            best = (name, auc)
     comparison = spark.createDataFrame(
-        [(n, m, s, t, nt, n == best) for n, m, s, t, nt in results],
+        [(n, m, s, t, nt, n == best[0]) for n, m, s, t, nt in results],
         "model string, cv_auc_mean double, cv_auc_std double, test_auc double, n_train long, best boolean")
     imp = spark.createDataFrame(importance, "model string, feature string, importance double, abs_importance double, rank int")
     return {"comparison": comparison, "importance": imp}

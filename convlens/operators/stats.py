@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.functions.distributions import p_value_udf
+from convlens.functions.distributions import f_sf_udf, kolmogorov_sf_udf, p_value_udf
 from convlens.functions.ordered import running_totals
 
 SIGNIFICANCE = 0.05
@@ -41,10 +41,13 @@ def chi_square_test(org_table: DataFrame, feature: str, group_col: str = "conver
     the table has one degree of freedom.  A table with one non-empty row or
     column has dof 0 and statistic 0."""
     ct = contingency_table(org_table, feature, group_col)
-    # one scalar subquery (a struct) for all three totals: Spark runs it once
+    # one scalar subquery (a struct) for all three totals, projected into
+    # columns once so the cell expressions below refer to plain columns
     tot = ct.agg(F.struct(F.sum("converted").alias("r1"), F.sum("non_converted").alias("r0"),
                           F.count(F.lit(1)).alias("c"))).scalar()
-    r1, r0, ncols = tot.getField("r1"), tot.getField("r0"), tot.getField("c")
+    ct = ct.select("*", tot.alias("_tot")).select("*", F.col("_tot.r1").alias("_r1"), F.col("_tot.r0").alias("_r0"),
+                                                  F.col("_tot.c").alias("_nc")).drop("_tot")
+    r1, r0, ncols = F.col("_r1"), F.col("_r0"), F.col("_nc")
     n = r1 + r0
     nrows = (F.when(r1 > 0, 1).otherwise(0) + F.when(r0 > 0, 1).otherwise(0))
     dof = ((nrows - 1) * (ncols - 1)).cast("long")
@@ -57,7 +60,7 @@ def chi_square_test(org_table: DataFrame, feature: str, group_col: str = "conver
             dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
         return F.when(row_total > 0, dev * dev / e).otherwise(F.lit(0.0))
 
-    stat = ct.agg(F.sum(term("converted", r1) + term("non_converted", r0)).alias("s"))
+    stat = ct.groupBy("_r1", "_r0", "_nc").agg(F.sum(term("converted", r1) + term("non_converted", r0)).alias("s"))
     return stat.select(
         F.lit(feature).alias("feature"),
         F.when(dof > 0, F.col("s")).otherwise(F.lit(0.0)).alias("chi2_statistic"),
@@ -168,3 +171,147 @@ def hypothesis_tests(org_table: DataFrame, tests: list[tuple[str, str, str]] | N
 def tests_summary(tests: DataFrame) -> DataFrame:
     return tests.agg(F.count(F.lit(1)).alias("tests_performed"),
                      F.count_if(F.coalesce(F.col("significant"), F.lit(False))).alias("significant_tests"))
+
+
+# --------------------------------------------------------------------------
+# Tests named by the analysis plan (X12-X17, X22).  The same operators as
+# above, run for many features or activities at once: the features are
+# unpivoted AFTER the org rollup and every test is one grouped aggregation.
+# --------------------------------------------------------------------------
+
+def _long(org_table: DataFrame, features: list[str], group_col: str) -> DataFrame:
+    return org_table.select(group_col, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
+
+
+def t_tests(org_table: DataFrame, features: list[str], group_col: str = "converted") -> DataFrame:
+    """Pooled t statistic and Cohen's d for every feature, one
+    grouped aggregation over the unpivoted features."""
+    x = F.col("value")
+    g = _long(org_table, features, group_col).groupBy("feature").agg(
+        F.count(F.when(_conv(group_col), x)).alias("n1"), F.count(F.when(_non(group_col), x)).alias("n2"),
+        F.avg(F.when(_conv(group_col), x)).alias("m1"), F.avg(F.when(_non(group_col), x)).alias("m2"),
+        F.var_samp(F.when(_conv(group_col), x)).alias("v1"), F.var_samp(F.when(_non(group_col), x)).alias("v2"))
+    dof = F.col("n1") + F.col("n2") - 2
+    sp2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
+    se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
+    return g.select(
+        "feature",
+        F.when((dof > 0) & (se > 0), (F.col("m1") - F.col("m2")) / se).alias("t_statistic"),
+        dof.cast("long").alias("degrees_of_freedom"),
+        F.when((dof > 0) & (sp2 > 0), (F.col("m1") - F.col("m2")) / F.sqrt(sp2)).alias("cohens_d"),
+        F.col("m1").alias("converted_mean"), F.col("m2").alias("non_converted_mean"),
+        F.col("n1").alias("n_converted"), F.col("n2").alias("n_non_converted"))
+
+
+def _value_counts_by_feature(org_table: DataFrame, features: list[str], group_col: str) -> DataFrame:
+    long = _long(org_table, features, group_col).filter(F.col(group_col).isNotNull() & F.col("value").isNotNull())
+    return long.groupBy("feature", "value").agg(F.count_if(_conv(group_col)).alias("t1"),
+                                                F.count_if(_non(group_col)).alias("t2")) \
+        .withColumn("t", F.col("t1") + F.col("t2"))
+
+
+def mann_whitney_tests(org_table: DataFrame, features: list[str], group_col: str = "converted") -> DataFrame:
+    """U statistic, tie term and z for every feature (ranks per feature
+    from running totals grouped by feature)."""
+    ranked = running_totals(_value_counts_by_feature(org_table, features, group_col), ["value"], ["t"], ["feature"])
+    avg_rank = F.col("before_t") + (F.col("t") + 1) / 2.0
+    one = ranked.groupBy("feature").agg(
+        F.sum(F.col("t1") * avg_rank).alias("r1"), F.sum("t1").cast("long").alias("n1"),
+        F.sum("t2").cast("long").alias("n2"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("tie_term"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
+    n = n1 + n2
+    var = n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
+    u = F.greatest(u1, n1 * n2 - u1)
+    return one.select("feature", u1.alias("u_statistic"), F.col("n1").alias("n_converted"),
+                      F.col("n2").alias("n_non_converted"), "tie_term",
+                      F.when(var > 0, (u - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)).alias("z_statistic"))
+
+
+def ks_tests(org_table: DataFrame, features: list[str], group_col: str = "converted", with_p: bool = True) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov D = max |F1 - F2| per feature, from
+    inclusive running totals over the distinct values, and its asymptotic
+    p-value (Kolmogorov distribution of sqrt(n1 n2 / (n1 + n2)) D)."""
+    vc = _value_counts_by_feature(org_table, features, group_col)
+    cum = running_totals(vc, ["value"], ["t1", "t2"], ["feature"], inclusive=True, prefix="cum_")
+    totals = vc.groupBy("feature").agg(F.sum("t1").alias("n1"), F.sum("t2").alias("n2"))
+    d = cum.join(totals, "feature").groupBy("feature").agg(
+        F.max(F.abs(F.col("cum_t1") / F.col("n1") - F.col("cum_t2") / F.col("n2"))).alias("d_statistic"),
+        F.first("n1").cast("long").alias("n_converted"), F.first("n2").cast("long").alias("n_non_converted"))
+    if not with_p:
+        return d
+    en = F.sqrt(F.col("n_converted") * F.col("n_non_converted") / (F.col("n_converted") + F.col("n_non_converted")))
+    return d.withColumn("p_value", kolmogorov_sf_udf(en * F.col("d_statistic")))
+
+
+def adoption_chi_square(feature_log: DataFrame, org_col: str, activity_col: str, converted_col: str,
+                        order_col: str | None = None, correction: bool = True) -> DataFrame:
+    """For every activity, chi-square of (used it / did not) x converted
+    over all orgs, with Yates on the 2x2 table.  Counts come from one
+    ``groupBy(org, activity)`` and one ``groupBy(activity)``; the class sizes
+    are a struct scalar."""
+    order = F.col(order_col) if order_col else F.lit(0)
+    orgs = feature_log.filter(F.col(org_col).isNotNull()).groupBy(org_col).agg(
+        F.min_by(F.col(converted_col), order).alias("_c"))
+    classes = orgs.agg(F.struct(F.count_if(F.col("_c") == True).alias("c"),  # noqa: E712
+                                F.count_if(F.col("_c") == False).alias("n"))).scalar()  # noqa: E712
+    used = feature_log.filter(F.col(org_col).isNotNull()).select(org_col, activity_col).distinct().join(orgs, org_col)
+    per = used.groupBy(activity_col).agg(F.count_if(F.col("_c") == True).alias("a_c"),  # noqa: E712
+                                         F.count_if(F.col("_c") == False).alias("a_n"))  # noqa: E712
+    per = per.select("*", classes.alias("_cls")).select("*", F.col("_cls.c").alias("_ct"), F.col("_cls.n").alias("_nt"))
+    c_tot, n_tot = F.col("_ct"), F.col("_nt")
+    N = c_tot + n_tot
+    cells = [("a_c", F.col("a_c"), c_tot), ("a_n", F.col("a_n"), n_tot),
+             ("b_c", c_tot - F.col("a_c"), c_tot), ("b_n", n_tot - F.col("a_n"), n_tot)]
+    used_tot = F.col("a_c") + F.col("a_n")
+    col_tot = {"a": used_tot, "b": N - used_tot}
+    n_rows = F.when(c_tot > 0, 1).otherwise(0) + F.when(n_tot > 0, 1).otherwise(0)
+    n_cols = F.when(used_tot > 0, 1).otherwise(0) + F.when(N - used_tot > 0, 1).otherwise(0)
+    dof = ((n_rows - 1) * (n_cols - 1)).cast("long")
+    stat = F.lit(0.0)
+    for name, obs, row_tot in cells:
+        e = row_tot * col_tot[name[0]] / N
+        dev = F.abs(obs - e)
+        if correction:
+            dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
+        stat = stat + F.when(e > 0, dev * dev / e).otherwise(F.lit(0.0))
+    return per.select(activity_col, F.col("a_c").alias("converted_users"), F.col("a_n").alias("non_converted_users"),
+                      F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2_statistic"),
+                      dof.alias("degrees_of_freedom"))
+
+
+def anova(df: DataFrame, value_col: str, group_col: str, with_p: bool = True) -> DataFrame:
+    """One-way ANOVA F of ``value_col`` across ``group_col`` from group
+    counts, means and variances (one grouped aggregation, then one row)."""
+    x = F.col(value_col).cast("double")
+    g = df.filter(x.isNotNull() & F.col(group_col).isNotNull()).groupBy(group_col).agg(
+        F.count(x).alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"))
+    tot = g.agg(F.struct(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"),
+                         F.count(F.lit(1)).alias("k"))).scalar()
+    out = g.agg(F.sum(F.col("n") * (F.col("m") - tot.getField("gm")) ** 2).alias("ssb"),
+                F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
+    k, N = tot.getField("k"), tot.getField("N")
+    df_b, df_w = (k - 1).cast("long"), (N - k).cast("long")
+    f = F.when((df_b > 0) & (df_w > 0) & (F.col("ssw") > 0), (F.col("ssb") / df_b) / (F.col("ssw") / df_w))
+    res = out.select(F.lit(value_col).alias("feature"), f.alias("f_statistic"), df_b.alias("df_between"),
+                     df_w.alias("df_within"), "ssb", "ssw")
+    if not with_p:
+        return res
+    return res.withColumn(
+        "p_value", f_sf_udf(F.col("f_statistic"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+
+
+def adjust_p_values(tests: DataFrame, p_col: str = "p_value", alpha: float = SIGNIFICANCE) -> DataFrame:
+    """Bonferroni and Benjamini-Hochberg adjusted p-values over a table
+    of test results (a handful of rows: the windows run on that table)."""
+    from pyspark.sql import Window
+    m = tests.filter(F.col(p_col).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    ranked = tests.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(p_col).asc_nulls_last())))
+    bh_raw = F.col(p_col) * m / F.col("_rank")
+    w_after = Window.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranked.withColumn("p_bonferroni", F.least(F.col(p_col) * m, F.lit(1.0))).withColumn(
+        "p_fdr_bh", F.least(F.min(bh_raw).over(w_after), F.lit(1.0)))
+    return out.withColumn("significant_bonferroni", F.col("p_bonferroni") < alpha).withColumn(
+        "significant_fdr", F.col("p_fdr_bh") < alpha).drop("_rank")

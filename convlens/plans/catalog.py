@@ -400,3 +400,112 @@ def q_model_comparison(spark, sf_dir):
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     return models.build_models(_org_table(spark, sf_dir), "ORGANIZATION_ID")["importance"]
+
+
+# ------------------------------------------- plan-document extensions (2.16)
+from convlens.operators import cohorts, stages  # noqa: E402
+
+EXT_TEST_FEATURES = ["total_activities_count", "unique_activities_count", "unique_categories_count",
+                     "activities_per_day", "days_active", "week1_activity_count", "week1_activity_ratio"]
+TIME_PROFILE_FEATURES = ["weekend_share", "mean_hour", "active_dates"]
+
+
+@query("stage_features")
+def q_stage_features(spark, sf_dir):
+    return _round_doubles(stages.stage_features(_feature_log(spark, sf_dir)))
+
+
+@query("activity_adoption")
+def q_activity_adoption(spark, sf_dir):
+    return stages.activity_adoption(_feature_log(spark, sf_dir))
+
+
+@query("cohort_conversion_week")
+def q_cohort_week(spark, sf_dir):
+    return cohorts.cohort_conversion(fixture_log(spark, sf_dir), "week")
+
+
+@query("cohort_conversion_month")
+def q_cohort_month(spark, sf_dir):
+    return cohorts.cohort_conversion(fixture_log(spark, sf_dir), "month")
+
+
+@query("time_to_conversion")
+def q_time_to_conversion(spark, sf_dir):
+    return cohorts.time_to_conversion(fixture_log(spark, sf_dir))
+
+
+@query("activity_penetration")
+def q_penetration(spark, sf_dir):
+    return _round_doubles(cohorts.activity_penetration(fixture_log(spark, sf_dir)))
+
+
+@query("weekly_activity_by_conversion")
+def q_weekly_by_conversion(spark, sf_dir):
+    return _round_doubles(cohorts.weekly_activity_by_conversion(_org_table(spark, sf_dir)))
+
+
+@query("activity_transitions")
+def q_transitions(spark, sf_dir):
+    return cohorts.activity_transitions(fixture_log(spark, sf_dir))
+
+
+@query("segment_temporal_counts")
+def q_segment_temporal(spark, sf_dir):
+    return cohorts.segment_temporal_counts(_feature_log(spark, sf_dir))
+
+
+@query("segment_org_profiles")
+def q_segment_profiles(spark, sf_dir):
+    return _round_doubles(cohorts.segment_org_profiles(_feature_log(spark, sf_dir)))
+
+
+@query("adoption_chi_square")
+def q_adoption_chi2(spark, sf_dir):
+    return _round_doubles(stats.adoption_chi_square(_feature_log(spark, sf_dir), "ORGANIZATION_ID", "ACTIVITY_NAME",
+                                                    "CONVERTED", "EVENT_ID"))
+
+
+@query("feature_t_tests")
+def q_feature_t_tests(spark, sf_dir):
+    return _round_doubles(stats.t_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES))
+
+
+@query("feature_mann_whitney")
+def q_feature_mwu(spark, sf_dir):
+    return _round_doubles(stats.mann_whitney_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES))
+
+
+@query("feature_ks_tests")
+def q_feature_ks(spark, sf_dir):
+    return _round_doubles(stats.ks_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES, with_p=False))
+
+
+@query("stage_change_anova")
+def q_stage_anova(spark, sf_dir):
+    st = stages.stage_features(_feature_log(spark, sf_dir))
+    return _round_doubles(stats.anova(st, "stage_change", "converted", with_p=False))
+
+
+@query("time_profile_tests")
+def q_time_profile_tests(spark, sf_dir):
+    return _round_doubles(stats.t_tests(cohorts.per_org_time_profile(_feature_log(spark, sf_dir)), TIME_PROFILE_FEATURES))
+
+
+@query("adjusted_tests")
+def q_adjusted_tests(spark, sf_dir):
+    org = _org_table(spark, sf_dir)
+    tests = stats.hypothesis_tests(org, stats.DEFAULT_TESTS + [
+        (f"{f}_ttest", "t", f) for f in EXT_TEST_FEATURES])
+    return _round_doubles(stats.adjust_p_values(tests))
+
+
+@query("extended_model_comparison")
+def q_extended_models(spark, sf_dir):
+    org = _org_table(spark, sf_dir)
+    st = stages.stage_features(_feature_log(spark, sf_dir)).drop("converted")
+    wide = org.join(st, "ORGANIZATION_ID")
+    feats = models.MODEL_FEATURES + ["early_stage_count", "late_stage_count", "early_stage_share",
+                                     "activities_both_stages", "stage_change"]
+    return models.build_models(wide, "ORGANIZATION_ID", feats,
+                               kinds=models.MODEL_KINDS + models.EXTRA_MODEL_KINDS)["comparison"]

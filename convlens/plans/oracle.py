@@ -572,3 +572,166 @@ FROM (SELECT ORGANIZATION_ID, label,
              row_number() OVER (PARTITION BY label ORDER BY md5(CAST(ORGANIZATION_ID AS VARCHAR) || ':42'), ORGANIZATION_ID) - 1 AS pos,
              count(*) OVER (PARTITION BY label) AS n_class
       FROM (SELECT ORGANIZATION_ID, CAST(converted AS INTEGER) AS label FROM org))"""))
+
+
+# ------------------------------------------- plan-document extensions (2.16)
+STAGE_CTE = """
+per_act AS (
+  SELECT ORGANIZATION_ID, ACTIVITY_NAME,
+         count(*) FILTER (WHERE days_since_trial_start BETWEEN 0 AND 13) AS e,
+         count(*) FILTER (WHERE days_since_trial_start BETWEEN 14 AND 27) AS l,
+         arg_min(CONVERTED, EVENT_ID) AS c, min(EVENT_ID) AS o
+  FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ALL),
+stage AS (
+  SELECT ORGANIZATION_ID, CAST(sum(e) AS BIGINT) AS early_stage_count, CAST(sum(l) AS BIGINT) AS late_stage_count,
+         count(*) FILTER (WHERE e > 0 AND l > 0) AS activities_both_stages, arg_min(c, o) AS converted
+  FROM per_act GROUP BY ORGANIZATION_ID)
+"""
+register("stage_features", feature_sql("""
+SELECT ORGANIZATION_ID, early_stage_count, late_stage_count,
+       round(CASE WHEN early_stage_count + late_stage_count > 0 THEN early_stage_count / (early_stage_count + late_stage_count) END, 9) AS early_stage_share,
+       round(CASE WHEN late_stage_count > 0 THEN early_stage_count / late_stage_count END, 9) AS early_late_ratio,
+       COALESCE(CASE WHEN early_stage_count + late_stage_count > 0 THEN early_stage_count / (early_stage_count + late_stage_count) END > 0.6, false) AS early_dominated,
+       COALESCE(CASE WHEN early_stage_count + late_stage_count > 0 THEN early_stage_count / (early_stage_count + late_stage_count) END BETWEEN 0.3 AND 0.7, false) AS balanced,
+       early_stage_count >= 1 AS early_engaged, late_stage_count >= 1 AS late_engaged,
+       activities_both_stages, late_stage_count - early_stage_count AS stage_change, converted
+FROM stage""", STAGE_CTE))
+register("activity_adoption", feature_sql("""
+SELECT p.ORGANIZATION_ID, p.ACTIVITY_NAME, p.intensity, p.e > 0 AS early_adopted, p.l > 0 AS late_adopted,
+       p.e > 0 AND p.l > 0 AS both_stages, p.intensity > q.activity_p75 AS heavy_user, q.activity_p75
+FROM (SELECT ORGANIZATION_ID, ACTIVITY_NAME, count(*) AS intensity,
+             count(*) FILTER (WHERE days_since_trial_start BETWEEN 0 AND 13) AS e,
+             count(*) FILTER (WHERE days_since_trial_start BETWEEN 14 AND 27) AS l
+      FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ALL) p
+JOIN (SELECT ACTIVITY_NAME, quantile_cont(CAST(intensity AS DOUBLE), 0.75) AS activity_p75
+      FROM (SELECT ORGANIZATION_ID, ACTIVITY_NAME, count(*) AS intensity FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ALL)
+      GROUP BY ACTIVITY_NAME) q USING (ACTIVITY_NAME)"""))
+FACTS_CTE = """
+facts AS (
+  SELECT ORGANIZATION_ID, arg_min(TRIAL_START, EVENT_ID) AS trial_start, arg_min(CONVERTED_AT, EVENT_ID) AS converted_at,
+         bool_or(COALESCE(CONVERTED, false)) AS converted
+  FROM trial_log WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ORGANIZATION_ID)
+"""
+for unit in ("week", "month"):
+    register(f"cohort_conversion_{unit}", with_ctes(FIXTURE_CTE, FACTS_CTE, body=f"""
+SELECT CAST(date_trunc('{unit}', trial_start) AS DATE) AS cohort_start, count(*) AS orgs,
+       count(*) FILTER (WHERE converted) AS converted_orgs,
+       count(*) FILTER (WHERE converted) / count(*) * 100.0 AS conversion_rate_pct
+FROM facts GROUP BY 1"""))
+register("time_to_conversion", with_ctes(FIXTURE_CTE, FACTS_CTE, body=f"""
+SELECT {days('trial_start', 'converted_at')} AS days_to_conversion, count(*) AS orgs
+FROM facts WHERE converted_at IS NOT NULL GROUP BY 1"""))
+register("activity_penetration", with_ctes(FIXTURE_CTE, SEG_CTE, body="""
+, tagged AS (
+  SELECT 'not_converted' AS segment, ORGANIZATION_ID, ACTIVITY_NAME FROM seg WHERE s1 AND ORGANIZATION_ID IS NOT NULL
+  UNION ALL SELECT 'pre_conversion', ORGANIZATION_ID, ACTIVITY_NAME FROM seg WHERE s2 AND ORGANIZATION_ID IS NOT NULL
+  UNION ALL SELECT 'all_converted', ORGANIZATION_ID, ACTIVITY_NAME FROM seg WHERE s3 AND ORGANIZATION_ID IS NOT NULL),
+seg_orgs AS (SELECT segment, count(DISTINCT ORGANIZATION_ID) AS segment_orgs FROM tagged GROUP BY segment)
+SELECT t.segment, t.ACTIVITY_NAME, count(DISTINCT t.ORGANIZATION_ID) AS orgs_using, count(*) AS records, s.segment_orgs,
+       round(count(DISTINCT t.ORGANIZATION_ID) / s.segment_orgs * 100.0, 9) AS penetration_pct,
+       round(count(*) / count(DISTINCT t.ORGANIZATION_ID), 9) AS intensity
+FROM tagged t JOIN seg_orgs s USING (segment) GROUP BY t.segment, t.ACTIVITY_NAME, s.segment_orgs"""))
+register("weekly_activity_by_conversion", feature_sql("""
+SELECT converted, count(*) AS orgs, round(avg(activities_week1), 9) AS mean_activities_week1,
+       round(avg(activities_week2), 9) AS mean_activities_week2, round(avg(activities_week3), 9) AS mean_activities_week3,
+       round(avg(activities_week4_plus), 9) AS mean_activities_week4_plus
+FROM org GROUP BY converted"""))
+register("activity_transitions", fixture_sql("""
+, pos AS (
+  SELECT ORGANIZATION_ID, ACTIVITY_NAME, row_number() OVER (PARTITION BY ORGANIZATION_ID ORDER BY "TIMESTAMP", EVENT_ID) - 1 AS p
+  FROM trial_log WHERE CONVERTED = true AND "TIMESTAMP" < CONVERTED_AT AND ORGANIZATION_ID IS NOT NULL)
+SELECT a.ACTIVITY_NAME, b.ACTIVITY_NAME AS next_activity, count(*) AS transitions
+FROM pos a JOIN pos b ON a.ORGANIZATION_ID = b.ORGANIZATION_ID AND b.p = a.p + 1
+GROUP BY a.ACTIVITY_NAME, b.ACTIVITY_NAME"""))
+SEG_FEAT = """
+segfeat AS (
+  SELECT 'not_converted' AS segment, * FROM feat WHERE COALESCE(CONVERTED = false, false)
+  UNION ALL SELECT 'pre_conversion', * FROM feat WHERE COALESCE(CONVERTED = true AND "TIMESTAMP" < CONVERTED_AT, false)
+  UNION ALL SELECT 'all_converted', * FROM feat WHERE COALESCE(CONVERTED = true, false))
+"""
+register("segment_temporal_counts", feature_sql("""
+SELECT segment, 'days_since_trial_start' AS dimension, days_since_trial_start AS value, count(*) AS records FROM segfeat GROUP BY 1, 2, 3
+UNION ALL SELECT segment, 'hour', hour, count(*) FROM segfeat GROUP BY 1, 2, 3
+UNION ALL SELECT segment, 'day_of_week', day_of_week, count(*) FROM segfeat GROUP BY 1, 2, 3""", SEG_FEAT))
+register("segment_org_profiles", feature_sql("""
+SELECT segment, ORGANIZATION_ID, count(*) AS total_activities, count(DISTINCT ACTIVITY_NAME) AS unique_activities,
+       count(DISTINCT activity_category) AS unique_categories,
+       round(date_diff('microsecond', arg_min(TRIAL_START, EVENT_ID), min("TIMESTAMP")) / 1000000.0 / 3600.0, 9) AS time_to_first_activity
+FROM segfeat GROUP BY segment, ORGANIZATION_ID""", SEG_FEAT))
+register("adoption_chi_square", feature_sql("""
+, orgs AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS c FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
+cls AS (SELECT count(*) FILTER (WHERE c = true) AS ct, count(*) FILTER (WHERE c = false) AS nt FROM orgs),
+per AS (
+  SELECT u.ACTIVITY_NAME, count(*) FILTER (WHERE o.c = true) AS a_c, count(*) FILTER (WHERE o.c = false) AS a_n
+  FROM (SELECT DISTINCT ORGANIZATION_ID, ACTIVITY_NAME FROM feat WHERE ORGANIZATION_ID IS NOT NULL) u
+  JOIN orgs o USING (ORGANIZATION_ID) GROUP BY 1),
+g AS (
+  SELECT per.*, cls.ct, cls.nt, cls.ct + cls.nt AS n, a_c + a_n AS used,
+         CAST(((CASE WHEN cls.ct > 0 THEN 1 ELSE 0 END + CASE WHEN cls.nt > 0 THEN 1 ELSE 0 END) - 1)
+            * ((CASE WHEN a_c + a_n > 0 THEN 1 ELSE 0 END + CASE WHEN cls.ct + cls.nt - (a_c + a_n) > 0 THEN 1 ELSE 0 END) - 1) AS BIGINT) AS dof
+  FROM per, cls),
+cells AS (
+  SELECT ACTIVITY_NAME, a_c, a_n, dof, o, e FROM g,
+  LATERAL (VALUES (a_c, ct * used / n), (a_n, nt * used / n), (ct - a_c, ct * (n - used) / n), (nt - a_n, nt * (n - used) / n)) v(o, e))
+SELECT ACTIVITY_NAME, a_c AS converted_users, a_n AS non_converted_users,
+       round(CASE WHEN dof > 0 THEN sum(CASE WHEN e > 0 THEN pow(abs(o - e) - CASE WHEN dof = 1 THEN LEAST(0.5, abs(o - e)) ELSE 0 END, 2) / e ELSE 0.0 END) ELSE 0.0 END, 9) AS chi2_statistic,
+       dof AS degrees_of_freedom
+FROM cells GROUP BY ACTIVITY_NAME, a_c, a_n, dof"""))
+EXT_F = ["total_activities_count", "unique_activities_count", "unique_categories_count", "activities_per_day",
+         "days_active", "week1_activity_count", "week1_activity_ratio"]
+
+
+def _long_sql(src: str, features: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT converted, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src}" for f in features)
+
+
+T_TESTS_BODY = """
+SELECT feature,
+       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
+       round(CASE WHEN dof > 0 AND sp2 > 0 THEN (m1 - m2) / sqrt(sp2) END, 9) AS cohens_d,
+       round(m1, 9) AS converted_mean, round(m2, 9) AS non_converted_mean, n1 AS n_converted, n2 AS n_non_converted
+FROM (SELECT *, sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) AS se
+      FROM (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / dof AS sp2
+            FROM (SELECT feature, count(value) FILTER (WHERE converted = true) AS n1, count(value) FILTER (WHERE converted = false) AS n2,
+                         avg(value) FILTER (WHERE converted = true) AS m1, avg(value) FILTER (WHERE converted = false) AS m2,
+                         var_samp(value) FILTER (WHERE converted = true) AS v1, var_samp(value) FILTER (WHERE converted = false) AS v2,
+                         count(value) FILTER (WHERE converted = true) + count(value) FILTER (WHERE converted = false) - 2 AS dof
+                  FROM long GROUP BY feature)))"""
+register("feature_t_tests", feature_sql(T_TESTS_BODY, "long AS (" + _long_sql("org", EXT_F) + ")"))
+VC_CTE = """
+vc AS (
+  SELECT feature, value, count(*) FILTER (WHERE converted = true) AS t1, count(*) FILTER (WHERE converted = false) AS t2, count(*) AS t
+  FROM long WHERE converted IS NOT NULL AND value IS NOT NULL GROUP BY feature, value)
+"""
+register("feature_mann_whitney", feature_sql("""
+SELECT feature, round(r1 - n1 * (n1 + 1) / 2.0, 9) AS u_statistic, n1 AS n_converted, n2 AS n_non_converted,
+       CAST(tie AS DOUBLE) AS tie_term,
+       round(CASE WHEN var > 0 THEN (GREATEST(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5) / sqrt(var) END, 9) AS z_statistic
+FROM (SELECT *, n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1))) AS var
+      FROM (SELECT feature, sum(t1 * (before + (t + 1) / 2.0)) AS r1, CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t2) AS BIGINT) AS n2,
+                   sum(t * t * t - t) AS tie
+            FROM (SELECT *, COALESCE(sum(t) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM vc)
+            GROUP BY feature))""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
+register("feature_ks_tests", feature_sql("""
+SELECT feature, round(max(abs(c1 / n1 - c2 / n2)), 9) AS d_statistic, CAST(max(n1) AS BIGINT) AS n_converted,
+       CAST(max(n2) AS BIGINT) AS n_non_converted
+FROM (SELECT feature, sum(t1) OVER w AS c1, sum(t2) OVER w AS c2, sum(t1) OVER (PARTITION BY feature) AS n1,
+             sum(t2) OVER (PARTITION BY feature) AS n2
+      FROM vc WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+GROUP BY feature""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
+register("stage_change_anova", feature_sql("""
+, g AS (SELECT converted, count(stage_change) AS n, avg(stage_change) AS m, COALESCE(var_samp(stage_change), 0.0) AS v
+        FROM (SELECT converted, CAST(late_stage_count - early_stage_count AS DOUBLE) AS stage_change FROM stage)
+        WHERE stage_change IS NOT NULL AND converted IS NOT NULL GROUP BY converted),
+t AS (SELECT sum(n) AS nn, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g),
+s AS (SELECT sum(n * pow(m - (SELECT gm FROM t), 2)) AS ssb, sum((n - 1) * v) AS ssw FROM g)
+SELECT 'stage_change' AS feature,
+       round(CASE WHEN k - 1 > 0 AND nn - k > 0 AND ssw > 0 THEN (ssb / (k - 1)) / (ssw / (nn - k)) END, 9) AS f_statistic,
+       CAST(k - 1 AS BIGINT) AS df_between, CAST(nn - k AS BIGINT) AS df_within, round(ssb, 9) AS ssb, round(ssw, 9) AS ssw
+FROM s, t""", STAGE_CTE))
+TIME_F = ["weekend_share", "mean_hour", "active_dates"]
+register("time_profile_tests", feature_sql(T_TESTS_BODY, """
+prof AS (
+  SELECT ORGANIZATION_ID, avg(is_weekend) AS weekend_share, avg(hour) AS mean_hour,
+         count(DISTINCT CAST("TIMESTAMP" AS DATE)) AS active_dates, arg_min(CONVERTED, EVENT_ID) AS converted
+  FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ORGANIZATION_ID)""", "long AS (" + _long_sql("prof", TIME_F) + ")"))
