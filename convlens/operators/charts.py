@@ -149,20 +149,19 @@ def activity_sequence(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, org_id
 
 
 def log_summary(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """Rows, orgs, time range, distinct activities, converted orgs, rate."""
-    per_org = log.filter(F.col(cols.org).isNotNull()).groupBy(cols.org).agg(
+    """Rows, orgs, time range, distinct activities, converted orgs, rate.
+    One scan: a pre-aggregation per (org, activity) (partial aggregation
+    map-side), then one row from that much smaller table."""
+    per = log.groupBy(cols.org, cols.activity).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(F.col(cols.converted), F.lit(False))).alias("_c"),
         F.min(cols.ts).alias("_lo"), F.max(cols.ts).alias("_hi"))
-    n_null_org_rows = log.filter(F.col(cols.org).isNull()).agg(F.count(F.lit(1))).scalar()
-    n_acts = log.agg(F.count_distinct(cols.activity)).scalar()
-    lo_all = log.agg(F.min(cols.ts)).scalar()
-    hi_all = log.agg(F.max(cols.ts)).scalar()
-    return per_org.agg(
-        (F.coalesce(F.sum("_n"), F.lit(0)) + n_null_org_rows).cast("long").alias("total_records"),
-        F.count(F.lit(1)).alias("total_orgs"),
-        F.first(lo_all).alias("first_activity"), F.first(hi_all).alias("last_activity"),
-        F.first(n_acts).alias("unique_activities"),
-        F.count_if("_c").alias("converted_orgs"),
+    org = F.col(cols.org)
+    return per.agg(
+        F.sum("_n").cast("long").alias("total_records"),
+        F.count_distinct(org).alias("total_orgs"),
+        F.min("_lo").alias("first_activity"), F.max("_hi").alias("last_activity"),
+        F.count_distinct(cols.activity).alias("unique_activities"),
+        F.count_distinct(F.when(F.col("_c") & org.isNotNull(), org)).alias("converted_orgs"),
     ).withColumn("conversion_rate_pct",
                  F.when(F.col("total_orgs") > 0, F.col("converted_orgs") / F.col("total_orgs") * 100.0))
 

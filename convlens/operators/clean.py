@@ -194,12 +194,11 @@ def rule_results(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> DataFram
         F.count_if(at > end).alias("_v2"),
         F.count(at).alias("_n2"),
     )
-    dur = org_trial_durations(log, cols).agg(
+    dur = org_trial_durations(log, cols).agg(F.struct(
         F.count_if(F.abs(F.col("trial_duration") - EXPECTED_TRIAL_DAYS) > TRIAL_DAYS_TOLERANCE).alias("v"),
         F.count(F.lit(1)).alias("n"),
-    )
-    v3 = dur.select("v").scalar()
-    n3 = dur.select("n").scalar()
+    )).scalar()
+    v3, n3 = dur.getField("v"), dur.getField("n")
     return rows.select(rows_of(
         ["rule_id", "rule_name", "passed", "violations", "checked"],
         [

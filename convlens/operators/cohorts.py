@@ -48,7 +48,8 @@ def activity_penetration(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) ->
     per_org = tagged.groupBy("segment", cols.activity, cols.org).agg(F.count(F.lit(1)).alias("_n"))
     per_act = per_org.groupBy("segment", cols.activity).agg(F.count(F.lit(1)).alias("orgs_using"),
                                                              F.sum("_n").alias("records"))
-    seg_orgs = tagged.select("segment", cols.org).distinct().groupBy("segment").agg(F.count(F.lit(1)).alias("segment_orgs"))
+    seg_orgs = per_org.select("segment", cols.org).distinct().groupBy("segment").agg(
+        F.count(F.lit(1)).alias("segment_orgs"))  # at most 3 rows
     return per_act.join(F.broadcast(seg_orgs), "segment").select(
         "segment", cols.activity, "orgs_using", F.col("records").cast("long").alias("records"), "segment_orgs",
         (F.col("orgs_using") / F.col("segment_orgs") * 100.0).alias("penetration_pct"),
