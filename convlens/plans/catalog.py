@@ -220,6 +220,11 @@ def q_temporal(spark, sf_dir):
     return _feature_log(spark, sf_dir)
 
 
+@query("activity_categories")
+def q_activity_categories(spark, sf_dir):
+    return features.activity_categories(fixture_log(spark, sf_dir), fixture_category_map())
+
+
 @query("temporal_feature_stats")
 def q_temporal_stats(spark, sf_dir):
     return _round_doubles(features.temporal_feature_stats(_feature_log(spark, sf_dir)))

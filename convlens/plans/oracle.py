@@ -356,6 +356,9 @@ def feature_sql(body: str, *more: str) -> str:
 
 
 register("temporal_features", feature_sql("SELECT * FROM feat"))
+register("activity_categories", feature_sql(
+    "SELECT ORGANIZATION_ID, ACTIVITY_NAME, \"TIMESTAMP\", CONVERTED, CONVERTED_AT, TRIAL_START, TRIAL_END, EVENT_ID, "
+    "activity_category FROM feat"))
 TF = ["trial_duration_days", "days_since_trial_start", "days_until_trial_end", "hour", "day_of_week", "trial_week"]
 register("temporal_feature_stats", feature_sql(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, {r9(f'CAST(min({c}) AS DOUBLE)')} AS min_value, {r9(f'CAST(max({c}) AS DOUBLE)')} AS max_value, "
