@@ -58,28 +58,33 @@ goals AS (
          'Minimal total events required as basis for modeling (fixed threshold: 3)', 2
   UNION ALL SELECT 'WEEK4_STEADINESS_RATIO', 'Week 4 Steadiness Ratio', 0.8,
          'Week 4 activities must be ≥80% of Week 1 activities (fixed business rule)', 3),
+thr AS (
+  SELECT max(threshold_value) FILTER (WHERE goal_id = 'WEEK1_MIN_ACTIVITY') AS w1_goal,
+         max(threshold_value) FILTER (WHERE goal_id = 'MINIMAL_EVENTS_THRESHOLD') AS events_goal,
+         max(threshold_value) FILTER (WHERE goal_id = 'WEEK4_STEADINESS_RATIO') AS ratio
+  FROM goals),
+open_trials AS (
+  SELECT s.org_id, s.week1_activities, s.week2_activities, s.week4_activities, s.total_activities, s.converted,
+         s.trial_start_date, s.trial_end_date, t.w1_goal, t.events_goal,
+         s.week1_activities * t.ratio AS week4_target_activities
+  FROM staging s, thr t WHERE s.converted = false),
+progress AS (
+  SELECT org_id, week1_activities, week2_activities, week4_activities, total_activities, converted,
+         trial_start_date, trial_end_date, week4_target_activities,
+         if(week1_activities >= w1_goal OR w1_goal = 0, 100.0, CAST(week1_activities AS DOUBLE) / w1_goal * 100.0) AS week1_completion_pct,
+         if(total_activities >= events_goal OR events_goal = 0, 100.0, CAST(total_activities AS DOUBLE) / events_goal * 100.0) AS minimal_events_completion_pct,
+         if(week4_activities >= week4_target_activities OR week4_target_activities = 0, 100.0,
+            CAST(week4_activities AS DOUBLE) / week4_target_activities * 100.0) AS week4_completion_pct
+  FROM open_trials),
 mart_goals AS (
-  SELECT *, CASE WHEN week1_completion_pct >= 100 AND minimal_events_completion_pct >= 100
-                  AND week4_completion_pct >= 100 THEN 1 ELSE 0 END AS overall_achieved
-  FROM (
-    SELECT m.org_id, m.week1_activities, m.week2_activities, m.week4_activities, m.total_activities,
-           m.converted, m.trial_start_date, m.trial_end_date,
-           CASE WHEN m.week1_activities >= g1.threshold_value THEN 100.0 WHEN g1.threshold_value = 0 THEN 100.0
-                ELSE (CAST(m.week1_activities AS DOUBLE) / g1.threshold_value) * 100.0 END AS week1_completion_pct,
-           CASE WHEN m.total_activities >= g2.threshold_value THEN 100.0 WHEN g2.threshold_value = 0 THEN 100.0
-                ELSE (CAST(m.total_activities AS DOUBLE) / g2.threshold_value) * 100.0 END AS minimal_events_completion_pct,
-           m.week1_activities * g3.threshold_value AS week4_target_activities,
-           CASE WHEN m.week4_activities >= m.week1_activities * g3.threshold_value THEN 100.0
-                WHEN m.week1_activities * g3.threshold_value = 0 THEN 100.0
-                ELSE (CAST(m.week4_activities AS DOUBLE) / (m.week1_activities * g3.threshold_value)) * 100.0 END AS week4_completion_pct
-    FROM staging m
-    CROSS JOIN (SELECT threshold_value FROM goals WHERE goal_id = 'WEEK1_MIN_ACTIVITY') g1
-    CROSS JOIN (SELECT threshold_value FROM goals WHERE goal_id = 'MINIMAL_EVENTS_THRESHOLD') g2
-    CROSS JOIN (SELECT threshold_value FROM goals WHERE goal_id = 'WEEK4_STEADINESS_RATIO') g3
-    WHERE NOT m.converted) sub),
+  SELECT org_id, week1_activities, week2_activities, week4_activities, total_activities, converted,
+         trial_start_date, trial_end_date, week1_completion_pct, minimal_events_completion_pct,
+         week4_target_activities, week4_completion_pct,
+         CAST(least(week1_completion_pct, minimal_events_completion_pct, week4_completion_pct) >= 100 AS INTEGER) AS overall_achieved
+  FROM progress),
 mart_activation AS (
-  SELECT *, round((week1_completion_pct + minimal_events_completion_pct + week4_completion_pct) / 3.0, 2) AS avg_performance_score
-  FROM mart_goals WHERE overall_achieved = 1)
+  SELECT m.*, round((m.week1_completion_pct + m.minimal_events_completion_pct + m.week4_completion_pct) / 3.0, 2) AS avg_performance_score
+  FROM mart_goals m WHERE m.overall_achieved = 1)
 """
 
 
