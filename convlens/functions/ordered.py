@@ -6,7 +6,7 @@ rows are range-partitioned on (g, o) into ``slices`` contiguous slices, the
 running sum is taken inside each (group, slice) piece, and the totals of the
 earlier pieces of the same group are added back.  The piece table has at most
 groups + slices rows, so its own window is small; the join back is on
-(group, slice).  Cost: one range shuffle, one checkpoint write of the input
+(group, slice).  Cost: one range shuffle, one write of the input
 columns, and a join with a table of at most groups + slices rows.
 """
 
@@ -41,12 +41,12 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
         return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(prefix + c) for c in value_cols])
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    # The slice id is read once and checkpointed: the range bounds come from a
-    # sample whose seed depends on the shuffle, so two evaluations of the same
-    # plan may slice differently.  A reliable checkpoint (shared checkpoint
-    # folder) also survives the loss of an executor.
+    # The slice id is read once and written to the shared checkpoint folder:
+    # the range bounds come from a sample whose seed depends on the shuffle,
+    # so two evaluations of the same plan may slice differently.  The written
+    # table also survives the loss of an executor.
     keyed = materialize(df.repartitionByRange(slices, *[F.col(g) for g in group_cols], *ordered).withColumn(
-        "_slice", F.spark_partition_id()))
+        "_slice", F.spark_partition_id()), "range_slices")
     w_local = Window.partitionBy(*group_cols, "_slice").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, frame_end)
     local = keyed.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{c}") for c in value_cols])
     pieces = keyed.groupBy(*group_cols, "_slice").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])

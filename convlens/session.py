@@ -7,6 +7,7 @@ exists for tests, the benchmark and the command line.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +52,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return configured
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of a reused intermediate (staging tables, org features)
-    with a reliable checkpoint in the shared checkpoint folder, so a lost
-    executor does not force recomputation from the raw log."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage of a reused intermediate (staging tables, the cleaned
+    log, the org table, range slices): write it once as Parquet under the
+    shared checkpoint folder and read it back.  One job (``checkpoint()`` of
+    an unpersisted plan computes it twice), columnar re-reads with pruning
+    and pushdown, and a lost executor re-reads files instead of re-deriving
+    the table from the raw log."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/convlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
