@@ -37,11 +37,13 @@ def trial_week(days, lower: int | None = None, upper: int = 4) -> Column:
     """floor(days / 7) + 1, capped at ``upper``.  The exploratory rule caps
     above only (events before the start get week <= 0); the mart rule clips to
     1..4 (``lower=1``)."""
-    week = (F.floor(_c(days) / F.lit(7.0)) + 1).cast("int")
+    d = _c(days)
+    week = (F.floor(d / F.lit(7.0)) + 1).cast("int")
     week = F.least(week, F.lit(upper))
     if lower is not None:
         week = F.greatest(week, F.lit(lower))
-    return week
+    # least/greatest skip nulls: a null day must stay a null week
+    return F.when(d.isNotNull(), week)
 
 
 def safe_divide(numerator, denominator, default=0.0) -> Column:

@@ -311,7 +311,8 @@ def adjust_p_values(tests: DataFrame, p_col: str = "p_value", alpha: float = SIG
     ranked = tests.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(p_col).asc_nulls_last())))
     bh_raw = F.col(p_col) * m / F.col("_rank")
     w_after = Window.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranked.withColumn("p_bonferroni", F.least(F.col(p_col) * m, F.lit(1.0))).withColumn(
-        "p_fdr_bh", F.least(F.min(bh_raw).over(w_after), F.lit(1.0)))
+    # least() skips nulls: keep a missing p-value missing
+    out = ranked.withColumn("p_bonferroni", F.when(F.col(p_col).isNotNull(), F.least(F.col(p_col) * m, F.lit(1.0)))).withColumn(
+        "p_fdr_bh", F.when(F.col(p_col).isNotNull(), F.least(F.min(bh_raw).over(w_after), F.lit(1.0))))
     return out.withColumn("significant_bonferroni", F.col("p_bonferroni") < alpha).withColumn(
         "significant_fdr", F.col("p_fdr_bh") < alpha).drop("_rank")

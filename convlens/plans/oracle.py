@@ -36,7 +36,8 @@ def days(a: str, b: str) -> str:
 
 MART_CTE = f"""
 prepared AS (
-  SELECT *, COALESCE(LEAST(GREATEST(CAST(floor({days('TRIAL_START', '"TIMESTAMP"')} / 7.0) + 1 AS INTEGER), 1), 4), 1) AS trial_week
+  SELECT *, COALESCE(CASE WHEN {days('TRIAL_START', '"TIMESTAMP"')} IS NOT NULL
+                          THEN LEAST(GREATEST(CAST(floor({days('TRIAL_START', '"TIMESTAMP"')} / 7.0) + 1 AS INTEGER), 1), 4) END, 1) AS trial_week
   FROM trial_log),
 staging AS (
   SELECT ORGANIZATION_ID AS org_id,
@@ -318,7 +319,8 @@ feat AS (
          CAST(hour("TIMESTAMP") AS INTEGER) AS hour,
          CAST(isodow("TIMESTAMP") - 1 AS INTEGER) AS day_of_week,
          CAST(CASE WHEN isodow("TIMESTAMP") IN (6, 7) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
-         CAST(LEAST(floor({days('TRIAL_START', '"TIMESTAMP"')} / 7.0) + 1, 4) AS INTEGER) AS trial_week,
+         CASE WHEN {days('TRIAL_START', '"TIMESTAMP"')} IS NOT NULL
+              THEN CAST(LEAST(floor({days('TRIAL_START', '"TIMESTAMP"')} / 7.0) + 1, 4) AS INTEGER) END AS trial_week,
          CASE WHEN ACTIVITY_NAME IN ('click.0','click.1','click.2','click.3','click.4','click.5',
                                      'view.0','view.1','view.2','view.3','view.4','view.5') THEN 'Engagement'
               WHEN ACTIVITY_NAME IN ('purchase.0','purchase.1','purchase.2','purchase.3','purchase.4','purchase.5') THEN 'Commerce'
