@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.operators import mart
+from convlens.functions.categories import fixture_category_map
+from convlens.operators import charts, clean, cohorts, features, mart, models, segments, stages, stats
 from convlens.session import materialize
-from convlens.sources.log import fixture_log
+from convlens.sources import inspect as inspect_
+from convlens.sources.log import fixture_log, fixture_log_with_duplicates, fixture_text_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,9 +99,6 @@ def q_mart_checks(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ cleaning
-from convlens.operators import clean  # noqa: E402
-from convlens.sources import inspect as inspect_  # noqa: E402
-from convlens.sources.log import fixture_log_with_duplicates, fixture_text_log  # noqa: E402
 
 
 @query("log_profile")
@@ -193,14 +192,11 @@ def q_robust_impact(spark, sf_dir):
 
 
 # ------------------------------------------------------ features and segments
-from convlens.functions.categories import fixture_category_map  # noqa: E402
-from convlens.operators import charts, features, segments  # noqa: E402
 
 STAT_DIGITS = 9  # order-dependent floating sums are compared at 9 decimals
 
 
 def _round_doubles(df: DataFrame, digits: int = STAT_DIGITS) -> DataFrame:
-    from pyspark.sql import functions as F
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -347,7 +343,6 @@ def q_class_sizes(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ tests
-from convlens.operators import stats  # noqa: E402
 
 
 @query("chi_square_test")
@@ -388,7 +383,6 @@ def q_tests_summary(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ models
-from convlens.operators import models  # noqa: E402
 
 
 @query("model_split")
@@ -408,7 +402,6 @@ def q_feature_importance(spark, sf_dir):
 
 
 # ------------------------------------------- plan-document extensions (2.16)
-from convlens.operators import cohorts, stages  # noqa: E402
 
 EXT_TEST_FEATURES = ["total_activities_count", "unique_activities_count", "unique_categories_count",
                      "activities_per_day", "days_active", "week1_activity_count", "week1_activity_ratio"]
