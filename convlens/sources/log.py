@@ -58,8 +58,9 @@ def _fixture_duration_days(user: F.Column) -> F.Column:
 def fixture_log(spark: SparkSession, sf_dir: str, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Typed activity log derived from ``events`` (one row per event).
 
-    Plan: two small per-user aggregates (partial aggregation, so a hot user
-    costs nothing extra) and one equi-join back to the events on ``user_id``.
+    Plan: a per-user aggregate (partial aggregation, so a hot user costs
+    nothing extra), a join with the qualifying purchases, and one equi-join
+    back to the events on ``user_id``.
     The join output is hash-partitioned by the user, which every later
     ``groupBy(org)`` reuses; AQE turns it into a broadcast join at run time
     when the measured per-user table is small.
@@ -74,13 +75,12 @@ def fixture_log(spark: SparkSession, sf_dir: str, cols: LogColumns = DEFAULT_COL
     purchases = ev.filter((F.col("event_type") == "purchase") & (F.col("value") >= CONVERSION_VALUE)).select(
         "user_id", F.col("ts").alias("p_ts")
     )
-    conversions = (
-        purchases.join(starts, "user_id")
-        .filter(F.col("p_ts") >= F.col("trial_start"))
-        .groupBy("user_id")
-        .agg(F.min("p_ts").alias("converted_at"))
+    # both sides are hash-partitioned by user_id for the join, and the
+    # aggregate after it reuses that partitioning: no further exchange
+    facts = starts.join(purchases, "user_id", "left").groupBy("user_id").agg(
+        F.first("trial_start").alias("trial_start"),  # constant per user (one starts row per user)
+        F.min(F.when(F.col("p_ts") >= F.col("trial_start"), F.col("p_ts"))).alias("converted_at"),
     )
-    facts = starts.join(conversions, "user_id", "left")
 
     out = ev.join(facts, "user_id").select(
         F.col("user_id").alias(cols.org),
@@ -104,8 +104,10 @@ def fixture_log_with_duplicates(spark: SparkSession, sf_dir: str, cols: LogColum
     id shifted by 1e9 so that "keep first in input order" is well defined."""
     log = fixture_log(spark, sf_dir, cols)
     order = cols.order or "EVENT_ID"
-    copies = log.filter(F.col(order) % 10 == 0).withColumn(order, F.col(order) + F.lit(DUPLICATE_ID_OFFSET))
-    return log.unionByName(copies)
+    # one pass: every 10th row is emitted twice (copy 1 carries the shifted id)
+    copy = F.explode(F.when(F.col(order) % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    out = log.select("*", copy.alias("_copy"))
+    return out.withColumn(order, F.col(order) + F.col("_copy") * F.lit(DUPLICATE_ID_OFFSET)).drop("_copy")
 
 
 def fixture_text_log(spark: SparkSession, sf_dir: str, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
