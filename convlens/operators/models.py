@@ -99,7 +99,7 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
     features = features or MODEL_FEATURES
     data = org_table.select(key_col, *[F.col(f).cast("double").alias(f) for f in features],
                             F.col(converted_col).cast("int").alias("label")).na.fill(0.0, subset=features)
-    data = materialize(stratified_split(data, key_col, "label", seed=seed), "model_split")
+    data = materialize(stratified_split(data, key_col, "label", seed=seed), "model_split", per_org=True)
     assembled = VectorAssembler(inputCols=features, outputCol="raw_features").transform(data)
     train = assembled.filter(~F.col("is_test"))
     test = assembled.filter(F.col("is_test"))

@@ -33,7 +33,7 @@ def query(name: str):
 
 def _mart_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prepared = mart.prepare_log(fixture_log(spark, sf_dir))
-    staging = materialize(mart.staging_metrics(prepared), "staging_metrics_per_org")
+    staging = materialize(mart.staging_metrics(prepared), "staging_metrics_per_org", per_org=True)
     goals = mart.activation_goals(staging)
     goals_mart = mart.trial_goals(staging, goals)
     activation = mart.trial_activation(goals_mart)
@@ -208,7 +208,7 @@ def _feature_log(spark, sf_dir):
 def _org_table(spark, sf_dir):
     # one row per org, reused by every comparison, test and model: cut its
     # lineage once (reliable checkpoint) instead of re-deriving it per use
-    return materialize(features.org_features(_feature_log(spark, sf_dir)), "org_features")
+    return materialize(features.org_features(_feature_log(spark, sf_dir)), "org_features", per_org=True)
 
 
 @query("temporal_features")

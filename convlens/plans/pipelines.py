@@ -28,8 +28,8 @@ MART_TABLES = ["staging_metrics_per_org", "staging_activation_goals", "mart_tria
 def mart_pipeline(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, output_dir: str | None = None,
                   fmt: str = "parquet", register: bool = True) -> dict[str, DataFrame]:
     prepared = mart.prepare_log(log, cols)
-    staging = materialize(mart.staging_metrics(prepared, cols), "staging_metrics_per_org")
-    goals = materialize(mart.activation_goals(staging), "staging_activation_goals")
+    staging = materialize(mart.staging_metrics(prepared, cols), "staging_metrics_per_org", per_org=True)
+    goals = materialize(mart.activation_goals(staging), "staging_activation_goals", per_org=True)
     goals_mart = mart.trial_goals(staging, goals)
     activation = mart.trial_activation(goals_mart)
     out = {
@@ -86,7 +86,7 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
     out["unmapped_activities"] = features.unmapped_activities(clean_log, category_map, cols)
     out["category_distribution"] = charts.value_counts(feat, "activity_category")
     out["activity_distribution"] = charts.value_counts(feat, cols.activity)
-    org = materialize(features.org_features(feat, cols), "org_features")
+    org = materialize(features.org_features(feat, cols), "org_features", per_org=True)
     out["org_features"] = org
     out["segment_sizes"] = segments.segment_sizes(feat, cols)
     out["segment_conversion_rate"] = segments.segment_conversion_rate(feat, cols)

@@ -52,16 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return configured
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage of a reused intermediate (staging tables, the cleaned
-    log, the org table, range slices): write it once as Parquet under the
-    shared checkpoint folder and read it back.  One job (``checkpoint()`` of
-    an unpersisted plan computes it twice), columnar re-reads with pruning
-    and pushdown, and a lost executor re-reads files instead of re-deriving
-    the table from the raw log."""
+def materialize(df: DataFrame, name: str = "table", per_org: bool = False) -> DataFrame:
+    """Cut the lineage of a reused intermediate so that a lost executor
+    re-reads stored data instead of re-deriving it from the raw log.
+
+    Row-level tables (the cleaned log, range slices) are written as Parquet
+    under the shared checkpoint folder and read back: compressed, columnar,
+    pruned and filtered on every re-read.  Small per-org tables (staging,
+    goals, org features, the model split; one row per org or fewer) use a
+    reliable ``checkpoint()`` into the same folder, which re-reads faster when
+    the table is read many times."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    if not base:
+    if per_org or not base:
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/convlens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
