@@ -95,9 +95,11 @@ def feature_comparison(org_table: DataFrame, features: list[str] | None = None,
         [[f, F.col(f"_c{i}"), F.col(f"_n{i}")] for i, f in enumerate(features)],
     ))
     diff = F.col("converted_mean") - F.col("non_converted_mean")
+    base = F.col("non_converted_mean")
+    # 0 when the base mean is 0; missing (empty group) stays missing
     return tidy.select("*", diff.alias("difference"),
-                       F.when(F.col("non_converted_mean") != 0, diff / F.col("non_converted_mean") * 100.0)
-                       .otherwise(F.lit(0.0)).alias("percent_difference"))
+                       F.when(base.isNull(), F.lit(None).cast("double"))
+                       .when(base != 0, diff / base * 100.0).otherwise(F.lit(0.0)).alias("percent_difference"))
 
 
 def compare_segments(seg1: DataFrame, seg2: DataFrame, metrics: list[str], name1: str = "segment_1",

@@ -422,7 +422,7 @@ register("feature_comparison", feature_sql(" UNION ALL ".join(
     f"SELECT '{f}' AS feature, {r9(f'avg({f}) FILTER (WHERE converted = true)')} AS converted_mean, "
     f"{r9(f'avg({f}) FILTER (WHERE converted = false)')} AS non_converted_mean, "
     f"{r9(f'avg({f}) FILTER (WHERE converted = true) - avg({f}) FILTER (WHERE converted = false)')} AS difference, "
-    f"{r9(f'CASE WHEN avg({f}) FILTER (WHERE converted = false) <> 0 THEN (avg({f}) FILTER (WHERE converted = true) - avg({f}) FILTER (WHERE converted = false)) / avg({f}) FILTER (WHERE converted = false) * 100.0 ELSE 0.0 END')} AS percent_difference FROM org"
+    f"{r9(f'CASE WHEN avg({f}) FILTER (WHERE converted = false) IS NULL THEN NULL WHEN avg({f}) FILTER (WHERE converted = false) <> 0 THEN (avg({f}) FILTER (WHERE converted = true) - avg({f}) FILTER (WHERE converted = false)) / avg({f}) FILTER (WHERE converted = false) * 100.0 ELSE 0.0 END')} AS percent_difference FROM org"
     for f in BIV)))
 SM = ["days_since_trial_start", "hour", "day_of_week", "is_weekend", "trial_week"]
 register("segment_comparison", feature_sql(" UNION ALL ".join(

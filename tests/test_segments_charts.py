@@ -69,3 +69,9 @@ def test_activity_sequence_positions(spark):
     assert [r.position for r in seq] == list(range(12))
     assert seq[0].days_from_start == 0.0 and seq[0].ACTIVITY_NAME == "act11"
     assert [r.position for r in seq if r.labelled] == [0, 5, 10]
+
+
+def test_feature_comparison_empty_group_is_missing(spark):
+    org = spark.createDataFrame([(True, 2.0), (True, 4.0)], "converted boolean, f double")
+    r = segments.feature_comparison(org, ["f"]).first()
+    assert r.converted_mean == 3.0 and r.non_converted_mean is None and r.percent_difference is None
