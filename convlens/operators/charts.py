@@ -93,26 +93,43 @@ def feature_histograms(org_table: DataFrame, features: list[str] | None = None,
 
 
 def feature_correlations(org_table: DataFrame, features: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """Pearson correlation of every feature pair (pairwise complete rows),
-    from one aggregation of sample covariances and deviations (numerically
-    stable merges).  A constant feature gives null, not an error."""
+    """Pearson correlation of every feature pair over the rows where both are
+    present (pairwise complete), from sample covariances and deviations
+    (numerically stable merges).  A constant feature gives null, not an error.
+
+    Missing values are counted first (one small aggregate): with none, the
+    k deviations and k(k-1)/2 covariances are computed once each; otherwise
+    every pair gets its own masked moments."""
     features = features or CORRELATION_FEATURES
-    aggs = []
-    pairs = [(i, j) for i in range(len(features)) for j in range(len(features))]
-    for i, j in pairs:
-        if j < i:
-            continue
-        x, y = F.col(features[i]).cast("double"), F.col(features[j]).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        xi, yj = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_samp(xi, yj).alias(f"_c{i}_{j}"), F.stddev_samp(xi).alias(f"_sx{i}_{j}"),
-                 F.stddev_samp(yj).alias(f"_sy{i}_{j}")]
-    one = org_table.agg(*aggs)
+    k = len(features)
+    x = {f: F.col(f).cast("double") for f in features}
+    missing = org_table.agg(*[F.count_if(x[f].isNull() | F.isnan(x[f])).alias(f) for f in features]).first()
+    pairs = [(i, j) for i in range(k) for j in range(k)]
+    if not any(missing[f] for f in features):
+        aggs = [F.stddev_samp(x[f]).alias(f"_s{i}") for i, f in enumerate(features)]
+        aggs += [F.covar_samp(x[features[i]], x[features[j]]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
+        one = org_table.agg(*aggs)
+
+        def parts(a, b):
+            return F.col(f"_c{a}_{b}"), F.col(f"_s{a}"), F.col(f"_s{b}")
+    else:
+        aggs = []
+        for i in range(k):
+            for j in range(i, k):
+                both = x[features[i]].isNotNull() & x[features[j]].isNotNull() & ~F.isnan(x[features[i]]) & ~F.isnan(x[features[j]])
+                xi, yj = F.when(both, x[features[i]]), F.when(both, x[features[j]])
+                aggs += [F.covar_samp(xi, yj).alias(f"_c{i}_{j}"), F.stddev_samp(xi).alias(f"_sx{i}_{j}"),
+                         F.stddev_samp(yj).alias(f"_sy{i}_{j}")]
+        one = org_table.agg(*aggs)
+
+        def parts(a, b):
+            return F.col(f"_c{a}_{b}"), F.col(f"_sx{a}_{b}"), F.col(f"_sy{a}_{b}")
 
     def r(i, j):
         a, b = (i, j) if i <= j else (j, i)
-        den = F.col(f"_sx{a}_{b}") * F.col(f"_sy{a}_{b}")
-        v = F.when(den > 0, F.col(f"_c{a}_{b}") / den)
+        cov, sa, sb = parts(a, b)
+        den = sa * sb
+        v = F.when(den > 0, cov / den)
         return F.round(v, digits) if digits is not None else v
 
     return one.select(rows_of(["feature_x", "feature_y", "correlation"],

@@ -75,3 +75,19 @@ def test_feature_comparison_empty_group_is_missing(spark):
     org = spark.createDataFrame([(True, 2.0), (True, 4.0)], "converted boolean, f double")
     r = segments.feature_comparison(org, ["f"]).first()
     assert r.converted_mean == 3.0 and r.non_converted_mean is None and r.percent_difference is None
+
+
+def test_correlations_pairwise_complete_with_missing(spark):
+    rows = [(1.0, 2.0, None), (2.0, 4.5, 1.0), (3.0, 5.0, 2.0), (4.0, None, 4.0), (5.0, 11.0, 3.0)]
+    org = spark.createDataFrame(rows, "a double, b double, c double")
+    r = {(x.feature_x, x.feature_y): x.correlation for x in charts.feature_correlations(org, ["a", "b", "c"]).collect()}
+    import statistics as S
+
+    def pearson(u, v):
+        pts = [(p, q) for p, q in zip(u, v) if p is not None and q is not None]
+        return S.correlation([p for p, _ in pts], [q for _, q in pts])
+
+    cols = list(zip(*rows))
+    assert abs(r[("a", "b")] - pearson(cols[0], cols[1])) < 1e-12
+    assert abs(r[("b", "c")] - pearson(cols[1], cols[2])) < 1e-12
+    assert abs(r[("c", "a")] - pearson(cols[2], cols[0])) < 1e-12
