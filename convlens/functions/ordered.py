@@ -35,7 +35,8 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     spark = df.sparkSession
     limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
     frame_end = Window.currentRow if inclusive else -1
-    if limit > 0 and df.count() <= limit:
+    # bounded check: stops reading as soon as more than `limit` rows are seen
+    if limit > 0 and df.limit(limit + 1).count() <= limit:
         ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
         w = Window.partitionBy(*group_cols).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, frame_end)
         return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(prefix + c) for c in value_cols])

@@ -54,3 +54,11 @@ def test_exploratory_pipeline(spark):
     org = res["org_features"]
     assert org.count() == res["clean_log"].select("ORGANIZATION_ID").distinct().count()
     assert res["tests_summary"].first().tests_performed == 4
+
+
+def test_missing_log_path_raises(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        read_log(spark, os.path.join(tempfile.mkdtemp(prefix="convlens-none-"), "no_such_log.csv"))
