@@ -25,19 +25,24 @@ def text_schema(cols: LogColumns = DEFAULT_COLUMNS, extra: list[str] | None = No
 def read_log(spark: SparkSession, source, fmt: str = "csv", cols: LogColumns = DEFAULT_COLUMNS,
              schema: T.StructType | None = None) -> DataFrame:
     """Scan an activity log.  ``source`` is a path (CSV with a header, or
-    Parquet) or an existing DataFrame.  CSV columns arrive as strings; type them
-    with ``operators.clean.type_log``.  A missing path raises at analysis time,
-    as the reference's loader does on a missing file."""
+    Parquet) or an existing DataFrame.
+
+    CSV columns are matched by their header names and arrive as strings (no
+    inference pass over the data; type them with
+    ``operators.clean.type_log``).  A log without the order column gets one
+    from ``monotonically_increasing_id()``, which follows the file order and is
+    stable when a task is re-run, so "first in input order" stays defined.  A
+    missing path raises at analysis time, as a missing file should."""
     if isinstance(source, DataFrame):
-        return source
-    if fmt == "csv":
-        return (
-            spark.read.schema(schema or text_schema(cols))
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .csv(source)
-        )
-    return spark.read.format(fmt).load(source)
+        df = source
+    elif fmt == "csv":
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        df = reader.schema(schema).csv(source) if schema is not None else reader.option("inferSchema", False).csv(source)
+    else:
+        df = spark.read.format(fmt).load(source)
+    if cols.order and cols.order not in df.columns:
+        df = df.withColumn(cols.order, F.monotonically_increasing_id())
+    return df
 
 
 # --------------------------------------------------------------------------

@@ -60,3 +60,11 @@ def test_temporal_feature_stats(spark):
     st = {r.feature: r for r in features.temporal_feature_stats(features.temporal_features(log)).collect()}
     assert st["days_since_trial_start"].mean_value == 1.0
     assert st["days_since_trial_start"].std_value == 1.0
+
+
+def test_safe_divide_and_percentage_change(spark):
+    from convlens.functions.expr import percentage_change, safe_divide
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (None, 2.0), (0.0, 5.0)], "a double, b double")
+    r = df.select(safe_divide("a", "b").alias("q"), percentage_change("a", "b").alias("p")).collect()
+    assert [x.q for x in r] == [0.5, 0.0, None, 0.0]
+    assert [x.p for x in r] == [100.0, -100.0, None, None]

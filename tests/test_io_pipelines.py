@@ -62,3 +62,18 @@ def test_missing_log_path_raises(spark):
 
     with pytest.raises(AnalysisException):
         read_log(spark, os.path.join(tempfile.mkdtemp(prefix="convlens-none-"), "no_such_log.csv"))
+
+
+def test_csv_by_header_names_without_order_column(spark):
+    d = tempfile.mkdtemp(prefix="convlens-csv2-")
+    path = os.path.join(d, "log.csv")
+    with open(path, "w") as f:
+        f.write("TRIAL_END,ACTIVITY_NAME,ORGANIZATION_ID,TIMESTAMP,CONVERTED,CONVERTED_AT,TRIAL_START\n")
+        f.write("2024-01-31,A.B,abc,2024-01-02 10:00:00,True,,2024-01-01\n")
+        f.write("2024-01-31,A.B,abc,2024-01-02 10:00:00,False,,2024-01-01\n")  # duplicate key, later in the file
+        f.write("2024-01-31,C.D,abc,2024-01-03 10:00:00,True,2024-01-05 00:00:00,2024-01-01\n")
+    raw = read_log(spark, path)
+    assert raw.first().ACTIVITY_NAME == "A.B" and "EVENT_ID" in raw.columns
+    dedup = clean.drop_duplicate_events(clean.type_log(raw))
+    kept = {r.ACTIVITY_NAME: r.CONVERTED for r in dedup.collect()}
+    assert kept == {"A.B": True, "C.D": True}  # the first copy in file order is kept
