@@ -7,6 +7,7 @@ query, where SQL can express it, is in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from convlens.functions.categories import fixture_category_map
 from convlens.operators import charts, clean, cohorts, features, mart, models, segments, stages, stats
-from convlens.session import materialize
+from convlens.session import ensure_checkpoint_dir, materialize
 from convlens.sources import inspect as inspect_
 from convlens.sources.log import fixture_log, fixture_log_with_duplicates, fixture_text_log
+from convlens.streaming.live_mart import live_staging_metrics, replay_as_stream, start_live_staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,3 +509,18 @@ def q_extended_models(spark, sf_dir):
                                      "activities_both_stages", "stage_change"]
     return models.build_models(wide, "ORGANIZATION_ID", feats,
                                kinds=models.MODEL_KINDS + models.EXTRA_MODEL_KINDS)["comparison"]
+
+
+# ------------------------------------------------------------- streaming
+
+@query("live_staging_metrics")
+def q_live_staging(spark, sf_dir):
+    """The staging table maintained by the streaming mart: the fixture log
+    (with duplicate copies, which the stream must drop) replayed as four
+    time-ordered file groups, run to completion; equals the batch table."""
+    base = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
+    stream = replay_as_stream(fixture_log_with_duplicates(spark, sf_dir), base)
+    q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="3650 days",
+                           available_now=True)
+    q.awaitTermination(1800)
+    return live_staging_metrics(spark, f"{base}/staging")

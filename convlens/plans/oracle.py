@@ -110,6 +110,7 @@ def register(name: str, sql: str) -> None:
 
 # ------------------------------------------------------------------ the mart
 register("staging_metrics_per_org", mart_sql("SELECT * FROM staging"))
+register("live_staging_metrics", mart_sql("SELECT * FROM staging"))
 register("staging_activation_goals", mart_sql("SELECT goal_id, metric_name, threshold_value, description FROM goals"))
 register("mart_trial_goals", mart_sql("SELECT * FROM mart_goals"))
 register("mart_trial_activation", mart_sql("SELECT * FROM mart_activation"))

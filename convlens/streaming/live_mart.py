@@ -88,3 +88,25 @@ def live_staging_metrics(spark: SparkSession, table_dir: str) -> DataFrame:
         F.coalesce(F.col("converted").cast("boolean"), F.lit(False)).alias("converted"),
         F.to_date("_start").alias("trial_start_date"), F.to_date("_end").alias("trial_end_date"),
     )
+
+
+def replay_as_stream(log: DataFrame, work_dir: str, chunks: int = 4, ts_col: str = "TIMESTAMP") -> DataFrame:
+    """Write a batch log as ``chunks`` time-ordered file groups under
+    ``work_dir`` (shared storage) and return a file stream over them, read
+    one group per micro-batch.  Used to feed the live mart from a table."""
+    spark = log.sparkSession
+    stored = f"{work_dir.rstrip('/')}/log"
+    log.write.mode("overwrite").parquet(stored)
+    table = spark.read.parquet(stored)
+    bounds = table.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
+    src = f"{work_dir.rstrip('/')}/in"
+    if bounds.lo is not None:
+        span = (bounds.hi - bounds.lo) / chunks
+        for i in range(chunks):
+            lo, hi = bounds.lo + span * i, bounds.lo + span * (i + 1)
+            cond = F.col(ts_col) >= lo if i > 0 else (F.col(ts_col) >= lo) | F.col(ts_col).isNull()
+            if i < chunks - 1:
+                cond = cond & (F.col(ts_col) < hi)
+            table.filter(cond).write.mode("overwrite").parquet(f"{src}/part{i:04d}")
+    return (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(src))
