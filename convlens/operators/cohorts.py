@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.columns import DEFAULT_COLUMNS, LogColumns
-from convlens.functions.expr import floor_days, rows_of
+from convlens.functions.expr import floor_days, hours_between
 from convlens.functions.ordered import position_in_group
 from convlens.operators.segments import SEGMENT_NAMES, segment_predicate
 
@@ -95,7 +95,6 @@ def segment_org_profiles(feature_log: DataFrame, cols: LogColumns = DEFAULT_COLU
     segs = F.array(*[F.when(F.coalesce(segment_predicate(s, cols), F.lit(False)), F.lit(s)) for s in SEGMENT_NAMES])
     t = feature_log.select("*", F.explode(segs).alias("segment")).filter(F.col("segment").isNotNull())
     order = F.col(cols.order) if cols.order else F.col(cols.ts)
-    from convlens.functions.expr import hours_between
     return t.groupBy("segment", cols.org).agg(
         F.count(F.lit(1)).alias("total_activities"), F.count_distinct(cols.activity).alias("unique_activities"),
         F.count_distinct("activity_category").alias("unique_categories"),
