@@ -77,3 +77,15 @@ def test_csv_by_header_names_without_order_column(spark):
     dedup = clean.drop_duplicate_events(clean.type_log(raw))
     kept = {r.ACTIVITY_NAME: r.CONVERTED for r in dedup.collect()}
     assert kept == {"A.B": True, "C.D": True}  # the first copy in file order is kept
+
+
+def test_cli_explore_on_csv(spark):
+    from convlens.__main__ import main as cli
+
+    d = tempfile.mkdtemp(prefix="convlens-cli-")
+    fixture_text_log(spark, SF_SMALL).write.option("header", True).csv(os.path.join(d, "log"))
+    cli(["explore", os.path.join(d, "log"), os.path.join(d, "out"), "--format", "parquet"])
+    tests = spark.read.parquet(os.path.join(d, "out", "hypothesis_tests"))
+    assert tests.count() == 4
+    clean_log = spark.read.parquet(os.path.join(d, "out", "data_clean"))
+    assert clean_log.count() > 0 and dict(clean_log.dtypes)["TIMESTAMP"] == "timestamp_ntz"

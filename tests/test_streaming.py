@@ -32,3 +32,36 @@ def test_live_staging_matches_batch(spark):
     batch = mart.staging_metrics(mart.prepare_log(fixture_log(spark, SF_SMALL)))
     assert live.count() == batch.count()
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_watermark_closes_trials_and_drops_late_rows(spark):
+    """Trial A ends on day 30; once trials ending on day 100 are streaming and
+    the lateness is 10 days, A's counts are final and a late A row is dropped."""
+    from datetime import datetime, timedelta
+
+    from tests.helpers import LOG_SCHEMA
+
+    t0 = datetime(2024, 1, 1)
+    root = tempfile.mkdtemp(prefix="convlens-late-")
+    src = os.path.join(root, "in")
+
+    def batch(i, rows):
+        spark.createDataFrame(rows, LOG_SCHEMA).write.mode("overwrite").parquet(os.path.join(src, f"part{i}"))
+
+    a = lambda d, i: ("A", "x", t0 + timedelta(days=d), False, None, t0, t0 + timedelta(days=30), i)
+    b = lambda d, i: ("B", "x", t0 + timedelta(days=d), False, None, t0 + timedelta(days=70), t0 + timedelta(days=100), i)
+    batch(0, [a(1, 1), a(2, 2)])
+    batch(1, [b(71, 3)])          # watermark moves to day 90: A (ends day 30) is closed
+    stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), lateness="10 days",
+                           available_now=True)
+    q.awaitTermination(300)
+    batch(2, [a(3, 4)])           # late row for the closed trial
+    stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), lateness="10 days",
+                           available_now=True)
+    q.awaitTermination(300)
+    live = {r.org_id: r.total_activities for r in live_staging_metrics(spark, os.path.join(root, "staging")).collect()}
+    assert live == {"A": 2, "B": 1}
