@@ -2,8 +2,9 @@
 
 * Stratified split and folds: inside each class the orgs are ordered by a
   seeded md5 of the key and numbered with range-partitioned running totals
-  (no global window); the first ceil(test_fraction * n_class) are the test
-  set, the rest are dealt round-robin into folds.  Deterministic and exact.
+  (no global window); each class's test share follows the stratified
+  allocation of ``class_allocation``, the rest are dealt round-robin into
+  folds.  Deterministic and exact.
 * Logistic regression: L2, C = 1 expressed as regParam = 1 / n_train on the
   standardized features (scaler fit on the training rows only).
 * Random forest: 100 trees, depth 5, seed 42, unscaled features.
@@ -19,7 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlens.functions.ordered import position_in_group
@@ -37,18 +38,35 @@ RF_TREES = 100
 RF_DEPTH = 5
 
 
+def class_allocation(labels: DataFrame, label_col: str = "label", test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """Test rows per class for a stratified split: ``n_test = ceil(f * n)``;
+    each class gets the floor of its share of the ``n - n_test`` training rows,
+    the rows still missing go to the classes with the largest fractional
+    parts (ties to the lower label), and the rest of each class is its test
+    share.  Windows over the class-size table (one row per label)."""
+    sizes = labels.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_class"))
+    everything = Window.partitionBy()  # one row per label: bounded
+    n = F.sum("_n_class").over(everything)
+    n_train = n - F.ceil(n * F.lit(test_fraction))
+    cont = F.col("_n_class") / n * n_train
+    with_share = sizes.select(label_col, "_n_class", cont.alias("_cont"), n_train.alias("_n_train"))
+    with_share = with_share.select("*", F.floor("_cont").alias("_floor"), (F.col("_cont") - F.floor("_cont")).alias("_rem"))
+    need = F.col("_n_train") - F.sum("_floor").over(everything)
+    rank = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(label_col)))
+    train = F.col("_floor") + F.when(rank <= need, 1).otherwise(0)
+    return with_share.select(label_col, "_n_class", (F.col("_n_class") - train).cast("long").alias("_n_test"))
+
+
 def stratified_split(org_table: DataFrame, key_col: str, label_col: str = "label", test_fraction: float = TEST_FRACTION,
                      folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Add ``is_test`` and ``fold`` (0..folds-1 for training rows, -1 test)."""
     keyed = org_table.withColumn("_h", F.md5(F.concat(F.col(key_col).cast("string"), F.lit(f":{seed}"))))
     pos = position_in_group(keyed, [label_col], ["_h", key_col], "_pos")
-    sizes = org_table.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_class"))
     # at most one row per class label: a proven-small broadcast side
-    out = pos.join(F.broadcast(sizes), label_col)
-    n_test = F.ceil(F.col("_n_class") * F.lit(test_fraction))
-    is_test = F.col("_pos") < n_test
+    out = pos.join(F.broadcast(class_allocation(org_table.select(label_col), label_col, test_fraction)), label_col)
+    is_test = F.col("_pos") < F.col("_n_test")
     return out.select(*org_table.columns, is_test.alias("is_test"),
-                      F.when(is_test, F.lit(-1)).otherwise(((F.col("_pos") - n_test) % folds).cast("int")).alias("fold"))
+                      F.when(is_test, F.lit(-1)).otherwise(((F.col("_pos") - F.col("_n_test")) % folds).cast("int")).alias("fold"))
 
 
 def _auc(pred: DataFrame, label_col: str) -> float:

@@ -577,12 +577,18 @@ register("mann_whitney_categories", feature_sql(_mwu_sql("unique_categories_coun
 
 # ------------------------------------------------------------------ models
 register("model_split", feature_sql("""
-SELECT ORGANIZATION_ID, label, pos < ceil(n_class * 0.2) AS is_test,
-       CAST(CASE WHEN pos < ceil(n_class * 0.2) THEN -1 ELSE (pos - ceil(n_class * 0.2)) % 5 END AS INTEGER) AS fold
+SELECT p.ORGANIZATION_ID, p.label, p.pos < a.n_test AS is_test,
+       CAST(CASE WHEN p.pos < a.n_test THEN -1 ELSE (p.pos - a.n_test) % 5 END AS INTEGER) AS fold
 FROM (SELECT ORGANIZATION_ID, label,
-             row_number() OVER (PARTITION BY label ORDER BY md5(CAST(ORGANIZATION_ID AS VARCHAR) || ':42'), ORGANIZATION_ID) - 1 AS pos,
-             count(*) OVER (PARTITION BY label) AS n_class
-      FROM (SELECT ORGANIZATION_ID, CAST(converted AS INTEGER) AS label FROM org))"""))
+             row_number() OVER (PARTITION BY label ORDER BY md5(CAST(ORGANIZATION_ID AS VARCHAR) || ':42'), ORGANIZATION_ID) - 1 AS pos
+      FROM (SELECT ORGANIZATION_ID, CAST(converted AS INTEGER) AS label FROM org)) p
+JOIN (
+  SELECT label, CAST(n_class - (fl + CASE WHEN rk <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS BIGINT) AS n_test
+  FROM (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, label) AS rk
+        FROM (SELECT label, n_class, n_class / sum(n_class) OVER () * (sum(n_class) OVER () - ceil(sum(n_class) OVER () * 0.2)) AS cont,
+                     sum(n_class) OVER () - ceil(sum(n_class) OVER () * 0.2) AS n_train
+              FROM (SELECT CAST(converted AS INTEGER) AS label, count(*) AS n_class FROM org GROUP BY 1)))) a
+USING (label)"""))
 
 
 # ------------------------------------------- plan-document extensions (2.16)

@@ -81,3 +81,16 @@ def test_hypothesis_tests_have_p_values(spark):
     assert abs(t["total_activities_mannwhitney"].p_value - 2 / 35) < 1e-12
     s = stats.tests_summary(stats.hypothesis_tests(org)).first()
     assert s.tests_performed == 4
+
+
+def test_stratified_allocation(spark):
+    from convlens.operators.models import class_allocation, stratified_split
+
+    labels = spark.createDataFrame([(1,)] * 29 + [(0,)] * 121, "label int")
+    alloc = {r.label: r._n_test for r in class_allocation(labels).collect()}
+    # n_test = 30; training shares 23.2 / 96.8 -> 23 / 97 -> test 6 / 24
+    assert alloc == {1: 6, 0: 24}
+    org = spark.createDataFrame([(i, 1 if i < 29 else 0) for i in range(150)], "k long, label int")
+    sp = stratified_split(org, "k").collect()
+    assert sum(r.is_test for r in sp) == 30
+    assert sorted({r.fold for r in sp if not r.is_test}) == [0, 1, 2, 3, 4]
