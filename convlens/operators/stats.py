@@ -70,6 +70,15 @@ def chi_square_test(org_table: DataFrame, feature: str, group_col: str = "conver
     )
 
 
+def _t_value(dof, se):
+    """(m1 - m2) / se; with zero spread the difference of means decides the
+    sign of an infinite t (equal means: undefined), without dividing by 0."""
+    diff = F.col("m1") - F.col("m2")
+    return (F.when((dof > 0) & (se > 0), diff / se)
+            .when((dof > 0) & (se == 0) & (diff > 0), F.lit(float("inf")))
+            .when((dof > 0) & (se == 0) & (diff < 0), F.lit(float("-inf"))))
+
+
 def t_test(org_table: DataFrame, feature: str, group_col: str = "converted") -> DataFrame:
     """Two-sample Student t with pooled variance (converted minus not)."""
     x = F.col(feature).cast("double")
@@ -83,7 +92,7 @@ def t_test(org_table: DataFrame, feature: str, group_col: str = "converted") ->
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
     return one.select(
         F.lit(feature).alias("feature"),
-        F.when((dof > 0) & (se > 0), (F.col("m1") - F.col("m2")) / se).alias("t_statistic"),
+        _t_value(dof, se).alias("t_statistic"),
         dof.cast("long").alias("degrees_of_freedom"),
         F.col("m1").alias("converted_mean"), F.col("m2").alias("non_converted_mean"),
         F.col("n1").alias("n_converted"), F.col("n2").alias("n_non_converted"),
@@ -197,7 +206,7 @@ def t_tests(org_table: DataFrame, features: list[str], group_col: str = "convert
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
     return g.select(
         "feature",
-        F.when((dof > 0) & (se > 0), (F.col("m1") - F.col("m2")) / se).alias("t_statistic"),
+        _t_value(dof, se).alias("t_statistic"),
         dof.cast("long").alias("degrees_of_freedom"),
         F.when((dof > 0) & (sp2 > 0), (F.col("m1") - F.col("m2")) / F.sqrt(sp2)).alias("cohens_d"),
         F.col("m1").alias("converted_mean"), F.col("m2").alias("non_converted_mean"),

@@ -537,7 +537,9 @@ SELECT front_loaded_pattern AS value, count(*) FILTER (WHERE converted = true) A
 FROM org WHERE converted IS NOT NULL GROUP BY front_loaded_pattern"""))
 register("t_test", feature_sql("""
 SELECT 'week1_activity_ratio' AS feature,
-       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
+       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se
+                  WHEN dof > 0 AND se = 0 AND m1 > m2 THEN CAST('inf' AS DOUBLE)
+                  WHEN dof > 0 AND se = 0 AND m1 < m2 THEN CAST('-inf' AS DOUBLE) END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
        round(m1, 9) AS converted_mean, round(m2, 9) AS non_converted_mean, n1 AS n_converted, n2 AS n_non_converted
 FROM (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1.0 / n1 + 1.0 / n2)) AS se
       FROM (SELECT count(week1_activity_ratio) FILTER (WHERE converted = true) AS n1,
@@ -704,7 +706,9 @@ def _long_sql(src: str, features: list[str]) -> str:
 
 T_TESTS_BODY = """
 SELECT feature,
-       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
+       round(CASE WHEN dof > 0 AND se > 0 THEN (m1 - m2) / se
+                  WHEN dof > 0 AND se = 0 AND m1 > m2 THEN CAST('inf' AS DOUBLE)
+                  WHEN dof > 0 AND se = 0 AND m1 < m2 THEN CAST('-inf' AS DOUBLE) END, 9) AS t_statistic, CAST(dof AS BIGINT) AS degrees_of_freedom,
        round(CASE WHEN dof > 0 AND sp2 > 0 THEN (m1 - m2) / sqrt(sp2) END, 9) AS cohens_d,
        round(m1, 9) AS converted_mean, round(m2, 9) AS non_converted_mean, n1 AS n_converted, n2 AS n_non_converted
 FROM (SELECT *, sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) AS se

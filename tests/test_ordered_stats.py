@@ -94,3 +94,11 @@ def test_stratified_allocation(spark):
     sp = stratified_split(org, "k").collect()
     assert sum(r.is_test for r in sp) == 30
     assert sorted({r.fold for r in sp if not r.is_test}) == [0, 1, 2, 3, 4]
+
+
+def test_t_test_zero_spread_is_infinite(spark):
+    org = spark.createDataFrame([(True, 2.0), (True, 2.0), (False, 1.0), (False, 1.0)], "converted boolean, f double")
+    r = stats.t_test(org, "f").first()
+    assert r.t_statistic == float("inf")
+    t = {x.test_id: x for x in stats.hypothesis_tests(org, [("t", "t", "f")]).collect()}
+    assert t["t"].p_value == 0.0 and t["t"].significant
