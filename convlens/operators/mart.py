@@ -187,12 +187,13 @@ def performance_stats(activation: DataFrame) -> DataFrame:
 
 
 def mart_summary(staging: DataFrame, goals: DataFrame, activation: DataFrame) -> DataFrame:
-    """Organizations, goals, activated, and activation rate over ALL orgs
-    (the goal stats above use open trials as the base)."""
+    """Organizations (and how many converted), goals, activated, and the
+    activation rate over ALL orgs (the goal stats above use open trials as the
+    base)."""
     n_goals = goals.agg(F.count(F.lit(1))).scalar()
     n_act = activation.agg(F.count(F.lit(1))).scalar()
-    return staging.agg(F.count(F.lit(1)).alias("total_orgs")).select(
-        "total_orgs",
+    return staging.agg(F.count(F.lit(1)).alias("total_orgs"), F.count_if("converted").alias("converted_orgs")).select(
+        "total_orgs", "converted_orgs",
         n_goals.alias("total_goals"),
         n_act.alias("activated_orgs"),
         F.when(F.col("total_orgs") > 0, n_act / F.col("total_orgs") * 100.0).alias("activation_rate_all_pct"),

@@ -136,7 +136,8 @@ SELECT round(avg(avg_performance_score), 1) AS avg_performance, round(min(avg_pe
        round(max(avg_performance_score), 1) AS max_performance, count(*) AS activated_orgs
 FROM mart_activation"""))
 register("mart_summary", mart_sql("""
-SELECT (SELECT count(*) FROM staging) AS total_orgs, (SELECT count(*) FROM goals) AS total_goals,
+SELECT (SELECT count(*) FROM staging) AS total_orgs, (SELECT count(*) FROM staging WHERE converted) AS converted_orgs,
+       (SELECT count(*) FROM goals) AS total_goals,
        (SELECT count(*) FROM mart_activation) AS activated_orgs,
        CASE WHEN (SELECT count(*) FROM staging) > 0
             THEN (SELECT count(*) FROM mart_activation) / (SELECT count(*) FROM staging) * 100.0 END AS activation_rate_all_pct"""))
