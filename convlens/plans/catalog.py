@@ -524,3 +524,16 @@ def q_live_staging(spark, sf_dir):
                            available_now=True)
     q.awaitTermination(1800)
     return live_staging_metrics(spark, f"{base}/staging")
+
+
+# ------------------------------------------------------------------ sinks
+
+@query("mart_exports")
+def q_mart_exports(spark, sf_dir):
+    """The mart program with CSV exports into the checkpoint folder; the
+    report re-reads every written table to count its records."""
+    from convlens.plans.pipelines import mart_pipeline
+
+    out_dir = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
+    exports = mart_pipeline(fixture_log(spark, sf_dir), output_dir=out_dir, fmt="csv")["exports"]
+    return exports.select("table_name", "records", "columns", "error")

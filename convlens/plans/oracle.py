@@ -757,3 +757,12 @@ prof AS (
   SELECT ORGANIZATION_ID, avg(is_weekend) AS weekend_share, avg(hour) AS mean_hour,
          count(DISTINCT CAST("TIMESTAMP" AS DATE)) AS active_dates, arg_min(CONVERTED, EVENT_ID) AS converted
   FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY ORGANIZATION_ID)""", "long AS (" + _long_sql("prof", TIME_F) + ")"))
+
+
+# ------------------------------------------------------------------ sinks
+register("mart_exports", mart_sql("""
+SELECT 'staging_metrics_per_org' AS table_name, (SELECT count(*) FROM staging) AS records, CAST(9 AS INTEGER) AS columns,
+       CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'staging_activation_goals', (SELECT count(*) FROM goals), 4, NULL
+UNION ALL SELECT 'mart_trial_goals', (SELECT count(*) FROM mart_goals), 13, NULL
+UNION ALL SELECT 'mart_trial_activation', (SELECT count(*) FROM mart_activation), 14, NULL"""))
