@@ -537,3 +537,16 @@ def q_mart_exports(spark, sf_dir):
     out_dir = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
     exports = mart_pipeline(fixture_log(spark, sf_dir), output_dir=out_dir, fmt="csv")["exports"]
     return exports.select("table_name", "records", "columns", "error")
+
+
+# ------------------------------------------------------------- exploratory program
+
+@query("exploratory_clean_log")
+def q_exploratory_clean_log(spark, sf_dir):
+    """The exploratory program's cleaned log from a raw text export with
+    duplicate copies and bad timestamps: dedup on the raw strings, typing,
+    P95 robustness filter."""
+    from convlens.plans.pipelines import exploratory_pipeline
+
+    raw = fixture_text_log(spark, sf_dir, with_duplicates=True)
+    return exploratory_pipeline(raw, typed=False, category_map=fixture_category_map(), through="clean")["clean_log"]

@@ -766,3 +766,23 @@ SELECT 'staging_metrics_per_org' AS table_name, (SELECT count(*) FROM staging) A
 UNION ALL SELECT 'staging_activation_goals', (SELECT count(*) FROM goals), 4, NULL
 UNION ALL SELECT 'mart_trial_goals', (SELECT count(*) FROM mart_goals), 13, NULL
 UNION ALL SELECT 'mart_trial_activation', (SELECT count(*) FROM mart_activation), 14, NULL"""))
+
+
+# ------------------------------------------------------------- exploratory program
+register("exploratory_clean_log", with_ctes(FIXTURE_CTE, DUP_CTE, body="""
+, text_dup AS (
+  SELECT CAST(ORGANIZATION_ID AS VARCHAR) AS ORGANIZATION_ID, ACTIVITY_NAME,
+         CASE WHEN EVENT_ID % 97 = 0 THEN 'garbage' ELSE CAST("TIMESTAMP" AS VARCHAR) END AS "TIMESTAMP",
+         CAST(CONVERTED AS VARCHAR) AS CONVERTED, CAST(CONVERTED_AT AS VARCHAR) AS CONVERTED_AT,
+         CAST(TRIAL_START AS VARCHAR) AS TRIAL_START, CAST(TRIAL_END AS VARCHAR) AS TRIAL_END, EVENT_ID
+  FROM dup_log),
+first_copy AS (
+  SELECT * FROM text_dup QUALIFY row_number() OVER (PARTITION BY ORGANIZATION_ID, ACTIVITY_NAME, "TIMESTAMP" ORDER BY EVENT_ID) = 1),
+typed2 AS (
+  SELECT ORGANIZATION_ID, ACTIVITY_NAME, TRY_CAST("TIMESTAMP" AS TIMESTAMP) AS "TIMESTAMP", TRY_CAST(CONVERTED AS BOOLEAN) AS CONVERTED,
+         TRY_CAST(CONVERTED_AT AS TIMESTAMP) AS CONVERTED_AT, TRY_CAST(TRIAL_START AS TIMESTAMP) AS TRIAL_START,
+         TRY_CAST(TRIAL_END AS TIMESTAMP) AS TRIAL_END, CAST(EVENT_ID AS BIGINT) AS EVENT_ID
+  FROM first_copy),
+sizes AS (SELECT ORGANIZATION_ID, count(*) AS n FROM typed2 WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
+cap AS (SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS p FROM sizes)
+SELECT * FROM typed2 WHERE ORGANIZATION_ID IN (SELECT ORGANIZATION_ID FROM sizes WHERE n >= 3 AND n <= (SELECT p FROM cap))"""))

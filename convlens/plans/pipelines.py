@@ -53,8 +53,11 @@ def mart_pipeline(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, output_dir
 
 
 def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, category_map=None,
-                         typed: bool = True, with_models: bool = False, output_path: str | None = None) -> dict[str, DataFrame]:
-    """``raw_log``: the log as read (text columns when ``typed=False``)."""
+                         typed: bool = True, with_models: bool = False, output_path: str | None = None,
+                         through: str = "all") -> dict[str, DataFrame]:
+    """``raw_log``: the log as read (text columns when ``typed=False``).
+    ``through="clean"`` stops after the cleaning phase (reports and the
+    cleaned log), without building features, segments, tests or models."""
     category_map = category_map if category_map is not None else PRODUCT_CATEGORY_MAP
     out: dict[str, DataFrame] = {}
     out["duplicate_report"] = clean.duplicate_report(raw_log, cols)
@@ -80,6 +83,8 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
         # every later step reads the cleaned log: write it once
         clean_log = materialize(clean_log, "clean_log")
     out["clean_log"] = clean_log
+    if through == "clean":
+        return out
     feat = features.activity_categories(features.temporal_features(clean_log, cols), category_map, cols)
     out["feature_log"] = feat
     out["temporal_feature_stats"] = features.temporal_feature_stats(feat)

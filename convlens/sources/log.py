@@ -115,10 +115,12 @@ def fixture_log_with_duplicates(spark: SparkSession, sf_dir: str, cols: LogColum
     return out.withColumn(order, F.col(order) + F.col("_copy") * F.lit(DUPLICATE_ID_OFFSET)).drop("_copy")
 
 
-def fixture_text_log(spark: SparkSession, sf_dir: str, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
+def fixture_text_log(spark: SparkSession, sf_dir: str, cols: LogColumns = DEFAULT_COLUMNS,
+                     with_duplicates: bool = False) -> DataFrame:
     """Fixture log as text, the way a CSV export arrives; the event time of
-    every 97th id is replaced by 'garbage' to exercise the typing report."""
-    log = fixture_log(spark, sf_dir, cols)
+    every 97th id is replaced by 'garbage' to exercise the typing report
+    (``with_duplicates``: starting from ``fixture_log_with_duplicates``)."""
+    log = fixture_log_with_duplicates(spark, sf_dir, cols) if with_duplicates else fixture_log(spark, sf_dir, cols)
     order = cols.order or "EVENT_ID"
     return log.select(
         F.col(cols.org).cast("string").alias(cols.org),
