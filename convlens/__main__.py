@@ -2,9 +2,13 @@
 
     python -m convlens mart    LOG_PATH OUT_DIR [--format csv|parquet] [--input-format csv|parquet]
     python -m convlens explore LOG_PATH OUT_DIR [--models] [--format ...] [--input-format ...]
+    python -m convlens live    LOG_DIR  OUT_DIR [--input-format ...] [--lateness "7 days"] [--available-now]
 
 ``mart`` writes the four mart tables plus stats and checks; ``explore`` writes
-the cleaned log and every report of the exploratory program.  Each output is a
+the cleaned log and every report of the exploratory program; ``live`` follows
+a folder that receives log files and keeps the staging counts current
+(OUT_DIR/staging holds the updates, OUT_DIR/stream-checkpoint the stream
+state; the staging table is then ``streaming.live_mart.live_staging_metrics``).  Each output is a
 folder under OUT_DIR.  The session comes from ``spark-submit`` / the cluster
 defaults; nothing here sets cluster resources.
 """
@@ -19,12 +23,14 @@ from pyspark.sql import SparkSession
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="convlens")
-    ap.add_argument("program", choices=["mart", "explore"])
+    ap.add_argument("program", choices=["mart", "explore", "live"])
     ap.add_argument("log_path")
     ap.add_argument("out_dir")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--input-format", default="csv", choices=["parquet", "csv"])
     ap.add_argument("--models", action="store_true")
+    ap.add_argument("--lateness", default="7 days")
+    ap.add_argument("--available-now", action="store_true")
     a = ap.parse_args(argv)
 
     from convlens.operators.clean import type_log
@@ -35,6 +41,22 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName(f"convlens-{a.program}").getOrCreate()
     ensure_checkpoint_dir(spark)
+    if a.program == "live":
+        from convlens.streaming.live_mart import start_live_staging
+
+        files = spark.read.option("recursiveFileLookup", "true")  # schema from the files already there
+        sample = read_log(spark, files.option("header", True).csv(a.log_path) if a.input_format == "csv"
+                          else files.parquet(a.log_path))
+        typed = type_log(sample) if a.input_format == "csv" else sample
+        reader = spark.readStream.schema(sample.schema).option("recursiveFileLookup", "true")
+        stream = reader.option("header", True).csv(a.log_path) if a.input_format == "csv" else reader.parquet(a.log_path)
+        if a.input_format == "csv":
+            stream = type_log(stream)
+        stream = stream.select(*typed.columns)
+        q = start_live_staging(stream, os.path.join(a.out_dir, "staging"), os.path.join(a.out_dir, "stream-checkpoint"),
+                               lateness=a.lateness, available_now=a.available_now)
+        q.awaitTermination()
+        return
     raw = read_log(spark, a.log_path, a.input_format)
     if a.program == "mart":
         log = type_log(raw) if a.input_format == "csv" else raw
