@@ -34,10 +34,9 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
 
     from convlens.operators.clean import type_log
-    from convlens.plans.pipelines import exploratory_pipeline, mart_pipeline
+    from convlens.plans.pipelines import exploratory_pipeline, mart_pipeline, run_outputs
     from convlens.session import ensure_checkpoint_dir
     from convlens.sources.log import read_log
-    from convlens.sources.sinks import write_table
 
     spark = SparkSession.builder.appName(f"convlens-{a.program}").getOrCreate()
     ensure_checkpoint_dir(spark)
@@ -66,9 +65,7 @@ def main(argv: list[str] | None = None) -> None:
         out = exploratory_pipeline(raw, typed=a.input_format != "csv", with_models=a.models,
                                    output_path=os.path.join(a.out_dir, "data_clean"))
         skip = {"clean_log"}
-    for name, df in out.items():
-        if name not in skip:
-            write_table(df, os.path.join(a.out_dir, name), a.format)
+    run_outputs(out, a.out_dir, a.format, skip=skip)
 
 
 if __name__ == "__main__":

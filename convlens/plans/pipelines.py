@@ -113,3 +113,29 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
         m = models.build_models(org, cols.org)
         out["model_comparison"], out["feature_importance"] = m["comparison"], m["importance"]
     return out
+
+
+def run_outputs(outputs: dict[str, DataFrame], out_dir: str | None = None, fmt: str = "parquet",
+                max_workers: int = 8, skip: set[str] | None = None) -> dict[str, float]:
+    """Execute every output of a pipeline: written under ``out_dir/<name>``,
+    or run to completion without output when ``out_dir`` is None.  The
+    outputs are independent actions, so they are submitted concurrently from
+    driver threads and the scheduler interleaves their tasks.  Returns the
+    seconds each took."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from convlens.sources.sinks import write_table
+
+    def run(item):
+        name, df = item
+        t0 = time.time()
+        if out_dir is None:
+            df.write.format("noop").mode("overwrite").save()
+        else:
+            write_table(df, f"{out_dir.rstrip('/')}/{name}", fmt)
+        return name, time.time() - t0
+
+    items = [(n, d) for n, d in outputs.items() if n not in (skip or set())]
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
+        return dict(pool.map(run, items))
