@@ -66,6 +66,13 @@ def main(argv: list[str] | None = None) -> None:
                                    output_path=os.path.join(a.out_dir, "data_clean"))
         skip = {"clean_log"}
     run_outputs(out, a.out_dir, a.format, skip=skip)
+    # the console report of each program: small result tables only
+    report = (["summary", "staging_activation_goals", "completion_stats", "performance_stats", "quality_checks"]
+              if a.program == "mart" else ["log_summary", "rule_results", "robust_filter_impact", "hypothesis_tests"])
+    for name in report:
+        if name in out:
+            print(f"== {name}")
+            out[name].show(truncate=False)
 
 
 if __name__ == "__main__":
