@@ -5,7 +5,9 @@ Plan
 log stream -> mart week rule (stateless projection)
            -> watermark on the trial end (a trial's counts are final once the
               stream has moved ``lateness`` past its end)
-           -> dropDuplicatesWithinWatermark on (org, activity, timestamp)
+           -> dropDuplicatesWithinWatermark on (org, activity, timestamp), in
+              two stages (salted, then by key) so a hot group of copies is
+              spread over tasks
            -> groupBy(org, trial_week, trial_end).agg(count, trial facts)
               (streaming aggregation: partial aggregation map-side, state in
               the state store, evicted by the watermark; update mode)
@@ -33,11 +35,25 @@ from convlens.operators.mart import prepare_log
 KEY = ["org_id", "trial_week"]
 
 
-def week_count_updates(log_stream: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, lateness: str = "7 days") -> DataFrame:
-    """Streaming aggregate of activities per (org, trial week)."""
+DEDUP_SALTS = 16
+
+
+def week_count_updates(log_stream: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, lateness: str = "7 days",
+                       salts: int = DEDUP_SALTS) -> DataFrame:
+    """Streaming aggregate of activities per (org, trial week).
+
+    Duplicates are dropped in two stages: first on (key, random salt), which
+    spreads a group of copies over ``salts`` tasks and drops most of it there,
+    then on the key alone, which sees at most ``salts`` survivors per key.
+    The second stage alone decides what is kept (one row per key within the
+    watermark), so the result does not depend on the salt."""
     order = F.col(cols.order) if cols.order else F.col(cols.ts)
     prepared = prepare_log(log_stream, cols).withColumn("_trial_end_event", F.col(cols.trial_end).cast("timestamp"))
-    deduped = prepared.withWatermark("_trial_end_event", lateness).dropDuplicatesWithinWatermark(cols.dedup_key)
+    watermarked = prepared.withWatermark("_trial_end_event", lateness)
+    if salts > 1:
+        watermarked = watermarked.withColumn("_salt", (F.rand(42) * salts).cast("int")).dropDuplicatesWithinWatermark(
+            [*cols.dedup_key, "_salt"]).drop("_salt")
+    deduped = watermarked.dropDuplicatesWithinWatermark(cols.dedup_key)
     return deduped.filter(F.col(cols.org).isNotNull()).groupBy(
         F.col(cols.org).alias("org_id"), "trial_week", "_trial_end_event"
     ).agg(

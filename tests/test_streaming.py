@@ -65,3 +65,25 @@ def test_watermark_closes_trials_and_drops_late_rows(spark):
     q.awaitTermination(300)
     live = {r.org_id: r.total_activities for r in live_staging_metrics(spark, os.path.join(root, "staging")).collect()}
     assert live == {"A": 2, "B": 1}
+
+
+def test_hot_group_of_copies_counted_once(spark):
+    from datetime import datetime, timedelta
+
+    from tests.helpers import LOG_SCHEMA
+
+    t0 = datetime(2024, 1, 1)
+    root = tempfile.mkdtemp(prefix="convlens-hot-")
+    src = os.path.join(root, "in")
+    hot = ("H", "x", t0 + timedelta(days=2), False, None, t0, t0 + timedelta(days=30))
+    for i in range(3):  # 3 micro-batches, 200 exact copies each, plus one normal row
+        rows = [hot + (i * 1000 + j,) for j in range(200)]
+        rows.append(("N", "y", t0 + timedelta(days=i + 1), False, None, t0, t0 + timedelta(days=30), 5000 + i))
+        spark.createDataFrame(rows, LOG_SCHEMA).write.mode("overwrite").parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), lateness="3650 days",
+                           available_now=True)
+    q.awaitTermination(300)
+    live = {r.org_id: r.total_activities for r in live_staging_metrics(spark, os.path.join(root, "staging")).collect()}
+    assert live == {"H": 1, "N": 3}
