@@ -77,14 +77,6 @@ def staging_metrics(prepared: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) ->
     )
 
 
-def week1_threshold(staging: DataFrame) -> F.Column:
-    """P75 (linear interpolation) of week-1 activities over converted orgs;
-    10.0 when nobody converted.  A scalar subquery."""
-    return staging.filter(F.col("converted")).agg(
-        F.coalesce(F.percentile(F.col("week1_activities").cast("double"), WEEK1_PERCENTILE), F.lit(WEEK1_FALLBACK)).alias("t")
-    ).scalar()
-
-
 def activation_goals(staging: DataFrame) -> DataFrame:
     """``staging_activation_goals``: three goals, the first derived from the
     data.  Built from a one-row aggregate of the staging table."""

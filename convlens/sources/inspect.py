@@ -8,16 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def unpivot_rows(one_row: DataFrame, rows: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
-    """Turn a one-row aggregate into ``len(rows)`` rows: ``rows`` is
-    [(label, [column names of that row's values])]."""
-    structs = []
-    for label, cols in rows:
-        fields = [F.lit(label).alias(names[0])] + [F.col(c).alias(n) for c, n in zip(cols, names[1:])]
-        structs.append(F.struct(*fields))
-    return one_row.select(F.inline(F.array(*structs)))
-
-
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: data type, null count, null % and distinct count, plus the
     row and column counts of the frame.  ``approximate=True`` uses HyperLogLog
