@@ -63,7 +63,8 @@ def feature_histograms(org_table: DataFrame, features: list[str] | None = None,
     """Density histograms: ``bins`` equal bins over each (feature, group)'s own
     range, nulls dropped; a constant group uses [x - 0.5, x + 0.5].  Rows:
     (feature, group, bin, bin_start, bin_end, count, density), all bins
-    present.  The per-(feature, group) range table has 2 x len(features) rows."""
+    present.  With a boolean group the per-(feature, group) range table has
+    at most 3 x len(features) rows and is broadcast."""
     features = features or HISTOGRAM_FEATURES
     long = org_table.select(group_col, F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
@@ -75,7 +76,10 @@ def feature_histograms(org_table: DataFrame, features: list[str] | None = None,
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"),
     )
-    binned = long.join(F.broadcast(ranges), ["feature", group_col]).select(
+    # a boolean group gives at most 3 x len(features) range rows: provably
+    # small, so broadcast; any other group column is left to AQE
+    bounded = dict(org_table.dtypes).get(group_col) == "boolean"
+    binned = long.join(F.broadcast(ranges) if bounded else ranges, ["feature", group_col]).select(
         "feature", group_col,
         F.least(F.floor((F.col("value") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))).cast("int"),
                 F.lit(bins - 1)).alias("bin"))
