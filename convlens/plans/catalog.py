@@ -519,7 +519,15 @@ def q_live_staging(spark, sf_dir):
     (with duplicate copies, which the stream must drop) replayed as four
     time-ordered file groups, run to completion; equals the batch table."""
     base = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
-    stream = replay_as_stream(fixture_log_with_duplicates(spark, sf_dir), base)
+    # the stream's state store has one partition per shuffle partition, fixed
+    # at its first run: size it to the cluster's parallelism in an isolated
+    # session (same context, own SQL conf) instead of changing the caller's
+    live = spark.newSession()
+    try:
+        live.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the session's setting
+        pass
+    stream = replay_as_stream(fixture_log_with_duplicates(live, sf_dir), base)
     q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="3650 days",
                            available_now=True)
     q.awaitTermination(1800)
