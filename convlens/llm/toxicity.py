@@ -1,10 +1,11 @@
 """Operator 4: toxic passages as maximum-scoring segments of token log-odds.
 
-1. Word counts of the labelled texts by class, in 2^20 hashed places (so the
-   table has a fixed size whatever the vocabulary), become log-odds under a
-   Dirichlet prior proportional to the counts of both classes together; places
-   whose log-odds are not ``MIN_Z`` standard errors from 0 count as 0.  Every
-   word also pays ``DRIFT``, so that a random text's score falls.
+1. Counts of the labelled texts by class that hold a word, or a stem (the first
+   ``STEMS`` bytes of a word), in 2^20 hashed places (so the table has a fixed size whatever
+   the vocabulary), become log-odds under a Dirichlet prior proportional to the
+   counts of both classes together; places whose log-odds are not ``MIN_Z``
+   standard errors from 0 count as 0.  A word scores its own log-odds, or its
+   longest stem's where it has none, and pays ``DRIFT``, so that a random text's score falls.
 2. A linear scan finds all maximal-scoring segments of a text (the greatest,
    then the greatest left and right of it, and so on).
 3. Scores are calibrated by extreme values: ``lambda`` solves
@@ -37,8 +38,8 @@ from convlens.llm.common import table
 PLACES = 1 << 20
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 50_000
-#: Strength of the Dirichlet prior in words, least standard errors, cost of a word.
-PRIOR_WORDS, MIN_Z, DRIFT = 5_000.0, 3.0, 0.3
+#: Strength of the Dirichlet prior in counts, least standard errors, cost of a word, bytes of stems.
+PRIOR_COUNTS, MIN_Z, DRIFT, STEMS = 5_000.0, 3.0, 0.3, (6, 4)
 #: Segments expected in a clean text at most, for a passage to count as significant.
 MAX_E_VALUE = 0.1
 
@@ -51,12 +52,28 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def places_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(crc32, words), np.uint32, len(words)) & np.uint32(PLACES - 1)
+    """A row for the words and one for each length of stem."""
+    out = np.empty((1 + len(STEMS), len(words)), np.uint32)
+    out[0] = np.fromiter(map(crc32, words), np.uint32, len(words))
+    for k, n in enumerate(STEMS, 1):
+        cut = [w[:n] for w in words]
+        places = {w: crc32(b"^" + w) for w in set(cut)}
+        out[k] = np.fromiter(map(places.__getitem__, cut), np.uint32, len(words))
+    return out & np.uint32(PLACES - 1)
+
+
+def word_scores(odds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A word's own log-odds or those of its longest stem that has any, less the drift."""
+    out = odds[places[-1]]
+    for row in places[-2::-1]:
+        own = odds[row]
+        out = np.where(own != 0, own, out)
+    return out - np.float32(DRIFT)
 
 
 @dataclass
 class ToxicityModel:
-    scores: np.ndarray  # float32[PLACES]
+    odds: np.ndarray  # float32[PLACES]
     lam: float
     log_k: float
     weights: np.ndarray  # of 1, surprise of the best segment, summed surprise
@@ -105,7 +122,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     both = toxic + clean
     if not toxic.sum() or not clean.sum():
         return np.zeros(len(both), np.float32)
-    prior = PRIOR_WORDS * (both + 0.01) / (both.sum() + 0.01 * len(both))
+    prior = PRIOR_COUNTS * (both + 0.01) / (both.sum() + 0.01 * len(both))
     a, b = toxic + prior, clean + prior
     n_a, n_b = a.sum(), b.sum()
     odds = np.log(a / (n_a - a)) - np.log(b / (n_b - b))
@@ -158,7 +175,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
         sums = np.zeros((2, PLACES), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                np.add.at(sums[toxic], places_of(words_of(text)), 1)
+                sums[toxic][np.unique(places_of(words_of(text)))] += 1
         used = np.flatnonzero(sums.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[1][used]), pa.array(sums[0][used])], ["place", "toxic", "clean"])
 
@@ -167,14 +184,14 @@ def fit(rows: DataFrame) -> ToxicityModel:
     toxic, clean = np.zeros(PLACES), np.zeros(PLACES)
     place = got["place"].to_numpy()
     toxic[place], clean[place] = got["toxic"].to_numpy(), got["clean"].to_numpy()
-    scores = log_odds(toxic, clean) - np.float32(DRIFT)
-    model = ToxicityModel(scores, _solve_lambda(scores, clean), 0.0, np.zeros(3))
+    odds = log_odds(toxic, clean)
+    model = ToxicityModel(odds, _solve_lambda(odds - DRIFT, clean), 0.0, np.zeros(3))
 
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(p), [s for *_, s in maximal_segments(shared.value.scores[p])]) for p in (places_of(words_of(t)) for t in batch.column(0).to_pylist())]
+            found = [(p.shape[1], [s for *_, s in maximal_segments(word_scores(shared.value.odds, p))]) for p in (places_of(words_of(t)) for t in batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["toxic", "n", "s"])
 
     # a row of numbers for each of at most max_labelled texts
@@ -207,9 +224,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores, passages = [], []
             for text in batch.column(0):
                 p = places_of(words_of(text.as_py()))
-                found = maximal_segments(m.scores[p])
-                scores.append(m.probability(m.features(found, len(p))))
-                each = [{"begin": b, "end": e, "score": s, "e_value": float(np.exp(-m.surprise(s, len(p))))} for b, e, s in found]
+                n = p.shape[1]
+                found = maximal_segments(word_scores(m.odds, p))
+                scores.append(m.probability(m.features(found, n)))
+                each = [{"begin": b, "end": e, "score": s, "e_value": float(np.exp(-m.surprise(s, n)))} for b, e, s in found]
                 passages.append([x for x in each if x["e_value"] <= MAX_E_VALUE])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], [*batch.schema.names[1:], "score", "passages"])
 
