@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +36,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def distinct_count_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows (counted exactly; the guard in front of a broadcast)."""
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] <= bound
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, at_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches hold a fixed number of rows, however long; cut them so
+    that a piece holds about ``at_most`` bytes (or list entries) of ``column``."""
+    for batch in batches:
+        col = batch.column(batch.schema.get_field_index(column))
+        lengths = pc.list_value_length(col) if pa.types.is_list(col.type) else pc.binary_length(col)
+        part = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // at_most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

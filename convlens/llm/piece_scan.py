@@ -33,7 +33,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import TOKENIZER_DIR, store, table
+from convlens.llm.common import TOKENIZER_DIR, pieces, store, table
 from convlens.llm.word_cache import UnitEncoder
 
 SPACE = "▁"
@@ -195,7 +195,7 @@ def backtrace(model: Model, s: str, lo: int, hi: int, last: bool, a: State, b: S
 
 def _encode_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = _model(path)
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         ids = model.encode([t or "" for t in batch.column(0).to_pylist()])
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
         flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -275,7 +275,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _model(model_path).sp
-        for batch in batches:
+        for batch in pieces(batches, "token_ids"):
             texts = [sp.decode(x) if x else "" for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convlens.llm.common import TOKENIZER_DIR, shared_path, store, table
+from convlens.llm.common import TOKENIZER_DIR, pieces, shared_path, store, table
 from convlens.llm.word_cache import UnitEncoder
 
 MAGIC, HEAD = b"TIDS", struct.Struct("<4sB3xI4xQ")
@@ -119,7 +119,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
         end = np.array([end_id], dtype="<u4").tobytes()
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             texts = (t.as_py() or "" for t in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 held.append((doc_id, np.frombuffer(ids + end, dtype="<u4")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import table
+from convlens.llm.common import pieces, table
 
 PLACES = 1 << 20
 #: Labelled rows that the model is fitted on, at most.
@@ -173,7 +173,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, PLACES), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[toxic][np.unique(places_of(words_of(text)))] += 1
         used = np.flatnonzero(sums.sum(0))
@@ -190,7 +190,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             found = [(p.shape[1], [s for *_, s in maximal_segments(word_scores(shared.value.odds, p))]) for p in (places_of(words_of(t)) for t in batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["toxic", "n", "s"])
 
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             scores, passages = [], []
             for text in batch.column(0):
                 p = places_of(words_of(text.as_py()))

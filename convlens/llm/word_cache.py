@@ -13,9 +13,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 #: Characters of texts whose units are held at once.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Units kept by a worker between batches, and the longest one kept.
-CACHE_UNITS, CACHE_UNIT_CHARS = 1_000_000, 40
+CACHE_UNITS, CACHE_UNIT_CHARS = 750_000, 40
 
 _ASCII_SPACES = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　] ")
