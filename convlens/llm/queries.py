@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.token_shards import op5_token_shards
 from convlens.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_shards": op5_token_shards,
     "op6_sentencepiece": op6_sentencepiece,
