@@ -6,12 +6,14 @@ from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.token_shards import op5_token_shards
 from convlens.llm.toxicity import op4_toxicity
+from convlens.llm.url_rules import OP10_SQL, op10_url_verdicts
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_shards": op5_token_shards,
     "op6_sentencepiece": op6_sentencepiece,
+    "op10_url_verdicts": op10_url_verdicts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL}
