@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from convlens.llm.chat import op3_chat
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.token_shards import op5_token_shards
 from convlens.llm.toxicity import op4_toxicity
 from convlens.llm.url_rules import OP10_SQL, op10_url_verdicts
+from convlens.llm.warc import op9_warc
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
     "op5_token_shards": op5_token_shards,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_warc": op9_warc,
     "op10_url_verdicts": op10_url_verdicts,
 }
 
