@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from convlens.llm.chat import op3_chat
+from convlens.llm.fingerprints import op7_fingerprints
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.token_shards import op5_token_shards
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_token_shards": op5_token_shards,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_fingerprints": op7_fingerprints,
     "op9_warc": op9_warc,
     "op10_url_verdicts": op10_url_verdicts,
 }
