@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from convlens.llm.common import store, table
 
 K, SHINGLE = 128, 5
+#: Stands for a null id while documents are ordered; not an id itself.
+NO_ID = -(2**63)
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -107,14 +109,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     that one takes of it, its first code points and its sketch."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
     order = store(rows_before(rows.select("d", "h", F.length("text").alias("n")).distinct(), ["d", "h"]).select("d", "h", "before"), "order")
     # both uses of the texts by (d, h) read one exchange; the join leaves them sorted for the grouping of repeated rows
-    sent = rows.select("d", "h", "text").join(order.hint("merge"), ["d", "h"]).groupBy("d", "h").agg(F.first("text").alias("text"), F.first("before").alias("before"))
+    sent = rows.join(order.hint("merge"), ["d", "h"]).groupBy("d", "h").agg(F.first("text").alias("text"), F.first("before").alias("before"))
     sent = sent.select(F.col("before.d").alias("d"), F.col("before.h").alias("h"), F.expr("left(text, before.n div 3)").alias("head"), sketch(F.col("text")).alias("of_next"))
     taken = rows.join(sent.hint("merge"), ["d", "h"])
     n = F.length("text")
-    edited = taken.select("doc_id", n.alias("n_chars"), "text", F.expr("concat(left(text, length(text) - length(text) div 3), head)").alias("edited"), "of_next")
+    edited = taken.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), n.alias("n_chars"), "text", F.expr("concat(left(text, length(text) - length(text) div 3), head)").alias("edited"), "of_next")
     both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), "of_next")
     return both.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
