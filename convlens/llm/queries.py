@@ -6,6 +6,7 @@ from convlens.llm.chat import op3_chat
 from convlens.llm.fingerprints import op7_fingerprints
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
+from convlens.llm.repeats import op8_repeats
 from convlens.llm.token_shards import op5_token_shards
 from convlens.llm.toxicity import op4_toxicity
 from convlens.llm.url_rules import OP10_SQL, op10_url_verdicts
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_shards": op5_token_shards,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_fingerprints": op7_fingerprints,
+    "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_url_verdicts": op10_url_verdicts,
 }
