@@ -48,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, regs) of every document."""
+    """(doc_id, checksum, n_shingles, k1, k2, regs) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -61,9 +61,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 a, b = hm.set_key(s)
                 n.append(len(s)), k1.append(a), k2.append(b)
                 regs.append(hm.registers(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "checksum", "n_shingles", "k1", "k2", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), checksum().alias("checksum")).mapInArrow(run, "doc_id long, checksum long, n_shingles long, k1 long, k2 long, regs binary")
+
+
+def checksum() -> Column:
+    return F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -185,7 +189,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``:
+    """(doc_id, n_shingles, component_id, kept, checksum of the text) of every row of ``docs``:
     documents are linked if ``100 * |A and B| >= percent * |A or B|`` for their
     sets of distinct ``shingle``-word shingles (fewer words: the whole sequence).
     ``component_id`` is the least doc_id that links reach; rows with a null id
@@ -210,12 +214,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_linked = linked.join(first, "component").select("k1", "k2", F.col("component_id").alias("linked_id"))
     of_set = nodes.select("k1", "k2", F.col("doc_id").alias("set_id")).join(of_linked, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("linked_id", "set_id").alias("class_id"))
-    out = sk.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
+    out = sk.select("doc_id", "checksum", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "checksum")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of every class, with all its columns: the least id's, of rows with
+    that id the one of least checksum, of equal rows any one.  Rows with a null id stay."""
+    rows = store(near_duplicates(docs, shingle, percent).where("doc_id IS NOT NULL").groupBy("doc_id", "checksum", "component_id", "kept").agg(F.count(F.lit(1)).alias("n")), "near_rows")
+    one = rows.where("kept").groupBy("doc_id", "component_id").agg(F.min("checksum").alias("least"))
+    judged = rows.join(one, ["doc_id", "component_id"], "left").withColumn("stays", F.col("kept") & (F.col("checksum") == F.col("least")))
+    # rows that go, and rows that are there several times: few against the table
+    special = store(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("checksum").alias("_sum"), "stays"), "near_special")
+    special = F.broadcast(special) if distinct_count_at_most(special, BROADCAST_ROWS) else special
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (checksum() == F.col("_sum"))
+    single = docs.join(special, same, "left_anti")
+    several = docs.join(special.where("stays"), same).dropDuplicates(["_id", "_sum"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return single.unionByName(several)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: two-word shingles of every whole document."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("checksum")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from convlens.llm.chat import op3_chat
+from convlens.llm.decontam import op1_decontamination
 from convlens.llm.fingerprints import op7_fingerprints
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
@@ -13,6 +14,7 @@ from convlens.llm.url_rules import OP10_SQL, op10_url_verdicts
 from convlens.llm.warc import op9_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,

@@ -235,6 +235,23 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("text", *[F.col(f"`{c}`") for c in others]).mapInArrow(run, f"{ddl}score double, passages array<struct<begin: int, end: int, score: double, e_value: double>>")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``at``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in pieces(batches, "text"):
+            keep = []
+            for text in batch.column(where):
+                p = places_of(words_of(text.as_py()))
+                keep.append(m.probability(m.features(maximal_segments(word_scores(m.odds, p)), p.shape[1])) < at)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Rows of the fold that is never learnt from (a null id belongs to no fold)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

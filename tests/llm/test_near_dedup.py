@@ -58,13 +58,13 @@ def test_equals_all_pairs(spark, rows, monkeypatch, blocks):
     monkeypatch.setattr(nd, "FAMILY_BLOCK", blocks)
     data = corpus(3) + EDGES
     docs = rows([(d, t, 1, "k") for d, t in data], "doc_id long, text string, node int, family string")
-    got = nd.near_duplicates(docs, 2, 80).collect()
+    got = nd.near_duplicates(docs, 2, 80).drop("checksum").collect()
     assert sorted(map(tuple, got), key=repr) == brute(data, 2)
 
 
 def test_five_words(spark, rows):
     data = corpus(8)
-    assert sorted(map(tuple, nd.near_duplicates(rows(data, "doc_id long, text string")).collect()), key=repr) == brute(data, 5)
+    assert sorted(map(tuple, nd.near_duplicates(rows(data, "doc_id long, text string")).drop("checksum").collect()), key=repr) == brute(data, 5)
 
 
 def test_empty_table(spark, rows):
