@@ -1,7 +1,7 @@
 """Command line: the two programs on an activity-log export.
 
     python -m convlens mart    LOG_PATH OUT_DIR [--format csv|parquet] [--input-format csv|parquet]
-    python -m convlens explore LOG_PATH OUT_DIR [--models] [--format ...] [--input-format ...]
+    python -m convlens explore LOG_PATH OUT_DIR [--no-models] [--format ...] [--input-format ...]
     python -m convlens live    LOG_DIR  OUT_DIR [--input-format ...] [--lateness "7 days"] [--available-now]
 
 ``mart`` writes the four mart tables plus stats and checks; ``explore`` writes
@@ -28,11 +28,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("out_dir")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--input-format", default="csv", choices=["parquet", "csv"])
-    ap.add_argument("--models", action="store_true")
+    ap.add_argument("--no-models", action="store_true")
     ap.add_argument("--lateness", default="7 days")
     ap.add_argument("--available-now", action="store_true")
     a = ap.parse_args(argv)
 
+    from dataclasses import replace
+
+    from convlens.columns import DEFAULT_COLUMNS
     from convlens.operators.clean import type_log
     from convlens.plans.pipelines import exploratory_pipeline, mart_pipeline, run_outputs
     from convlens.session import ensure_checkpoint_dir
@@ -44,16 +47,17 @@ def main(argv: list[str] | None = None) -> None:
         from convlens.streaming.live_mart import start_live_staging
 
         files = spark.read.option("recursiveFileLookup", "true")  # schema from the files already there
-        sample = read_log(spark, files.option("header", True).csv(a.log_path) if a.input_format == "csv"
-                          else files.parquet(a.log_path))
-        typed = type_log(sample) if a.input_format == "csv" else sample
+        sample = files.option("header", True).csv(a.log_path) if a.input_format == "csv" else files.parquet(a.log_path)
+        # a log without the order column is ordered by its event times: a stream has no file order
+        cols = DEFAULT_COLUMNS if DEFAULT_COLUMNS.order in sample.columns else replace(DEFAULT_COLUMNS, order=None)
+        typed = type_log(sample, cols) if a.input_format == "csv" else sample
         reader = spark.readStream.schema(sample.schema).option("recursiveFileLookup", "true")
         stream = reader.option("header", True).csv(a.log_path) if a.input_format == "csv" else reader.parquet(a.log_path)
         if a.input_format == "csv":
-            stream = type_log(stream)
+            stream = type_log(stream, cols)
         stream = stream.select(*typed.columns)
         q = start_live_staging(stream, os.path.join(a.out_dir, "staging"), os.path.join(a.out_dir, "stream-checkpoint"),
-                               lateness=a.lateness, available_now=a.available_now)
+                               cols=cols, lateness=a.lateness, available_now=a.available_now)
         q.awaitTermination()
         return
     raw = read_log(spark, a.log_path, a.input_format)
@@ -62,8 +66,8 @@ def main(argv: list[str] | None = None) -> None:
         out = mart_pipeline(log, output_dir=os.path.join(a.out_dir, "tables"), fmt=a.format)
         skip = {"staging_metrics_per_org", "staging_activation_goals", "mart_trial_goals", "mart_trial_activation"}
     else:
-        out = exploratory_pipeline(raw, typed=a.input_format != "csv", with_models=a.models,
-                                   output_path=os.path.join(a.out_dir, "data_clean"))
+        out = exploratory_pipeline(raw, typed=a.input_format != "csv", with_models=not a.no_models,
+                                   output_path=os.path.join(a.out_dir, "data_clean"), output_format=a.format)
         skip = {"clean_log"}
     run_outputs(out, a.out_dir, a.format, skip=skip)
     # the console report of each program: small result tables only

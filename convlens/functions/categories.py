@@ -56,9 +56,6 @@ def fixture_category_map(variants: int = 6) -> dict[str, str]:
     return {f"{t}.{n}": cat for t, cat in by_type.items() for n in range(variants)}
 
 
-MAX_BROADCAST_MAPPING_ROWS = 100_000
-
-
 def category_lookup(activity: Column, mapping: Mapping[str, str]) -> Column:
     """Literal map lookup; null when unmapped."""
     if not mapping:
@@ -74,11 +71,9 @@ def attach_category(df: DataFrame, activity_col: str, mapping, out_col: str = "a
     """Add ``out_col``: the mapped category, or 'Other' when unmapped
     (``keep_null=True`` leaves the null, to list unmapped names)."""
     if isinstance(mapping, DataFrame):
-        n = mapping.count()
-        if n > MAX_BROADCAST_MAPPING_ROWS:
-            raise ValueError(f"category mapping has {n} rows; expected a dictionary-sized table")
-        m = mapping.toDF("_act", "_cat").dropDuplicates(["_act"])
-        out = df.join(F.broadcast(m), df[activity_col] == m["_act"], "left").drop("_act")
+        # an activity that is listed twice takes the alphabetically first category
+        m = mapping.toDF("_act", "_cat").groupBy("_act").agg(F.min("_cat").alias("_cat"))
+        out = df.join(m, df[activity_col] == m["_act"], "left").drop("_act")
         cat = F.col("_cat")
         out = out.withColumn(out_col, cat if keep_null else F.coalesce(cat, F.lit(OTHER))).drop("_cat")
         return out

@@ -18,28 +18,16 @@ from pyspark.sql import functions as F
 from convlens.session import materialize
 
 
-# Inputs with at most this many rows (counted first) take one plain window:
-# a single task sorting a bounded, proven-small table is cheaper than the
-# range shuffle + checkpoint + join of the sliced path.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
 def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group_cols: list[str] | None = None,
-                   slices: int | None = None, inclusive: bool = False, prefix: str = "before_",
-                   single_task_max_rows: int | None = None) -> DataFrame:
+                   slices: int | None = None, inclusive: bool = False, prefix: str = "before_") -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``value_cols``: the sum of ``c``
     over the rows of the same group that come strictly before this row in
     ``order_cols`` order (``inclusive=True`` includes the row).  The order
-    must be total (add a tiebreak column) for a deterministic result."""
+    must be total (add a tiebreak column) for a deterministic result.  Null
+    group values form groups like any other value."""
     group_cols = list(group_cols or [])
     spark = df.sparkSession
-    limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
     frame_end = Window.currentRow if inclusive else -1
-    # bounded check: stops reading as soon as more than `limit` rows are seen
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
-        ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-        w = Window.partitionBy(*group_cols).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(prefix + c) for c in value_cols])
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     # The slice id is read once and written to the shared checkpoint folder:
@@ -54,15 +42,19 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     w_prev = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*group_cols, "_slice",
                             *[F.coalesce(F.sum(f"_tot_{c}").over(w_prev), F.lit(0)).alias(f"_off_{c}") for c in value_cols])
-    out = local.join(offsets, [*group_cols, "_slice"])
+    offsets = offsets.select(F.col("_slice").alias("_s"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)],
+                             *[f"_off_{c}" for c in value_cols])
+    same = F.col("_slice") == F.col("_s")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = local.join(offsets, same)
     return out.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(prefix + c) for c in value_cols])
 
 
 def position_in_group(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "position",
-                      slices: int | None = None, single_task_max_rows: int | None = None) -> DataFrame:
+                      slices: int | None = None) -> DataFrame:
     """0-based position of each row inside its group in ``order_cols`` order."""
     one = "_one"
-    out = running_totals(df.withColumn(one, F.lit(1)), order_cols, [one], group_cols, slices, prefix="_p",
-                         single_task_max_rows=single_task_max_rows)
+    out = running_totals(df.withColumn(one, F.lit(1)), order_cols, [one], group_cols, slices, prefix="_p")
     return out.withColumnRenamed("_p" + one, name).drop(one)
 

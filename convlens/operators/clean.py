@@ -3,7 +3,7 @@
 Scale notes
 -----------
 * Keep-first dedup is an aggregation, not a window: ``groupBy(key)`` with
-  ``min_by(row, order)``.  Partial aggregation collapses copies map-side, so a
+  ``min_by`` per column (or of the row).  Partial aggregation collapses copies map-side, so a
   group of copies holding a third of the log costs one small shuffle record
   per map task instead of one task sorting a third of the data.
 * Every report is one aggregation pass; per-column rows are produced by an
@@ -30,13 +30,20 @@ MAX_ACTIVITIES_PERCENTILE = 0.95
 
 # ------------------------------------------------------------------ C1 / C2
 
+_FIXED_WIDTH = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
 def drop_duplicate_events(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Remove duplicates on (org, activity, timestamp), keeping the first row
-    in input order (``cols.order``)."""
+    in input order (``cols.order``, distinct among copies).  Logs whose other
+    columns have fixed width are hash-aggregated; strings need the sort aggregate."""
     key = cols.dedup_key
     if not cols.order:
         return log.dropDuplicates(key)
     others = [c for c in log.columns if c not in key]
+    if all(log.schema[c].dataType.typeName() in _FIXED_WIDTH for c in others):
+        # a minimum per column is a hash aggregate on both sides of the shuffle
+        kept = log.groupBy(*key).agg(*[F.min_by(F.col(c), F.col(cols.order)).alias(c) for c in others])
+        return kept.select(*log.columns)
     kept = log.groupBy(*key).agg(F.min_by(F.struct(*others), F.col(cols.order)).alias("_row"))
     return kept.select(*key, "_row.*").select(*log.columns)
 

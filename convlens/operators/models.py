@@ -17,9 +17,12 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +113,8 @@ def _weights(kind: str, model) -> list[float]:
 
 def build_models(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
                  seed: int = SEED, kinds: tuple[str, ...] = MODEL_KINDS) -> dict[str, DataFrame]:
-    """Fit the models; returns ``{"comparison", "importance"}`` frames.  The
+    """Fit the models; returns ``comparison``, ``importance`` and ``scores`` (key, model,
+    probability, is_test) frames and the fitted pipelines by kind (``models``).  The
     best model has the highest test AUC; on a tie the later kind wins (so
     with the default pair, logistic regression must be strictly better)."""
     spark = org_table.sparkSession
@@ -121,11 +125,14 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
     assembled = VectorAssembler(inputCols=features, outputCol="raw_features").transform(data)
     train = assembled.filter(~F.col("is_test"))
     test = assembled.filter(F.col("is_test"))
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(train)
-    train_s, test_s = scaler.transform(train), scaler.transform(test)
+    scaler = StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True).fit(train)
     fold_sizes = {r["fold"]: int(r["n"]) for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = sum(fold_sizes.values())
     k = len(fold_sizes)
+    # the scaler divides by the sample deviation; the model's inputs have population deviation 1
+    to_population = ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n_train / max(n_train - 1, 1))] * len(features)),
+                                       inputCol="sample_scaled", outputCol="features")
+    train_s, test_s = (to_population.transform(scaler.transform(part)) for part in (train, test))
 
     def fold_auc(kind, f):
         fit_part = train_s.filter(F.col("fold") != f)
@@ -154,8 +161,16 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
     for name, _, _, auc, _ in results:
         if best is None or not auc < best[1]:
             best = (name, auc)
+    scored = None
+    for kind in kinds:
+        s = done[kind][1][0].transform(train_s.unionByName(test_s)).select(
+            key_col, F.lit(kind).alias("model"), vector_to_array("probability")[1].alias("probability"), "is_test")
+        scored = s if scored is None else scored.unionByName(s)
     comparison = spark.createDataFrame(
         [(n, m, s, t, nt, n == best[0]) for n, m, s, t, nt in results],
         "model string, cv_auc_mean double, cv_auc_std double, test_auc double, n_train long, best boolean")
     imp = spark.createDataFrame(importance, "model string, feature string, importance double, abs_importance double, rank int")
-    return {"comparison": comparison, "importance": imp}
+    # each fitted model with all that precedes it: applies to a table with the feature columns
+    fitted = {kind: PipelineModel(stages=[VectorAssembler(inputCols=features, outputCol="raw_features"), scaler, to_population, done[kind][1][0]])
+              for kind in kinds}
+    return {"comparison": comparison, "importance": imp, "scores": scored, "models": fitted}

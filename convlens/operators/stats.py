@@ -15,6 +15,8 @@ from convlens.functions.distributions import f_sf_udf, kolmogorov_sf_udf, p_valu
 from convlens.functions.ordered import running_totals
 
 SIGNIFICANCE = 0.05
+# Fixed value: with method "auto" the U test's tail is exact if a sample has at
+# most this many values and there are no ties, else asymptotic.
 EXACT_MAX_SAMPLE = 8
 
 
@@ -99,39 +101,60 @@ def t_test(org_table: DataFrame, feature: str, group_col: str = "converted") ->
     )
 
 
-def mann_whitney_test(org_table: DataFrame, feature: str, group_col: str = "converted") -> DataFrame:
+def _cubes(t):
+    """t**3 - t in doubles: the cube of a long overflows from 2 097 152 on."""
+    t = t.cast("double")
+    return t * t * t - t
+
+
+def mann_whitney_test(org_table: DataFrame, feature: str, group_col: str = "converted", method: str = "auto") -> DataFrame:
     """Mann-Whitney U of the converted sample (average ranks for ties), with
-    the tie term and the group medians."""
+    the tie term and the group medians, all from the counts per distinct value.
+    ``method``: how the tail is to be computed, ``exact``, ``asymptotic`` or
+    ``auto`` (see ``EXACT_MAX_SAMPLE``)."""
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}")
     x = F.col(feature).cast("double")
     clean = org_table.filter(F.col(group_col).isNotNull() & x.isNotNull())
     by_value = clean.groupBy(x.alias("value")).agg(
         F.count_if(_conv(group_col)).alias("t1"), F.count_if(_non(group_col)).alias("t2"))
     by_value = by_value.withColumn("t", F.col("t1") + F.col("t2"))
-    ranked = running_totals(by_value, ["value"], ["t"])
+    ranked = running_totals(by_value, ["value"], ["t", "t1", "t2"])
+    size = ranked.agg(F.struct(F.sum("t1").alias("t1"), F.sum("t2").alias("t2"))).scalar()
+    ranked = ranked.select("*", size.alias("_size"))
+
+    def at(c, place):
+        return F.max(F.when((F.col(f"before_{c}") <= place) & (place < F.col(f"before_{c}") + F.col(c)), F.col("value")))
+
+    def median(c):
+        return (at(c, F.expr(f"(_size.{c} - 1) div 2")) + at(c, F.expr(f"_size.{c} div 2"))) / 2.0
+
     avg_rank = F.col("before_t") + (F.col("t") + 1) / 2.0
     one = ranked.agg(
         F.sum(F.col("t1") * avg_rank).alias("r1"),
         F.sum("t1").alias("n1"), F.sum("t2").alias("n2"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"),
+        F.sum(_cubes(F.col("t"))).alias("tie_term"),
         F.max("t").alias("max_tie"),
+        median("t1").alias("med1"), median("t2").alias("med2"),
     )
-    medians = clean.agg(F.struct(F.percentile(F.when(_conv(group_col), x), 0.5).alias("c"),
-                                 F.percentile(F.when(_non(group_col), x), 0.5).alias("n"))).scalar()
     n1, n2 = F.coalesce(F.col("n1"), F.lit(0)).cast("long"), F.coalesce(F.col("n2"), F.lit(0)).cast("long")
-    u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
-    n = n1 + n2
-    var = n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
-    u = F.greatest(u1, n1 * n2 - u1)
+    pairs = n1.cast("double") * n2
+    u1 = F.col("r1") - n1.cast("double") * (n1 + 1) / 2.0
+    n = (n1 + n2).cast("double")
+    var = pairs / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
+    u = F.greatest(u1, pairs - u1)
+    exact = {"exact": F.lit(True), "asymptotic": F.lit(False),
+             "auto": (F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & (F.least(n1, n2) <= EXACT_MAX_SAMPLE)}[method]
     return one.select(
         F.lit(feature).alias("feature"),
         u1.alias("u_statistic"),
         n1.alias("n_converted"), n2.alias("n_non_converted"),
         F.col("r1").alias("rank_sum_converted"),
         F.coalesce(F.col("tie_term"), F.lit(0)).cast("double").alias("tie_term"),
-        F.when(var > 0, (u - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)).alias("z_statistic"),
-        ((F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & (F.least(n1, n2) <= EXACT_MAX_SAMPLE)).alias("exact"),
-        medians.getField("c").alias("converted_median"),
-        medians.getField("n").alias("non_converted_median"),
+        F.when(var > 0, (u - pairs / 2.0 - 0.5) / F.sqrt(var)).alias("z_statistic"),
+        exact.alias("exact"),
+        F.col("med1").alias("converted_median"),
+        F.col("med2").alias("non_converted_median"),
     )
 
 
@@ -146,7 +169,7 @@ TEST_NAMES = {"chi2": "Chi-square test", "t": "Independent t-test", "mwu": "Mann
 
 
 def hypothesis_tests(org_table: DataFrame, tests: list[tuple[str, str, str]] | None = None,
-                     group_col: str = "converted", alpha: float = SIGNIFICANCE) -> DataFrame:
+                     group_col: str = "converted", alpha: float = SIGNIFICANCE, method: str = "auto") -> DataFrame:
     """One row per test: id, test name, feature, statistic, dof, p-value,
     significance at ``alpha``."""
     rows = []
@@ -162,7 +185,7 @@ def hypothesis_tests(org_table: DataFrame, tests: list[tuple[str, str, str]] | N
                 F.col("n_converted").alias("n1"), F.col("n_non_converted").alias("n2"),
                 F.lit(0.0).alias("tie"), F.lit(False).alias("exact"))
         else:
-            r = mann_whitney_test(org_table, feature, group_col).select(
+            r = mann_whitney_test(org_table, feature, group_col, method).select(
                 F.col("u_statistic").alias("statistic"), F.lit(None).cast("double").alias("dof"),
                 F.col("n_converted").alias("n1"), F.col("n_non_converted").alias("n2"),
                 F.col("tie_term").alias("tie"), F.col("exact"))
@@ -228,8 +251,8 @@ def mann_whitney_tests(org_table: DataFrame, features: list[str], group_col: str
     one = ranked.groupBy("feature").agg(
         F.sum(F.col("t1") * avg_rank).alias("r1"), F.sum("t1").cast("long").alias("n1"),
         F.sum("t2").cast("long").alias("n2"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("tie_term"))
-    n1, n2 = F.col("n1"), F.col("n2")
+        F.sum(_cubes(F.col("t"))).alias("tie_term"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
@@ -251,7 +274,7 @@ def ks_tests(org_table: DataFrame, features: list[str], group_col: str = "conver
         F.first("n1").cast("long").alias("n_converted"), F.first("n2").cast("long").alias("n_non_converted"))
     if not with_p:
         return d
-    en = F.sqrt(F.col("n_converted") * F.col("n_non_converted") / (F.col("n_converted") + F.col("n_non_converted")))
+    en = F.sqrt(F.col("n_converted").cast("double") * F.col("n_non_converted") / (F.col("n_converted") + F.col("n_non_converted")))
     return d.withColumn("p_value", kolmogorov_sf_udf(en * F.col("d_statistic")))
 
 

@@ -518,7 +518,7 @@ def q_live_staging(spark, sf_dir):
     """The staging table maintained by the streaming mart: the fixture log
     (with duplicate copies, which the stream must drop) replayed as four
     time-ordered file groups, run to completion; equals the batch table."""
-    base = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
     # the stream's state store has one partition per shuffle partition, fixed
     # at its first run: size it to the cluster's parallelism in an isolated
     # session (same context, own SQL conf) instead of changing the caller's
@@ -530,7 +530,7 @@ def q_live_staging(spark, sf_dir):
     stream = replay_as_stream(fixture_log_with_duplicates(live, sf_dir), base)
     q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="3650 days",
                            available_now=True)
-    q.awaitTermination(1800)
+    q.awaitTermination()  # to the end of the input; a failed stream raises
     return live_staging_metrics(spark, f"{base}/staging")
 
 
@@ -542,7 +542,7 @@ def q_mart_exports(spark, sf_dir):
     report re-reads every written table to count its records."""
     from convlens.plans.pipelines import mart_pipeline
 
-    out_dir = f"{(ensure_checkpoint_dir(spark) or '/tmp').rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
+    out_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
     exports = mart_pipeline(fixture_log(spark, sf_dir), output_dir=out_dir, fmt="csv")["exports"]
     return exports.select("table_name", "records", "columns", "error")
 

@@ -20,7 +20,8 @@ from convlens.columns import DEFAULT_COLUMNS, LogColumns
 from convlens.functions.categories import PRODUCT_CATEGORY_MAP
 from convlens.operators import charts, clean, features, mart, models, segments, stats
 from convlens.session import materialize
-from convlens.sources.sinks import export_tables, register_view
+from convlens.sources import inspect
+from convlens.sources.sinks import export_tables, register_view, write_table
 
 MART_TABLES = ["staging_metrics_per_org", "staging_activation_goals", "mart_trial_goals", "mart_trial_activation"]
 
@@ -53,19 +54,23 @@ def mart_pipeline(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, output_dir
 
 
 def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, category_map=None,
-                         typed: bool = True, with_models: bool = False, output_path: str | None = None,
-                         through: str = "all") -> dict[str, DataFrame]:
+                         typed: bool = True, with_models: bool = True, output_path: str | None = None,
+                         through: str = "all", output_format: str = "parquet") -> dict[str, DataFrame]:
     """``raw_log``: the log as read (text columns when ``typed=False``).
     ``through="clean"`` stops after the cleaning phase (reports and the
     cleaned log), without building features, segments, tests or models."""
     category_map = category_map if category_map is not None else PRODUCT_CATEGORY_MAP
     out: dict[str, DataFrame] = {}
+    out["profile"] = inspect.profile(raw_log)
+    out["dtype_counts"] = inspect.dtype_counts(raw_log)
+    out["preview"] = inspect.preview(raw_log, [cols.order or cols.ts])
     out["duplicate_report"] = clean.duplicate_report(raw_log, cols)
     out["duplicate_top_activities"] = clean.duplicate_top_activities(raw_log, cols)
-    deduped = clean.drop_duplicate_events(raw_log, cols)
+    # ten reports read the deduplicated log: both forms are written once
+    deduped = materialize(clean.drop_duplicate_events(raw_log, cols), "deduped_log")
     if not typed:
         out["type_conversion_report"] = clean.type_conversion_report(deduped, cols)
-        deduped = clean.type_log(deduped, cols)
+        deduped = materialize(clean.type_log(deduped, cols), "typed_log")
     out["timestamp_ranges"] = clean.timestamp_ranges(deduped, cols)
     out["missing_values"] = clean.missing_values(deduped)
     out["conversion_consistency"] = clean.conversion_consistency(deduped, cols)
@@ -77,8 +82,10 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
     out["robust_filter_impact"] = clean.robust_filter_impact(deduped, cols)
     clean_log = clean.robust_filter(deduped, cols)
     if output_path:
-        clean_log.write.mode("overwrite").parquet(output_path)
-        clean_log = clean_log.sparkSession.read.parquet(output_path)
+        schema = clean_log.schema
+        write_table(clean_log, output_path, output_format)
+        reader = clean_log.sparkSession.read.schema(schema)
+        clean_log = reader.option("header", True).csv(output_path) if output_format == "csv" else reader.parquet(output_path)
     else:
         # every later step reads the cleaned log: write it once
         clean_log = materialize(clean_log, "clean_log")
@@ -93,6 +100,8 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
     out["activity_distribution"] = charts.value_counts(feat, cols.activity)
     org = materialize(features.org_features(feat, cols), "org_features", per_org=True)
     out["org_features"] = org
+    for name in segments.SEGMENT_NAMES:
+        out[f"segment_{name}"] = segments.segment(feat, name, cols)
     out["segment_sizes"] = segments.segment_sizes(feat, cols)
     out["segment_conversion_rate"] = segments.segment_conversion_rate(feat, cols)
     out["activity_comparison"] = segments.activity_comparison(feat, cols)
@@ -111,7 +120,7 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
     out["tests_summary"] = stats.tests_summary(tests)
     if with_models:
         m = models.build_models(org, cols.org)
-        out["model_comparison"], out["feature_importance"] = m["comparison"], m["importance"]
+        out["model_comparison"], out["feature_importance"], out["model_scores"] = m["comparison"], m["importance"], m["scores"]
     return out
 
 

@@ -36,8 +36,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (a
-    laptop or a test) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Only where it is unset and
+    all tasks run in this process (a laptop or a test) take a fresh scratch
+    folder; on a cluster every executor would write to its own disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if current:
         return current
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="convlens-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

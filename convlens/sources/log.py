@@ -7,7 +7,7 @@ values become nulls that can be counted (see ``operators.clean.type_log``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,9 @@ def read_log(spark: SparkSession, source, fmt: str = "csv", cols: LogColumns = D
 
     CSV columns are matched by their header names and arrive as strings (no
     inference pass over the data; type them with
-    ``operators.clean.type_log``).  A log without the order column gets one
-    from ``monotonically_increasing_id()``, which follows the file order and is
-    stable when a task is re-run, so "first in input order" stays defined.  A
+    ``operators.clean.type_log``).  A log without the order column gets one that
+    follows its files by path and the rows within each.  A DataFrame without it is
+    numbered by partition, in whatever order it has them.  A
     missing path raises at analysis time, as a missing file should."""
     if isinstance(source, DataFrame):
         df = source
@@ -41,10 +41,26 @@ def read_log(spark: SparkSession, source, fmt: str = "csv", cols: LogColumns = D
     else:
         df = spark.read.format(fmt).load(source)
     if cols.order and cols.order not in df.columns:
-        df = df.withColumn(cols.order, F.monotonically_increasing_id())
+        if isinstance(source, DataFrame):
+            return df.withColumn(cols.order, F.monotonically_increasing_id())
+        return with_file_order(df, cols.order)
     return df
 
 
+def with_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan by (file path, block, row in the block).
+    Spark packs large splits first, so a row's task says nothing about its
+    place.  The table of splits (one row each) is ranked and joined; a row's number is
+    its split's rank above 33 bits of its number within the task."""
+    scan = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    splits = scan.select("_file", "_block").distinct()
+    ranks = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"),
+                          F.row_number().over(Window.orderBy("_file", "_block")).cast("long").alias("_rank"))
+    numbered = scan.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    joined = numbered.join(ranks, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return joined.select(*df.columns, (F.shiftleft(F.col("_rank"), 33) + F.col("_row")).alias(name))
+
+
 # --------------------------------------------------------------------------
 # Fixture: the driver's ``events`` table seen as an activity log.
 # users stand in for organizations; a user's trial starts at their first

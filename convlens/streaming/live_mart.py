@@ -16,8 +16,9 @@ log stream -> mart week rule (stateless projection)
               idempotent)
 
 ``live_staging_metrics`` reads the updates back, keeps the latest value per
-(org, week) and folds the weeks into the ``staging_metrics_per_org`` shape
-with one ``groupBy``.  The goal thresholds are then computed in batch from it
+(org, week, trial end), which is the state's key, and folds them into the
+``staging_metrics_per_org`` shape with one ``groupBy``; an org whose trial end
+changes in the log keeps all its counts.  The goal thresholds are then computed in batch from it
 (``operators.mart.activation_goals``), exactly as for a batch log.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 from convlens.columns import DEFAULT_COLUMNS, LogColumns
 from convlens.operators.mart import prepare_log
 
-KEY = ["org_id", "trial_week"]
+KEY = ["org_id", "trial_week", "trial_end_event"]
 
 
 DEDUP_SALTS = 16
@@ -67,7 +68,7 @@ def week_count_updates(log_stream: DataFrame, cols: LogColumns = DEFAULT_COLUMNS
 
 def _upsert(table_dir: str):
     def write(batch: DataFrame, epoch: int) -> None:
-        (batch.drop("_trial_end_event").withColumn("epoch", F.lit(epoch))
+        (batch.withColumnRenamed("_trial_end_event", "trial_end_event").withColumn("epoch", F.lit(epoch))
          .write.mode("overwrite").parquet(os.path.join(table_dir, f"epoch={epoch}")))
     return write
 
@@ -87,7 +88,7 @@ def start_live_staging(log_stream: DataFrame, table_dir: str, checkpoint_dir: st
 
 def live_staging_metrics(spark: SparkSession, table_dir: str) -> DataFrame:
     """``staging_metrics_per_org`` from the streamed updates: the latest
-    update per (org, week) wins, then one ``groupBy(org)`` folds the weeks."""
+    update per state key wins, then one ``groupBy(org)`` folds them."""
     updates = spark.read.parquet(table_dir)
     latest = updates.groupBy(*KEY).agg(F.max_by(F.struct("activities", "converted", "trial_start", "trial_end",
                                                          "first_order"), F.col("epoch")).alias("u")).select(*KEY, "u.*")

@@ -16,8 +16,7 @@ def test_running_totals_match_brute_force_with_hot_group(spark):
             rows.append((f"g{g}", rnd.randint(0, 50), nid, rnd.randint(1, 5)))
             nid += 1
     df = spark.createDataFrame(rows, "g string, o long, id long, v long")
-    out = running_totals(df, ["o", "id"], ["v"], ["g"], slices=6, single_task_max_rows=0).collect()
-    small = running_totals(df, ["o", "id"], ["v"], ["g"]).collect()  # size-checked single-task path
+    out = running_totals(df, ["o", "id"], ["v"], ["g"], slices=6).collect()
     expect = {}
     for g in {r[0] for r in rows}:
         acc = 0
@@ -25,8 +24,7 @@ def test_running_totals_match_brute_force_with_hot_group(spark):
             expect[r[2]] = acc
             acc += r[3]
     assert {r.id: r.before_v for r in out} == expect
-    assert {r.id: r.before_v for r in small} == expect
-    pos = position_in_group(df, ["g"], ["o", "id"], "p", slices=5, single_task_max_rows=0).filter("g = 'hot'").collect()
+    pos = position_in_group(df, ["g"], ["o", "id"], "p", slices=5).filter("g = 'hot'").collect()
     assert sorted(r.p for r in pos) == list(range(600))
 
 
@@ -102,3 +100,29 @@ def test_t_test_zero_spread_is_infinite(spark):
     assert r.t_statistic == float("inf")
     t = {x.test_id: x for x in stats.hypothesis_tests(org, [("t", "t", "f")]).collect()}
     assert t["t"].p_value == 0.0 and t["t"].significant
+
+
+def test_running_totals_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 3, 2)], "g string, o long, v long")
+    out = {(r.g, r.o): r.before_v for r in running_totals(df, ["o"], ["v"], ["g"], slices=3).collect()}
+    assert out == {(None, 1): 0, (None, 2): 5, ("a", 1): 0, ("a", 3): 1}
+
+
+def test_u_test_survives_millions_of_ties(spark):
+    # t * t * t of one value shared by 2.2 million organizations exceeds a long
+    from pyspark.sql import functions as F
+
+    org = spark.range(2_200_000).select((F.col("id") % 2 == 0).alias("converted"), F.lit(1.0).alias("f"))
+    r = stats.mann_whitney_test(org, "f").first()
+    assert r.n_converted == 1_100_000 and abs(r.tie_term / 2.2e6**3 - 1) < 1e-9
+    assert stats.mann_whitney_tests(org, ["f"]).first().tie_term == r.tie_term
+
+
+def test_medians_from_counts(spark):
+    import statistics
+
+    for conv, non in (([1, 2, 2, 9], [4]), ([3.5], [1, 8, 8, 2, 5]), ([1, 1, 1], [])):
+        org = spark.createDataFrame([(True, float(x)) for x in conv] + [(False, float(x)) for x in non], "converted boolean, f double")
+        r = stats.mann_whitney_test(org, "f").first()
+        assert r.converted_median == statistics.median(conv)
+        assert r.non_converted_median == (statistics.median(non) if non else None)
