@@ -36,7 +36,7 @@ from convlens.llm.components import connected_components
 SLACK = 0.1
 #: Members of a block of a bucket, and members and bytes of sets of a block of a family.
 BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 2_000, 1_500, 16_000_000
-#: Nodes whose ids may be broadcast (16 bytes each) to fetch their texts again.
+#: Nodes whose keys may be broadcast (six numbers each) to fetch their texts again.
 BROADCAST_ROWS = 500_000
 #: Distinct words whose hashes a worker keeps while it reads a batch.
 KNOWN_WORDS = 500_000
@@ -178,14 +178,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for batch in pieces(batches, "text"):
             if len(known) > KNOWN_WORDS:
                 known.clear()
-            keep, sets = [], []
+            keep, sets, regs = [], [], []
             for i, (text, a, b) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 s = hm.shingle_set(words_of(text.as_py()), shingle, known)
                 if hm.set_key(s) == (a, b):  # an id may be repeated with another text
-                    keep.append(i), sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns[3:], pa.array(sets, pa.binary())], ["node", "family", "blocks", "regs", "shingles"])
+                    keep.append(i), sets.append(s.tobytes()), regs.append(hm.registers(s).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns[3:], pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], ["node", "family", "blocks", "regs", "shingles"])
 
-    return rows.select("text", "k1", "k2", "node", "family", "blocks", "regs").mapInArrow(run, "node long, family long, blocks long, regs binary, shingles binary")
+    return rows.select("text", "k1", "k2", "node", "family", "blocks").mapInArrow(run, "node long, family long, blocks long, regs binary, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -203,9 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "nodes",
     )
     family = store(families(nodes, least).select("node", F.col("component").alias("family")), "family")
-    member = family.join(nodes, "node").select("node", "family", "doc_id", "k1", "k2", "n_shingles", "regs")
+    member = family.join(nodes.select("node", "doc_id", "k1", "k2", "n_shingles"), "node")
     size = member.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum("n_shingles") * 8 / FAMILY_BYTES)).alias("blocks"))
-    wanted = store(member.join(size, "family"), "members")
+    wanted = store(member.join(size, "family").select("doc_id", "k1", "k2", "node", "family", "blocks"), "members")
     dealt = _sets(docs, wanted, shingle).select("family", F.explode(_blocks(F.col("blocks"), F.col("node"), 2)).alias("block"), "node", "regs", "shingles")
     # the same text may be there twice under one id
     met = dealt.repartition("family", "block").sortWithinPartitions("family", "block", "node")
