@@ -202,6 +202,11 @@ def _round_doubles(df: DataFrame, digits: int = STAT_DIGITS) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _round_p(df: DataFrame) -> DataFrame:
+    """p-values to the digits that an integral in SQL confirms."""
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("p_") else F.col(c) for c in df.columns])
+
+
 def _feature_log(spark, sf_dir):
     log = fixture_log(spark, sf_dir)
     return features.activity_categories(features.temporal_features(log), fixture_category_map())
@@ -376,7 +381,7 @@ def q_mwu_categories(spark, sf_dir):
 
 @query("hypothesis_tests")
 def q_tests(spark, sf_dir):
-    return _round_doubles(stats.hypothesis_tests(_org_table(spark, sf_dir)))
+    return _round_p(_round_doubles(stats.hypothesis_tests(_org_table(spark, sf_dir))))
 
 
 @query("tests_summary")
@@ -497,7 +502,7 @@ def q_adjusted_tests(spark, sf_dir):
     org = _org_table(spark, sf_dir)
     tests = stats.hypothesis_tests(org, stats.DEFAULT_TESTS + [
         (f"{f}_ttest", "t", f) for f in EXT_TEST_FEATURES])
-    return _round_doubles(stats.adjust_p_values(tests))
+    return _round_p(_round_doubles(stats.adjust_p_values(tests)))
 
 
 @query("extended_model_comparison")

@@ -786,3 +786,51 @@ typed2 AS (
 sizes AS (SELECT ORGANIZATION_ID, count(*) AS n FROM typed2 WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
 cap AS (SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS p FROM sizes)
 SELECT * FROM typed2 WHERE ORGANIZATION_ID IN (SELECT ORGANIZATION_ID FROM sizes WHERE n >= 3 AND n <= (SELECT p FROM cap))"""))
+
+
+# ------------------------------------------------------------------ p-values
+# Tail probabilities by Simpson's rule on 2000 steps from 0 to the statistic:
+# chi-square with x = u**2 (so the density has no pole at 0), Student's t, and
+# the normal tail of the U test as a chi-square of one degree of freedom.
+def _p_ctes(extra_t: list[str]) -> list[str]:
+    mwu = " UNION ALL ".join(
+        f"SELECT '{i}' AS test_id, 'Mann-Whitney U test' AS test, 'mwu' AS kind, feature, u_statistic AS statistic, "
+        f"CAST(NULL AS DOUBLE) AS dof, z_statistic AS z FROM ({_mwu_sql(f)})"
+        for i, f in (("total_activities_mannwhitney", "total_activities_count"), ("categories_mannwhitney", "unique_categories_count")))
+    ids = " UNION ALL ".join([f"SELECT 'week1_ratio_ttest' AS test_id, 'week1_activity_ratio' AS feature"]
+                             + [f"SELECT '{f}_ttest', '{f}'" for f in extra_t])
+    base = f"""base AS (
+  SELECT 'week1_engagement_chi2' AS test_id, 'Chi-square test' AS test, 'chi2' AS kind, feature, chi2_statistic AS statistic,
+         CAST(degrees_of_freedom AS DOUBLE) AS dof, CAST(NULL AS DOUBLE) AS z FROM ({_chi2_full("week1_engagement_binary")})
+  UNION ALL SELECT test_id, 'Independent t-test', 't', feature, t_statistic, CAST(degrees_of_freedom AS DOUBLE), NULL
+  FROM ({T_TESTS_BODY}) JOIN ({ids}) USING (feature)
+  UNION ALL {mwu})"""
+    tails = """p AS (
+  SELECT test_id, test, feature, statistic, dof,
+         CASE WHEN statistic IS NULL THEN NULL WHEN kind = 'chi2' AND dof <= 0 THEN 1.0 WHEN kind = 't' THEN GREATEST(0.0, 1 - 2 * part) ELSE GREATEST(0.0, 1 - part) END AS p_value
+  FROM (
+    SELECT test_id, test, kind, feature, statistic, dof, sum(w * density) * max(top) / 6000 AS part
+    FROM (
+      SELECT *, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w,
+             CASE WHEN kind = 't' THEN exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + u * u / dof, -(dof + 1) / 2)
+                  ELSE pow(u, k - 1) * exp(-u * u / 2) * pow(2, 1 - k / 2) / exp(lgamma(k / 2)) END AS density
+      FROM (SELECT *, top * i / 2000 AS u
+            FROM (SELECT *, CASE kind WHEN 'chi2' THEN sqrt(statistic) WHEN 't' THEN abs(statistic) ELSE GREATEST(z, 0.0) END AS top,
+                         CASE kind WHEN 'chi2' THEN GREATEST(dof, 1.0) ELSE 1.0 END AS k FROM base), generate_series(0, 2000) s(i)))
+    GROUP BY test_id, test, kind, feature, statistic, dof))"""
+    features = ["week1_activity_ratio"] + [f for f in extra_t if f != "week1_activity_ratio"]
+    return [_ct_cte("week1_engagement_binary"), "long AS (" + _long_sql("org", features) + ")", base, tails]
+
+
+register("hypothesis_tests", feature_sql("""
+SELECT test_id, test, feature, round(statistic, 9) AS statistic, dof AS degrees_of_freedom, round(p_value, 6) AS p_value,
+       p_value < 0.05 AS significant FROM p""", *_p_ctes([])))
+register("tests_summary", feature_sql(
+    "SELECT count(*) AS tests_performed, count(*) FILTER (WHERE p_value < 0.05) AS significant_tests FROM p", *_p_ctes([])))
+register("adjusted_tests", feature_sql("""
+SELECT test_id, test, feature, round(statistic, 9) AS statistic, dof AS degrees_of_freedom, round(p_value, 6) AS p_value,
+       p_value < 0.05 AS significant, round(bonf, 6) AS p_bonferroni, round(fdr, 6) AS p_fdr_bh,
+       bonf < 0.05 AS significant_bonferroni, fdr < 0.05 AS significant_fdr
+FROM (SELECT *, CASE WHEN p_value IS NOT NULL THEN LEAST(p_value * m, 1.0) END AS bonf,
+             CASE WHEN p_value IS NOT NULL THEN LEAST(min(p_value * m / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) END AS fdr
+      FROM (SELECT *, count(p_value) OVER () AS m, row_number() OVER (ORDER BY p_value NULLS LAST) AS r FROM p))""", *_p_ctes(EXT_F)))
