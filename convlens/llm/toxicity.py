@@ -12,8 +12,8 @@
    E[exp(lambda * score)] = 1 over clean text, K is fitted to the greatest
    scores of clean texts, and a segment of score S in a text of n words has
    lambda * S - ln(K * n) nats of surprise (E-value exp(-that)).
-4. A text's features are the surprise of its best segment and the summed
-   surprise of all significant ones; a logistic curve over them, fitted on
+4. A text's features are the surprise of its best segment (score 0 if it has
+   none) and the summed scores of all of them, times lambda; a logistic curve over them, fitted on
    labelled texts that step 1 has not seen, gives the probability.
 
 Labels are a bounded sample (``max_labelled`` rows, those of least hash); every
@@ -76,16 +76,14 @@ class ToxicityModel:
     odds: np.ndarray  # float32[PLACES]
     lam: float
     log_k: float
-    weights: np.ndarray  # of 1, surprise of the best segment, summed surprise
+    weights: np.ndarray  # of 1, surprise of the best segment, log of the summed scores
 
     def surprise(self, score: float, n_words: int) -> float:
         return self.lam * score - self.log_k - np.log(max(n_words, 1))
 
     def features(self, segments: list[tuple[int, int, float]], n_words: int) -> tuple[float, float]:
-        if not segments:
-            return 0.0, 0.0
-        each = [self.surprise(s, n_words) for _, _, s in segments]
-        return max(0.0, max(each)), float(np.log1p(sum(x for x in each if x >= -np.log(MAX_E_VALUE))))
+        best = max((s for _, _, s in segments), default=0.0)
+        return self.surprise(best, n_words), float(np.log1p(self.lam * sum(s for _, _, s in segments)))
 
     def probability(self, features: tuple[float, float]) -> float:
         z = float(self.weights @ np.array([1.0, *features]))
