@@ -12,8 +12,8 @@
    E[exp(lambda * score)] = 1 over clean text, K is fitted to the greatest
    scores of clean texts, and a segment of score S in a text of n words has
    lambda * S - ln(K * n) nats of surprise (E-value exp(-that)).
-4. A text's features are the surprise of its best segment (score 0 if it has
-   none) and the summed scores of all of them, times lambda; a logistic curve over them, fitted on
+4. A text's features are the surprise of its best segment (at least ``FLOOR``,
+   which is also that of a text without one) and the summed scores of all of them, times lambda; a logistic curve over them, fitted on
    labelled texts that step 1 has not seen, gives the probability.
 
 Labels are a bounded sample (``max_labelled`` rows, those of least hash); every
@@ -40,6 +40,8 @@ PLACES = 1 << 20
 MAX_LABELLED = 50_000
 #: Strength of the Dirichlet prior in counts, least standard errors, cost of a word, bytes of stems.
 PRIOR_COUNTS, MIN_Z, DRIFT, STEMS = 5_000.0, 3.0, 0.3, (6, 4)
+#: Least surprise, in nats, and that of a text without any segment, however short.
+FLOOR = -8.0
 #: Segments expected in a clean text at most, for a passage to count as significant.
 MAX_E_VALUE = 0.1
 
@@ -82,8 +84,8 @@ class ToxicityModel:
         return self.lam * score - self.log_k - np.log(max(n_words, 1))
 
     def features(self, segments: list[tuple[int, int, float]], n_words: int) -> tuple[float, float]:
-        best = max((s for _, _, s in segments), default=0.0)
-        return self.surprise(best, n_words), float(np.log1p(self.lam * sum(s for _, _, s in segments)))
+        best = max((self.surprise(s, n_words) for _, _, s in segments), default=FLOOR)
+        return max(best, FLOOR), float(np.log1p(self.lam * sum(s for _, _, s in segments)))
 
     def probability(self, features: tuple[float, float]) -> float:
         z = float(self.weights @ np.array([1.0, *features]))
