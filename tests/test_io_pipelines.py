@@ -89,3 +89,18 @@ def test_cli_explore_on_csv(spark):
     assert tests.count() == 4
     clean_log = spark.read.parquet(os.path.join(d, "out", "data_clean"))
     assert clean_log.count() > 0 and dict(clean_log.dtypes)["TIMESTAMP"] == "timestamp_ntz"
+
+
+def test_first_in_input_order_follows_the_files(spark):
+    """A small first file and a larger second one: the first file's copy is kept."""
+    d = tempfile.mkdtemp(prefix="convlens-two-")
+    head = "ORGANIZATION_ID,ACTIVITY_NAME,TIMESTAMP,CONVERTED,CONVERTED_AT,TRIAL_START,TRIAL_END\n"
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write(head + "o,x,2024-01-02 10:00:00,True,,2024-01-01,2024-01-31\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write(head + "".join(f"o{i},y,2024-01-02 10:00:00,False,,2024-01-01,2024-01-31\n" for i in range(3000)))
+        f.write("o,x,2024-01-02 10:00:00,False,,2024-01-01,2024-01-31\n")
+    log = read_log(spark, d)
+    kept = clean.drop_duplicate_events(clean.type_log(log)).filter("ACTIVITY_NAME = 'x'").collect()
+    assert [r.CONVERTED for r in kept] == [True]
+    assert log.count() == log.select("EVENT_ID").distinct().count() == 3002

@@ -87,3 +87,46 @@ def test_hot_group_of_copies_counted_once(spark):
     q.awaitTermination(300)
     live = {r.org_id: r.total_activities for r in live_staging_metrics(spark, os.path.join(root, "staging")).collect()}
     assert live == {"H": 1, "N": 3}
+
+
+def _replay(spark, root, rows, schema, cols):
+    src = os.path.join(root, "in")
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).write.mode("overwrite").parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), cols=cols,
+                           lateness="40 days", available_now=True)
+    q.awaitTermination()
+    return live_staging_metrics(spark, os.path.join(root, "staging"))
+
+
+def test_org_whose_trial_end_changes_keeps_its_counts(spark):
+    from datetime import datetime, timedelta
+
+    from convlens.columns import DEFAULT_COLUMNS
+    from tests.helpers import LOG_SCHEMA
+
+    t0 = datetime(2024, 1, 1)
+    row = lambda d, end, i: ("A", "x", t0 + timedelta(days=d), False, None, t0, t0 + timedelta(days=end), i)
+    rows = [[row(1, 30, 1)], [row(2, 30, 2), row(3, 44, 3)]]
+    live = _replay(spark, tempfile.mkdtemp(prefix="convlens-ends-"), rows, LOG_SCHEMA, DEFAULT_COLUMNS)
+    batch = mart.staging_metrics(mart.prepare_log(spark.createDataFrame(sum(rows, []), LOG_SCHEMA)))
+    assert live.collect() == batch.collect() and live.first().total_activities == 3
+
+
+def test_log_without_order_column(spark):
+    from dataclasses import replace
+    from datetime import datetime, timedelta
+
+    from convlens.columns import DEFAULT_COLUMNS
+    from tests.helpers import LOG_SCHEMA
+
+    t0 = datetime(2024, 1, 1)
+    schema = type(LOG_SCHEMA)([f for f in LOG_SCHEMA.fields if f.name != "EVENT_ID"])
+    cols = replace(DEFAULT_COLUMNS, order=None)
+    row = lambda o, d: (o, "x", t0 + timedelta(days=d), True, t0 + timedelta(days=20), t0, t0 + timedelta(days=30))
+    live = _replay(spark, tempfile.mkdtemp(prefix="convlens-noorder-"), [[row("A", 1)], [row("A", 9), row("B", 2)]], schema, cols)
+    got = {r.org_id: r for r in live.collect()}
+    assert {o: r.total_activities for o, r in got.items()} == {"A": 2, "B": 1}
+    assert all(r.converted and r.trial_start_date == t0.date() for r in got.values())
