@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from convlens.functions.distributions import f_sf_udf, kolmogorov_sf_udf, p_value_udf
 from convlens.functions.ordered import running_totals
+from convlens.session import materialize
 
 SIGNIFICANCE = 0.05
 # Fixed value: with method "auto" the U test's tail is exact if a sample has at
@@ -101,6 +102,15 @@ def t_test(org_table: DataFrame, feature: str, group_col: str = "converted") ->
     )
 
 
+def _with_p(df: DataFrame, kind: str, statistic: str, dof: str | None = None, tie: str | None = None) -> DataFrame:
+    """Add ``p_value``; U tests take the asymptotic tail."""
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    n1, n2 = (F.col("n_converted"), F.col("n_non_converted")) if kind == "mwu" else (zero, zero)
+    return df.withColumn("p_value", p_value_udf(
+        F.lit(kind), F.col(statistic), F.col(dof).cast("double") if dof else none, n1, n2,
+        F.col(tie) if tie else F.lit(0.0), F.lit(False)))
+
+
 def _cubes(t):
     """t**3 - t in doubles: the cube of a long overflows from 2 097 152 on."""
     t = t.cast("double")
@@ -227,13 +237,14 @@ def t_tests(org_table: DataFrame, features: list[str], group_col: str = "convert
     dof = F.col("n1") + F.col("n2") - 2
     sp2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
-    return g.select(
+    tests = g.select(
         "feature",
         _t_value(dof, se).alias("t_statistic"),
         dof.cast("long").alias("degrees_of_freedom"),
         F.when((dof > 0) & (sp2 > 0), (F.col("m1") - F.col("m2")) / F.sqrt(sp2)).alias("cohens_d"),
         F.col("m1").alias("converted_mean"), F.col("m2").alias("non_converted_mean"),
         F.col("n1").alias("n_converted"), F.col("n2").alias("n_non_converted"))
+    return _with_p(tests, "t", "t_statistic", "degrees_of_freedom")
 
 
 def _value_counts_by_feature(org_table: DataFrame, features: list[str], group_col: str) -> DataFrame:
@@ -257,9 +268,10 @@ def mann_whitney_tests(org_table: DataFrame, features: list[str], group_col: str
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
     u = F.greatest(u1, n1 * n2 - u1)
-    return one.select("feature", u1.alias("u_statistic"), F.col("n1").alias("n_converted"),
-                      F.col("n2").alias("n_non_converted"), "tie_term",
-                      F.when(var > 0, (u - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)).alias("z_statistic"))
+    tests = one.select("feature", u1.alias("u_statistic"), F.col("n1").alias("n_converted"),
+                       F.col("n2").alias("n_non_converted"), "tie_term",
+                       F.when(var > 0, (u - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)).alias("z_statistic"))
+    return _with_p(tests, "mwu", "u_statistic", tie="tie_term")
 
 
 def ks_tests(org_table: DataFrame, features: list[str], group_col: str = "converted", with_p: bool = True) -> DataFrame:
@@ -281,15 +293,16 @@ def ks_tests(org_table: DataFrame, features: list[str], group_col: str = "conver
 def adoption_chi_square(feature_log: DataFrame, org_col: str, activity_col: str, converted_col: str,
                         order_col: str | None = None, correction: bool = True) -> DataFrame:
     """For every activity, chi-square of (used it / did not) x converted
-    over all orgs, with Yates on the 2x2 table.  Counts come from one
-    ``groupBy(org, activity)`` and one ``groupBy(activity)``; the class sizes
-    are a struct scalar."""
+    over all orgs, with Yates on the 2x2 table, and its p-value.  The log is read
+    once, into a row per (org, activity); orgs, class sizes (a struct scalar) and
+    counts per activity come from that table."""
     order = F.col(order_col) if order_col else F.lit(0)
-    orgs = feature_log.filter(F.col(org_col).isNotNull()).groupBy(org_col).agg(
-        F.min_by(F.col(converted_col), order).alias("_c"))
+    pairs = materialize(feature_log.filter(F.col(org_col).isNotNull()).groupBy(org_col, activity_col).agg(
+        F.min_by(F.col(converted_col), order).alias("_first"), F.min(order).alias("_at")), "org_activity")
+    orgs = pairs.groupBy(org_col).agg(F.min_by("_first", "_at").alias("_c"))
     classes = orgs.agg(F.struct(F.count_if(F.col("_c") == True).alias("c"),  # noqa: E712
                                 F.count_if(F.col("_c") == False).alias("n"))).scalar()  # noqa: E712
-    used = feature_log.filter(F.col(org_col).isNotNull()).select(org_col, activity_col).distinct().join(orgs, org_col)
+    used = pairs.select(org_col, activity_col).join(orgs, org_col)
     per = used.groupBy(activity_col).agg(F.count_if(F.col("_c") == True).alias("a_c"),  # noqa: E712
                                          F.count_if(F.col("_c") == False).alias("a_n"))  # noqa: E712
     per = per.select("*", classes.alias("_cls")).select("*", F.col("_cls.c").alias("_ct"), F.col("_cls.n").alias("_nt"))
@@ -309,9 +322,10 @@ def adoption_chi_square(feature_log: DataFrame, org_col: str, activity_col: str,
         if correction:
             dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
         stat = stat + F.when(e > 0, dev * dev / e).otherwise(F.lit(0.0))
-    return per.select(activity_col, F.col("a_c").alias("converted_users"), F.col("a_n").alias("non_converted_users"),
-                      F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2_statistic"),
-                      dof.alias("degrees_of_freedom"))
+    tests = per.select(activity_col, F.col("a_c").alias("converted_users"), F.col("a_n").alias("non_converted_users"),
+                       F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2_statistic"),
+                       dof.alias("degrees_of_freedom"))
+    return _with_p(tests, "chi2", "chi2_statistic", "degrees_of_freedom")
 
 
 def anova(df: DataFrame, value_col: str, group_col: str, with_p: bool = True) -> DataFrame:

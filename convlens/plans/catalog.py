@@ -467,23 +467,23 @@ def q_segment_profiles(spark, sf_dir):
 
 @query("adoption_chi_square")
 def q_adoption_chi2(spark, sf_dir):
-    return _round_doubles(stats.adoption_chi_square(_feature_log(spark, sf_dir), "ORGANIZATION_ID", "ACTIVITY_NAME",
-                                                    "CONVERTED", "EVENT_ID"))
+    return _round_p(_round_doubles(stats.adoption_chi_square(_feature_log(spark, sf_dir), "ORGANIZATION_ID", "ACTIVITY_NAME",
+                                                    "CONVERTED", "EVENT_ID")))
 
 
 @query("feature_t_tests")
 def q_feature_t_tests(spark, sf_dir):
-    return _round_doubles(stats.t_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES))
+    return _round_p(_round_doubles(stats.t_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES)))
 
 
 @query("feature_mann_whitney")
 def q_feature_mwu(spark, sf_dir):
-    return _round_doubles(stats.mann_whitney_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES))
+    return _round_p(_round_doubles(stats.mann_whitney_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES)))
 
 
 @query("feature_ks_tests")
 def q_feature_ks(spark, sf_dir):
-    return _round_doubles(stats.ks_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES, with_p=False))
+    return _round_p(_round_doubles(stats.ks_tests(_org_table(spark, sf_dir), EXT_TEST_FEATURES)))
 
 
 @query("stage_change_anova")
@@ -494,7 +494,7 @@ def q_stage_anova(spark, sf_dir):
 
 @query("time_profile_tests")
 def q_time_profile_tests(spark, sf_dir):
-    return _round_doubles(stats.t_tests(cohorts.per_org_time_profile(_feature_log(spark, sf_dir)), TIME_PROFILE_FEATURES))
+    return _round_p(_round_doubles(stats.t_tests(cohorts.per_org_time_profile(_feature_log(spark, sf_dir)), TIME_PROFILE_FEATURES)))
 
 
 @query("adjusted_tests")

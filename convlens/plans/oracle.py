@@ -678,6 +678,28 @@ SELECT segment, ORGANIZATION_ID, count(*) AS total_activities, count(DISTINCT AC
        count(DISTINCT activity_category) AS unique_categories,
        round(date_diff('microsecond', arg_min(TRIAL_START, EVENT_ID), min("TIMESTAMP")) / 1000000.0 / 3600.0, 9) AS time_to_first_activity
 FROM segfeat GROUP BY segment, ORGANIZATION_ID""", SEG_FEAT))
+_W = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _chi2_tail(x: str, k: str) -> str:
+    """P(chi-square with k degrees > x) by Simpson's rule (2000 steps) over u = sqrt(x), at most 40."""
+    u = f"LEAST(sqrt({x}), 40)"
+    part = f"(SELECT sum({_W} * pow({u} * i / 2000, {k} - 1) * exp(-pow({u} * i / 2000, 2) / 2)) FROM generate_series(0, 2000) s(i))"
+    return f"GREATEST(0.0, 1 - {part} * {u} / 6000 * pow(2, 1 - {k} / 2.0) / exp(lgamma({k} / 2.0)))"
+
+
+def _t_tail(t: str, nu: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule up to |t|, at most 60."""
+    u = f"LEAST(abs({t}), 60)"
+    part = f"(SELECT sum({_W} * pow(1 + pow({u} * i / 2000, 2) / {nu}, -({nu} + 1) / 2.0)) FROM generate_series(0, 2000) s(i))"
+    return f"GREATEST(0.0, 1 - 2 * {part} * {u} / 6000 * exp(lgamma(({nu} + 1) / 2.0) - lgamma({nu} / 2.0)) / sqrt({nu} * pi()))"
+
+
+def _kolmogorov_tail(x: str) -> str:
+    return (f"CASE WHEN {x} < 1 THEN 1 - sqrt(2 * pi()) / {x} * (SELECT sum(exp(-pow((2 * i - 1) * pi(), 2) / (8 * pow({x}, 2)))) FROM generate_series(1, 19) s(i)) "
+            f"ELSE 2 * (SELECT sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * pow({x}, 2))) FROM generate_series(1, 60) s(i)) END")
+
+
 register("adoption_chi_square", feature_sql("""
 , orgs AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS c FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
 cls AS (SELECT count(*) FILTER (WHERE c = true) AS ct, count(*) FILTER (WHERE c = false) AS nt FROM orgs),
@@ -693,10 +715,13 @@ g AS (
 cells AS (
   SELECT ACTIVITY_NAME, a_c, a_n, dof, o, e FROM g,
   LATERAL (VALUES (a_c, ct * used / n), (a_n, nt * used / n), (ct - a_c, ct * (n - used) / n), (nt - a_n, nt * (n - used) / n)) v(o, e))
+SELECT ACTIVITY_NAME, converted_users, non_converted_users, round(chi2, 9) AS chi2_statistic, degrees_of_freedom,
+       round(CASE WHEN degrees_of_freedom > 0 THEN """ + _chi2_tail("chi2", "degrees_of_freedom") + """ ELSE 1.0 END, 6) AS p_value
+FROM (
 SELECT ACTIVITY_NAME, a_c AS converted_users, a_n AS non_converted_users,
-       round(CASE WHEN dof > 0 THEN sum(CASE WHEN e > 0 THEN pow(abs(o - e) - CASE WHEN dof = 1 THEN LEAST(0.5, abs(o - e)) ELSE 0 END, 2) / e ELSE 0.0 END) ELSE 0.0 END, 9) AS chi2_statistic,
+       CASE WHEN dof > 0 THEN sum(CASE WHEN e > 0 THEN pow(abs(o - e) - CASE WHEN dof = 1 THEN LEAST(0.5, abs(o - e)) ELSE 0 END, 2) / e ELSE 0.0 END) ELSE 0.0 END AS chi2,
        dof AS degrees_of_freedom
-FROM cells GROUP BY ACTIVITY_NAME, a_c, a_n, dof"""))
+FROM cells GROUP BY ACTIVITY_NAME, a_c, a_n, dof) b"""))
 EXT_F = ["total_activities_count", "unique_activities_count", "unique_categories_count", "activities_per_day",
          "days_active", "week1_activity_count", "week1_activity_ratio"]
 
@@ -719,13 +744,16 @@ FROM (SELECT *, sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) AS se
                          var_samp(value) FILTER (WHERE converted = true) AS v1, var_samp(value) FILTER (WHERE converted = false) AS v2,
                          count(value) FILTER (WHERE converted = true) + count(value) FILTER (WHERE converted = false) - 2 AS dof
                   FROM long GROUP BY feature)))"""
-register("feature_t_tests", feature_sql(T_TESTS_BODY, "long AS (" + _long_sql("org", EXT_F) + ")"))
+T_TESTS_WITH_P = f"""SELECT *, round(CASE WHEN isinf(t_statistic) THEN 0.0 WHEN t_statistic IS NOT NULL THEN {_t_tail("t_statistic", "degrees_of_freedom")} END, 6) AS p_value
+FROM ({T_TESTS_BODY}) b"""
+register("feature_t_tests", feature_sql(T_TESTS_WITH_P, "long AS (" + _long_sql("org", EXT_F) + ")"))
 VC_CTE = """
 vc AS (
   SELECT feature, value, count(*) FILTER (WHERE converted = true) AS t1, count(*) FILTER (WHERE converted = false) AS t2, count(*) AS t
   FROM long WHERE converted IS NOT NULL AND value IS NOT NULL GROUP BY feature, value)
 """
 register("feature_mann_whitney", feature_sql("""
+SELECT *, round(CASE WHEN z_statistic > 0 THEN """ + _chi2_tail("z_statistic * z_statistic", "1") + """ WHEN u_statistic IS NOT NULL THEN 1.0 END, 6) AS p_value FROM (
 SELECT feature, round(r1 - n1 * (n1 + 1) / 2.0, 9) AS u_statistic, n1 AS n_converted, n2 AS n_non_converted,
        CAST(tie AS DOUBLE) AS tie_term,
        round(CASE WHEN var > 0 THEN (GREATEST(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5) / sqrt(var) END, 9) AS z_statistic
@@ -733,14 +761,16 @@ FROM (SELECT *, n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 -
       FROM (SELECT feature, sum(t1 * (before + (t + 1) / 2.0)) AS r1, CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t2) AS BIGINT) AS n2,
                    sum(t * t * t - t) AS tie
             FROM (SELECT *, COALESCE(sum(t) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM vc)
-            GROUP BY feature))""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
+            GROUP BY feature))) b""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
 register("feature_ks_tests", feature_sql("""
-SELECT feature, round(max(abs(c1 / n1 - c2 / n2)), 9) AS d_statistic, CAST(max(n1) AS BIGINT) AS n_converted,
+SELECT feature, round(d, 9) AS d_statistic, n_converted, n_non_converted, round(CASE WHEN x <= 0 THEN 1.0 ELSE """ + _kolmogorov_tail("x") + """ END, 6) AS p_value
+FROM (SELECT *, d * sqrt(CAST(n_converted AS DOUBLE) * n_non_converted / (n_converted + n_non_converted)) AS x FROM (
+SELECT feature, max(abs(c1 / n1 - c2 / n2)) AS d, CAST(max(n1) AS BIGINT) AS n_converted,
        CAST(max(n2) AS BIGINT) AS n_non_converted
 FROM (SELECT feature, sum(t1) OVER w AS c1, sum(t2) OVER w AS c2, sum(t1) OVER (PARTITION BY feature) AS n1,
              sum(t2) OVER (PARTITION BY feature) AS n2
       FROM vc WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-GROUP BY feature""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
+GROUP BY feature)) b""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
 register("stage_change_anova", feature_sql("""
 , g AS (SELECT converted, count(stage_change) AS n, avg(stage_change) AS m, COALESCE(var_samp(stage_change), 0.0) AS v
         FROM (SELECT converted, CAST(late_stage_count - early_stage_count AS DOUBLE) AS stage_change FROM stage)
@@ -752,7 +782,7 @@ SELECT 'stage_change' AS feature,
        CAST(k - 1 AS BIGINT) AS df_between, CAST(nn - k AS BIGINT) AS df_within, round(ssb, 9) AS ssb, round(ssw, 9) AS ssw
 FROM s, t""", STAGE_CTE))
 TIME_F = ["weekend_share", "mean_hour", "active_dates"]
-register("time_profile_tests", feature_sql(T_TESTS_BODY, """
+register("time_profile_tests", feature_sql(T_TESTS_WITH_P, """
 prof AS (
   SELECT ORGANIZATION_ID, avg(is_weekend) AS weekend_share, avg(hour) AS mean_hour,
          count(DISTINCT CAST("TIMESTAMP" AS DATE)) AS active_dates, arg_min(CONVERTED, EVENT_ID) AS converted
@@ -815,7 +845,7 @@ def _p_ctes(extra_t: list[str]) -> list[str]:
              CASE WHEN kind = 't' THEN exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + u * u / dof, -(dof + 1) / 2)
                   ELSE pow(u, k - 1) * exp(-u * u / 2) * pow(2, 1 - k / 2) / exp(lgamma(k / 2)) END AS density
       FROM (SELECT *, top * i / 2000 AS u
-            FROM (SELECT *, CASE kind WHEN 'chi2' THEN sqrt(statistic) WHEN 't' THEN abs(statistic) ELSE GREATEST(z, 0.0) END AS top,
+            FROM (SELECT *, CASE kind WHEN 'chi2' THEN LEAST(sqrt(statistic), 40) WHEN 't' THEN LEAST(abs(statistic), 60) ELSE LEAST(GREATEST(z, 0.0), 40) END AS top,
                          CASE kind WHEN 'chi2' THEN GREATEST(dof, 1.0) ELSE 1.0 END AS k FROM base), generate_series(0, 2000) s(i)))
     GROUP BY test_id, test, kind, feature, statistic, dof))"""
     features = ["week1_activity_ratio"] + [f for f in extra_t if f != "week1_activity_ratio"]
