@@ -17,7 +17,7 @@ from convlens.functions.categories import fixture_category_map
 from convlens.operators import charts, clean, cohorts, features, mart, models, segments, stages, stats
 from convlens.session import ensure_checkpoint_dir, materialize
 from convlens.sources import inspect as inspect_
-from convlens.sources.log import fixture_log, fixture_log_with_duplicates, fixture_text_log
+from convlens.sources.log import fixture_log, fixture_log_with_duplicates, fixture_text_log, read_log
 from convlens.streaming.live_mart import live_staging_metrics, replay_as_stream, start_live_staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -563,3 +563,20 @@ def q_exploratory_clean_log(spark, sf_dir):
 
     raw = fixture_text_log(spark, sf_dir, with_duplicates=True)
     return exploratory_pipeline(raw, typed=False, category_map=fixture_category_map(), through="clean")["clean_log"]
+
+
+# ------------------------------------------------------------------ file order
+
+@query("log_from_files")
+def q_log_from_files(spark, sf_dir):
+    """The fixture log written as CSV without its order column, in files whose
+    sizes differ (ranges of the id's logarithm), read back through ``read_log``:
+    rows per org and the first activity in input order."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
+    log = fixture_log(spark, sf_dir)
+    ordered = log.repartitionByRange(4, F.floor(F.log2(F.col("EVENT_ID") + 2)), "EVENT_ID").sortWithinPartitions("EVENT_ID")
+    ordered.drop("EVENT_ID").write.option("header", True).csv(path)
+    back = clean.type_log(read_log(spark, path))
+    return back.groupBy(F.col("ORGANIZATION_ID").cast("long").alias("ORGANIZATION_ID")).agg(
+        F.count(F.lit(1)).alias("records"), F.min_by("ACTIVITY_NAME", "EVENT_ID").alias("first_activity"),
+        F.max_by("ACTIVITY_NAME", "EVENT_ID").alias("last_activity"))

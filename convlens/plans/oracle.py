@@ -864,3 +864,8 @@ SELECT test_id, test, feature, round(statistic, 9) AS statistic, dof AS degrees_
 FROM (SELECT *, CASE WHEN p_value IS NOT NULL THEN LEAST(p_value * m, 1.0) END AS bonf,
              CASE WHEN p_value IS NOT NULL THEN LEAST(min(p_value * m / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) END AS fdr
       FROM (SELECT *, count(p_value) OVER () AS m, row_number() OVER (ORDER BY p_value NULLS LAST) AS r FROM p))""", *_p_ctes(EXT_F)))
+
+# ------------------------------------------------------------------ file order
+register("log_from_files", fixture_sql("""
+SELECT ORGANIZATION_ID, count(*) AS records, arg_min(ACTIVITY_NAME, EVENT_ID) AS first_activity, arg_max(ACTIVITY_NAME, EVENT_ID) AS last_activity
+FROM trial_log GROUP BY ORGANIZATION_ID"""))
