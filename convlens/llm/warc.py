@@ -24,7 +24,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlens.llm.common import distinct_count_at_most, pieces, shared_path, store, table
@@ -33,8 +33,8 @@ MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
 #: Bytes of a file whose chain one task contracts.
 BLOCK_BYTES = 4 << 20
-#: Revisits whose ids may be broadcast (under 100 bytes each).
-BROADCAST_ROWS = 500_000
+#: Revisits, splits or blocks of interrupted records that may be broadcast (a few numbers and a path or digest each).
+BROADCAST_ROWS = 100_000
 
 
 def _digest(payload: bytes) -> str:
@@ -85,8 +85,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     sums = pages.where("page_id IS NOT NULL").select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
     last = sums.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = store(sums.join(last, ["sha", "n"]).where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct(), "revisits")
-    if distinct_count_at_most(revisits, BROADCAST_ROWS):
-        revisits = F.broadcast(revisits)
+    revisits = _small(revisits)
     # an id may be repeated with other html, so the payload is part of the key
     joined = pages.join(revisits, (pages["page_id"] == revisits["page_id"]) & (F.sha1(pages["html"]) == revisits["sha"]), "left")
     ready = joined.select(pages["page_id"], "url", "html", "refers_to")
@@ -135,16 +134,27 @@ _FIELDS = pa.schema([
 ])
 
 
-def _located(segments: DataFrame, run, ddl: str) -> DataFrame:
-    """Apply ``run`` (rows with ``at``, relative to the split) and make ``at``
-    relative to the file: the splits before it add up to its start."""
-    sums = segments.groupBy("file", "split").agg(F.sum(F.octet_length("raw") + len(MAGIC)).alias("size"))
-    before = sums.alias("a").join(sums.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.split") < F.col("a.split")), "left")
-    starts = before.groupBy("a.file", "a.split").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("start"))
-    return segments.mapInArrow(run, ddl).join(starts, ["file", "split"])
+def _split_starts(spark: SparkSession, path: str) -> DataFrame:
+    """Where in its file each split's first segment begins: the splits before it add up to that."""
+    sums = _segments(spark, path).groupBy("file", "split").agg(F.sum(F.octet_length("raw") + len(MAGIC)).alias("size"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return store(sums.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "warc_splits")
 
 
-def candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+def _located(segments: DataFrame, run, ddl: str, starts: DataFrame) -> DataFrame:
+    """Apply ``run`` (rows with ``at``, relative to the split) and add each split's ``start``."""
+    joined = segments.mapInArrow(run, ddl).join(_small(starts), ["file", "split"], "left")
+    # the two scans must cut the files alike; fail rather than lose a split
+    known = F.when(F.col("start").isNull(), F.raise_error("the files' splits have changed between two scans; read again")).otherwise(F.col("start"))
+    return joined.withColumn("start", known)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has been counted to be small."""
+    return F.broadcast(df) if distinct_count_at_most(df, BROADCAST_ROWS) else df
+
+
+def candidates(spark: SparkSession, path: str, payloads: bool, starts: DataFrame) -> DataFrame:
     """Every occurrence of the magic that a record's header follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +177,7 @@ def candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
 
-    found = _located(_segments(spark, path), run, "file string, split long, at long, successor long, whole boolean, page_id long, url string, type string, digest string, bytes long, refers_to long, payload binary")
+    found = _located(_segments(spark, path), run, "file string, split long, at long, successor long, whole boolean, page_id long, url string, type string, digest string, bytes long, refers_to long, payload binary", starts)
     return found.select("file", (F.col("start") + F.col("at")).alias("at"), (F.col("start") + F.col("successor")).alias("successor"), "whole", "page_id", "url", "type", "digest", "bytes", "refers_to", "payload")
 
 
@@ -224,15 +234,16 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, block_b
     """The records of the archives under ``path``: file, at, page_id, url, type,
     digest, bytes, refers_to and, if asked for, payload (null for revisits).  A chain ends where
     no record begins (the end of the file, or damage); empty archives give no rows."""
-    found = candidates(spark, path, payloads)
+    starts = _split_starts(spark, path)
+    found = candidates(spark, path, payloads, starts)
     chain = store(found.select("file", "at", "successor", "whole"), "warc_links")
     real = store(chain.join(reachable(chain, block_bytes), ["file", "at"]).where("successor > at"), "warc_records")
     whole = found.join(real.where("whole").select("file", "at"), ["file", "at"])
-    rest = _assembled(spark, path, real.where("not whole").select("file", "at", "successor"), block_bytes)
+    rest = _assembled(spark, path, real.where("not whole").select("file", "at", "successor"), block_bytes, starts)
     return whole.select(rest.columns).unionByName(rest).select("file", "at", "page_id", "url", "type", "digest", "bytes", "refers_to", *["payload"] * payloads)
 
 
-def _assembled(spark: SparkSession, path: str, records: DataFrame, block_bytes: int) -> DataFrame:
+def _assembled(spark: SparkSession, path: str, records: DataFrame, block_bytes: int, starts: DataFrame) -> DataFrame:
     """Records that other candidates or split borders interrupt, from their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +258,11 @@ def _assembled(spark: SparkSession, path: str, records: DataFrame, block_bytes:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["file", "split", "at", "raw"])
 
-    parts = _located(_segments(spark, path), run, "file string, split long, at long, raw binary").select("file", (F.col("start") + F.col("at")).alias("piece_at"), "raw")
+    parts = _located(_segments(spark, path), run, "file string, split long, at long, raw binary", starts).select("file", (F.col("start") + F.col("at")).alias("piece_at"), "raw")
     parts = parts.withColumn("block", F.floor(F.col("piece_at") / block_bytes))
     spans = records.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_bytes), F.floor(F.col("successor") / block_bytes))))
-    inside = parts.join(spans, ["file", "block"]).where("piece_at >= at AND piece_at < successor")
+    # few records hold a magic or cross a split, and only their pieces are wanted
+    inside = parts.join(_small(store(spans, "warc_spans")), ["file", "block"]).where("piece_at >= at AND piece_at < successor")
     joined = inside.groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("piece_at", "raw"))).alias("pieces"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
