@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +41,21 @@ def distinct_count_at_most(df: DataFrame, bound: int) -> bool:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] <= bound
 
 
+#: What operators keep in a Python worker between tasks (tokenizers and their word caches).
+WORKER: dict = {}
+
+
+def forget() -> None:
+    """Drop what earlier operators keep in this worker and give free memory
+    back; workers are reused by the next stages of a pipeline."""
+    if WORKER:
+        WORKER.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # glibc keeps freed arenas
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, at_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow's batches hold a fixed number of rows, however long; cut them so
     that a piece holds about ``at_most`` bytes (or list entries) of ``column``."""

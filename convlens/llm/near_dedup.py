@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import hyperminhash as hm
-from convlens.llm.common import distinct_count_at_most, pieces, store, table
+from convlens.llm.common import distinct_count_at_most, forget, pieces, store, table
 from convlens.llm.components import connected_components
 
 #: How far below the threshold an estimate may lie and still be verified.
@@ -39,7 +39,7 @@ BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 2_000, 1_500, 16_000_000
 #: Nodes whose keys may be broadcast (six numbers each) to fetch their texts again.
 BROADCAST_ROWS = 500_000
 #: Distinct words whose hashes a worker keeps while it reads a batch.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,6 +51,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, checksum, n_shingles, k1, k2, regs) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         for batch in pieces(batches, "text"):
             if len(known) > KNOWN_WORDS:
@@ -174,6 +175,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         for batch in pieces(batches, "text"):
             if len(known) > KNOWN_WORDS:

@@ -33,15 +33,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import TOKENIZER_DIR, pieces, store, table
+from convlens.llm.common import TOKENIZER_DIR, WORKER, forget, pieces, store, table
 from convlens.llm.word_cache import UnitEncoder
 
 SPACE = "▁"
 #: Texts longer than this are giant and cut into chunks of this many characters.
 CHUNK_CHARS = 65_536
+#: Words that a worker keeps with their ids; small, as other stages of a pipeline run in the same workers.
+CACHED_WORDS = 200_000
 
 _CUT = re.compile(f"(?<=[^ {SPACE}]) ")
-_MODELS: dict[str, Model] = {}
 
 State = tuple[int, int]  # where the piece that covers the character before a cut begins and ends, relative to the cut
 
@@ -67,7 +68,7 @@ class Model:
         if not sp.is_byte(self.bytes[0]) or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a model with byte fallback, and without spaces inside pieces, is needed")
         self.longest = max(map(len, self.ids))
-        self.cache = UnitEncoder(self._encode_units, "", "", _split)
+        self.cache = UnitEncoder(self._encode_units, "", "", _split, CACHED_WORDS)
         self.admissible = lru_cache(200_000)(self._admissible)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
@@ -142,9 +143,10 @@ class Model:
 
 
 def _model(path: str) -> Model:
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    if ("pieces", path) not in WORKER:
+        forget()
+        WORKER["pieces", path] = Model(path)
+    return WORKER["pieces", path]
 
 
 def _borders(s: str, lo: int, hi: int) -> tuple[int, int] | None:

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import windows as win
-from convlens.llm.common import pieces, store, table
+from convlens.llm.common import forget, pieces, store, table
 
 #: Bytes of text whose runs are compared at once, and of contexts classed at once.
-BATCH_BYTES, CONTEXT_BYTES = 4_000_000, 1_000_000
+BATCH_BYTES, CONTEXT_BYTES = 2_000_000, 1_000_000
 #: Contexts of one anchor that one task classes; more are dealt out in parts.
 ANCHOR_CONTEXTS = 20_000
 NO_ID = -(2**63)
@@ -58,6 +58,7 @@ def _runs_of(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 def runs(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches, "_text", BATCH_BYTES):
             parts = []
             for d, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -82,6 +83,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     """Rows sorted by (h, k, d, c, at) to marks (h null) and to the first run of
     every kind of an anchor that has several.  An anchor's first run is held
     until a second kind or the next anchor is seen."""
+    forget()
     held: tuple | None = None  # h, k, d, c, at and the rest of the last run that began a kind; whether it is known to be one of several
     several = False
     for batch in batches:
@@ -263,6 +265,7 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     names = spans.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches, "text", BATCH_BYTES):
             texts = []
             for text, each in zip(batch.column(0), batch.column(len(names) - 1)):

@@ -19,7 +19,9 @@ writer (one block a row), whose commit protocol survives lost executors.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convlens.llm.common import TOKENIZER_DIR, pieces, shared_path, store, table
+from convlens.llm.common import TOKENIZER_DIR, WORKER, forget, pieces, shared_path, store, table
 from convlens.llm.word_cache import UnitEncoder
 
 MAGIC, HEAD = b"TIDS", struct.Struct("<4sB3xI4xQ")
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 18
+#: Unknown words that are tokenized as one text.
+WORDS_JOINED = 200
 
-_ENCODERS: dict[str, tuple[UnitEncoder, int]] = {}
-
+_SPACE = re.compile(r"\s")
 
 def bits_for(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
@@ -95,18 +98,54 @@ def blocks_of(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray, np.nd
 
 
 def _encoder(path: str) -> tuple[UnitEncoder, int]:
-    """One encoder per worker process and file; its cache of words outlives a batch."""
-    if path not in _ENCODERS:
+    """One encoder per worker process and file; its cache of words outlives a batch.
+
+    Words that no cache knows are given to the library many to a text: a
+    byte-level tokenizer begins a token at every space that follows a word, so
+    the tokens that begin with a space tell the words' ids apart.  Tokenizers
+    of another kind get whole texts."""
+    if ("ids", path) not in WORKER:
+        forget()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-
-        def encode(units: list[str]) -> list[bytes]:
+        parts = json.loads(t.to_str())
+        before = parts["pre_tokenizer"] or {}
+        by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts["normalizer"] and not parts["post_processor"]
+        special = [x["content"] for x in parts["added_tokens"]]
+        spaced = np.zeros(t.get_vocab_size(), bool)
+        spaced[[i for token, i in t.get_vocab().items() if token.startswith("\u0120")]] = True
+
+        def each(units: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
 
-        _ENCODERS[path] = UnitEncoder(encode, "", " "), t.get_vocab_size()
-    return _ENCODERS[path]
+        def joined(units: list[str]) -> list[bytes]:
+            groups = [units[i:i + WORDS_JOINED] for i in range(0, len(units), WORDS_JOINED)]
+            out: list[bytes] = []
+            for group, e in zip(groups, t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(spaced[ids])
+                if len(cuts) != len(group) or cuts[0]:
+                    out += each(group)
+                    continue
+                raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip((4 * cuts).tolist(), ends)]
+            return out
+
+        def encode(units: list[str]) -> list[bytes]:
+            plain = [i for i, u in enumerate(units) if u[:1] == " " and len(u) > 1 and not _SPACE.search(u, 1) and not any(x in u for x in special)]
+            out: list[bytes] = [b""] * len(units)
+            for i, ids in zip(plain, joined([units[i] for i in plain])):
+                out[i] = ids
+            rest = sorted(set(range(len(units))).difference(plain))
+            for i, ids in zip(rest, each([units[i] for i in rest])):
+                out[i] = ids
+            return out
+
+        encoder = UnitEncoder(encode, "", " ") if by_word else UnitEncoder(each, "", "", lambda text: [text])
+        WORKER["ids", path] = encoder, t.get_vocab_size()
+    return WORKER["ids", path]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import pieces, table
+from convlens.llm.common import forget, pieces, table
 
 PLACES = 1 << 20
 #: Labelled rows that the model is fitted on, at most.
@@ -172,6 +172,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
     """Fit on the rows of ``training_rows``: log-odds on one half, calibration on the other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums = np.zeros((2, PLACES), np.int64)
         for batch in pieces(batches, "text"):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -241,6 +242,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFr
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         for batch in pieces(batches, "text"):
             keep = []

@@ -33,16 +33,16 @@ class UnitEncoder:
     """``encode(units)`` gives the packed ids (``bytes``) of strings; it must be a pure function."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], first: str, rest: str,
-                 split: Callable[[str], list[str]] = split_units):
-        """``first``/``rest``: what to put before the first and before each later unit."""
-        self._encode, self._prefix, self._split = encode, (first, rest), split
+                 split: Callable[[str], list[str]] = split_units, most: int = CACHE_UNITS):
+        """``first``/``rest``: what to put before the first and before each later unit; ``most``: units kept."""
+        self._encode, self._prefix, self._split, self._most = encode, (first, rest), split, most
         self._kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {}) if first != rest else ((d := {}), d)
 
     def _lookup(self, k: int, units: set[str], own: dict[str, bytes]) -> None:
         kept = self._kept[k]
         missing = [u for u in units if u not in kept]
         for u, ids in zip(missing, self._encode([self._prefix[k] + u for u in missing])) if missing else ():
-            (kept if len(u) <= CACHE_UNIT_CHARS and len(kept) < CACHE_UNITS else own)[u] = ids
+            (kept if len(u) <= CACHE_UNIT_CHARS and len(kept) < self._most else own)[u] = ids
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         group: list[list[str]] = []
@@ -60,7 +60,7 @@ class UnitEncoder:
             return
         own: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         for kept in self._kept:
-            if len(kept) >= CACHE_UNITS:
+            if len(kept) >= self._most:
                 kept.clear()
         rest: set[str] = set()
         for units in group:

@@ -68,3 +68,21 @@ def test_empty_table(spark, rows):
 def test_units_join_to_the_text():
     for t in TEXTS:
         assert " ".join(split_units(t or "")) == (t or "")
+
+
+def test_words_joined_equal_the_library():
+    import random
+
+    r = random.Random(11)
+    pieces = ["the", "Été", "x.y", "it's", "'s", "a\x1cb", "٣", "½", "<|endoftext|>", "<|", "", "\n", "\t", "\xa0", "日本", "😀", "--", "123", "_", "re're", "　", "\x00"]
+    encode, _ = ts._encoder(PATH)
+    texts = [r.choice([" ", "  ", " "]).join(r.choices(pieces, k=r.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(r.choices(["ab", " ", "É", "'", "ll", "7", "!"], k=30)) for _ in range(1500)]
+    for text, got, want in zip(texts, encode(texts), library(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want[:-1], repr(text)
+    other, _ = ts._encoder(f"{TOKENIZER_DIR}/word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{TOKENIZER_DIR}/word_bpe_49k.json")
+    for text, got in zip(texts[:200], other(texts[:200])):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
