@@ -6,6 +6,7 @@ that redirect or name a canonical address are one resource: the connected
 components of those edges, over urls without scheme and fragment.  A url without
 a rule takes its component's verdict: allow if a rule allows any member, else
 block if a rule blocks one, else allow.  A rule on the url itself comes first.
+Members are all ends of the edges, whether or not they are pages themselves.
 
 Native DataFrame operations only.  Distinct (host, path) pairs are matched, by
 equality joins on host suffixes and path prefixes, so neither copies nor many
@@ -91,16 +92,19 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     allowed; null ids and repeated rows stay as they are."""
     url = F.col("url").cast("string")
     flat = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), resource_of(url).alias("resource"))
-    ruled = flat.join(_matched(flat.select("host", "path").distinct(), rules), ["host", "path"], "left")
+    places = flat.select("host", "path")
     if edges is not None:
         pairs = edges.select(resource_of(F.col("url")).alias("u"), resource_of(F.col("alias")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-        of_node = connected_components(pairs, "aliases").select(F.col("node").alias("resource"), "component")
-        ruled = ruled.join(of_node, "resource", "left")
+        nodes = connected_components(pairs, "aliases").select(F.col("node").alias("resource"), "component")
+        nodes = nodes.withColumns({"host": F.regexp_extract("resource", r"^([^/?]*)", 1), "path": F.regexp_extract("resource", r"^[^/?]*([^?]*)", 1)})
+        places = places.union(nodes.select("host", "path"))
+    matched = _matched(places.distinct(), rules)
+    out = flat.join(matched, ["host", "path"], "left")
+    if edges is not None:
+        spread = nodes.join(matched, ["host", "path"]).groupBy("component").agg(F.min("ruled").alias("spread"))  # 'allow' before 'block'
+        out = out.join(nodes.join(spread, "component").select("resource", "spread"), "resource", "left")
     else:
-        ruled = ruled.withColumn("component", F.lit(None).cast("string"))
-    ruled = ruled.withColumn("component", F.coalesce("component", "resource"))
-    spread = ruled.where("ruled IS NOT NULL").groupBy("component").agg(F.min("ruled").alias("spread"))  # 'allow' before 'block'
-    out = ruled.join(spread, "component", "left")
+        out = out.withColumn("spread", F.lit(None).cast("string"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
 
 

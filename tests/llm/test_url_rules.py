@@ -36,3 +36,21 @@ def test_no_edges_no_rows(spark, rows):
     rules = spark.createDataFrame(ur.RULES, "host string, path string, verdict string")
     assert ur.judge(rows([], "page_id long, url string"), rules).count() == 0
     assert ur.judge(rows([(1, "http://a.org/")], "page_id long, url string"), rules.limit(0)).collect()[0]["verdict"] == "allow"
+
+
+def test_targets_that_are_no_pages(spark, rows):
+    data = [
+        (1, "http://m.net/1", LINK.format("http://shop.com/de/zzz")), (2, "http://m.net/2", LINK.format("http://gone.net/x")),
+        (3, "http://m.net/3", '<meta http-equiv="refresh" content="0; url=http://gone.net/x">'), (4, "http://shop.com/de/1", LINK.format("http://gone.net/x")),
+        (5, "http://n.net/5", LINK.format("http://a.org/ok")), (6, "http://n.net/6", LINK.format("http://n.net/5")), (7, "http://n.net/6", LINK.format("http://shop.com/de/q?x")),
+        (8, "http://o.net/8", "t"),
+    ]
+    pages = rows(data, "page_id long, url string, html string")
+    rules = spark.createDataFrame(ur.RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in ur.judge(pages, rules, ur.alias_edges(pages)).collect()}
+    # 1 leads to a blocked url; 2 and 3 meet 4, which is blocked, in a url that is no page
+    assert got[1] == got[2] == got[3] == (None, "block") and got[4] == ("com/de/", "block")
+    # an allowed url that is no page comes before a blocked one
+    assert got[5] == got[6] == got[7] == got[8] == (None, "allow")
+    cut = {r["page_id"]: r["verdict"] for r in ur.judge(pages, rules, ur.alias_edges(pages.where("page_id IN (6, 7)"))).collect()}
+    assert cut[5] == cut[6] == cut[7] == "block" and cut[1] == "allow"
