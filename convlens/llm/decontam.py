@@ -3,10 +3,10 @@
 Words are runs of letters and digits, in lower case; an item's shingles have
 five words (all of its words if it has fewer), weighted by how often they occur.
 
-1. A document's shingle positions are joined with the items' shingles.  A match
-   that does not merely continue the match before it places a window of the
-   item's size at the item's alignment.  Windows without any of an item's
-   shingles have similarity 0 with all items and are never made.
+1. A document's shingle positions are joined with the items' shingles.  Of the
+   windows of an item's size, at whatever word they start, those are made that
+   hold as many matching positions as a similarity of ``least`` needs: the
+   common weight of a window and an item is at most their number.
 2. Windows and items get a 64-bit SimHash of their weighted shingles.  The item
    index holds, for each of 8 blocks of 8 bits, all values within 2 bits of the
    item's: two fingerprints at most ``RADIUS`` = 8 * 3 - 1 bits apart differ by 2 or
@@ -81,6 +81,24 @@ def item_index(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "size", "k", of_k.alias("bag")).withColumns({"set": numbered(F.col("bag")), "fingerprint": simhash(F.col("bag"))})
 
 
+def _starts(hits: DataFrame, least: float) -> DataFrame:
+    """(d, c, start, size, k) of every window that holds enough of the matching
+    positions (d, c, n, size, k, at) to be as similar to an item as ``least``."""
+    held = hits.groupBy("d", "c", "n", "size", "k").agg(F.collect_list("at").alias("ats"))
+    held = held.withColumn("width", F.least("size", "n"))
+    # common / (window + item - common) >= least, with weights of width - k + 1 and size - k + 1
+    need = F.ceil((F.col("width") + F.col("size") - 2 * F.col("k") + 2) * F.lit(least / (1 + least)) - F.lit(1e-6))
+    held = held.withColumn("need", F.greatest(need, F.lit(1)).cast("int")).where(F.size("ats") >= F.col("need"))
+
+    def spans(p: Column) -> Column:
+        # starts from which the i-th position and the need - 1 after it are seen, without those of the position before
+        return F.transform(F.slice(p, F.lit(1), F.size(p) - F.col("need") + 1), lambda x, i: F.struct(
+            F.greatest(p[i + F.col("need") - 1] - F.col("width") + F.col("k"), F.when(i > 0, p[i - 1] + 1), F.lit(0)).alias("begin"), F.least(x, F.col("n") - F.col("width")).alias("end")))
+
+    each = held.select("d", "c", "size", "k", F.explode(F.filter(_bind(F.sort_array("ats"), spans), lambda r: r["begin"] <= r["end"])).alias("r"))
+    return each.select("d", "c", F.explode(F.sequence("r.begin", "r.end")).alias("start"), "size", "k")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """(d, c, doc_id, item_id, start_word, n_words, distance, similarity): the
     best window of each document and item whose similarity is at least ``least``.
@@ -90,15 +108,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     rows = keyed(docs).select("d", "c", "text")
     windows = None
     for k in ks:
-        anchors = items.where(F.col("k") == k).select("size", F.explode(F.transform("bag", lambda x, i: F.struct(x.alias("h"), F.when(i > 0, F.col("bag")[i - 1]).alias("prior"), i.alias("at")))).alias("a"))
-        anchors = _small(store(anchors.select("size", F.col("a.h").alias("h"), F.col("a.prior").alias("item_prior"), F.col("a.at").alias("item_at")).distinct(), "anchors"))
+        anchors = _small(store(items.where(F.col("k") == k).select("size", F.explode("bag").alias("h")).distinct(), "anchors"))
         places = rows.select("d", "c", _hashed(F.col("text")).alias("words")).select("d", "c", F.size("words").alias("n"), shingles(F.col("words"), k).alias("s"))
-        places = places.select("d", "c", "n", F.explode(F.transform("s", lambda x, i: F.struct(x.alias("h"), F.when(i > 0, F.col("s")[i - 1]).alias("prior"), i.alias("at")))).alias("p"))
-        places = places.select("d", "c", "n", "p.h", "p.prior", "p.at")
-        # a match that goes on from the position before it places the same window
-        hits = places.join(anchors, "h").where(F.col("item_prior").isNull() | F.col("prior").isNull() | (F.col("item_prior") != F.col("prior")))
-        start = F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("size")), F.lit(0))
-        found = hits.select("d", "c", start.alias("start"), "size", F.lit(k).alias("k")).distinct()
+        places = places.select("d", "c", "n", F.posexplode("s").alias("at", "h"))
+        hits = places.join(anchors, "h").select("d", "c", "n", "size", F.lit(k).alias("k"), "at").distinct()
+        found = _starts(hits, least)
         windows = found if windows is None else windows.unionByName(found)
     if windows is None:
         windows = rows.limit(0).select("d", "c", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("k"))

@@ -102,3 +102,28 @@ def test_without_broadcast(spark, rows, monkeypatch):
     a = sorted(map(tuple, dc.find_leaks(frame, bench).collect()), key=repr)
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, dc.find_leaks(frame, bench).collect()), key=repr) == a
+
+
+def test_windows_at_every_start(spark, rows):
+    r = random.Random(9)
+    vocab = [f"t{i}" for i in range(5000)]
+    docs, items = [], []
+    # ends replaced and words inserted in the middle: the best window lies between the two alignments
+    for i, (n, ends, middle) in enumerate([(104, 3, 6), (1004, 36, 72), (300, 8, 20), (505, 18, 30), (200, 0, 10)]):
+        w = r.choices(vocab, k=n)
+        items.append((i, " ".join(w)))
+        new = lambda k: r.choices(["x", "y", "z"], k=k)
+        docs.append((i, " ".join(r.choices(vocab, k=50) + new(ends) + w[ends:n // 2] + new(middle) + w[n // 2:n - ends] + new(ends) + r.choices(vocab, k=40))))
+    w = words(items[2][1])
+    docs.append((10, " ".join(r.choices(vocab, k=30) + w[150:] + new(9) + w[:150] + r.choices(vocab, k=30))))  # halves swapped, a gap between them
+    docs.append((11, " ".join(w[20:] + w[:5])))  # shorter than the item
+    want = brute(docs, items)
+    assert {(0, 0), (1, 1), (10, 2), (11, 2)} <= set(want)
+    got = dc.find_leaks(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]): x["similarity"] for x in got}
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in found)
+    # and the short items of the other tests, from the threshold on
+    docs, items = corpus(3)
+    found = {(x["doc_id"], x["item_id"]): x["similarity"] for x in dc.find_leaks(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in found)
