@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.session import ensure_checkpoint_dir
@@ -41,6 +41,11 @@ def distinct_count_at_most(df: DataFrame, bound: int) -> bool:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] <= bound
 
 
+def text_key(text: Column) -> Column:
+    """20 bytes that stand for a text: its crc32, which orders them, and 128 bits of a hash."""
+    return F.unhex(F.concat(F.lpad(F.hex(F.crc32(text)), 8, "0"), F.md5(text)))
+
+
 #: What operators keep in a Python worker between tasks (tokenizers and their word caches).
 WORKER: dict = {}
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import distinct_count_at_most, store, table
+from convlens.llm.common import distinct_count_at_most, store, table, text_key
 
 SHINGLE, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 5, 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
@@ -143,16 +143,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, c, text): a document's key is its id (null ids have one that no id has) and a checksum of its text."""
+    """(d, c, text): a document's key is its id (null ids have one that no id has) and ``text_key`` of its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.crc32(text).alias("c"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_key(text).alias("c"), text.alias("text"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     leaks = _small(store(find_leaks(docs, benchmark, least).select("d", "c").distinct(), "leaks").toDF("_leak_d", "_leak_c"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(leaks, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_leak_d")) & (F.crc32(text) == F.col("_leak_c")), "left_anti")
+    return docs.join(leaks, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_leak_d")) & (text_key(text) == F.col("_leak_c")), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

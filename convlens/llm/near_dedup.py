@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import hyperminhash as hm
-from convlens.llm.common import distinct_count_at_most, forget, pieces, store, table
+from convlens.llm.common import distinct_count_at_most, forget, pieces, store, table, text_key
 from convlens.llm.components import connected_components
 
 #: How far below the threshold an estimate may lie and still be verified.
@@ -64,11 +64,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 regs.append(hm.registers(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "checksum", "n_shingles", "k1", "k2", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), checksum().alias("checksum")).mapInArrow(run, "doc_id long, checksum long, n_shingles long, k1 long, k2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), checksum().alias("checksum")).mapInArrow(run, "doc_id long, checksum binary, n_shingles long, k1 long, k2 long, regs binary")
 
 
 def checksum() -> Column:
-    return F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _bands(nodes: DataFrame) -> DataFrame:

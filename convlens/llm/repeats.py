@@ -3,7 +3,7 @@
 A byte is removed if a string of ``length`` bytes covers it that also starts
 earlier (an earlier document, or earlier in the same one); overlaps count, and
 strings are judged on the input.  Null texts are empty.  Documents are ordered by id, null ids
-first; equal ids by a checksum of the text; rows with equal id and text are one document.
+first; equal ids by hashes of the text (128 bits); rows with equal id and text are one document.
 
 1. Every task cuts its texts into runs of windows with one anchor (windows.py)
    and drops to marks what repeats an earlier run of its own batch, so a string
@@ -39,13 +39,13 @@ BATCH_BYTES, CONTEXT_BYTES = 2_000_000, 1_000_000
 ANCHOR_CONTEXTS = 20_000
 NO_ID = -(2**63)
 
-_RUN = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("d", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+_RUN = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("d", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(_d, _c, _text, _rest): the key of each document, its text, not null, and its other columns in a struct."""
+    """(_d, _c, _e, _text, _rest): the key of each document (its id, its text's crc32 above half of a hash, and another hash), its text, not null, and its other columns in a struct."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.crc32(text).alias("_c"), text.alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in docs.columns if x not in ("text", "_")]).alias("_rest"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.shiftleft(F.crc32(text) - F.lit(2**31), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1))).alias("_c"), F.xxhash64(F.lit(1), text).alias("_e"), text.alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in docs.columns if x not in ("text", "_")]).alias("_rest"))
 
 
 def _runs_of(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -61,36 +61,36 @@ def runs(keyed: DataFrame, length: int) -> DataFrame:
         forget()
         for batch in pieces(batches, "_text", BATCH_BYTES):
             parts = []
-            for d, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for d, c, e, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 for h, k, at, lo, n in _runs_of(text.as_py().encode("utf-8", "surrogatepass"), length):
-                    parts.append((h, k, np.full(len(h), d), np.full(len(h), c), at, lo, n))
+                    parts.append((h, k, np.full(len(h), d), np.full(len(h), c), np.full(len(h), e), at, lo, n))
             if parts:
-                h, k, d, c, at, lo, n = map(np.concatenate, zip(*parts))
-                order = np.lexsort((at, c, d, k))
+                h, k, d, c, e, at, lo, n = map(np.concatenate, zip(*parts))
+                order = np.lexsort((at, e, c, d, k))
                 # the same document may be there twice
-                same = (k[order][1:] == k[order][:-1]) & ((at[order][1:] != at[order][:-1]) | (d[order][1:] != d[order][:-1]) | (c[order][1:] != c[order][:-1]))
+                same = (k[order][1:] == k[order][:-1]) & ((at[order][1:] != at[order][:-1]) | (d[order][1:] != d[order][:-1]) | (c[order][1:] != c[order][:-1]) | (e[order][1:] != e[order][:-1]))
                 dup = np.zeros(len(h), bool)
                 dup[order[1:]] = same
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h, k, d, c, at, lo.astype(np.int32), n.astype(np.int32), dup), _RUN.types)], schema=_RUN)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h, k, d, c, e, at, lo.astype(np.int32), n.astype(np.int32), dup), _RUN.types)], schema=_RUN)
 
-    return keyed.select("_d", "_c", "_text").mapInArrow(run, "h long, k long, d long, c long, at long, lo int, n int, dup boolean")
+    return keyed.select("_d", "_c", "_e", "_text").mapInArrow(run, "h long, k long, d long, c long, e long, at long, lo int, n int, dup boolean")
 
 
-_MARK = pa.schema([("d", pa.int64()), ("c", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+_MARK = pa.schema([("d", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, k, d, c, at) to marks (h null) and to the first run of
+    """Rows sorted by (h, k, d, c, e, at) to marks (h null) and to the first run of
     every kind of an anchor that has several.  An anchor's first run is held
     until a second kind or the next anchor is seen."""
     forget()
-    held: tuple | None = None  # h, k, d, c, at and the rest of the last run that began a kind; whether it is known to be one of several
+    held: tuple | None = None  # h, k, d, c, e, at and the rest of the last run that began a kind; whether it is known to be one of several
     several = False
     for batch in batches:
-        h, k, d, c, at, lo, n, dup = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        h, k, d, c, e, at, lo, n, dup = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         # before the first row: the run held, so that its kind and anchor go on
         if held is not None:
-            h, k, d, c, at, lo, n, dup = (np.concatenate([[v], x]) for v, x in zip(held, (h, k, d, c, at, lo, n, dup)))
+            h, k, d, c, e, at, lo, n, dup = (np.concatenate([[v], x]) for v, x in zip(held, (h, k, d, c, e, at, lo, n, dup)))
         dup = dup.astype(bool)
         live = np.flatnonzero(~dup)
         new_h = np.ones(len(live), bool)
@@ -108,58 +108,58 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         # a run equal to its kind's first one is a repeat, unless it is the same document's own row again
         kind = np.cumsum(new_k) - 1
         first = firsts[kind] if len(live) else live
-        repeat = live[(d[live] != d[first]) | (c[live] != c[first]) | (at[live] != at[first])]
+        repeat = live[(d[live] != d[first]) | (c[live] != c[first]) | (e[live] != e[first]) | (at[live] != at[first])]
         repeat = np.concatenate([np.flatnonzero(dup), repeat])
         out = firsts[:-1][many[:-1]]
         if len(firsts):
             i = firsts[-1]
-            held, several = (h[i], k[i], d[i], c[i], at[i], lo[i], n[i], False), bool(many[-1])
+            held, several = (h[i], k[i], d[i], c[i], e[i], at[i], lo[i], n[i], False), bool(many[-1])
         rows = np.concatenate([repeat, out]).astype(np.int64)
         begin = at[rows] - lo[rows]
-        yield _marks(d[rows], c[rows], begin, begin + n[rows] + length - 1, h[rows], lo[rows], n[rows], len(repeat))
+        yield _marks(d[rows], c[rows], e[rows], begin, begin + n[rows] + length - 1, h[rows], lo[rows], n[rows], len(repeat))
     if held is not None and several:
-        h, _, d, c, at, lo, n, _ = (np.array([v]) for v in held)
-        yield _marks(d, c, at - lo, at - lo + n + length - 1, h, lo, n, 0)
+        h, _, d, c, e, at, lo, n, _ = (np.array([v]) for v in held)
+        yield _marks(d, c, e, at - lo, at - lo + n + length - 1, h, lo, n, 0)
 
 
-def _marks(d, c, begin, end, h, lo, n, marks: int) -> pa.RecordBatch:
+def _marks(d, c, e, begin, end, h, lo, n, marks: int) -> pa.RecordBatch:
     null = np.arange(len(d)) < marks
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((d, c, begin, end), _MARK.types)] + [pa.array(x, t, mask=null) for x, t in zip((h, lo, n), _MARK.types[4:])], schema=_MARK)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((d, c, e, begin, end), _MARK.types)] + [pa.array(x, t, mask=null) for x, t in zip((h, lo, n), _MARK.types[5:])], schema=_MARK)
 
 
-_MARKS_DDL = "d long, c long, begin long, end long, h long, lo int, n int"
+_MARKS_DDL = "d long, c long, e long, begin long, end long, h long, lo int, n int"
 
 
 def _contexts(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     """The bytes of runs that are looked at closer."""
-    wanted = firsts.groupBy("d", "c").agg(F.collect_list(F.struct("begin", "end", "h", "n")).alias("wanted"))
-    joined = keyed.join(wanted, (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c")))
+    wanted = firsts.groupBy("d", "c", "e").agg(F.collect_list(F.struct("begin", "end", "h", "n")).alias("wanted"))
+    joined = keyed.join(wanted, (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c")) & (F.col("_e") == F.col("e")))
     names = joined.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # all columns are taken, so that the texts' exchange is the one that the marks meet
-        at = {x: names.index(x) for x in ("_d", "_c", "_text", "wanted")}
+        at = {x: names.index(x) for x in ("_d", "_c", "_e", "_text", "wanted")}
         for batch in pieces(batches, "_text", BATCH_BYTES):
             rows = []
-            for d, c, text, wanted in zip(batch.column(at["_d"]).to_pylist(), batch.column(at["_c"]).to_pylist(), batch.column(at["_text"]), batch.column(at["wanted"])):
+            for d, c, e, text, wanted in zip(*(batch.column(at[x]).to_pylist() for x in ("_d", "_c", "_e")), batch.column(at["_text"]), batch.column(at["wanted"])):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                rows += [(r["h"], d, c, r["begin"], r["n"], data[r["begin"]:r["end"]]) for r in wanted.as_py()]
+                rows += [(r["h"], d, c, e, r["begin"], r["n"], data[r["begin"]:r["end"]]) for r in wanted.as_py()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["h", "d", "c", "begin", "n", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["h", "d", "c", "e", "begin", "n", "context"])
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return joined.mapInArrow(run, "h long, d long, c long, begin long, n int, context binary")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return joined.mapInArrow(run, "h long, d long, c long, e long, begin long, n int, context binary")
 
 
 def _class_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, part, parts, d, c, begin, n, context), sorted by all of these in
+    """Rows (h, part, parts, d, c, e, begin, n, context), sorted by all of these in
     order, to marks (``w`` null) and, of anchors in several parts, to the first window of each class."""
-    schema = pa.schema([("d", pa.int64()), ("c", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("w", pa.int64())])
+    schema = pa.schema([("d", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("w", pa.int64())])
 
     def classed(rows: list[tuple]) -> pa.RecordBatch:
-        h, part, parts, d, c, begin, n = (np.array(x) for x in zip(*(r[:7] for r in rows)))
-        data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-        starts = np.cumsum([0, *(len(r[7]) for r in rows[:-1])])
+        h, part, parts, d, c, e, begin, n = (np.array(x) for x in zip(*(r[:8] for r in rows)))
+        data = np.frombuffer(b"".join(r[8] for r in rows), np.uint8)
+        starts = np.cumsum([0, *(len(r[8]) for r in rows[:-1])])
         row = np.repeat(np.arange(len(rows)), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         place = starts[row] + offset
@@ -174,7 +174,7 @@ def _class_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         new[1:] = group[order][1:] != group[order][:-1]
         first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         at = begin[row] + offset
-        other = (d[row[order]] != d[row[first]]) | (c[row[order]] != c[row[first]]) | (at[order] != at[first])
+        other = (d[row[order]] != d[row[first]]) | (c[row[order]] != c[row[first]]) | (e[row[order]] != e[row[first]]) | (at[order] != at[first])
         marked = np.zeros(len(row), bool)
         marked[order] = other
         # neighbouring marked windows of a run are one mark
@@ -183,11 +183,11 @@ def _class_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         s = np.flatnonzero(marked & edge)
         tail = np.ones(len(row), bool)
         tail[:-1] = (row[1:] != row[:-1]) | ~marked[1:]
-        e = np.flatnonzero(marked & tail)
+        t = np.flatnonzero(marked & tail)
         f = np.sort(order[new][parts[row[order[new]]] > 1])
         i = np.concatenate([s, f])
-        end = np.concatenate([at[e], at[f]]) + length
-        return pa.RecordBatch.from_arrays([pa.array(d[row[i]], pa.int64()), pa.array(c[row[i]], pa.int64()), pa.array(at[i], pa.int64()), pa.array(end, pa.int64()), pa.array(h[row[i]], pa.int64()), pa.array(key[i].view(np.int64), mask=np.arange(len(i)) < len(s))], schema=schema)
+        end = np.concatenate([at[t], at[f]]) + length
+        return pa.RecordBatch.from_arrays([pa.array(d[row[i]], pa.int64()), pa.array(c[row[i]], pa.int64()), pa.array(e[row[i]], pa.int64()), pa.array(at[i], pa.int64()), pa.array(end, pa.int64()), pa.array(h[row[i]], pa.int64()), pa.array(key[i].view(np.int64), mask=np.arange(len(i)) < len(s))], schema=schema)
 
     held: list[tuple] = []
     size = 0
@@ -197,7 +197,7 @@ def _class_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                 yield classed(held)
                 held, size = [], 0
             held.append(r)
-            size += len(r[7])
+            size += len(r[8])
     if held:
         yield classed(held)
 
@@ -209,22 +209,22 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     keyed = _keyed(docs)
     found = runs(keyed, length)
     # repeats within a batch need no meeting; they are spread by document
-    met = found.repartition(F.when(F.col("dup"), F.xxhash64("d", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "k", "d", "c", "at")
+    met = found.repartition(F.when(F.col("dup"), F.xxhash64("d", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "k", "d", "c", "e", "at")
     judged = store(met.mapInArrow(lambda it: _sorted_runs(it, length), _MARKS_DDL), "runs")
     firsts = judged.where("h IS NOT NULL")
     hot = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > ANCHOR_CONTEXTS)
     hot = hot.select(F.col("h").alias("hot"), F.ceil(F.col("contexts") / ANCHOR_CONTEXTS).cast("long").alias("parts"))
     contexts = _contexts(keyed, firsts).join(hot, F.col("h") == F.col("hot"), "left")
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    dealt = contexts.select("h", F.pmod(F.xxhash64("d", "c", "begin"), parts).alias("part"), parts.alias("parts"), "d", "c", "begin", "n", "context")
-    near = dealt.repartition("h", "part").sortWithinPartitions("h", "part", "d", "c", "begin")
-    classed = store(near.mapInArrow(lambda it: _class_windows(it, length), "d long, c long, begin long, end long, h long, w long"), "windows")
+    dealt = contexts.select("h", F.pmod(F.xxhash64("d", "c", "e", "begin"), parts).alias("part"), parts.alias("parts"), "d", "c", "e", "begin", "n", "context")
+    near = dealt.repartition("h", "part").sortWithinPartitions("h", "part", "d", "c", "e", "begin")
+    classed = store(near.mapInArrow(lambda it: _class_windows(it, length), "d long, c long, e long, begin long, end long, h long, w long"), "windows")
     loose = classed.where("w IS NOT NULL")
-    first = loose.groupBy("h", "w").agg(F.min(F.struct("d", "c", "begin")).alias("first"))
-    across = loose.join(first, ["h", "w"]).where(F.struct("d", "c", "begin") != F.col("first")).select("d", "c", "begin", "end")
-    marks = judged.where("h IS NULL").select("d", "c", "begin", "end").union(classed.where("w IS NULL").select("d", "c", "begin", "end")).union(across)
-    spans = marks.groupBy("d", "c").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = keyed.join(spans, (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c")), "left")
+    first = loose.groupBy("h", "w").agg(F.min(F.struct("d", "c", "e", "begin")).alias("first"))
+    across = loose.join(first, ["h", "w"]).where(F.struct("d", "c", "e", "begin") != F.col("first")).select("d", "c", "e", "begin", "end")
+    marks = judged.where("h IS NULL").select("d", "c", "e", "begin", "end").union(classed.where("w IS NULL").select("d", "c", "e", "begin", "end")).union(across)
+    spans = marks.groupBy("d", "c", "e").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = keyed.join(spans, (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c")) & (F.col("_e") == F.col("e")), "left")
     return joined.select(F.col("_text").alias("text"), *[F.col("_rest")[x].alias(x) for x in docs.columns if x not in ("text", "spans", "_")], "spans")
 
 

@@ -127,3 +127,10 @@ def test_windows_at_every_start(spark, rows):
     found = {(x["doc_id"], x["item_id"]): x["similarity"] for x in dc.find_leaks(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")).collect()}
     want = brute(docs, items)
     assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in found)
+
+
+def test_texts_of_equal_checksum(spark, rows):
+    leak, clean = (f"some words before {w} and a few after it" for w in ("plumless", "buckeroo"))
+    frame, bench = rows([(None, leak), (None, clean)], "doc_id long, text string"), rows([(1, "before plumless and a few")], "item_id long, text string")
+    assert [r["similarity"] for r in dc.find_leaks(frame, bench).collect()] == [1.0]
+    assert [r["text"] for r in dc.drop_leaks(frame, bench).collect()] == [clean]

@@ -93,3 +93,9 @@ def test_components(spark):
             root[u] = root[v] = min(root[u], root[v])
     assert got == {x: c for x, c in root.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_of_equal_checksum(spark, rows):
+    data = [(1, "plumless a b c"), (7, "plumless a b c"), (7, "buckeroo a b c")]
+    got = nd.drop_near_duplicates(rows(data, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [data[0], data[2]]

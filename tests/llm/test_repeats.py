@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,12 @@ def test_cut_and_empty(spark, rows):
 def test_whole_characters():
     data = "aé☃b".encode()
     assert rp.whole_characters(data, [(2, 5)]) == [(3, 3)][:0] and rp.whole_characters(data, [(1, 6)]) == [(1, 6)] and rp.whole_characters(data, [(0, 2)]) == [(0, 1)]
+
+
+def test_texts_of_equal_checksum(spark, rows):
+    head, tail = ("".join(random.Random(i).choices("abcdefgh ", k=150)) for i in (1, 2))
+    data = [(None, head + "plumless" + tail), (None, head + "buckeroo" + tail), (None, "other")]
+    assert zlib.crc32(data[0][1].encode()) == zlib.crc32(data[1][1].encode())
+    got = rp.repeated_spans(rows(data, "doc_id long, text string")).collect()
+    spans = sorted(rp.merged([s.asDict() for s in r["spans"] or ()]) for r in got)
+    assert spans == [[], [], [(0, 150), (158, 308)]]
