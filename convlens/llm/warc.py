@@ -33,6 +33,8 @@ MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
 #: Bytes of a file whose chain one task contracts.
 BLOCK_BYTES = 4 << 20
+#: Digits of a record's length; longer ones could not be added to an offset.
+LENGTH_DIGITS = 18
 #: Revisits, splits or blocks of interrupted records that may be broadcast (a few numbers and a path or digest each).
 BROADCAST_ROWS = 100_000
 
@@ -110,18 +112,26 @@ def _header(raw: bytes) -> tuple[dict[bytes, bytes], int] | None:
     if end < 0:
         return None
     fields = dict(x.split(b": ", 1) for x in raw[:end].split(b"\r\n") if b": " in x)
-    return (fields, end + 4) if fields.get(b"Content-Length", b"").isdigit() else None
+    size = fields.get(b"Content-Length", b"")
+    return (fields, end + 4) if size.isdigit() and len(size) <= LENGTH_DIGITS else None
+
+
+def _long(value: bytes) -> int:
+    number = int(value)
+    if not -(2**63) <= number < 2**63:
+        raise ValueError(f"{number} has more than 64 bits")
+    return number
 
 
 def _parse(fields: dict[bytes, bytes], body: bytes) -> tuple:
     """(page_id, url, type, digest, payload bytes, refers_to, payload) of a whole record."""
     end = body.find(END)
     http, payload = body[:end], body[end + 4:]
-    number = lambda k: int(fields[k]) if k in fields else None
+    number = lambda k: _long(fields[k]) if k in fields else None
     kind = fields.get(b"WARC-Type", b"").decode()
     if kind == "revisit":
         declared = dict(x.split(b": ", 1) for x in http.split(b"\r\n") if b": " in x)
-        size, digest, payload = int(declared[b"Content-Length"]), fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode(), None
+        size, digest, payload = _long(declared[b"Content-Length"]), fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode(), None
     else:
         size, digest = len(payload), _digest(payload)
     url = _unline(fields[b"WARC-Target-URI"]) if b"WARC-Target-URI" in fields else None
@@ -130,15 +140,17 @@ def _parse(fields: dict[bytes, bytes], body: bytes) -> tuple:
 
 _FIELDS = pa.schema([
     ("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("successor", pa.int64()), ("whole", pa.bool_()),
-    ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+    ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string()),
 ])
 
 
 def _split_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Where in its file each split's first segment begins: the splits before it add up to that."""
+    """Where in its file each split's first segment begins: the splits before it
+    add up to that.  ``end`` is a magic's length after the file's end."""
     sums = _segments(spark, path).groupBy("file", "split").agg(F.sum(F.octet_length("raw") + len(MAGIC)).alias("size"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    return store(sums.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "warc_splits")
+    end = F.sum("size").over(Window.partitionBy("file")).alias("end")
+    return store(sums.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), end), "warc_splits")
 
 
 def _located(segments: DataFrame, run, ddl: str, starts: DataFrame) -> DataFrame:
@@ -155,7 +167,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def candidates(spark: SparkSession, path: str, payloads: bool, starts: DataFrame) -> DataFrame:
-    """Every occurrence of the magic that a record's header follows."""
+    """Every occurrence of the magic that a header of a record follows, which ends
+    within the file.  Payloads hold such too, so what cannot be parsed is told in
+    ``error``, for the chain to decide whether it matters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
@@ -171,14 +185,20 @@ def candidates(spark: SparkSession, path: str, payloads: bool, starts: DataFrame
                     fields, begin = head
                     size = int(fields[b"Content-Length"])
                     whole = raw[begin + size:begin + size + 4] == END
-                    parsed = _parse(fields, raw[begin:begin + size]) if whole else (None,) * 7
-                    rows.append((file, split, at - len(MAGIC), at + begin + size + 4, whole, *parsed[:6], parsed[6] if payloads else None))
+                    parsed, error = (None,) * 7, None
+                    if whole:
+                        try:
+                            parsed = _parse(fields, raw[begin:begin + size])
+                        except (KeyError, ValueError) as e:
+                            error = f"{type(e).__name__}: {e}"
+                    rows.append((file, split, at - len(MAGIC), at + begin + size + 4, whole, *parsed[:6], parsed[6] if payloads else None, error))
                 at += len(raw) + len(MAGIC)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
 
-    found = _located(_segments(spark, path), run, "file string, split long, at long, successor long, whole boolean, page_id long, url string, type string, digest string, bytes long, refers_to long, payload binary", starts)
-    return found.select("file", (F.col("start") + F.col("at")).alias("at"), (F.col("start") + F.col("successor")).alias("successor"), "whole", "page_id", "url", "type", "digest", "bytes", "refers_to", "payload")
+    found = _located(_segments(spark, path), run, "file string, split long, at long, successor long, whole boolean, page_id long, url string, type string, digest string, bytes long, refers_to long, payload binary, error string", starts)
+    inside = F.col("start") + F.col("successor") - len(END) <= F.col("end") - len(MAGIC)
+    return found.where(F.coalesce(inside, F.lit(True))).select("file", (F.col("start") + F.col("at")).alias("at"), (F.col("start") + F.col("successor")).alias("successor"), "whole", "page_id", "url", "type", "digest", "bytes", "refers_to", "payload", "error")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -238,7 +258,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, block_b
     found = candidates(spark, path, payloads, starts)
     chain = store(found.select("file", "at", "successor", "whole"), "warc_links")
     real = store(chain.join(reachable(chain, block_bytes), ["file", "at"]).where("successor > at"), "warc_records")
-    whole = found.join(real.where("whole").select("file", "at"), ["file", "at"])
+    whole = found.join(real.where("whole").select("file", "at", F.col("successor").alias("kept")), ["file", "at"])
+    # both sides are asked, so that this cannot move before the join
+    broken = F.col("error").isNotNull() & (F.col("kept") > F.col("at"))
+    fail = F.raise_error(F.concat(F.lit("not a record of this format at byte "), F.col("at"), F.lit(" of "), F.col("file"), F.lit(": "), F.col("error")))
+    whole = whole.withColumns({x: F.when(broken, fail).otherwise(F.col(x)) for x in ("page_id", "url", "type", "digest", "bytes", "refers_to", "payload")})
     rest = _assembled(spark, path, real.where("not whole").select("file", "at", "successor"), block_bytes, starts)
     return whole.select(rest.columns).unionByName(rest).select("file", "at", "page_id", "url", "type", "digest", "bytes", "refers_to", *["payload"] * payloads)
 

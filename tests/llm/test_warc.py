@@ -55,3 +55,18 @@ def test_min_bytes_and_empty(spark, rows):
     path = shared_path(spark, "w")
     w.write_archives(rows([], "page_id long, url string, html string"), path)
     assert w.read_archives(spark, path).count() == 0
+
+
+def test_embedded_records_that_do_not_parse(spark, rows):
+    magic, tail = w.MAGIC.decode(), "\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    texts = [
+        magic + "WARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n", magic + "X-Page-ID: abc" + tail, magic + "X-Page-ID: " + str(2**64) + tail,
+        magic + "WARC-Target-URI: %zz" + tail, *(magic + f"Content-Length: {n}\r\n\r\nx" for n in (10**17, 2**63, "9" * 5000)),
+    ]
+    pages = rows([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string", 2)
+    path = shared_path(spark, "w")
+    w.write_archives(pages, path)
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in w.read_archives(spark, path).collect()} == dict(enumerate(texts))
+    assert w.read_archives(spark, path, False).where("page_id = 3").count() == 1
+    links = w.candidates(spark, path, False, w._split_starts(spark, path))
+    assert links.where("successor > 100000").count() == 0
