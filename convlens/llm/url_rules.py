@@ -32,10 +32,11 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 
-LINK = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["'\s][^>]*>"""
-HREF = r"""(?is)\shref\s*=\s*["']([^"'>]*)["']"""
-REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s][^>]*>"""
-REFRESH_URL = r"""(?is)url\s*=\s*([^"'>\s]+)"""
+#: A tag, with ``>`` allowed in quoted values; its attributes (name, value); the target of a refresh.
+TAG = r"""(?is)<%s\s(?:[^>=]*+(?:=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+[^>=]*+){0,100}+>|[^>]*>)"""
+ATTRIBUTE = r"""([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+REFRESH_URL = r"""(?is)^(?:\s*[\d.]+[\s;,]+(?:url\s*=\s*)?|.*?url\s*=\s*)["']?([^"']*)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -62,12 +63,47 @@ def resource_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
 
 
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(TAG % name), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the tag's first attribute of that name, without quotes; null if there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), _lower)
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), (F.array_position(names, name) - 1).cast("int"))
+    return F.trim(F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` carried out."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The full url that a page at ``url`` means by ``target``; null if that is
+    the page itself or has a scheme without ``://``."""
+    scheme, base = F.regexp_extract(url, r"^(.*?)://", 1), F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(target.rlike(SCHEME + "//"), target)
+        .when((F.instr(url, "://") == 0) | (target == "") | target.startswith("#") | target.rlike(SCHEME), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(base, path_of(url), target))
+        .otherwise(F.concat(base, _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(url, alias): refreshes to and canonical addresses at another full url, as the pages' html states them."""
-    canonical = F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), REFRESH_URL, 1)
-    found = pages.where(F.col("url").isNotNull()).select("url", F.explode(F.array(canonical, refresh)).alias("alias"))
-    return found.where("alias <> ''")
+    """(url, alias): all refreshes to and canonical addresses at another url, made full, as the pages' html states them."""
+    canonical = F.filter(_tags(F.col("html"), "link"), lambda t: F.array_contains(F.split(_lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(_tags(F.col("html"), "meta"), lambda t: _lower(_attribute(t, "http-equiv")) == "refresh")
+    targets = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), REFRESH_URL, 1))))
+    found = pages.where(F.col("url").isNotNull()).select(F.col("url").cast("string").alias("url"), F.explode(targets).alias("target"))
+    return found.select("url", resolved(F.col("target"), F.col("url")).alias("alias")).where("alias <> ''")
 
 
 def _matched(places: DataFrame, rules: DataFrame) -> DataFrame:

@@ -54,3 +54,23 @@ def test_targets_that_are_no_pages(spark, rows):
     assert got[5] == got[6] == got[7] == got[8] == (None, "allow")
     cut = {r["page_id"]: r["verdict"] for r in ur.judge(pages, rules, ur.alias_edges(pages.where("page_id IN (6, 7)"))).collect()}
     assert cut[5] == cut[6] == cut[7] == "block" and cut[1] == "allow"
+
+
+def test_forms_of_edges(spark, rows):
+    url = "https://h.net/a/b?q"
+    forms = [
+        ('<link rel="canonical" href="/c">', ["https://h.net/c"]), ("<link rel='canonical' href='//k.org/d?x#f'>", ["https://k.org/d?x#f"]),
+        ('<meta http-equiv="refresh" content="0; url=next.html">', ["https://h.net/a/next.html"]), ("<META content=5;URL=../up/./x/.. HTTP-EQUIV=Refresh>", ["https://h.net/up/"]),
+        ("<link href=http://u.org/1 rel=canonical>", ["http://u.org/1"]), ('<link rel="alternate canonical" href="?z">', ["https://h.net/a/b?z"]),
+        ('<link rel=canonical href="http://one.org/"><link title="a > b" rel=CANONICAL href=http://two.org/ ><meta http-equiv=refresh content="1, \'http://three.org/\'">', ["http://one.org/", "http://three.org/", "http://two.org/"]),
+        ('<link rel=stylesheet href="/s"><link rel="canonical"><link rel=canonical href="#f"><link rel=canonical href="mailto:x@y"><meta http-equiv=refresh content=30>', []),
+        ('<link rel="xcanonical" href="/n" title="rel=canonical"><meta name=refresh content="0;url=/n">', []), (None, []), ("", []),
+    ]
+    pages = rows([(f"{url}{i}", h) for i, (h, _) in enumerate(forms)], "url string, html string")
+    got = {}
+    for u, alias in ur.alias_edges(pages).collect():
+        got.setdefault(u, []).append(alias)
+    assert {i: sorted(got.get(f"{url}{i}", [])) for i in range(len(forms))} == {i: want for i, (_, want) in enumerate(forms)}
+    pages = rows([(1, "http://p.net/x", '<link rel=canonical href="//shop.com/de/1">'), (2, "http://shop.com/q", "<meta http-equiv=refresh content='0;url=de/2'>"), (3, "nothing", '<link rel=canonical href="/a">')], "page_id long, url string, html string")
+    rules = spark.createDataFrame(ur.RULES, "host string, path string, verdict string")
+    assert {r["page_id"]: r["verdict"] for r in ur.judge(pages, rules, ur.alias_edges(pages)).collect()} == {1: "block", 2: "block", 3: "allow"}
