@@ -8,6 +8,7 @@ from convlens.llm.fingerprints import op7_fingerprints
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.repeats import op8_repeats
+from convlens.llm.resample import OP11_SQL, op11_resample
 from convlens.llm.token_shards import op5_token_shards
 from convlens.llm.toxicity import op4_toxicity
 from convlens.llm.url_rules import OP10_SQL, op10_url_verdicts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_url_verdicts": op10_url_verdicts,
+    "op11_resample": op11_resample,
 }
 
-ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL}
+ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL, "op11_resample": OP11_SQL}
