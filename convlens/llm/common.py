@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,15 @@ def forget() -> None:
         ctypes.CDLL(None).malloc_trim(0)  # glibc keeps freed arenas
 
 
+def carried(df: DataFrame, *taken: str) -> tuple[Column, Callable[[str], list[Column]]]:
+    """All columns of ``df`` but ``taken`` as one struct whose fields are numbered, so
+    that no name can clash with an operator's own, and what takes them out again
+    of the struct column of the given name."""
+    names = [c for c in df.columns if c not in taken]
+    packed = F.struct(F.lit(0).alias("c"), *[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)])
+    return packed, lambda column: [F.col(column)[f"c{i}"].alias(c) for i, c in enumerate(names)]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, at_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow's batches hold a fixed number of rows, however long; cut them so
     that a piece holds about ``at_most`` bytes (or list entries) of ``column``."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from convlens.llm.bpe_cuts import op12_bpe
 from convlens.llm.chat import op3_chat
 from convlens.llm.decontam import op1_decontamination
 from convlens.llm.fingerprints import op7_fingerprints
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_url_verdicts": op10_url_verdicts,
     "op11_resample": op11_resample,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL, "op11_resample": OP11_SQL}
