@@ -6,6 +6,7 @@ from convlens.llm.bpe_cuts import op12_bpe
 from convlens.llm.chat import op3_chat
 from convlens.llm.decontam import op1_decontamination
 from convlens.llm.fingerprints import op7_fingerprints
+from convlens.llm.lexical import OP13_SQL, op13_lexical
 from convlens.llm.near_dedup import op2_near_dedup
 from convlens.llm.piece_scan import op6_sentencepiece
 from convlens.llm.repeats import op8_repeats
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_verdicts": op10_url_verdicts,
     "op11_resample": op11_resample,
     "op12_bpe": op12_bpe,
+    "op13_lexical": op13_lexical,
 }
 
-ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL, "op11_resample": OP11_SQL}
+ORACLE: dict[str, str] = {"op10_url_verdicts": OP10_SQL, "op11_resample": OP11_SQL, "op13_lexical": OP13_SQL}
