@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ BLOCK_IDS = 1 << 18
 #: Unknown words that are tokenized as one text.
 WORDS_JOINED = 200
 
-_SPACE = re.compile(r"\s")
+#: A unit whose one space is its first character.
+_ONE_SPACE = re.compile(r" \S+(?:[\t\n\x0b\x0c\r]+\S+)*")
+
 
 def bits_for(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
@@ -134,14 +137,12 @@ def _encoder(path: str) -> tuple[UnitEncoder, int]:
             return out
 
         def encode(units: list[str]) -> list[bytes]:
-            plain = [i for i, u in enumerate(units) if u[:1] == " " and len(u) > 1 and not _SPACE.search(u, 1) and not any(x in u for x in special)]
-            out: list[bytes] = [b""] * len(units)
-            for i, ids in zip(plain, joined([units[i] for i in plain])):
-                out[i] = ids
-            rest = sorted(set(range(len(units))).difference(plain))
-            for i, ids in zip(rest, each([units[i] for i in rest])):
-                out[i] = ids
-            return out
+            plain = [_ONE_SPACE.fullmatch(u) is not None for u in units]
+            if any(x in "\n".join(units) for x in special):
+                plain = [p and not any(x in u for x in special) for p, u in zip(plain, units)]
+            words = iter(joined(list(compress(units, plain))))
+            rest = iter(each([u for u, p in zip(units, plain) if not p]))
+            return [next(words) if p else next(rest) for p in plain]
 
         encoder = UnitEncoder(encode, "", " ") if by_word else UnitEncoder(each, "", "", lambda text: [text])
         WORKER["ids", path] = encoder, t.get_vocab_size()

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Characters of texts whose units are held at once.
 GROUP_CHARS = 1_000_000
-#: Units kept by a worker between batches, and the longest one kept.
+#: Units at which a worker begins its cache anew (a group's units come on top), and the longest one kept.
 CACHE_UNITS, CACHE_UNIT_CHARS = 750_000, 40
 
 _ASCII_SPACES = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
@@ -38,11 +38,13 @@ class UnitEncoder:
         self._encode, self._prefix, self._split, self._most = encode, (first, rest), split, most
         self._kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {}) if first != rest else ((d := {}), d)
 
-    def _lookup(self, k: int, units: set[str], own: dict[str, bytes]) -> None:
+    def _learn(self, k: int, units: set[str]) -> list[str]:
+        """Put the ids of all ``units`` into the cache; those too long to stay are returned."""
         kept = self._kept[k]
-        missing = [u for u in units if u not in kept]
-        for u, ids in zip(missing, self._encode([self._prefix[k] + u for u in missing])) if missing else ():
-            (kept if len(u) <= CACHE_UNIT_CHARS and len(kept) < self._most else own)[u] = ids
+        missing = list(units.difference(kept))
+        if missing:
+            kept.update(zip(missing, self._encode([self._prefix[k] + u for u in missing])))
+        return [u for u in missing if len(u) > CACHE_UNIT_CHARS]
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         group: list[list[str]] = []
@@ -58,24 +60,19 @@ class UnitEncoder:
     def _flush(self, group: list[list[str]]) -> Iterator[bytes]:
         if not group:
             return
-        own: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         for kept in self._kept:
             if len(kept) >= self._most:
                 kept.clear()
         rest: set[str] = set()
         for units in group:
             rest.update(units[1:])
-        self._lookup(0, {units[0] for units in group}, own[0])
-        self._lookup(1, rest, own[1])
+        # a group's units are all in the cache while its texts are joined, so that the lookups run in C
+        long = [self._learn(0, {units[0] for units in group}), self._learn(1, rest)]
         del rest
-
-        def get(k: int) -> Callable[[str], bytes]:
-            kept, extra = self._kept[k], own[k]
-            if self._kept[0] is self._kept[1]:
-                extra = own[0] | own[1]
-            return kept.__getitem__ if not extra else lambda u: kept[u] if u in kept else extra[u]
-
-        head, tail = get(0), get(1)
+        head, tail = (kept.__getitem__ for kept in self._kept)
         for units in group:
             first = head(units[0])
             yield first if len(units) == 1 else first + b"".join(map(tail, units[1:]))
+        for kept, gone in zip(self._kept, long):
+            for u in gone:
+                kept.pop(u, None)
