@@ -23,8 +23,8 @@ U+2581, which the model cannot tell from a space, comes back as a space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,9 @@ import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convlens.llm.common import TOKENIZER_DIR, WORKER, forget, pieces, store, table
+from convlens.llm.common import TOKENIZER_DIR, WORKER, carried, forget, pieces, store, table
 from convlens.llm.word_cache import UnitEncoder
 
 SPACE = "▁"
@@ -57,19 +58,24 @@ class Model:
     """A model file, its word cache and its lattice."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.sp = sp = _processor(path)
         n = sp.vocab_size()
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) for i in range(n)]
         self.ids = {sp.id_to_piece(i): i for i in range(n) if not special[i]}
-        self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not special[i]}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not sp.is_byte(self.bytes[0]) or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a model with byte fallback, and without spaces inside pieces, is needed")
         self.longest = max(map(len, self.ids))
         self.cache = UnitEncoder(self._encode_units, "", "", _split, CACHED_WORDS)
-        self.admissible = lru_cache(200_000)(self._admissible)
+
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        """Needed by the lattice, so only in workers that see a chunk of a giant text."""
+        return {p: self.sp.get_score(i) for p, i in self.ids.items()}
+
+    @cached_property
+    def admissible(self) -> Callable[[str, str], bool]:
+        return lru_cache(200_000)(self._admissible)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         # the library puts a space before each string, which here is the one at the cut; alone, it is a piece
@@ -142,9 +148,17 @@ class Model:
         return [i for a, e in reversed(path) for i in self.piece_ids(s[a:e])]
 
 
+def _processor(path: str):
+    if ("processor", path) not in WORKER:
+        forget()
+        import sentencepiece
+
+        WORKER["processor", path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return WORKER["processor", path]
+
+
 def _model(path: str) -> Model:
     if ("pieces", path) not in WORKER:
-        forget()
         WORKER["pieces", path] = Model(path)
     return WORKER["pieces", path]
 
@@ -195,26 +209,32 @@ def backtrace(model: Model, s: str, lo: int, hi: int, last: bool, a: State, b: S
     return [*head, *middle, *model.trace(s, start, goals[0], hi, last)]
 
 
-def _encode_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    model = _model(path)
-    for batch in pieces(batches, "text"):
-        ids = model.encode([t or "" for t in batch.column(0).to_pylist()])
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-        flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)], [*batch.schema.names[1:], "token_ids"])
+def _decoded(sp, ids: list[list[int]]) -> pa.Array:
+    return pa.array([sp.decode(x) if x else "" for x in ids], pa.string())
+
 
+def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids`` (array of int) instead of its text, and if asked
+    for with what they decode to as ``decoded``, in the same pass; columns that
+    have one of these names are replaced, all others are kept."""
+    new = ["token_ids", "decoded"] if decoded else ["token_ids"]
+    rest, back = carried(docs, "text", *new)
+    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("x"))
+    schema = T.StructType([rows.schema["rest"], T.StructField("token_ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_path)
+        for batch in pieces(batches, "x"):
+            ids = [np.frombuffer(x, "<i4") for x in model.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *[_decoded(model.sp, [x.tolist() for x in ids])] * decoded], schema.names)
 
-def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int) instead of its text; other columns are kept."""
-    others = [f"`{c}`" for c in docs.columns if c not in ("text", "token_ids")]
-    small = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk_chars)
-    giant = docs.where(F.length("text") > chunk_chars)
-    kept = docs.select(*others)
-    ddl = ", ".join(f"{f.name!s} {f.dataType.simpleString()}".replace(f.name, f"`{f.name}`", 1) for f in kept.schema.fields)
-    whole = small.select("text", *others).mapInArrow(lambda it: _encode_whole(it, model_path), f"{ddl}, token_ids array<int>" if others else "token_ids array<int>")
-    keyed = giant.withColumn("_key", F.sha2("text", 256))
-    ids = encode_giant(keyed.groupBy("_key").agg(F.first("text").alias("text")), model_path, chunk_chars)
-    return whole.unionByName(keyed.select(*others, "_key").join(ids, "_key").select(*others, "token_ids"))
+    giant = rows.where(F.length("x") > chunk_chars).withColumn("key", F.sha2("x", 256))
+    ids = encode_giant(giant.groupBy(F.col("key").alias("_key")).agg(F.first("x").alias("text")), model_path, chunk_chars)
+    long = giant.join(ids, F.col("key") == F.col("_key")).select("rest", "token_ids")
+    whole = rows.where(F.coalesce(F.length("x"), F.lit(0)) <= chunk_chars).mapInArrow(run, schema)
+    return whole.unionByName(decode(long, model_path) if decoded else long).select(*back("rest"), *new)
 
 
 def encode_giant(texts: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
@@ -273,22 +293,21 @@ def encode_giant(texts: DataFrame, model_path: str, chunk_chars: int) -> DataFra
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``encoded`` with the text of its ``token_ids`` as ``decoded``."""
+    """``encoded`` with the text of its ``token_ids`` (null: empty) as ``decoded``."""
+    rest, back = carried(encoded, "decoded")
+    rows = encoded.select(rest.alias("rest"), F.col("token_ids").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _model(model_path).sp
-        for batch in pieces(batches, "token_ids"):
-            texts = [sp.decode(x) if x else "" for x in batch.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        sp = _processor(model_path)
+        for batch in pieces(batches, "x"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _decoded(sp, batch.column(1).to_pylist())], ["rest", "decoded"])
 
-    encoded = encoded.drop("decoded")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{ddl}, decoded string")
+    return rows.mapInArrow(run, T.StructType([rows.schema["rest"], T.StructField("decoded", T.StringType())])).select(*back("rest"), "decoded")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: its ids, and the hash of what they decode to beside the text's own."""
     path = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path, decoded=True)
     return out.select("doc_id", "n_chars", F.size("token_ids").alias("n_tokens"), "token_ids", "text_hash", F.xxhash64("decoded").alias("decoded_hash"))

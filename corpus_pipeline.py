@@ -40,7 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids instead of the text, with a check that they decode to it."""
     hashed = docs.select("doc_id", "text", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = piece_scan.decode(piece_scan.encode(hashed, MODEL), MODEL)
+    out = piece_scan.encode(hashed, MODEL, decoded=True)
     return out.select("doc_id", "lang", "source", F.size("token_ids").alias("n_tokens"), "token_ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"))
 
 
