@@ -24,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm.common import distinct_count_at_most, store, table, text_key
+from convlens.llm.common import carried, distinct_count_at_most, store, table, text_key
 
 SHINGLE, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 5, 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Rows (of a few numbers each) up to which a side may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Numbers of eight bytes in the arrays of a side that is broadcast.
+BROADCAST_NUMBERS = 4_000_000
 NO_ID = -(2**63)
 
 
@@ -64,9 +66,13 @@ def _block(fingerprint: Column, i: Column) -> Column:
     return F.call_function("shiftrightunsigned", fingerprint, (i * BLOCK_BITS).cast("int")).bitwiseAND(F.lit(2**BLOCK_BITS - 1))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has been counted to be small."""
-    return F.broadcast(df) if distinct_count_at_most(df, BROADCAST_ROWS) else df
+def _small(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """``df``, to be broadcast if it has been counted to be small: its rows and,
+    if they hold arrays, all the ``numbers`` in them."""
+    if numbers is None:
+        return F.broadcast(df) if distinct_count_at_most(df, BROADCAST_ROWS) else df
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(numbers), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_NUMBERS else df
 
 
 def _hashed(text: Column) -> Column:
@@ -74,11 +80,14 @@ def _hashed(text: Column) -> Column:
 
 
 def item_index(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, k, bag, set, fingerprint) of every item that has words."""
-    items = benchmark.select("item_id", _hashed(F.col("text").cast("string")).alias("h")).where(F.size("h") > 0)
+    """(item, item_id, size, k, bag, set, fingerprint) of every item that has words;
+    ``item`` is its own number once the index is written.  Null ids are items like
+    others, an id with several texts is several items, equal rows are one."""
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    items = rows.select(F.monotonically_increasing_id().alias("item"), "item_id", _hashed(F.col("text")).alias("h")).where(F.size("h") > 0)
     items = items.withColumns({"size": F.size("h"), "k": F.least(F.size("h"), F.lit(SHINGLE))})
     of_k = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("h"), k)) for k in range(1, SHINGLE + 1)])
-    return items.select("item_id", "size", "k", of_k.alias("bag")).withColumns({"set": numbered(F.col("bag")), "fingerprint": simhash(F.col("bag"))})
+    return items.select("item", "item_id", "size", "k", of_k.alias("bag")).withColumns({"set": numbered(F.col("bag")), "fingerprint": simhash(F.col("bag"))})
 
 
 def _starts(hits: DataFrame, least: float) -> DataFrame:
@@ -127,19 +136,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> Dat
     # multi-index: windows look their blocks up among all values near the items'
     values = F.sequence(F.lit(0), F.lit(2**BLOCK_BITS - 1))
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    item_keys = items.select("item_id", "size", "set", F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks).alias("block"))
+    item_keys = items.select("item", "size", F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks).alias("block"))
     item_keys = item_keys.withColumn("value", F.explode(F.filter(values, lambda v: F.bit_count(v.cast("long").bitwiseXOR(_block(F.col("item_fingerprint"), F.col("block")))) <= BLOCK_RADIUS)))
-    index = item_keys.select("item_id", "size", "item_fingerprint", "block", F.col("value").cast("long").alias("value"))
+    index = item_keys.select("item", "size", "item_fingerprint", "block", F.col("value").cast("long").alias("value"))
     asked = fingerprints.select("d", "c", "start", "size", "fingerprint", F.explode(blocks).alias("block")).withColumn("value", _block(F.col("fingerprint"), F.col("block")))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
     near = asked.join(_small(index), ["size", "block", "value"]).where(distance <= RADIUS)
-    near = near.select("d", "c", "start", "size", "item_id", distance.alias("distance")).distinct()
-    pairs = near.join(_small(items.select("item_id", "set")), "item_id").join(fingerprints.select("d", "c", "start", "size", "n_words", "bag"), ["d", "c", "start", "size"])
+    near = near.select("d", "c", "start", "size", "item", distance.alias("distance")).distinct()
+    pairs = near.join(_small(items.select("item", "set"), F.size("set")), "item").join(fingerprints.select("d", "c", "start", "size", "n_words", "bag"), ["d", "c", "start", "size"])
     common = F.size(F.array_intersect(numbered(F.col("bag")), F.col("set")))
-    scored = pairs.select("d", "c", "item_id", "start", "n_words", "distance", _bind(common, lambda m: m / (F.size("bag") + F.size("set") - m)).alias("similarity")).where(F.col("similarity") >= least)
-    best = scored.groupBy("d", "c", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", "distance")).alias("b"))
+    scored = pairs.select("d", "c", "item", "start", "n_words", "distance", _bind(common, lambda m: m / (F.size("bag") + F.size("set") - m)).alias("similarity")).where(F.col("similarity") >= least)
+    best = scored.groupBy("d", "c", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", "distance")).alias("b"))
     doc_id = F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id")
-    return best.select("d", "c", doc_id, "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
+    return best.join(_small(items.select("item", "item_id")), "item").select("d", "c", doc_id, "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -150,9 +159,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    leaks = _small(store(find_leaks(docs, benchmark, least).select("d", "c").distinct(), "leaks").toDF("_leak_d", "_leak_c"))
+    leaks = _small(store(find_leaks(docs, benchmark, least).select("d", "c").distinct(), "leaks"))
+    packed, back = carried(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(leaks, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_leak_d")) & (text_key(text) == F.col("_leak_c")), "left_anti")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_key(text).alias("c"), packed.alias("row"))
+    return rows.join(leaks, ["d", "c"], "left_anti").select(*back("row"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@
 
 A family is a superset of every class, so no verified link is lost between
 blocks.  A link is missed only if its two sketches miss each other in all bands
-(about 5e-6 at the threshold) or underestimate by more than SLACK (4 standard
-errors).  Null ids belong to no class; empty sets link with nothing.
+(about 5e-6 at the threshold) or underestimate by more than SLACK (at the threshold
+156 or fewer of 240 registers agree: about 4e-8).  Null ids belong to no class; empty sets link with nothing.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import hyperminhash as hm
-from convlens.llm.common import distinct_count_at_most, forget, pieces, store, table, text_key
+from convlens.llm.common import carried, distinct_count_at_most, forget, pieces, store, table, text_key
 from convlens.llm.components import connected_components
 
 #: How far below the threshold an estimate may lie and still be verified.
-SLACK = 0.1
+SLACK = 0.15
 #: Members of a block of a bucket, and members and bytes of sets of a block of a family.
 BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 2_000, 1_500, 16_000_000
 #: Nodes whose keys may be broadcast (six numbers each) to fetch their texts again.
@@ -229,12 +229,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     one = rows.where("kept").groupBy("doc_id", "component_id").agg(F.min("checksum").alias("least"))
     judged = rows.join(one, ["doc_id", "component_id"], "left").withColumn("stays", F.col("kept") & (F.col("checksum") == F.col("least")))
     # rows that go, and rows that are there several times: few against the table
-    special = store(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("checksum").alias("_sum"), "stays"), "near_special")
+    special = store(judged.where("NOT stays OR n > 1").select("doc_id", "checksum", "stays"), "near_special")
     special = F.broadcast(special) if distinct_count_at_most(special, BROADCAST_ROWS) else special
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (checksum() == F.col("_sum"))
-    single = docs.join(special, same, "left_anti")
-    several = docs.join(special.where("stays"), same).dropDuplicates(["_id", "_sum"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return single.unionByName(several)
+    packed, back = carried(docs)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), checksum().alias("checksum"), packed.alias("row"))
+    single = whole.join(special, ["doc_id", "checksum"], "left_anti")
+    several = whole.join(special.where("stays").drop("stays"), ["doc_id", "checksum"]).dropDuplicates(["doc_id", "checksum"])
+    return single.unionByName(several).select(*back("row"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,16 @@ false repeat has a chance of about 2**-128 a pair.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlens.llm import windows as win
-from convlens.llm.common import forget, pieces, store, table
+from convlens.llm.common import carried, forget, pieces, store, table
 
 #: Bytes of text whose runs are compared at once, and of contexts classed at once.
 BATCH_BYTES, CONTEXT_BYTES = 2_000_000, 1_000_000
@@ -42,10 +43,11 @@ NO_ID = -(2**63)
 _RUN = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("d", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(_d, _c, _e, _text, _rest): the key of each document (its id, its text's crc32 above half of a hash, and another hash), its text, not null, and its other columns in a struct."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, Callable[[str], list[Column]]]:
+    """(_d, _c, _e, _text, _rest): the key of each document (its id, its text's crc32 above half of a hash, and another hash), its text, not null, and its other columns as one; and what takes those out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.shiftleft(F.crc32(text) - F.lit(2**31), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1))).alias("_c"), F.xxhash64(F.lit(1), text).alias("_e"), text.alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{x}`") for x in docs.columns if x not in ("text", "_")]).alias("_rest"))
+    rest, back = carried(docs, "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.shiftleft(F.crc32(text) - F.lit(2**31), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1))).alias("_c"), F.xxhash64(F.lit(1), text).alias("_e"), text.alias("_text"), rest.alias("_rest")), back
 
 
 def _runs_of(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -205,8 +207,16 @@ def _class_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with ``spans``: the byte ranges [begin, end) of each text that
     repeat an earlier string, as an array of structs in no order, perhaps
-    overlapping; null if there are none.  A null text becomes the empty one."""
-    keyed = _keyed(docs)
+    overlapping; null if there are none.  A null text becomes the empty one; a
+    column of ``docs`` named ``spans`` is replaced, all others are kept."""
+    joined, back = _with_spans(docs, length)
+    spans = F.col("spans")
+    return joined.select(F.col("_text").alias("text"), *[c for c, x in zip(back("_rest"), [x for x in docs.columns if x != "text"]) if x != "spans"], spans)
+
+
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, Callable[[str], list[Column]]]:
+    """(_text, _rest, spans) of every row, and what takes the other columns out of ``_rest``."""
+    keyed, back = _keyed(docs)
     found = runs(keyed, length)
     # repeats within a batch need no meeting; they are spread by document
     met = found.repartition(F.when(F.col("dup"), F.xxhash64("d", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "k", "d", "c", "e", "at")
@@ -225,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     marks = judged.where("h IS NULL").select("d", "c", "e", "begin", "end").union(classed.where("w IS NULL").select("d", "c", "e", "begin", "end")).union(across)
     spans = marks.groupBy("d", "c", "e").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = keyed.join(spans, (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c")) & (F.col("_e") == F.col("e")), "left")
-    return joined.select(F.col("_text").alias("text"), *[F.col("_rest")[x].alias(x) for x in docs.columns if x not in ("text", "spans", "_")], "spans")
+    return joined.select("_text", "_rest", "spans"), back
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -261,21 +271,21 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with its repeats cut out of ``text`` (whole characters only: of a
     character that a repeat cuts in two all bytes stay) and ``n_chars`` counted anew if it is there."""
-    spans = repeated_spans(docs, length)
-    names = spans.columns
+    spans, back = _with_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in pieces(batches, "text", BATCH_BYTES):
+        for batch in pieces(batches, "_text", BATCH_BYTES):
             texts = []
-            for text, each in zip(batch.column(0), batch.column(len(names) - 1)):
+            for text, each in zip(batch.column(0), batch.column(2)):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 texts.append(kept_bytes(data, whole_characters(data, merged(each.as_py()))).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:-1]], names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["_text", "_rest"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[:-1])
-    out = spans.mapInArrow(run, ddl)
-    return out.select(*[F.length("text").cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else F.col(f"`{x}`") for x in docs.columns if x not in ("spans", "_")])
+    out = spans.mapInArrow(run, T.StructType(spans.schema.fields[:2]))
+    others = dict(zip([x for x in docs.columns if x != "text"], back("_rest")))
+    return out.select(*[
+        F.col("_text").alias("text") if x == "text" else F.length("_text").cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else others[x] for x in docs.columns])
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convlens.llm.common import forget, pieces, table
+from convlens.llm.common import carried, forget, pieces, table, text_key
 
 PLACES = 1 << 20
 #: Labelled rows that the model is fitted on, at most.
@@ -84,8 +85,11 @@ class ToxicityModel:
         return self.lam * score - self.log_k - np.log(max(n_words, 1))
 
     def features(self, segments: list[tuple[int, int, float]], n_words: int) -> tuple[float, float]:
-        best = max((self.surprise(s, n_words) for _, _, s in segments), default=FLOOR)
-        return max(best, FLOOR), float(np.log1p(self.lam * sum(s for _, _, s in segments)))
+        return self.features_of(max((s for *_, s in segments), default=0.0), sum(s for *_, s in segments), n_words)
+
+    def features_of(self, best: float, total: float, n_words: int) -> tuple[float, float]:
+        """From the best segment's score and the sum of all (0 and 0: no segment)."""
+        return max(self.surprise(best, n_words), FLOOR) if best > 0 else FLOOR, float(np.log1p(self.lam * total))
 
     def probability(self, features: tuple[float, float]) -> float:
         z = float(self.weights @ np.array([1.0, *features]))
@@ -160,12 +164,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(text, toxic, half) of the labelled documents that may be learnt from.
-    A document labelled twice counts as toxic if any label says so."""
+    A document labelled twice counts as toxic if any label says so; of several
+    rows with one id the text of the least key is learnt from."""
     known = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # a row has two numbers and max_labelled bounds the rows, so the broadcast has a proven size
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return joined.select("text", "toxic", (F.xxhash64(F.lit(17), "doc_id") % 2 == 0).alias("half"))
+    text = F.col("text").cast("string")
+    joined = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")
+    one = joined.groupBy("doc_id").agg(F.min(F.struct(text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")).alias("one"), F.first("toxic").alias("toxic"))
+    return one.select(F.col("one.text").alias("text"), "toxic", (F.xxhash64(F.lit(17), "doc_id") % 2 == 0).alias("half"))
 
 
 def fit(rows: DataFrame) -> ToxicityModel:
@@ -192,13 +199,14 @@ def fit(rows: DataFrame) -> ToxicityModel:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [(p.shape[1], [s for *_, s in maximal_segments(word_scores(shared.value.odds, p))]) for p in (places_of(words_of(t)) for t in batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["toxic", "n", "s"])
-
-    # a row of numbers for each of at most max_labelled texts
-    held = rows.where("not half").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(segments, "toxic int, n long, s array<double>").toArrow()
-    y, n, s = held["toxic"].to_numpy(), held["n"].to_numpy(), held["s"].to_pylist()
-    best = np.array([max(x, default=0.0) for x in s])
+            places = [places_of(words_of(t)) for t in batch.column(0).to_pylist()]
+            found = [[s for *_, s in maximal_segments(word_scores(shared.value.odds, p))] for p in places]
+            columns = [p.shape[1] for p in places], [max(x, default=0.0) for x in found], [sum(x) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, columns, (pa.int64(), pa.float64(), pa.float64()))], ["toxic", "n", "best", "total"])
+
+    # four numbers for each of at most max_labelled ids
+    held = rows.where("not half").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(segments, "toxic int, n long, best double, total double").toArrow()
+    y, n, best, total = (held[c].to_numpy() for c in ("toxic", "n", "best", "total"))
     usual = (y == 0) & (best > 0)
     if usual.any():  # a Gumbel variable's mean is its mode plus Euler's constant over lambda; the median resists mislabelled rows
         model.log_k = float(np.median(model.lam * best[usual] - np.log(n[usual])) + np.log(np.log(2)))
@@ -206,7 +214,7 @@ def fit(rows: DataFrame) -> ToxicityModel:
         share = (y.sum() + 0.5) / (len(y) + 10)
         model.weights = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     else:
-        x = np.array([[1.0, *model.features([(0, 0, v) for v in each], k)] for each, k in zip(s, n.tolist())])
+        x = np.array([[1.0, *model.features_of(*row)] for row in zip(best.tolist(), total.tolist(), n.tolist())])
         model.weights = _logistic(x, y.astype(float))
     return model
 
@@ -215,8 +223,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``passages``: the significant ones
     as word positions, score and E-value.  The text is not carried through Python and back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c not in ("text", "score", "passages")]
-    fields = [f for f in docs.schema.fields if f.name in others]
+    rest, back = carried(docs, "text", "score", "passages")
+    rows = docs.select("text", rest.alias("rest"))
     passage = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,28 +238,31 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 scores.append(m.probability(m.features(found, n)))
                 each = [{"begin": b, "end": e, "score": s, "e_value": float(np.exp(-m.surprise(s, n)))} for b, e, s in found]
                 passages.append([x for x in each if x["e_value"] <= MAX_E_VALUE])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], [*batch.schema.names[1:], "score", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], ["rest", "score", "passages"])
 
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return docs.select("text", *[F.col(f"`{c}`") for c in others]).mapInArrow(run, f"{ddl}score double, passages array<struct<begin: int, end: int, score: double, e_value: double>>")
+    found = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("e_value", T.DoubleType())]))
+    schema = T.StructType([rows.schema["rest"], T.StructField("score", T.DoubleType()), T.StructField("passages", found)])
+    return rows.mapInArrow(run, schema).select(*back("rest"), "score", "passages")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``at``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    where = docs.columns.index("text")
+    rest, back = carried(docs, "text")
+    rows = docs.select("text", rest.alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         m = shared.value
         for batch in pieces(batches, "text"):
             keep = []
-            for text in batch.column(where):
+            for text in batch.column(0):
                 p = places_of(words_of(text.as_py()))
                 keep.append(m.probability(m.features(maximal_segments(word_scores(m.odds, p)), p.shape[1])) < at)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    others = dict(zip([c for c in docs.columns if c != "text"], back("rest")))
+    return rows.mapInArrow(run, rows.schema).select(*["text" if c == "text" else others[c] for c in docs.columns])
 
 
 def held_out() -> Column:

@@ -98,3 +98,78 @@ def test_bounded_sample(spark):
     docs, labels = corpus(200, 3)
     rows = tx.training_rows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ~tx.held_out(), 50)
     assert rows.count() == 50
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs, labels = corpus(200, 5)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = spark.createDataFrame(docs, "doc_id long, text string")
+    many = spark.createDataFrame(docs + [docs[7]] * 500 + [(9, None)], "doc_id long, text string").repartition(5)
+    rows = tx.training_rows(many, known, ~tx.held_out())
+    assert rows.count() == tx.training_rows(one, known, ~tx.held_out()).count()
+    assert {r["text"] for r in rows.collect()} - {t for _, t in docs} <= {None, ""}
+
+
+def test_whole_score_equals_brute_force(spark):
+    """Fit and score again, word by word, from the formulas of the docstring."""
+    import math
+
+    docs, labels = corpus(500, 8)
+    r = random.Random(3)  # clean texts hold such words too, now and then
+    docs = [(i, t + " " + r.choice(BAD) if i % 5 and r.random() < 0.15 else t) for i, t in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    learnt = tx.training_rows(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), ~tx.held_out())
+    model = tx.fit(learnt)
+    rows = [(r["text"], int(r["toxic"]), r["half"]) for r in learnt.collect()]
+
+    def places(word):
+        return [zlib.crc32(word) & (tx.PLACES - 1)] + [zlib.crc32(b"^" + word[:n]) & (tx.PLACES - 1) for n in tx.STEMS]
+
+    seen = [{}, {}]
+    for text, toxic, half in rows:
+        if half:
+            for place in {p for w in tx.words_of(text) for p in places(w)}:
+                seen[toxic][place] = seen[toxic].get(place, 0) + 1
+    total = sum(sum(x.values()) for x in seen)
+
+    def prior(place):
+        return tx.PRIOR_COUNTS * (seen[0].get(place, 0) + seen[1].get(place, 0) + 0.01) / (total + 0.01 * tx.PLACES)
+
+    n_a, n_b = (sum(seen[k].values()) + tx.PRIOR_COUNTS for k in (1, 0))
+
+    def odds(place):
+        a, b = (seen[k].get(place, 0) + prior(place) for k in (1, 0))
+        v = math.log(a / (n_a - a)) - math.log(b / (n_b - b))
+        return v if abs(v) >= tx.MIN_Z * math.sqrt(1 / a + 1 / b) else 0.0
+
+    def word_score(word):
+        own = [odds(p) for p in places(word)]
+        return next((v for v in own if v), own[-1]) - tx.DRIFT
+
+    known = {}
+    mean = lambda lam: sum(c * math.exp(lam * (odds(p) - tx.DRIFT)) for p, c in seen[0].items()) / sum(seen[0].values())
+    assert abs(mean(model.lam) - 1) < 1e-3 and model.lam not in (0, 1)
+
+    def segments(text):
+        s = [known[w] if w in known else known.setdefault(w, word_score(w)) for w in tx.words_of(text)]
+        return [sum(s[b:e]) for b, e, _ in tx.maximal_segments(np.array(s))], len(s)
+
+    held = [(segments(text), toxic) for text, toxic, half in rows if not half]
+    usual = sorted(model.lam * max(s) - math.log(n) for (s, n), toxic in held if not toxic and s)
+    middle = (usual[(len(usual) - 1) // 2] + usual[len(usual) // 2]) / 2
+    assert abs(model.log_k - (middle + math.log(math.log(2)))) < 1e-3
+
+    def features(s, n):
+        return 1.0, max(model.lam * max(s) - model.log_k - math.log(n), tx.FLOOR) if s else tx.FLOOR, math.log1p(model.lam * sum(s))
+
+    # the weights are where the penalized likelihood is flat
+    slope = [0.0] * 3
+    for (s, n), toxic in held:
+        x = features(s, n)
+        p = 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(model.weights, x))))))
+        slope = [g + (toxic - p) * v for g, v in zip(slope, x)]
+    assert all(abs(g - r * w) < 1e-2 for g, r, w in zip(slope, (1e-6, 1, 1), model.weights))
+    for r in tx.score(frame, model).collect():
+        x = features(*segments(dict(docs)[r["doc_id"]]))
+        z = sum(w * v for w, v in zip(model.weights, x))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-3
