@@ -522,7 +522,9 @@ def q_extended_models(spark, sf_dir):
 def q_live_staging(spark, sf_dir):
     """The staging table maintained by the streaming mart: the fixture log
     (with duplicate copies, which the stream must drop) replayed as four
-    time-ordered file groups, run to completion; equals the batch table."""
+    time-ordered file groups, run to completion with the default lateness and with
+    compaction; trials of up to 31 days are held by day of activity beyond 10 days, so that state
+    is evicted within the log's month.  Equals the batch table."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
     # the stream's state store has one partition per shuffle partition, fixed
     # at its first run: size it to the cluster's parallelism in an isolated
@@ -533,8 +535,8 @@ def q_live_staging(spark, sf_dir):
     except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the session's setting
         pass
     stream = replay_as_stream(fixture_log_with_duplicates(live, sf_dir), base)
-    q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="3650 days",
-                           available_now=True)
+    q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="7 days",
+                           available_now=True, longest_trial="10 days", compact_every=2)
     q.awaitTermination()  # to the end of the input; a failed stream raises
     return live_staging_metrics(spark, f"{base}/staging")
 

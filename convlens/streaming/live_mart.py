@@ -3,44 +3,77 @@
 Plan
 ----
 log stream -> mart week rule (stateless projection)
-           -> watermark on the trial end (a trial's counts are final once the
-              stream has moved ``lateness`` past its end)
+           -> ``closes``: when a row's trial is over, the watermarked time
            -> dropDuplicatesWithinWatermark on (org, activity, timestamp), in
               two stages (salted, then by key) so a hot group of copies is
               spread over tasks
-           -> groupBy(org, trial_week, trial_end).agg(count, trial facts)
+           -> groupBy(org, trial_week, closes).agg(count, trial facts)
               (streaming aggregation: partial aggregation map-side, state in
               the state store, evicted by the watermark; update mode)
-           -> foreachBatch: append the updated rows under ``epoch=<batch id>``
-              (overwriting that one partition, so a retried batch is
-              idempotent)
-
-``live_staging_metrics`` reads the updates back, keeps the latest value per
-(org, week, trial end), which is the state's key, and folds them into the
-``staging_metrics_per_org`` shape with one ``groupBy``; an org whose trial end
-changes in the log keeps all its counts.  The goal thresholds are then computed in batch from it
+           -> foreachBatch: the updated rows under ``epoch=<batch id>``, folded
+              into ``snapshot=<batch id>`` every few batches
+
+When a trial is closed
+----------------------
+``closes`` is the trial's end, but at most the day ``longest_trial`` after the
+row's activity (so a long trial cannot push the watermark past the others) and,
+for activity after the trial, the end of that day.  The watermark trails the
+greatest ``closes`` by ``lateness`` plus ``longest_trial``; since no ``closes`` is
+more than ``longest_trial`` after its row, the watermark is never later than the
+newest activity less ``lateness``.  So what counts is the activities' time,
+however far ahead trials end: a row is dropped only if it comes more than ``lateness``
+behind the newest activity and its trial was over by then too.  State goes at
+most ``longest_trial`` after that.  A trial longer than ``longest_trial`` has a
+state for each day of activity; ``longest_trial`` changes what is held (and for how
+long after a trial), never what is counted of rows that come in time.
+
+The table
+---------
+An update is keyed by the state's key, and a key's latest update holds its whole
+count.  Compaction reads the last snapshot and the epochs after it, keeps the
+latest update of each key, writes the next snapshot, and only then deletes what
+the snapshot before the last one and its epochs held; a reader takes the newest
+complete snapshot and the epochs after it.  A retried batch rewrites its own
+epoch or snapshot, so it is idempotent.  The number of files is bounded by the
+snapshots' and those of ``compact_every`` epochs, however many batches ran.
+
+``live_staging_metrics`` folds the table into the ``staging_metrics_per_org``
+shape with one ``groupBy``; an org whose trial end changes in the log keeps all
+its counts.  The goal thresholds are then computed in batch from it
 (``operators.mart.activation_goals``), exactly as for a batch log.
 """
 
 from __future__ import annotations
 
-import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from convlens.columns import DEFAULT_COLUMNS, LogColumns
 from convlens.operators.mart import prepare_log
 
-KEY = ["org_id", "trial_week", "trial_end_event"]
-
+KEY = ["org_id", "trial_week", "closes"]
+FACTS = ["converted", "trial_start", "trial_end"]
 
 DEDUP_SALTS = 16
+LONGEST_TRIAL = "31 days"
+COMPACT_EVERY = 8
+
+
+def closing_time(cols: LogColumns, longest_trial: str = LONGEST_TRIAL) -> Column:
+    """When the trial of a row is over, in the activities' time (see above).  A
+    row without a trial end or without a time takes what it has."""
+    ts, start, end = (F.col(c).cast("timestamp") for c in (cols.ts, cols.trial_start, cols.trial_end))
+    longest = F.expr(f"INTERVAL {longest_trial}")
+    last = F.date_trunc("day", F.coalesce(ts, start) + longest)
+    next_day = F.date_trunc("day", ts) + F.expr("INTERVAL 1 day")
+    return F.greatest(F.least(F.coalesce(end, last), last), next_day)
 
 
 def week_count_updates(log_stream: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, lateness: str = "7 days",
-                       salts: int = DEDUP_SALTS) -> DataFrame:
+                       salts: int = DEDUP_SALTS, longest_trial: str = LONGEST_TRIAL) -> DataFrame:
     """Streaming aggregate of activities per (org, trial week).
 
     Duplicates are dropped in two stages: first on (key, random salt), which
@@ -49,36 +82,84 @@ def week_count_updates(log_stream: DataFrame, cols: LogColumns = DEFAULT_COLUMNS
     The second stage alone decides what is kept (one row per key within the
     watermark), so the result does not depend on the salt."""
     order = F.col(cols.order) if cols.order else F.col(cols.ts)
-    prepared = prepare_log(log_stream, cols).withColumn("_trial_end_event", F.col(cols.trial_end).cast("timestamp"))
-    watermarked = prepared.withWatermark("_trial_end_event", lateness)
+    prepared = prepare_log(log_stream, cols).withColumn("closes", closing_time(cols, longest_trial))
+    watermarked = prepared.withWatermark("closes", f"{lateness} {longest_trial}")
     if salts > 1:
         watermarked = watermarked.withColumn("_salt", (F.rand(42) * salts).cast("int")).dropDuplicatesWithinWatermark(
             [*cols.dedup_key, "_salt"]).drop("_salt")
     deduped = watermarked.dropDuplicatesWithinWatermark(cols.dedup_key)
-    return deduped.filter(F.col(cols.org).isNotNull()).groupBy(
-        F.col(cols.org).alias("org_id"), "trial_week", "_trial_end_event"
-    ).agg(
-        F.count(F.lit(1)).alias("activities"),
-        F.min_by(F.col(cols.converted), order).alias("converted"),
-        F.min_by(F.col(cols.trial_start), order).alias("trial_start"),
-        F.min_by(F.col(cols.trial_end), order).alias("trial_end"),
-        F.min(order).alias("first_order"),
-    )
 
+    def first(column: str) -> Column:
+        c = F.col(column)
+        return F.min(F.when(c.isNotNull(), F.struct(order.alias("at"), c.alias("value"))))
 
-def _upsert(table_dir: str):
+    return deduped.filter(F.col(cols.org).isNotNull()).groupBy(F.col(cols.org).alias("org_id"), "trial_week", "closes").agg(
+        F.count(F.lit(1)).alias("activities"),
+        *[first(c).alias(n) for n, c in zip(FACTS, (cols.converted, cols.trial_start, cols.trial_end))])
+
+
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a folder (local or any shared storage)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbered(spark: SparkSession, table_dir: str, kind: str) -> list[int]:
+    """The numbers of the complete ``<kind>=<number>`` folders, in order."""
+    fs, p = _folder(spark, table_dir)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    found = [int(m[1]) for m in (re.fullmatch(rf"{kind}=(\d+)", n) for n in names) if m]
+    return sorted(n for n in found if fs.exists(_folder(spark, f"{table_dir}/{kind}={n}/_SUCCESS")[1]))
+
+
+def live_state(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The latest update of every (org, week, closes): the newest snapshot and the epochs after it."""
+    table_dir = table_dir.rstrip("/")
+    snapshot = max(_numbered(spark, table_dir, "snapshot"), default=-1)
+    parts = [(-1, f"{table_dir}/snapshot={snapshot}")] if snapshot >= 0 else []
+    parts += [(e, f"{table_dir}/epoch={e}") for e in _numbered(spark, table_dir, "epoch") if e > snapshot]
+    if not parts:
+        raise FileNotFoundError(f"no batch has been written under {table_dir}")
+    updates = None
+    for epoch, path in parts:  # one snapshot and at most compact_every epochs
+        part = spark.read.parquet(path).withColumn("epoch", F.lit(epoch))
+        updates = part if updates is None else updates.unionByName(part)
+    latest = updates.groupBy(*KEY).agg(F.max_by(F.struct("activities", *FACTS), F.col("epoch")).alias("u"))
+    return latest.select(*KEY, "u.*")
+
+
+def compact(spark: SparkSession, table_dir: str, epoch: int) -> None:
+    """Write the state up to ``epoch`` as a snapshot; delete what the snapshot
+    before it made superfluous (readers may still hold the last one's files)."""
+    table_dir = table_dir.rstrip("/")
+    before = [s for s in _numbered(spark, table_dir, "snapshot") if s < epoch]
+    live_state(spark, table_dir).write.mode("overwrite").parquet(f"{table_dir}/snapshot={epoch}")
+    keep = max(before, default=-1)
+    for kind in ("snapshot", "epoch"):
+        for n in _numbered(spark, table_dir, kind):
+            if n < keep or (kind == "epoch" and n == keep):
+                fs, p = _folder(spark, f"{table_dir}/{kind}={n}")
+                fs.delete(p, True)
+
+
+def _upsert(table_dir: str, compact_every: int):
     def write(batch: DataFrame, epoch: int) -> None:
-        (batch.withColumnRenamed("_trial_end_event", "trial_end_event").withColumn("epoch", F.lit(epoch))
-         .write.mode("overwrite").parquet(os.path.join(table_dir, f"epoch={epoch}")))
+        batch.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/epoch={epoch}")
+        if epoch % compact_every == compact_every - 1:
+            compact(batch.sparkSession, table_dir, epoch)
     return write
 
 
 def start_live_staging(log_stream: DataFrame, table_dir: str, checkpoint_dir: str, cols: LogColumns = DEFAULT_COLUMNS,
-                       lateness: str = "7 days", available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
+                       lateness: str = "7 days", available_now: bool = False, processing_time: str | None = None,
+                       longest_trial: str = LONGEST_TRIAL, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Start the stream.  ``checkpoint_dir`` must be on shared storage (it
     holds offsets and the aggregation state)."""
-    w = (week_count_updates(log_stream, cols, lateness).writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint_dir).foreachBatch(_upsert(table_dir)))
+    updates = week_count_updates(log_stream, cols, lateness, longest_trial=longest_trial)
+    w = (updates.writeStream.outputMode("update")
+         .option("checkpointLocation", checkpoint_dir).foreachBatch(_upsert(table_dir, compact_every)))
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
@@ -87,23 +168,16 @@ def start_live_staging(log_stream: DataFrame, table_dir: str, checkpoint_dir: st
 
 
 def live_staging_metrics(spark: SparkSession, table_dir: str) -> DataFrame:
-    """``staging_metrics_per_org`` from the streamed updates: the latest
-    update per state key wins, then one ``groupBy(org)`` folds them."""
-    updates = spark.read.parquet(table_dir)
-    latest = updates.groupBy(*KEY).agg(F.max_by(F.struct("activities", "converted", "trial_start", "trial_end",
-                                                         "first_order"), F.col("epoch")).alias("u")).select(*KEY, "u.*")
+    """``staging_metrics_per_org`` from the streamed table: one ``groupBy(org)`` over its state."""
     wk = F.col("trial_week")
-    per_org = latest.groupBy("org_id").agg(
+    per_org = live_state(spark, table_dir).groupBy("org_id").agg(
         *[F.sum(F.when(wk == w, F.col("activities")).otherwise(0)).cast("long").alias(f"week{w}_activities") for w in (1, 2, 3, 4)],
         F.sum("activities").cast("long").alias("total_activities"),
-        F.min_by("converted", "first_order").alias("converted"),
-        F.min_by("trial_start", "first_order").alias("_start"),
-        F.min_by("trial_end", "first_order").alias("_end"),
-    )
+        *[F.min(n)["value"].alias(n) for n in FACTS])
     return per_org.select(
         "org_id", "week1_activities", "week2_activities", "week3_activities", "week4_activities", "total_activities",
         F.coalesce(F.col("converted").cast("boolean"), F.lit(False)).alias("converted"),
-        F.to_date("_start").alias("trial_start_date"), F.to_date("_end").alias("trial_end_date"),
+        F.to_date("trial_start").alias("trial_start_date"), F.to_date("trial_end").alias("trial_end_date"),
     )
 
 

@@ -25,9 +25,11 @@ def test_live_staging_matches_batch(spark):
     stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"),
-                           lateness="3650 days", available_now=True)
+                           available_now=True, longest_trial="10 days", compact_every=3)
     q.awaitTermination(300)
-    assert q.lastProgress is not None
+    # closed trials have left the aggregation's state
+    removed = sum(o["numRowsRemoved"] for p in q.recentProgress for o in p["stateOperators"])
+    assert removed > 0
     live = live_staging_metrics(spark, os.path.join(root, "staging"))
     batch = mart.staging_metrics(mart.prepare_log(fixture_log(spark, SF_SMALL)))
     assert live.count() == batch.count()
@@ -51,7 +53,7 @@ def test_watermark_closes_trials_and_drops_late_rows(spark):
     a = lambda d, i: ("A", "x", t0 + timedelta(days=d), False, None, t0, t0 + timedelta(days=30), i)
     b = lambda d, i: ("B", "x", t0 + timedelta(days=d), False, None, t0 + timedelta(days=70), t0 + timedelta(days=100), i)
     batch(0, [a(1, 1), a(2, 2)])
-    batch(1, [b(71, 3)])          # watermark moves to day 90: A (ends day 30) is closed
+    batch(1, [b(71, 3)])          # watermark: day 100 less 10 and 31 days, so A (ends day 30) is closed
     stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), lateness="10 days",
@@ -130,3 +132,66 @@ def test_log_without_order_column(spark):
     got = {r.org_id: r for r in live.collect()}
     assert {o: r.total_activities for o, r in got.items()} == {"A": 2, "B": 1}
     assert all(r.converted and r.trial_start_date == t0.date() for r in got.values())
+
+
+def _trial(org, start, end):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda d: t0 + timedelta(days=d)
+    return lambda d, i, **kw: (org, "x", at(d), kw.get("conv", False), None, at(start), at(kw.get("end", end)) if kw.get("end", end) is not None else None, i)
+
+
+def test_open_trials_keep_their_counts_whatever_ends_later(spark):
+    """Trial A (days 0-30) goes on while trials that end much later, one of them
+    very long, stream in; all its rows count at the default lateness."""
+    from convlens.columns import DEFAULT_COLUMNS
+    from tests.helpers import LOG_SCHEMA
+
+    a, b, c, d = _trial("A", 0, 30), _trial("B", 15, 45), _trial("C", 16, 3000), _trial("D", 1, None)
+    parts = [[a(1, 1), d(1, 2)], [b(16, 3), c(16, 4)], [a(17, 5), b(18, 6)], [a(29, 7), d(30, 8), c(30, 9)], [a(33, 10)]]
+    root = tempfile.mkdtemp(prefix="convlens-open-")
+    src = os.path.join(root, "in")
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), cols=DEFAULT_COLUMNS, available_now=True)
+    q.awaitTermination(300)
+    live = live_staging_metrics(spark, os.path.join(root, "staging"))
+    batch = mart.staging_metrics(mart.prepare_log(spark.createDataFrame(sum(parts, []), LOG_SCHEMA)))
+    assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+    assert {r.org_id: r.total_activities for r in live.collect()} == {"A": 4, "B": 2, "C": 2, "D": 2}
+
+
+def test_files_do_not_grow_with_batches(spark):
+    from tests.helpers import LOG_SCHEMA
+
+    a = _trial("A", 0, 30)
+    root = tempfile.mkdtemp(prefix="convlens-files-")
+    src, staging = os.path.join(root, "in"), os.path.join(root, "staging")
+    held = []
+    for run in range(3):
+        for i in range(3):
+            rows = [_trial(f"o{n}", 0, 30)(1 + run * 3 + i, n) for n in range(5)] + [a(1 + run * 3 + i, 7, conv=run > 0)]
+            spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(os.path.join(src, f"part{run}{i}"))
+        stream = (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(src))
+        q = start_live_staging(stream, staging, os.path.join(root, "ckpt"), available_now=True, compact_every=2)
+        q.awaitTermination(300)
+        held.append(len(os.listdir(staging)))
+        got = {r.org_id: r.total_activities for r in live_staging_metrics(spark, staging).collect()}
+        assert got == {"A": 3 * (run + 1), **{f"o{n}": 3 * (run + 1) for n in range(5)}}
+    assert max(held) <= 6  # two snapshots and the epochs since the older one
+
+
+def test_retried_batch_after_compaction(spark):
+    from convlens.streaming.live_mart import _upsert
+
+    root = tempfile.mkdtemp(prefix="convlens-retry-")
+    ddl = "org_id string, trial_week long, closes timestamp, activities long, converted struct<at: long, value: boolean>, trial_start struct<at: long, value: timestamp>, trial_end struct<at: long, value: timestamp>"
+    batch = lambda n: spark.createDataFrame([("A", 1, None, n, (1, False), None, None)], ddl)
+    write = _upsert(root, 2)
+    for epoch, n in [(0, 1), (1, 2), (1, 2), (2, 3), (3, 5), (3, 5)]:  # epochs 1 and 3 are written again after their snapshots
+        write(batch(n), epoch)
+        assert live_staging_metrics(spark, root).first().total_activities == n
