@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convlens.columns import DEFAULT_COLUMNS, LogColumns
 from convlens.functions.expr import is_weekend, micros_between, rows_of
-from convlens.functions.ordered import position_in_group
+from convlens.functions.ordered import running_totals
 
 # Weekday names, Monday first, and the chart feature lists.
 WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -101,33 +101,23 @@ def feature_correlations(org_table: DataFrame, features: list[str] | None = None
     present (pairwise complete), from sample covariances and deviations
     (numerically stable merges).  A constant feature gives null, not an error.
 
-    Missing values are counted first (one small aggregate): with none, the
-    k deviations and k(k-1)/2 covariances are computed once each; otherwise
-    every pair gets its own masked moments."""
+    One aggregate, whatever is missing: a pair's covariance and both deviations
+    are over the rows that have both.  With nothing missing they equal the
+    plain ones, as they see the same rows in the same order."""
     features = features or CORRELATION_FEATURES
     k = len(features)
-    x = {f: F.col(f).cast("double") for f in features}
-    missing = org_table.agg(*[F.count_if(x[f].isNull() | F.isnan(x[f])).alias(f) for f in features]).first()
+    # NaN counts as missing
+    x = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
     pairs = [(i, j) for i in range(k) for j in range(k)]
-    if not any(missing[f] for f in features):
-        aggs = [F.stddev_samp(x[f]).alias(f"_s{i}") for i, f in enumerate(features)]
-        aggs += [F.covar_samp(x[features[i]], x[features[j]]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
-        one = org_table.agg(*aggs)
-
-        def parts(a, b):
-            return F.col(f"_c{a}_{b}"), F.col(f"_s{a}"), F.col(f"_s{b}")
-    else:
-        aggs = []
-        for i in range(k):
-            for j in range(i, k):
-                both = x[features[i]].isNotNull() & x[features[j]].isNotNull() & ~F.isnan(x[features[i]]) & ~F.isnan(x[features[j]])
-                xi, yj = F.when(both, x[features[i]]), F.when(both, x[features[j]])
-                aggs += [F.covar_samp(xi, yj).alias(f"_c{i}_{j}"), F.stddev_samp(xi).alias(f"_sx{i}_{j}"),
-                         F.stddev_samp(yj).alias(f"_sy{i}_{j}")]
-        one = org_table.agg(*aggs)
-
-        def parts(a, b):
-            return F.col(f"_c{a}_{b}"), F.col(f"_sx{a}_{b}"), F.col(f"_sy{a}_{b}")
+    aggs = []
+    for i in range(k):
+        for j in range(i, k):
+            a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
+            aggs += [F.covar_samp(a, b).alias(f"_c{i}_{j}"), F.stddev_samp(a).alias(f"_sx{i}_{j}"), F.stddev_samp(b).alias(f"_sy{i}_{j}")]
+    one = org_table.agg(*aggs)
+
+    def parts(a, b):
+        return F.col(f"_c{a}_{b}"), F.col(f"_sx{a}_{b}"), F.col(f"_sy{a}_{b}")
 
     def r(i, j):
         a, b = (i, j) if i <= j else (j, i)
@@ -156,9 +146,9 @@ def activity_sequence(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, org_id
         src = src.join(picked, cols.org, "left_semi")
     order = [cols.ts] + ([cols.order] if cols.order else [])
     base = src.select(cols.org, cols.activity, cols.ts, *([cols.order] if cols.order else []))
-    firsts = base.groupBy(cols.org).agg(F.min(cols.ts).alias("_first"))
-    pos = position_in_group(base, [cols.org], order, "position")
-    out = pos.join(firsts, cols.org).select(
+    # the org's first event comes with the pieces' minima, so the log is not read again for it
+    pos = running_totals(base.withColumn("_one", F.lit(1)), order, ["_one"], [cols.org], prefix="position", minima=[cols.ts])
+    out = pos.filter(F.col(cols.org).isNotNull()).withColumnsRenamed({"position_one": "position", f"min_{cols.ts}": "_first"}).select(
         cols.org, cols.activity, cols.ts, *([cols.order] if cols.order else []),
         F.col("position").cast("long").alias("position"),
         (micros_between("_first", cols.ts) / F.lit(1_000_000.0) / F.lit(86400.0)).alias("days_from_start"),

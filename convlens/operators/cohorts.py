@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from convlens.columns import DEFAULT_COLUMNS, LogColumns
 from convlens.functions.expr import floor_days, hours_between
-from convlens.functions.ordered import position_in_group
+from convlens.functions.ordered import running_totals
 from convlens.operators.segments import SEGMENT_NAMES, segment_predicate
+from convlens.operators.stats import cell_t_tests
 
 
 def _org_facts(log: DataFrame, cols: LogColumns) -> DataFrame:
@@ -66,15 +67,14 @@ def weekly_activity_by_conversion(org_table: DataFrame, converted_col: str = "co
 
 def activity_transitions(log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS, pre_conversion_only: bool = True) -> DataFrame:
     """Counts of (activity, next activity) within each org's time-ordered
-    sequence (pre-conversion rows by default).  Positions come from the
-    range-partitioned running totals; the next row is an equi-join on
-    (org, position + 1), one partner per row."""
+    sequence (pre-conversion rows by default).  The next row is looked up inside
+    range slices, and a piece's last row takes the first one of the org's next piece, so a
+    hot org is spread over tasks and the log is not joined with itself."""
     src = log.filter(F.coalesce(segment_predicate("pre_conversion", cols), F.lit(False))) if pre_conversion_only else log
     order = [cols.ts] + ([cols.order] if cols.order else [])
     base = src.filter(F.col(cols.org).isNotNull()).select(cols.org, cols.activity, *order)
-    pos = position_in_group(base, [cols.org], order, "_pos").select(cols.org, cols.activity, "_pos")
-    nxt = pos.select(F.col(cols.org), (F.col("_pos") - 1).alias("_pos"), F.col(cols.activity).alias("next_activity"))
-    return pos.join(nxt, [cols.org, "_pos"]).groupBy(cols.activity, "next_activity").agg(
+    pairs = running_totals(base, order, [], [cols.org], following=[cols.activity]).filter("has_next")
+    return pairs.groupBy(cols.activity, F.col(f"next_{cols.activity}").alias("next_activity")).agg(
         F.count(F.lit(1)).alias("transitions"))
 
 
@@ -95,10 +95,13 @@ def segment_org_profiles(feature_log: DataFrame, cols: LogColumns = DEFAULT_COLU
     segs = F.array(*[F.when(F.coalesce(segment_predicate(s, cols), F.lit(False)), F.lit(s)) for s in SEGMENT_NAMES])
     t = feature_log.select("*", F.explode(segs).alias("segment")).filter(F.col("segment").isNotNull())
     order = F.col(cols.order) if cols.order else F.col(cols.ts)
-    return t.groupBy("segment", cols.org).agg(
-        F.count(F.lit(1)).alias("total_activities"), F.count_distinct(cols.activity).alias("unique_activities"),
-        F.count_distinct("activity_category").alias("unique_categories"),
-        hours_between(F.min_by(F.col(cols.trial_start), order), F.min(cols.ts)).alias("time_to_first_activity"))
+    # a hot org's rows collapse map-side to its distinct (activity, category), which a second level then counts
+    per = t.groupBy("segment", cols.org, cols.activity, "activity_category").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(cols.ts).alias("_ts"), F.min(order).alias("_order"), F.min_by(F.col(cols.trial_start), order).alias("_start"))
+    return per.groupBy("segment", cols.org).agg(
+        F.sum("_n").cast("long").alias("total_activities"), F.size(F.collect_set(cols.activity)).cast("long").alias("unique_activities"),
+        F.size(F.collect_set("activity_category")).cast("long").alias("unique_categories"),
+        hours_between(F.min_by("_start", "_order"), F.min("_ts")).alias("time_to_first_activity"))
 
 
 def per_org_time_profile(feature_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -109,3 +112,19 @@ def per_org_time_profile(feature_log: DataFrame, cols: LogColumns = DEFAULT_COLU
         F.avg("is_weekend").alias("weekend_share"), F.avg("hour").alias("mean_hour"),
         F.count_distinct(F.to_date(cols.ts)).alias("active_dates"),
         F.min_by(F.col(cols.converted), order).alias("converted"))
+
+
+def time_cell_tests(feature_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """Activities per org in each hour (``hour_13``), weekday (``day_of_week_0``)
+    and day of the trial (``day_7``), converted against not converted."""
+    order = F.col(cols.order) if cols.order else F.col(cols.ts)
+    log = feature_log.filter(F.col(cols.org).isNotNull())
+    # a hot org collapses map-side to its distinct (hour, weekday, day)
+    per = log.groupBy(cols.org, "hour", "day_of_week", "days_since_trial_start").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_order"), F.min_by(F.col(cols.converted), order).alias("_converted"))
+    classes = per.groupBy(cols.org).agg(F.min_by("_converted", "_order").alias("converted"))
+    dims = F.array(*[F.concat(F.lit(f"{n}_"), F.col(c).cast("int").cast("string")) for n, c in (
+        ("hour", "hour"), ("day_of_week", "day_of_week"), ("day", "days_since_trial_start"))])
+    cells = per.select(cols.org, "_n", F.explode(dims).alias("feature")).filter("feature IS NOT NULL")
+    cells = cells.groupBy(cols.org, "feature").agg(F.sum("_n").alias("n")).join(classes, cols.org)
+    return cell_t_tests(cells, classes)

@@ -67,25 +67,38 @@ def org_features(features: DataFrame, cols: LogColumns = DEFAULT_COLUMNS) -> Dat
     "First row" values (trial duration, conversion flag, trial start) follow
     ``cols.order``."""
     d = F.col("days_since_trial_start")
-    n = F.count(F.lit(1))
-
-    def first(c):
-        return F.min_by(F.col(c), F.col(cols.order)) if cols.order else F.max(c)
-
-    agg = features.filter(F.col(cols.org).isNotNull()).groupBy(cols.org).agg(
-        F.count_distinct(cols.activity).alias("unique_activities_count"),
-        n.alias("total_activities_count"),
-        first("trial_duration_days").alias("_dur"),
-        F.count_distinct("activity_category").alias("unique_categories_count"),
-        F.count_distinct(d).alias("days_active"),
-        hours_between(first(cols.trial_start), F.min(cols.ts)).alias("time_to_first_activity"),
-        F.when(n > 1, F.stddev_samp(d)).otherwise(F.lit(0.0)).alias("activity_spread"),
-        F.count_if(d < WEEK_DAYS).alias("week1_activity_count"),
-        F.count_if(d >= WEEK_DAYS).alias("_late"),
-        F.count_if((d >= WEEK_DAYS) & (d < 2 * WEEK_DAYS)).alias("activities_week2"),
-        F.count_if((d >= 2 * WEEK_DAYS) & (d < 3 * WEEK_DAYS)).alias("activities_week3"),
-        F.count_if(d >= 3 * WEEK_DAYS).alias("activities_week4_plus"),
-        first(cols.converted).alias("converted"),
+    facts = {"_dur": "trial_duration_days", "_start": cols.trial_start, "_conv": cols.converted}
+
+    def first(c, order):
+        return F.min_by(F.col(c), F.col(order)) if cols.order else F.max(c)
+
+    # first level: a hot org's rows collapse map-side to its distinct (activity, category, day)
+    order = [F.min(cols.order).alias("_order")] if cols.order else []
+    per = features.filter(F.col(cols.org).isNotNull()).groupBy(cols.org, cols.activity, "activity_category", d).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(cols.ts).alias("_ts"), *order, *[first(c, cols.order).alias(k) for k, c in facts.items()])
+    n, day_rows = F.sum("_n"), F.sum(F.when(d.isNotNull(), F.col("_n")))
+    # the sample deviation from exact integer sums
+    s1, s2 = (F.sum(F.col("_n") * p) for p in (d, d.cast("long") * d))
+    spread = F.sqrt(F.greatest(s2.cast("double") - s1.cast("double") * s1.cast("double") / day_rows, F.lit(0.0)) / (day_rows - 1))
+
+    def rows_where(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0)).cast("long")
+
+    # second level: exact distinct counts as mergeable sets, without an Expand of the log
+    agg = per.groupBy(cols.org).agg(
+        F.size(F.collect_set(cols.activity)).cast("long").alias("unique_activities_count"),
+        n.cast("long").alias("total_activities_count"),
+        first("_dur", "_order").alias("_dur"),
+        F.size(F.collect_set("activity_category")).cast("long").alias("unique_categories_count"),
+        F.size(F.collect_set(d)).cast("long").alias("days_active"),
+        hours_between(first("_start", "_order"), F.min("_ts")).alias("time_to_first_activity"),
+        F.when(n > 1, F.when(day_rows > 1, spread)).otherwise(F.lit(0.0)).alias("activity_spread"),
+        rows_where(d < WEEK_DAYS).alias("week1_activity_count"),
+        rows_where(d >= WEEK_DAYS).alias("_late"),
+        rows_where((d >= WEEK_DAYS) & (d < 2 * WEEK_DAYS)).alias("activities_week2"),
+        rows_where((d >= 2 * WEEK_DAYS) & (d < 3 * WEEK_DAYS)).alias("activities_week3"),
+        rows_where(d >= 3 * WEEK_DAYS).alias("activities_week4_plus"),
+        first("_conv", "_order").alias("converted"),
     )
     apd = F.when(F.col("_dur") > 0, F.col("total_activities_count") / F.col("_dur")).otherwise(F.lit(0.0))
     ratio = F.when(F.col("total_activities_count") > 0,

@@ -111,14 +111,9 @@ def _weights(kind: str, model) -> list[float]:
     return list(model.featureImportances.toArray())
 
 
-def build_models(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
-                 seed: int = SEED, kinds: tuple[str, ...] = MODEL_KINDS) -> dict[str, DataFrame]:
-    """Fit the models; returns ``comparison``, ``importance`` and ``scores`` (key, model,
-    probability, is_test) frames and the fitted pipelines by kind (``models``).  The
-    best model has the highest test AUC; on a tie the later kind wins (so
-    with the default pair, logistic regression must be strictly better)."""
-    spark = org_table.sparkSession
-    features = features or MODEL_FEATURES
+def _prepared(org_table: DataFrame, key_col: str, features: list[str], converted_col: str, seed: int):
+    """Train and test rows with ``raw_features`` and ``features`` (scaled by the
+    training rows' mean and population deviation), the two scalers and the folds' sizes."""
     data = org_table.select(key_col, *[F.col(f).cast("double").alias(f) for f in features],
                             F.col(converted_col).cast("int").alias("label")).na.fill(0.0, subset=features)
     data = materialize(stratified_split(data, key_col, "label", seed=seed), "model_split", per_org=True)
@@ -128,11 +123,32 @@ def build_models(org_table: DataFrame, key_col: str, features: list[str] | None
     scaler = StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True).fit(train)
     fold_sizes = {r["fold"]: int(r["n"]) for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = sum(fold_sizes.values())
-    k = len(fold_sizes)
     # the scaler divides by the sample deviation; the model's inputs have population deviation 1
     to_population = ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n_train / max(n_train - 1, 1))] * len(features)),
                                        inputCol="sample_scaled", outputCol="features")
     train_s, test_s = (to_population.transform(scaler.transform(part)) for part in (train, test))
+    return train_s, test_s, scaler, to_population, fold_sizes
+
+
+def model_inputs(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
+                 seed: int = SEED) -> DataFrame:
+    """M1, M3: what the models are fitted on and scored with: key, label, ``is_test``, ``fold`` and the scaled features."""
+    features = features or MODEL_FEATURES
+    train, test, *_ = _prepared(org_table, key_col, features, converted_col, seed)
+    x = vector_to_array("features")
+    return train.unionByName(test).select(key_col, "label", "is_test", "fold", *[x[i].alias(f) for i, f in enumerate(features)])
+
+
+def build_models(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
+                 seed: int = SEED, kinds: tuple[str, ...] = MODEL_KINDS) -> dict[str, DataFrame]:
+    """Fit the models; returns ``comparison``, ``importance`` and ``scores`` (key, model,
+    probability, is_test) frames and the fitted pipelines by kind (``models``).  The
+    best model has the highest test AUC; on a tie the later kind wins (so
+    with the default pair, logistic regression must be strictly better)."""
+    spark = org_table.sparkSession
+    features = features or MODEL_FEATURES
+    train_s, test_s, scaler, to_population, fold_sizes = _prepared(org_table, key_col, features, converted_col, seed)
+    n_train, k = sum(fold_sizes.values()), len(fold_sizes)
 
     def fold_auc(kind, f):
         fit_part = train_s.filter(F.col("fold") != f)

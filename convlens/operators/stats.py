@@ -234,6 +234,11 @@ def t_tests(org_table: DataFrame, features: list[str], group_col: str = "convert
         F.count(F.when(_conv(group_col), x)).alias("n1"), F.count(F.when(_non(group_col), x)).alias("n2"),
         F.avg(F.when(_conv(group_col), x)).alias("m1"), F.avg(F.when(_non(group_col), x)).alias("m2"),
         F.var_samp(F.when(_conv(group_col), x)).alias("v1"), F.var_samp(F.when(_non(group_col), x)).alias("v2"))
+    return _t_from_moments(g)
+
+
+def _t_from_moments(g: DataFrame) -> DataFrame:
+    """The t test of every row (feature, n1, n2, m1, m2, v1, v2)."""
     dof = F.col("n1") + F.col("n2") - 2
     sp2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
@@ -247,6 +252,35 @@ def t_tests(org_table: DataFrame, features: list[str], group_col: str = "convert
     return _with_p(tests, "t", "t_statistic", "degrees_of_freedom")
 
 
+def cell_t_tests(cells: DataFrame, org_classes: DataFrame, group_col: str = "converted") -> DataFrame:
+    """T tests of counts per org in many cells (hours, weekdays, days) of which
+    most are empty.  ``cells`` has a row (org class, feature, n) for each org and
+    cell that exist; the zeros of all other orgs enter through the number of
+    orgs alone (``org_classes`` has a row for each org) and are never written."""
+    sizes = org_classes.agg(F.struct(F.count_if(_conv(group_col)).alias("n1"), F.count_if(_non(group_col)).alias("n2"))).scalar()
+    n = F.col("n").cast("long")
+    sums = cells.groupBy("feature").agg(*[
+        F.coalesce(F.sum(F.when(test(group_col), x)), F.lit(0)).alias(f"{name}{k}")
+        for k, test in ((1, _conv), (2, _non)) for name, x in (("s", n), ("q", n * n))])
+
+    def moments(k: int):
+        size = sizes.getField(f"n{k}")
+        # from exact integer sums, so that a cell without spread has none
+        wide = {x: F.col(f"{x}{k}").cast("decimal(19,0)") for x in "sq"}
+        spread = (size.cast("decimal(19,0)") * wide["q"] - wide["s"] * wide["s"]).cast("double") / (size * (size - 1))
+        return [size.alias(f"n{k}"), F.when(size > 0, F.col(f"s{k}") / size).alias(f"m{k}"), F.when(size > 1, spread).alias(f"v{k}")]
+
+    return _t_from_moments(sums.select("feature", *moments(1), *moments(2)))
+
+
+def rank_auc(scores: DataFrame, features: list[str], label_col: str = "converted") -> DataFrame:
+    """M7: the area under the ROC curve of each feature taken as a score of
+    conversion: U / (n1 * n2), which counts ties by half."""
+    u = mann_whitney_tests(scores, features, label_col)
+    pairs = F.col("n_converted") * F.col("n_non_converted")
+    return u.select("feature", F.when(pairs > 0, F.col("u_statistic") / pairs).alias("auc"), "n_converted", "n_non_converted")
+
+
 def _value_counts_by_feature(org_table: DataFrame, features: list[str], group_col: str) -> DataFrame:
     long = _long(org_table, features, group_col).filter(F.col(group_col).isNotNull() & F.col("value").isNotNull())
     return long.groupBy("feature", "value").agg(F.count_if(_conv(group_col)).alias("t1"),

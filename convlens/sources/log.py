@@ -57,8 +57,10 @@ def with_file_order(df: DataFrame, name: str) -> DataFrame:
     ranks = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"),
                           F.row_number().over(Window.orderBy("_file", "_block")).cast("long").alias("_rank"))
     numbered = scan.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    joined = numbered.join(ranks, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
-    return joined.select(*df.columns, (F.shiftleft(F.col("_rank"), 33) + F.col("_row")).alias(name))
+    # both scans cut the files alike; if files change between them no row may go unseen
+    joined = numbered.join(ranks, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")), "left")
+    rank = F.when(F.col("_rank").isNull(), F.raise_error(F.lit("the log's files have changed between two scans; read again")).cast("long")).otherwise(F.col("_rank"))
+    return joined.select(*df.columns, (F.shiftleft(rank, 33) + F.col("_row")).alias(name))
 
 
 # --------------------------------------------------------------------------

@@ -126,3 +126,52 @@ def test_medians_from_counts(spark):
         r = stats.mann_whitney_test(org, "f").first()
         assert r.converted_median == statistics.median(conv)
         assert r.non_converted_median == (statistics.median(non) if non else None)
+
+
+def test_following_and_minima_match_brute_force_with_hot_group(spark):
+    rnd = random.Random(9)
+    rows = [("hot", rnd.randint(0, 40), i, rnd.choice(["a", "b", None])) for i in range(500)]
+    rows += [(rnd.choice(["x", "y", "z", None]), rnd.choice([None, *range(9)]), 1000 + i, rnd.choice("abc")) for i in range(60)]
+    rows += [("alone", None, 5000, "a")]
+    df = spark.createDataFrame(rows, "g string, o long, id long, v string").repartition(3)
+    out = running_totals(df, ["o", "id"], [], ["g"], slices=7, minima=["o"], following=["v", "id"])
+    assert out.columns == ["g", "o", "id", "v", "min_o", "next_v", "next_id", "has_next"]
+    got = {r.id: (r.min_o, r.next_v, r.next_id, r.has_next) for r in out.collect()}
+    expect = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        low = min((r[1] for r in mine if r[1] is not None), default=None)
+        for r, after in zip(mine, [*mine[1:], None]):
+            expect[r[2]] = (low, after and after[3], after and after[2], after is not None)
+    assert got == expect
+
+
+def test_cell_tests_count_the_empty_cells(spark):
+    import statistics
+
+    rnd = random.Random(2)
+    classes = [(i, i % 3 == 0) for i in range(30)] + [(99, None)]
+    cells = [(o, c, f"hour_{h}", rnd.randint(1, 4)) for o, c in classes for h in (1, 2, 5) if rnd.random() < 0.3] + [(0, True, "hour_9", 2)]
+    got = {r.feature: r for r in stats.cell_t_tests(spark.createDataFrame(cells, "org long, converted boolean, feature string, n int"),
+                                                    spark.createDataFrame(classes, "org long, converted boolean")).collect()}
+    assert set(got) == {c[2] for c in cells}
+    for f, r in got.items():
+        n = {o: n for o, _, feature, n in cells if feature == f}
+        a, b = ([n.get(o, 0) for o, c in classes if c is k] for k in (True, False))
+        assert (r.n_converted, r.n_non_converted) == (10, 20) and abs(r.converted_mean - statistics.mean(a)) < 1e-12
+        sp2 = ((len(a) - 1) * statistics.variance(a) + (len(b) - 1) * statistics.variance(b)) / 28
+        assert abs(r.t_statistic - (statistics.mean(a) - statistics.mean(b)) / (sp2 * (1 / 10 + 1 / 20)) ** 0.5) < 1e-9
+        assert 0 <= r.p_value <= 1
+
+
+def test_rank_auc_equals_the_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rnd = random.Random(5)
+    rows = [(rnd.random() < 0.4, float(rnd.randint(0, 6))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "converted boolean, f double")
+    auc = stats.rank_auc(df, ["f"]).first().auc
+    assert abs(auc - _brute_u([x for c, x in rows if c], [x for c, x in rows if not c]) / (sum(c for c, _ in rows) * sum(not c for c, _ in rows))) < 1e-12
+    label = df.selectExpr("CAST(converted AS double) AS label", "f")
+    assert abs(auc - BinaryClassificationEvaluator(rawPredictionCol="f", labelCol="label", numBins=0).evaluate(label)) < 1e-9
+    assert stats.rank_auc(df.where("converted"), ["f"]).first().auc is None

@@ -47,3 +47,21 @@ def test_staging_rollup_plan(spark, no_auto_broadcast):
     assert "GreaterThanOrEqual(value,200.0)" in main and "EqualTo(event_type,purchase)" in main
     # the events scan of the final join reads three columns only
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in main
+
+
+def test_distinct_counts_without_expanding_the_log(spark, no_auto_broadcast):
+    from convlens.functions.categories import fixture_category_map
+    from convlens.operators import cohorts, features
+
+    log = features.activity_categories(features.temporal_features(fixture_log(spark, SF_SMALL)), fixture_category_map())
+    for df in (features.org_features(log), cohorts.segment_org_profiles(log), cohorts.time_cell_tests(log)):
+        assert "Expand" not in _plan(df)
+
+
+def test_transitions_do_not_join_the_log_with_itself(spark, no_auto_broadcast):
+    from convlens.operators import charts, cohorts
+
+    # after slicing one scan of the slices for the rows, one for the table of pieces
+    for df in (cohorts.activity_transitions(fixture_log(spark, SF_SMALL)), charts.activity_sequence(fixture_log(spark, SF_SMALL))):
+        plan = _plan(df)
+        assert plan.count(") SortMergeJoin") == 1  # in the details; the one join is with the pieces
