@@ -412,6 +412,7 @@ def q_feature_importance(spark, sf_dir):
 
 EXT_TEST_FEATURES = ["total_activities_count", "unique_activities_count", "unique_categories_count",
                      "activities_per_day", "days_active", "week1_activity_count", "week1_activity_ratio"]
+STAGE_TEST_FEATURES = ["early_stage_count", "late_stage_count", "activities_both_stages"]
 TIME_PROFILE_FEATURES = ["weekend_share", "mean_hour", "active_dates"]
 
 
@@ -489,7 +490,28 @@ def q_feature_ks(spark, sf_dir):
 @query("stage_change_anova")
 def q_stage_anova(spark, sf_dir):
     st = stages.stage_features(_feature_log(spark, sf_dir))
-    return _round_doubles(stats.anova(st, "stage_change", "converted", with_p=False))
+    return _round_p(_round_doubles(stats.anova(st, "stage_change", "converted")))
+
+
+@query("stage_t_tests")
+def q_stage_t_tests(spark, sf_dir):
+    """Stage-wise usage intensity and its change, converted against not converted."""
+    return _round_p(_round_doubles(stats.t_tests(stages.stage_features(_feature_log(spark, sf_dir)), STAGE_TEST_FEATURES)))
+
+
+@query("time_cell_tests")
+def q_time_cell_tests(spark, sf_dir):
+    return _round_p(_round_doubles(cohorts.time_cell_tests(_feature_log(spark, sf_dir))))
+
+
+@query("feature_auc")
+def q_feature_auc(spark, sf_dir):
+    return _round_doubles(stats.rank_auc(_org_table(spark, sf_dir), EXT_TEST_FEATURES))
+
+
+@query("model_inputs")
+def q_model_inputs(spark, sf_dir):
+    return _round_doubles(models.model_inputs(_org_table(spark, sf_dir), "ORGANIZATION_ID"))
 
 
 @query("time_profile_tests")
@@ -567,6 +589,46 @@ def q_exploratory_clean_log(spark, sf_dir):
     return exploratory_pipeline(raw, typed=False, category_map=fixture_category_map(), through="clean")["clean_log"]
 
 
+def _explored(spark, sf_dir, **options):
+    """The whole exploratory program (but the model fits) on the raw text export."""
+    from convlens.plans.pipelines import exploratory_pipeline
+
+    raw = fixture_text_log(spark, sf_dir, with_duplicates=True)
+    return exploratory_pipeline(raw, typed=False, category_map=fixture_category_map(), with_models=False, **options)
+
+
+@query("exploratory_log_file")
+def q_exploratory_log_file(spark, sf_dir):
+    """The program's cleaned log as written to CSV files, read back from them."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-exports/{uuid.uuid4().hex}"
+    return _explored(spark, sf_dir, output_path=path, output_format="csv", through="clean")["clean_log"]
+
+
+@query("exploratory_org_features")
+def q_exploratory_org_features(spark, sf_dir):
+    return _round_doubles(_explored(spark, sf_dir)["org_features"])
+
+
+@query("exploratory_segment_sizes")
+def q_exploratory_segment_sizes(spark, sf_dir):
+    return _explored(spark, sf_dir)["segment_sizes"]
+
+
+@query("exploratory_activity_comparison")
+def q_exploratory_activity_comparison(spark, sf_dir):
+    return _explored(spark, sf_dir)["activity_comparison"]
+
+
+@query("exploratory_feature_comparison")
+def q_exploratory_feature_comparison(spark, sf_dir):
+    return _round_doubles(_explored(spark, sf_dir)["feature_comparison"])
+
+
+@query("exploratory_hypothesis_tests")
+def q_exploratory_tests(spark, sf_dir):
+    return _round_p(_round_doubles(_explored(spark, sf_dir)["hypothesis_tests"]))
+
+
 # ------------------------------------------------------------------ file order
 
 @query("log_from_files")

@@ -779,8 +779,36 @@ t AS (SELECT sum(n) AS nn, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g),
 s AS (SELECT sum(n * pow(m - (SELECT gm FROM t), 2)) AS ssb, sum((n - 1) * v) AS ssw FROM g)
 SELECT 'stage_change' AS feature,
        round(CASE WHEN k - 1 > 0 AND nn - k > 0 AND ssw > 0 THEN (ssb / (k - 1)) / (ssw / (nn - k)) END, 9) AS f_statistic,
-       CAST(k - 1 AS BIGINT) AS df_between, CAST(nn - k AS BIGINT) AS df_within, round(ssb, 9) AS ssb, round(ssw, 9) AS ssw
+       CAST(k - 1 AS BIGINT) AS df_between, CAST(nn - k AS BIGINT) AS df_within, round(ssb, 9) AS ssb, round(ssw, 9) AS ssw,
+       -- of two classes F is the square of t
+       round(CASE WHEN k = 2 AND nn > k AND ssw > 0 THEN """ + _t_tail("sqrt(ssb * (nn - k) / ssw)", "(nn - k)") + """ END, 6) AS p_value
 FROM s, t""", STAGE_CTE))
+register("stage_t_tests", feature_sql(T_TESTS_WITH_P, STAGE_CTE, "long AS (" + _long_sql(
+    "stage", ["early_stage_count", "late_stage_count", "activities_both_stages"]) + ")"))
+# the twin writes the empty cells that the query only counts
+register("time_cell_tests", feature_sql(T_TESTS_WITH_P, """
+classes AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS converted FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
+cells AS (
+  SELECT ORGANIZATION_ID, feature, count(*) AS n FROM (
+    SELECT ORGANIZATION_ID, unnest(['hour_' || CAST(hour AS INTEGER), 'day_of_week_' || CAST(day_of_week AS INTEGER),
+                                    'day_' || CAST(days_since_trial_start AS INTEGER)]) AS feature
+    FROM feat WHERE ORGANIZATION_ID IS NOT NULL) WHERE feature IS NOT NULL GROUP BY ALL),
+long AS (
+  SELECT converted, feature, CAST(COALESCE(n, 0) AS DOUBLE) AS value
+  FROM classes CROSS JOIN (SELECT DISTINCT feature FROM cells) LEFT JOIN cells USING (ORGANIZATION_ID, feature))"""))
+register("feature_auc", feature_sql("""
+SELECT feature, round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2), 9) AS auc, n1 AS n_converted, n2 AS n_non_converted
+FROM (SELECT feature, sum(t1 * (before + (t + 1) / 2.0)) AS r1, CAST(sum(t1) AS BIGINT) AS n1, CAST(sum(t2) AS BIGINT) AS n2
+      FROM (SELECT *, COALESCE(sum(t) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM vc)
+      GROUP BY feature)""", "long AS (" + _long_sql("org", EXT_F) + ")", VC_CTE))
+MODEL_F = ["total_activities_count", "unique_activities_count", "unique_categories_count", "activities_per_day", "days_active",
+           "week1_activity_count", "week1_activity_ratio", "front_loaded_pattern", "week1_engagement_binary"]
+register("model_inputs", feature_sql(
+    "SELECT s.ORGANIZATION_ID, s.label, s.is_test, s.fold, " + ", ".join(
+        f"round(CASE WHEN stddev_pop(COALESCE(o.{f}, 0)) FILTER (WHERE NOT s.is_test) OVER () > 0 THEN (COALESCE(o.{f}, 0) - avg(COALESCE(o.{f}, 0)) FILTER (WHERE NOT s.is_test) OVER ())"
+        f" / stddev_pop(COALESCE(o.{f}, 0)) FILTER (WHERE NOT s.is_test) OVER () ELSE 0.0 END, 9) AS {f}" for f in MODEL_F)
+    + " FROM split s JOIN org o ON s.ORGANIZATION_ID = o.ORGANIZATION_ID",
+    "split AS (" + ORACLE["model_split"][ORACLE["model_split"].index("\nSELECT p.ORGANIZATION_ID"):] + ")"))
 TIME_F = ["weekend_share", "mean_hour", "active_dates"]
 register("time_profile_tests", feature_sql(T_TESTS_WITH_P, """
 prof AS (
@@ -799,8 +827,8 @@ UNION ALL SELECT 'mart_trial_activation', (SELECT count(*) FROM mart_activation)
 
 
 # ------------------------------------------------------------- exploratory program
-register("exploratory_clean_log", with_ctes(FIXTURE_CTE, DUP_CTE, body="""
-, text_dup AS (
+CLEANED_CTE = """
+text_dup AS (
   SELECT CAST(ORGANIZATION_ID AS VARCHAR) AS ORGANIZATION_ID, ACTIVITY_NAME,
          CASE WHEN EVENT_ID % 97 = 0 THEN 'garbage' ELSE CAST("TIMESTAMP" AS VARCHAR) END AS "TIMESTAMP",
          CAST(CONVERTED AS VARCHAR) AS CONVERTED, CAST(CONVERTED_AT AS VARCHAR) AS CONVERTED_AT,
@@ -814,8 +842,23 @@ typed2 AS (
          TRY_CAST(TRIAL_END AS TIMESTAMP) AS TRIAL_END, CAST(EVENT_ID AS BIGINT) AS EVENT_ID
   FROM first_copy),
 sizes AS (SELECT ORGANIZATION_ID, count(*) AS n FROM typed2 WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
-cap AS (SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS p FROM sizes)
-SELECT * FROM typed2 WHERE ORGANIZATION_ID IN (SELECT ORGANIZATION_ID FROM sizes WHERE n >= 3 AND n <= (SELECT p FROM cap))"""))
+cap AS (SELECT quantile_cont(CAST(n AS DOUBLE), 0.95) AS p FROM sizes),
+cleaned AS (
+  SELECT * FROM typed2 WHERE ORGANIZATION_ID IN (SELECT ORGANIZATION_ID FROM sizes WHERE n >= 3 AND n <= (SELECT p FROM cap)))
+"""
+register("exploratory_clean_log", with_ctes(FIXTURE_CTE, DUP_CTE, CLEANED_CTE, body="SELECT * FROM cleaned"))
+register("exploratory_log_file", ORACLE["exploratory_clean_log"])
+
+
+def on_cleaned_log(name: str) -> str:
+    """The twin of ``name`` with the program's cleaned log in the fixture's place."""
+    raw = with_ctes(FIXTURE_CTE, DUP_CTE, CLEANED_CTE, body="").removeprefix("WITH ").strip().replace("trial_log", "raw_log")
+    rest = ORACLE[name].removeprefix("WITH " + FIXTURE_CTE.strip())
+    return f"WITH {raw},\ntrial_log AS (SELECT * FROM cleaned){rest}"
+
+
+for _name in ("org_features", "segment_sizes", "activity_comparison", "feature_comparison"):
+    register(f"exploratory_{_name}", on_cleaned_log(_name))
 
 
 # ------------------------------------------------------------------ p-values
@@ -857,6 +900,7 @@ SELECT test_id, test, feature, round(statistic, 9) AS statistic, dof AS degrees_
        p_value < 0.05 AS significant FROM p""", *_p_ctes([])))
 register("tests_summary", feature_sql(
     "SELECT count(*) AS tests_performed, count(*) FILTER (WHERE p_value < 0.05) AS significant_tests FROM p", *_p_ctes([])))
+register("exploratory_hypothesis_tests", on_cleaned_log("hypothesis_tests"))
 register("adjusted_tests", feature_sql("""
 SELECT test_id, test, feature, round(statistic, 9) AS statistic, dof AS degrees_of_freedom, round(p_value, 6) AS p_value,
        p_value < 0.05 AS significant, round(bonf, 6) AS p_bonferroni, round(fdr, 6) AS p_fdr_bh,

@@ -21,7 +21,7 @@ from convlens.functions.categories import PRODUCT_CATEGORY_MAP
 from convlens.operators import charts, clean, features, mart, models, segments, stats
 from convlens.session import materialize
 from convlens.sources import inspect
-from convlens.sources.sinks import export_tables, register_view, write_table
+from convlens.sources.sinks import CSV, export_tables, register_view, write_table
 
 MART_TABLES = ["staging_metrics_per_org", "staging_activation_goals", "mart_trial_goals", "mart_trial_activation"]
 
@@ -85,7 +85,7 @@ def exploratory_pipeline(raw_log: DataFrame, cols: LogColumns = DEFAULT_COLUMNS,
         schema = clean_log.schema
         write_table(clean_log, output_path, output_format)
         reader = clean_log.sparkSession.read.schema(schema)
-        clean_log = reader.option("header", True).csv(output_path) if output_format == "csv" else reader.parquet(output_path)
+        clean_log = reader.options(**CSV).csv(output_path) if output_format == "csv" else reader.parquet(output_path)
     else:
         # every later step reads the cleaned log: write it once
         clean_log = materialize(clean_log, "clean_log")

@@ -7,10 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Options for writing and reading CSV: by default Spark writes times to the millisecond only.
+CSV = {"header": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV)
     w.format(fmt).save(path)
     return path
 
@@ -29,7 +33,7 @@ def export_tables(spark: SparkSession, names: list[str], out_dir: str, fmt: str
             df = spark.table(name)
             write_table(df, path, fmt)
             reader = spark.read.format(fmt)
-            written = reader.option("header", True).load(path) if fmt == "csv" else reader.load(path)
+            written = reader.options(**CSV).load(path) if fmt == "csv" else reader.load(path)
             return (name, written.count(), len(df.columns), path, None)
         except Exception as e:  # noqa: BLE001 - the report carries the error
             return (name, None, None, None, str(e))

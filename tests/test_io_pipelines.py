@@ -104,3 +104,14 @@ def test_first_in_input_order_follows_the_files(spark):
     kept = clean.drop_duplicate_events(clean.type_log(log)).filter("ACTIVITY_NAME = 'x'").collect()
     assert [r.CONVERTED for r in kept] == [True]
     assert log.count() == log.select("EVENT_ID").distinct().count() == 3002
+
+
+def test_csv_keeps_times_to_the_microsecond(spark, tmp_path):
+    from datetime import datetime
+
+    from convlens.sources.sinks import CSV, write_table
+
+    rows = [("A", datetime(2024, 1, 5, 0, 0, 49, 826080), datetime(2024, 1, 5, 7, 1, 2, 3)), ("B, \"x\"", None, None)]
+    df = spark.createDataFrame(rows, "org string, at timestamp_ntz, z timestamp")
+    write_table(df, str(tmp_path / "t"), "csv")
+    assert sorted(spark.read.schema(df.schema).options(**CSV).csv(str(tmp_path / "t")).collect()) == sorted(df.collect())
