@@ -71,7 +71,8 @@ def _attribute(tag: Column, name: str) -> Column:
     """The value of the tag's first attribute of that name, without quotes; null if there is none."""
     names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), _lower)
     value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), (F.array_position(names, name) - 1).cast("int"))
-    return F.trim(F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value))
+    bare = F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.trim(F.regexp_replace(bare, "&(?:amp|#38|#x26);", "&"))
 
 
 def _without_dots(path: Column) -> Column:

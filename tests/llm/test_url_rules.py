@@ -74,3 +74,90 @@ def test_forms_of_edges(spark, rows):
     pages = rows([(1, "http://p.net/x", '<link rel=canonical href="//shop.com/de/1">'), (2, "http://shop.com/q", "<meta http-equiv=refresh content='0;url=de/2'>"), (3, "nothing", '<link rel=canonical href="/a">')], "page_id long, url string, html string")
     rules = spark.createDataFrame(ur.RULES, "host string, path string, verdict string")
     assert {r["page_id"]: r["verdict"] for r in ur.judge(pages, rules, ur.alias_edges(pages)).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def brute_verdicts(pages):
+    """The same from Python's own HTML parser and url functions, pairs by pairs."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.targets = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(reversed(attrs))
+            if tag == "link" and "canonical" in (a.get("rel") or "").lower().split():
+                self.targets.append(a.get("href") or "")
+            if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or ""):
+                self.targets.append(a["content"].split("url=", 1)[1])
+
+    def cut(url):
+        rest = (url or "").split("://", 1)
+        if len(rest) < 2:
+            return "", "", None
+        host = rest[1].split("/")[0].split("?")[0].split("#")[0]
+        tail = rest[1][len(host):].split("#")[0]
+        return host.lower(), tail.split("?")[0], host.lower() + tail
+
+    def ruled(host, path):
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in ur.RULES if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    ends = set()
+    for _, url, html in pages:
+        links = Links()
+        links.feed(html or "")
+        for t in links.targets:
+            u, v = cut(url)[2], cut(urljoin(url, t) if url and t and not t.startswith("#") else None)[2]
+            if u is not None and v is not None:
+                ends |= {u, v}
+                root[find(u)] = find(v)
+    spread = {}
+    for x in ends:
+        v = ruled(*cut("x://" + x)[:2])[1]
+        if v:
+            spread.setdefault(find(x), set()).add(v)
+    out = []
+    for page_id, url, _ in pages:
+        host, path, resource = cut(url)
+        rule, verdict = ruled(host, path)
+        votes = spread.get(find(resource), set()) if resource in ends else set()
+        out.append((page_id, host, path, rule, verdict or ("allow" if "allow" in votes else "block" if "block" in votes else "allow")))
+    return sorted(out)
+
+
+def test_edges_and_verdicts_equal_brute_force(spark, rows):
+    import random
+
+    r = random.Random(12)
+    hosts = ["shop.com", "A.example.org", "example.org", "n.net", "m.net", "k.com", "x.io", "y.io", "z.io"]
+    paths = ["/", "/de/1", "/fr/2", "/es/3", "/en/12", "/p/q", "/p/r?a=1&b=2", "", "/p/"]
+    any_url = lambda: r.choice(["http", "https"]) + "://" + r.choice(hosts) + r.choice(paths) + r.choice(["", "", "#f"])
+
+    def target():
+        return r.choice([any_url, any_url, lambda: r.choice(paths), lambda: "//" + r.choice(hosts) + r.choice(paths), lambda: r.choice(["next", "../up", "./x", "?z=1", "#f", ""])])()
+
+    def edge():
+        t = target().replace("&", r.choice(["&amp;", "&"]))
+        return r.choice([
+            f'<link rel="canonical" href="{t}">', f"<LINK href='{t}' REL='x Canonical'/>", f'<meta http-equiv="refresh" content="0; url={t}">', f'<meta content="5;url={t}" http-equiv=Refresh>',
+            f'<link rel="next" href="{t}">', f'<a rel="canonical" href="{t}">x</a>', f'<meta name="refresh" content="0; url={t}">'])
+
+    pages = [(i, r.choice([any_url(), any_url(), any_url(), None, "no scheme"]) if i % 9 == 0 else any_url(), "<p>t</p>" + "".join(edge() for _ in range(r.choice([0, 0, 0, 1, 1, 2])))) for i in range(400)]
+    frame = rows(pages, "page_id long, url string, html string")
+    got = ur.judge(frame, spark.createDataFrame(ur.RULES, "host string, path string, verdict string"), ur.alias_edges(frame))
+    assert sorted(map(tuple, got.collect())) == brute_verdicts(pages)
+    # few hosts make few components; with hosts of their own many stay apart
+    pages = [(i, (u or "x").replace("://", f"://h{i % 60}."), h.replace("://", f"://h{(i + 1) % 60}.")) for i, u, h in pages]
+    frame = rows(pages, "page_id long, url string, html string")
+    got = sorted(map(tuple, ur.judge(frame, spark.createDataFrame(ur.RULES, "host string, path string, verdict string"), ur.alias_edges(frame)).collect()))
+    assert got == brute_verdicts(pages) and len({g[3:] for g in got}) > 6
