@@ -2,8 +2,8 @@
 
 The lookup compiles to a literal map expression (no join, no shuffle) when the
 dictionary is given as a Python mapping, which is the normal case: it is a
-parameter table of a few dozen entries.  A DataFrame mapping is joined with a
-broadcast only after its row count is checked.
+parameter table of a few dozen entries.  A DataFrame mapping is joined without
+a hint, whatever its size.
 """
 
 from __future__ import annotations
