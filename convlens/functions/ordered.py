@@ -20,7 +20,7 @@ from convlens.session import materialize
 
 def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group_cols: list[str] | None = None,
                    slices: int | None = None, inclusive: bool = False, prefix: str = "before_",
-                   minima: list[str] | None = None, following: list[str] | None = None) -> DataFrame:
+                   minima: list[str] | None = None, following: list[str] | None = None, lows: list[str] | None = None) -> DataFrame:
     """Add ``prefix + c`` for each ``c`` in ``value_cols``: the sum of ``c``
     over the rows of the same group that come strictly before this row in
     ``order_cols`` order (``inclusive=True`` includes the row).  The order
@@ -28,10 +28,10 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     group values form groups like any other value.
 
     What else a piece can hand on: ``minima`` adds ``min_c``, the least ``c`` of the
-    whole group; ``following`` adds ``next_c``, the value of ``c`` in the next row of the
+    whole group; ``lows`` adds ``low_c``, the least ``c`` of the row and those before it; ``following`` adds ``next_c``, the value of ``c`` in the next row of the
     group (for the last row of a piece the first row of the group's next piece), and
     ``has_next``.  With ``following`` the order is of plain ascending columns."""
-    group_cols, minima, following = list(group_cols or []), list(minima or []), list(following or [])
+    group_cols, minima, following, lows = list(group_cols or []), list(minima or []), list(following or []), list(lows or [])
     spark = df.sparkSession
     frame_end = Window.currentRow if inclusive else -1
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -46,9 +46,11 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     w_local = w_piece.rowsBetween(Window.unboundedPreceding, frame_end)
     head = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(following)]) if following else None
     local = keyed.select("*", *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"_loc_{c}") for c in value_cols],
+                         *[F.min(c).over(w_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"_run_{c}") for c in lows],
                          *([F.lead(head).over(w_piece).alias("_lead")] if following else []))
     pieces = keyed.groupBy(*group_cols, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_tot_{c}") for c in value_cols], *[F.min(c).alias(f"_low_{c}") for c in minima],
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_tot_{c}") for c in value_cols],
+        *[F.min(c).alias(f"_low_{c}") for c in dict.fromkeys(minima + lows)],
         *([F.min_by(head, F.struct(*ordered)).alias("_head")] if following else []))
     w_group = Window.partitionBy(*group_cols).orderBy("_slice")
     w_prev = w_group.rowsBetween(Window.unboundedPreceding, -1)
@@ -56,6 +58,7 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
         F.col("_slice").alias("_s"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)],
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_prev), F.lit(0)).alias(f"_off_{c}") for c in value_cols],
         *[F.min(f"_low_{c}").over(Window.partitionBy(*group_cols)).alias(f"_min_{c}") for c in minima],
+        *[F.min(f"_low_{c}").over(w_prev).alias(f"_prev_{c}") for c in lows],
         *([F.lead("_head").over(w_group).alias("_after")] if following else []))
     same = F.col("_slice") == F.col("_s")
     for i, g in enumerate(group_cols):
@@ -64,6 +67,7 @@ def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], group
     nxt = F.coalesce("_lead", "_after") if following else None
     return out.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(prefix + c) for c in value_cols],
                       *[F.col(f"_min_{c}").alias(f"min_{c}") for c in minima],
+                      *[F.least(f"_prev_{c}", f"_run_{c}").alias(f"low_{c}") for c in lows],
                       *[nxt[f"f{i}"].alias(f"next_{c}") for i, c in enumerate(following)],
                       *([nxt.isNotNull().alias("has_next")] if following else []))
 

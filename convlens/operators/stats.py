@@ -334,12 +334,30 @@ def adoption_chi_square(feature_log: DataFrame, org_col: str, activity_col: str,
     pairs = materialize(feature_log.filter(F.col(org_col).isNotNull()).groupBy(org_col, activity_col).agg(
         F.min_by(F.col(converted_col), order).alias("_first"), F.min(order).alias("_at")), "org_activity")
     orgs = pairs.groupBy(org_col).agg(F.min_by("_first", "_at").alias("_c"))
-    classes = orgs.agg(F.struct(F.count_if(F.col("_c") == True).alias("c"),  # noqa: E712
-                                F.count_if(F.col("_c") == False).alias("n"))).scalar()  # noqa: E712
     used = pairs.select(org_col, activity_col).join(orgs, org_col)
-    per = used.groupBy(activity_col).agg(F.count_if(F.col("_c") == True).alias("a_c"),  # noqa: E712
-                                         F.count_if(F.col("_c") == False).alias("a_n"))  # noqa: E712
-    per = per.select("*", classes.alias("_cls")).select("*", F.col("_cls.c").alias("_ct"), F.col("_cls.n").alias("_nt"))
+    per = used.groupBy(activity_col).agg(F.count_if(_conv("_c")).alias("a_c"), F.count_if(_non("_c")).alias("a_n"))
+    return chi_square_of_counts(per, [activity_col], class_sizes(orgs, "_c"), correction)
+
+
+def class_sizes(org_table: DataFrame, group_col: str = "converted"):
+    """The number of converted (``c``) and other (``n``) orgs, a struct scalar."""
+    return org_table.agg(F.struct(F.count_if(_conv(group_col)).alias("c"), F.count_if(_non(group_col)).alias("n"))).scalar()
+
+
+def flag_chi_square(org_table: DataFrame, flags: list[str], group_col: str = "converted", correction: bool = True) -> DataFrame:
+    """Chi-square of each boolean column x converted, all from one aggregate
+    that is unpivoted after it.  A null flag counts as not set."""
+    one = org_table.agg(F.count_if(_conv(group_col)).alias("c"), F.count_if(_non(group_col)).alias("n"), *[
+        F.count_if(F.col(f) & test(group_col)).alias(f"{tag}{i}") for i, f in enumerate(flags) for tag, test in (("c", _conv), ("n", _non))])
+    per = one.select(F.struct("c", "n").alias("sizes"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("a_c"), F.col(f"n{i}").alias("a_n")) for i, f in enumerate(flags)])))
+    return chi_square_of_counts(per, ["feature"], F.col("sizes"), correction)
+
+
+def chi_square_of_counts(per: DataFrame, keys: list[str], sizes, correction: bool = True) -> DataFrame:
+    """Chi-square of each row's 2x2 table, with Yates' correction, and its p-value:
+    ``a_c`` and ``a_n`` orgs of the classes show what the row stands for, of ``sizes.c`` and ``sizes.n``."""
+    per = per.select(*keys, "a_c", "a_n", sizes.alias("_cls")).select("*", F.col("_cls.c").alias("_ct"), F.col("_cls.n").alias("_nt"))
     c_tot, n_tot = F.col("_ct"), F.col("_nt")
     N = c_tot + n_tot
     cells = [("a_c", F.col("a_c"), c_tot), ("a_n", F.col("a_n"), n_tot),
@@ -351,12 +369,12 @@ def adoption_chi_square(feature_log: DataFrame, org_col: str, activity_col: str,
     dof = ((n_rows - 1) * (n_cols - 1)).cast("long")
     stat = F.lit(0.0)
     for name, obs, row_tot in cells:
-        e = row_tot * col_tot[name[0]] / N
+        e = row_tot * col_tot[name[0]] / F.nullif(N, F.lit(0))
         dev = F.abs(obs - e)
         if correction:
             dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
         stat = stat + F.when(e > 0, dev * dev / e).otherwise(F.lit(0.0))
-    tests = per.select(activity_col, F.col("a_c").alias("converted_users"), F.col("a_n").alias("non_converted_users"),
+    tests = per.select(*keys, F.col("a_c").alias("converted_users"), F.col("a_n").alias("non_converted_users"),
                        F.when(dof > 0, stat).otherwise(F.lit(0.0)).alias("chi2_statistic"),
                        dof.alias("degrees_of_freedom"))
     return _with_p(tests, "chi2", "chi2_statistic", "degrees_of_freedom")
@@ -384,15 +402,18 @@ def anova(df: DataFrame, value_col: str, group_col: str, with_p: bool = True) ->
 
 
 def adjust_p_values(tests: DataFrame, p_col: str = "p_value", alpha: float = SIGNIFICANCE) -> DataFrame:
-    """Bonferroni and Benjamini-Hochberg adjusted p-values over a table
-    of test results (a handful of rows: the windows run on that table)."""
-    from pyspark.sql import Window
-    m = tests.filter(F.col(p_col).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    ranked = tests.withColumn("_rank", F.row_number().over(Window.orderBy(F.col(p_col).asc_nulls_last())))
-    bh_raw = F.col(p_col) * m / F.col("_rank")
-    w_after = Window.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Bonferroni and Benjamini-Hochberg adjusted p-values over a table of test
+    results of any length: ranks are running counts over the distinct p-values, and
+    the step-up minimum is carried down the same order, slice by slice.  Equal
+    p-values get equal results; a missing one stays missing and counts for none."""
+    tests = materialize(tests, "tests")
+    p = F.col(p_col)
+    m = tests.agg(F.count(p)).scalar()
+    upto = running_totals(tests.filter(p.isNotNull()).groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n")), ["_p"], ["_n"], inclusive=True, prefix="_upto")
+    step = running_totals(upto.select("_p", (F.col("_p") * m / F.col("_upto_n")).alias("_raw")), [F.col("_p").desc()], [], lows=["_raw"])
+    out = tests.join(step.select("_p", "low__raw"), p == F.col("_p"), "left")
     # least() skips nulls: keep a missing p-value missing
-    out = ranked.withColumn("p_bonferroni", F.when(F.col(p_col).isNotNull(), F.least(F.col(p_col) * m, F.lit(1.0)))).withColumn(
-        "p_fdr_bh", F.when(F.col(p_col).isNotNull(), F.least(F.min(bh_raw).over(w_after), F.lit(1.0))))
+    out = out.withColumn("p_bonferroni", F.when(p.isNotNull(), F.least(p * m, F.lit(1.0)))).withColumn(
+        "p_fdr_bh", F.when(p.isNotNull(), F.least(F.col("low__raw"), F.lit(1.0))))
     return out.withColumn("significant_bonferroni", F.col("p_bonferroni") < alpha).withColumn(
-        "significant_fdr", F.col("p_fdr_bh") < alpha).drop("_rank")
+        "significant_fdr", F.col("p_fdr_bh") < alpha).drop("_p", "low__raw")

@@ -499,6 +499,30 @@ def q_stage_t_tests(spark, sf_dir):
     return _round_p(_round_doubles(stats.t_tests(stages.stage_features(_feature_log(spark, sf_dir)), STAGE_TEST_FEATURES)))
 
 
+@query("stage_flag_tests")
+def q_stage_flag_tests(spark, sf_dir):
+    """Early dominance, balance and engagement rates against conversion."""
+    return _round_p(_round_doubles(stages.stage_flag_tests(_feature_log(spark, sf_dir))))
+
+
+@query("stage_adoption_tests")
+def q_stage_adoption_tests(spark, sf_dir):
+    """Stage-wise and combined adoption patterns of every activity against conversion."""
+    return _round_p(_round_doubles(stages.stage_adoption_tests(_feature_log(spark, sf_dir))))
+
+
+@query("adjusted_adoption_tests")
+def q_adjusted_adoption_tests(spark, sf_dir):
+    """X15 over the adoption tests of all activities and patterns."""
+    return _round_p(_round_doubles(stats.adjust_p_values(stages.stage_adoption_tests(_feature_log(spark, sf_dir)))))
+
+
+@query("activity_intensity_tests")
+def q_activity_intensity_tests(spark, sf_dir):
+    """Usage intensity of every activity, converted against not converted."""
+    return _round_p(_round_doubles(stages.activity_intensity_tests(_feature_log(spark, sf_dir))))
+
+
 @query("time_cell_tests")
 def q_time_cell_tests(spark, sf_dir):
     return _round_p(_round_doubles(cohorts.time_cell_tests(_feature_log(spark, sf_dir))))

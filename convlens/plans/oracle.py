@@ -700,28 +700,56 @@ def _kolmogorov_tail(x: str) -> str:
             f"ELSE 2 * (SELECT sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * pow({x}, 2))) FROM generate_series(1, 60) s(i)) END")
 
 
-register("adoption_chi_square", feature_sql("""
-, orgs AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS c FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
-cls AS (SELECT count(*) FILTER (WHERE c = true) AS ct, count(*) FILTER (WHERE c = false) AS nt FROM orgs),
-per AS (
-  SELECT u.ACTIVITY_NAME, count(*) FILTER (WHERE o.c = true) AS a_c, count(*) FILTER (WHERE o.c = false) AS a_n
-  FROM (SELECT DISTINCT ORGANIZATION_ID, ACTIVITY_NAME FROM feat WHERE ORGANIZATION_ID IS NOT NULL) u
-  JOIN orgs o USING (ORGANIZATION_ID) GROUP BY 1),
-g AS (
+def _chi2_of_counts(keys: str, digits: int = 6) -> str:
+    """Yates' chi-square of ``per`` (keys, a_c, a_n) against the class sizes ``cls`` (ct, nt)."""
+    return f"""
+, g AS (
   SELECT per.*, cls.ct, cls.nt, cls.ct + cls.nt AS n, a_c + a_n AS used,
          CAST(((CASE WHEN cls.ct > 0 THEN 1 ELSE 0 END + CASE WHEN cls.nt > 0 THEN 1 ELSE 0 END) - 1)
             * ((CASE WHEN a_c + a_n > 0 THEN 1 ELSE 0 END + CASE WHEN cls.ct + cls.nt - (a_c + a_n) > 0 THEN 1 ELSE 0 END) - 1) AS BIGINT) AS dof
   FROM per, cls),
 cells AS (
-  SELECT ACTIVITY_NAME, a_c, a_n, dof, o, e FROM g,
+  SELECT {keys}, a_c, a_n, dof, o, e FROM g,
   LATERAL (VALUES (a_c, ct * used / n), (a_n, nt * used / n), (ct - a_c, ct * (n - used) / n), (nt - a_n, nt * (n - used) / n)) v(o, e))
-SELECT ACTIVITY_NAME, converted_users, non_converted_users, round(chi2, 9) AS chi2_statistic, degrees_of_freedom,
-       round(CASE WHEN degrees_of_freedom > 0 THEN """ + _chi2_tail("chi2", "degrees_of_freedom") + """ ELSE 1.0 END, 6) AS p_value
+SELECT {keys}, converted_users, non_converted_users, round(chi2, 9) AS chi2_statistic, degrees_of_freedom,
+       round(CASE WHEN degrees_of_freedom > 0 THEN {_chi2_tail("chi2", "degrees_of_freedom")} ELSE 1.0 END, {digits}) AS p_value
 FROM (
-SELECT ACTIVITY_NAME, a_c AS converted_users, a_n AS non_converted_users,
+SELECT {keys}, a_c AS converted_users, a_n AS non_converted_users,
        CASE WHEN dof > 0 THEN sum(CASE WHEN e > 0 THEN pow(abs(o - e) - CASE WHEN dof = 1 THEN LEAST(0.5, abs(o - e)) ELSE 0 END, 2) / e ELSE 0.0 END) ELSE 0.0 END AS chi2,
        dof AS degrees_of_freedom
-FROM cells GROUP BY ACTIVITY_NAME, a_c, a_n, dof) b"""))
+FROM cells GROUP BY {keys}, a_c, a_n, dof) b"""
+
+
+register("adoption_chi_square", feature_sql(_chi2_of_counts("ACTIVITY_NAME"), """
+orgs AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS c FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
+cls AS (SELECT count(*) FILTER (WHERE c = true) AS ct, count(*) FILTER (WHERE c = false) AS nt FROM orgs),
+per AS (
+  SELECT u.ACTIVITY_NAME, count(*) FILTER (WHERE o.c = true) AS a_c, count(*) FILTER (WHERE o.c = false) AS a_n
+  FROM (SELECT DISTINCT ORGANIZATION_ID, ACTIVITY_NAME FROM feat WHERE ORGANIZATION_ID IS NOT NULL) u
+  JOIN orgs o USING (ORGANIZATION_ID) GROUP BY 1)"""))
+STAGE_TEST_CTE = "stage_rows AS (" + ORACLE["stage_features"][ORACLE["stage_features"].rindex("SELECT ORGANIZATION_ID, early_stage_count"):] + """),
+cls AS (SELECT count(*) FILTER (WHERE converted = true) AS ct, count(*) FILTER (WHERE converted = false) AS nt FROM stage_rows)
+"""
+register("stage_flag_tests", feature_sql(_chi2_of_counts("feature"), STAGE_CTE, STAGE_TEST_CTE, "per AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, count(*) FILTER (WHERE {f} AND converted = true) AS a_c, count(*) FILTER (WHERE {f} AND converted = false) AS a_n FROM stage_rows"
+    for f in ("early_dominated", "balanced", "early_engaged", "late_engaged")) + ")"))
+ADOPTION_TEST_CTES = [
+    STAGE_CTE, STAGE_TEST_CTE,
+    "adoption AS (" + ORACLE["activity_adoption"][ORACLE["activity_adoption"].index("\nSELECT p.ORGANIZATION_ID, p.ACTIVITY_NAME"):] + ")",
+    "shown AS (SELECT a.*, s.early_dominated, s.balanced, s.early_engaged, s.converted FROM adoption a JOIN stage_rows s USING (ORGANIZATION_ID))",
+    "per AS (" + " UNION ALL ".join(
+        f"SELECT ACTIVITY_NAME, '{name}' AS pattern, count(*) FILTER (WHERE {flag} AND converted = true) AS a_c, "
+        f"count(*) FILTER (WHERE {flag} AND converted = false) AS a_n FROM shown GROUP BY 1"
+        for name, flag in [(f, f) for f in ("early_adopted", "late_adopted", "both_stages", "heavy_user")]
+        + [(f"used_by_{f}", f) for f in ("early_dominated", "balanced", "early_engaged")]) + ")"]
+register("stage_adoption_tests", feature_sql(_chi2_of_counts("ACTIVITY_NAME, pattern"), *ADOPTION_TEST_CTES))
+# the tail by Simpson's rule leaves some 1e-12 on p-values near 1, so equal ones are taken as such at 12 digits
+register("adjusted_adoption_tests", feature_sql(_chi2_of_counts("ACTIVITY_NAME, pattern", 12).replace(", g AS (", """, adjusted AS (
+SELECT * REPLACE (round(p_value, 6) AS p_value), round(bonf, 6) AS p_bonferroni, round(fdr, 6) AS p_fdr_bh,
+       bonf < 0.05 AS significant_bonferroni, fdr < 0.05 AS significant_fdr FROM (
+SELECT *, LEAST(p_value * m, 1.0) AS bonf, LEAST(min(p_value * m / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS fdr
+FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value) AS r FROM (
+WITH g AS (""", 1) + ")))) SELECT * EXCLUDE (bonf, fdr, m, r) FROM adjusted", *ADOPTION_TEST_CTES))
 EXT_F = ["total_activities_count", "unique_activities_count", "unique_categories_count", "activities_per_day",
          "days_active", "week1_activity_count", "week1_activity_ratio"]
 
@@ -785,7 +813,13 @@ SELECT 'stage_change' AS feature,
 FROM s, t""", STAGE_CTE))
 register("stage_t_tests", feature_sql(T_TESTS_WITH_P, STAGE_CTE, "long AS (" + _long_sql(
     "stage", ["early_stage_count", "late_stage_count", "activities_both_stages"]) + ")"))
-# the twin writes the empty cells that the query only counts
+# the twins write the empty cells that the queries only count
+register("activity_intensity_tests", feature_sql(T_TESTS_WITH_P, STAGE_CTE, """
+long AS (
+  SELECT s.converted, a.ACTIVITY_NAME AS feature, CAST(COALESCE(p.n, 0) AS DOUBLE) AS value
+  FROM stage s CROSS JOIN (SELECT DISTINCT ACTIVITY_NAME FROM per_act WHERE ACTIVITY_NAME IS NOT NULL) a
+  LEFT JOIN (SELECT ORGANIZATION_ID, ACTIVITY_NAME, count(*) AS n FROM feat GROUP BY ALL) p
+    ON p.ORGANIZATION_ID = s.ORGANIZATION_ID AND p.ACTIVITY_NAME = a.ACTIVITY_NAME)"""))
 register("time_cell_tests", feature_sql(T_TESTS_WITH_P, """
 classes AS (SELECT ORGANIZATION_ID, arg_min(CONVERTED, EVENT_ID) AS converted FROM feat WHERE ORGANIZATION_ID IS NOT NULL GROUP BY 1),
 cells AS (

@@ -79,6 +79,22 @@ def test_adjust_p_values(spark):
     assert abs(r["b"].p_fdr_bh - 0.04 * 4 / 3) < 1e-12 and r["d"].p_fdr_bh == 0.5
 
 
+def test_adjusted_p_values_of_many_tests_with_ties_and_missing_ones(spark):
+    import random
+
+    rng = random.Random(9)
+    ps = [rng.choice([None, 1.0, 0.0, round(rng.random() ** 4, 3)]) for _ in range(400)]
+    got = {r.i: r for r in stats.adjust_p_values(spark.createDataFrame(list(enumerate(ps)), "i int, p_value double")).collect()}
+    known = sorted((p, i) for i, p in enumerate(ps) if p is not None)
+    least = 1.0
+    for rank in range(len(known), 0, -1):
+        p, i = known[rank - 1]
+        least = min(least, p * len(known) / rank)
+        assert abs(got[i].p_fdr_bh - least) < 1e-12 and got[i].p_bonferroni == min(1.0, p * len(known))
+    assert all(got[i].p_fdr_bh is None and got[i].significant_fdr is None for i, p in enumerate(ps) if p is None)
+    assert len(got) == 400 and stats.adjust_p_values(spark.createDataFrame([], "i int, p_value double")).collect() == []
+
+
 def test_adoption_chi_square(spark):
     rows = ([(f"c{i}", "x", 1, True, 20, 30) for i in range(6)] + [(f"c{i}", "y", 1, True, 20, 30) for i in range(6, 10)]
             + [(f"n{i}", "x", 1, False, None, 30) for i in range(3)] + [(f"n{i}", "y", 1, False, None, 30) for i in range(3, 12)])
@@ -89,3 +105,51 @@ def test_adoption_chi_square(spark):
     rt, ct, n = [10, 12], [9, 13], 22
     exp = sum((abs(o[i][j] - rt[i] * ct[j] / n) - 0.5) ** 2 / (rt[i] * ct[j] / n) for i in range(2) for j in range(2))
     assert r["x"].degrees_of_freedom == 1 and abs(r["x"].chi2_statistic - exp) < 1e-12
+
+
+def test_stage_adoption_and_flag_tests_against_counts(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"o{o}", rng.choice("xyz"), rng.uniform(0, 29), o % 3 == 0, None, 30) for o in range(24) for _ in range(rng.randrange(1, 9))]
+    rows += [("null activity", None, 1, True, None, 30), (None, "x", 1, True, None, 30)]
+    feat = _feat(spark, rows)
+    orgs = {r.ORGANIZATION_ID: r for r in stages.stage_features(feat).collect()}
+    sizes = [sum(r.converted == v for r in orgs.values()) for v in (True, False)]
+    used = {(r.ORGANIZATION_ID, r.ACTIVITY_NAME): r for r in stages.activity_adoption(feat).collect()}
+
+    def chi2(a):
+        table = [a, [sizes[0] - a[0], sizes[1] - a[1]]]
+        n, total = sum(sizes), 0.0
+        if not 0 < sum(a) < n:
+            return 0.0
+        for i, k in itertools.product(range(2), range(2)):
+            e = sum(table[i]) * sizes[k] / n
+            total += max(abs(table[i][k] - e) - 0.5, 0.0) ** 2 / e
+        return total
+
+    got = stages.stage_flag_tests(feat).collect()
+    assert sorted(r.feature for r in got) == sorted(stages.STAGE_FLAGS)
+    for r in got:
+        a = [sum(o[r.feature] and o.converted == v for o in orgs.values()) for v in (True, False)]
+        assert [r.converted_users, r.non_converted_users] == a and abs(r.chi2_statistic - chi2(a)) < 1e-9
+        assert abs(r.p_value - (math.erfc(math.sqrt(r.chi2_statistic / 2)) if r.degrees_of_freedom else 1.0)) < 1e-9
+    got = stages.stage_adoption_tests(feat).collect()
+    assert len(got) == 3 * (len(stages.PATTERNS) + len(stages.COMBINED_PATTERNS))
+    for r in got:
+        flag = stages.COMBINED_PATTERNS.get(r.pattern)
+        shown = [orgs[o].converted for (o, act), u in used.items() if act == r.ACTIVITY_NAME and (orgs[o][flag] if flag else u[r.pattern])]
+        a = [shown.count(True), shown.count(False)]
+        assert [r.converted_users, r.non_converted_users] == a and abs(r.chi2_statistic - chi2(a)) < 1e-9
+    for r in stages.activity_intensity_tests(feat).collect():
+        xs = [[used[o, r.feature].intensity if (o, r.feature) in used else 0 for o, x in orgs.items() if x.converted == v] for v in (True, False)]
+        assert abs(r.converted_mean - S.mean(xs[0])) < 1e-9 and abs(r.non_converted_mean - S.mean(xs[1])) < 1e-9
+        pooled = ((len(xs[0]) - 1) * S.variance(xs[0]) + (len(xs[1]) - 1) * S.variance(xs[1])) / (len(orgs) - 2)
+        assert abs(r.t_statistic - (S.mean(xs[0]) - S.mean(xs[1])) / math.sqrt(pooled * (1 / len(xs[0]) + 1 / len(xs[1])))) < 1e-9
+
+
+def test_stage_tests_of_an_empty_log(spark):
+    feat = _feat(spark, [])
+    assert stages.stage_adoption_tests(feat).collect() == [] and stages.activity_intensity_tests(feat).collect() == []
+    assert [r.chi2_statistic for r in stages.stage_flag_tests(feat).collect()] == [0.0] * 4
