@@ -78,6 +78,17 @@ def test_all_fingerprints_within_the_radius_share_a_key():
         assert any(bin((a >> 8 * i & 255) ^ (b >> 8 * i & 255)).count("1") <= dc.BLOCK_RADIUS for i in range(8))
 
 
+def test_rolled_simhashes_are_those_of_each_run(spark):
+    r = random.Random(8)
+    cases = [([r.getrandbits(64) - 2**63 for _ in range(n)], m) for n, m in ((1, 1), (5, 2), (9, 9), (40, 7), (60, 46), (300, 120))]
+    cases.append(([-1] * 6 + [0] * 6, 4))
+    frame = spark.createDataFrame([(i, b, m) for i, (b, m) in enumerate(cases)], "i int, b array<long>, m int")
+    runs = F.transform(F.sequence(F.lit(1), F.size("b") - F.col("m") + 1), lambda s: dc.simhash(F.slice("b", s, F.col("m"))))
+    b, m = F.col("b"), F.col("m")
+    for x in frame.select("i", runs.alias("want"), dc.rolled_simhashes(b, m).alias("got"), dc._rolled(b, m, 64, 40).alias("wide")).collect():
+        assert x["got"] == x["want"] == x["wide"], x["i"]
+
+
 def test_simhash(spark):
     r = random.Random(2)
     bags = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 9, 40)] + [[5, 5, -7]]
