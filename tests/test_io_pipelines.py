@@ -35,6 +35,18 @@ def test_profile_and_dtypes(spark):
     assert dt["timestamp_ntz"] == 4
 
 
+def test_profile_of_nulls_ties_and_odd_names(spark):
+    rows = [(1, None, float("nan"), None), (1, "a", float("nan"), None), (None, "a", -0.0, None), (2, "b", 0.0, None)]
+    df = spark.createDataFrame(rows, "`a.b` int, v string, `x``y` double, n void")
+    want = {"a.b": (1, 2), "v": (1, 2), "x`y": (0, 2), "n": (4, 0)}
+    for frame, approximate in ((df, False), (df.drop("n"), True)):
+        got = {r.column_name: r for r in inspect.profile(frame, approximate).collect()}
+        assert {c: (r.null_count, r.distinct_count) for c, r in got.items()} == {c: want[c] for c in frame.columns}
+        assert all(r.row_count == 4 and r.column_count == len(frame.columns) and r.null_pct == 25.0 * r.null_count for r in got.values())
+    assert [(r.null_count, r.null_pct, r.distinct_count, r.row_count) for r in inspect.profile(df.limit(0)).collect()] == [(0, 0.0, 0, 0)] * 4
+    assert inspect.profile(spark.range(2).select()).collect() == []
+
+
 def test_mart_pipeline_exports(spark):
     out_dir = tempfile.mkdtemp(prefix="convlens-mart-")
     res = mart_pipeline(fixture_log(spark, SF_SMALL), output_dir=out_dir)

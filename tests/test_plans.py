@@ -2,12 +2,14 @@
 fixture, with size-based broadcasting off so plans look as on a large input)."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
 
 import __spark_entry__ as E
 from convlens.operators import mart
+from convlens.sources import inspect
 from convlens.sources.log import fixture_log
 from tests.conftest import SF_SMALL
 
@@ -58,6 +60,12 @@ def test_distinct_counts_without_expanding_the_log(spark, no_auto_broadcast):
         assert "Expand" not in _plan(df)
 
 
+def test_profile_reads_each_column_by_itself(spark, no_auto_broadcast):
+    plan = _plan(inspect.profile(fixture_log(spark, SF_SMALL)))
+    assert "Expand" not in plan
+    assert all(p.count(":") <= 1 for p in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+
+
 def test_transitions_do_not_join_the_log_with_itself(spark, no_auto_broadcast):
     from convlens.operators import charts, cohorts
 
