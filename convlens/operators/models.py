@@ -139,6 +139,56 @@ def model_inputs(org_table: DataFrame, key_col: str, features: list[str] | None
     return train.unionByName(test).select(key_col, "label", "is_test", "fold", *[x[i].alias(f) for i, f in enumerate(features)])
 
 
+def logistic_coefficients(inputs: DataFrame, features: list[str], label_col: str = "label", ridge: float = 1.0,
+                          tolerance: float = 1e-10, max_rounds: int = 50) -> DataFrame:
+    """M4: logistic regression by iteratively reweighted least squares: one row
+    per term (``intercept`` first) with its coefficient and odds ratio.
+
+    Minimizes the summed log loss plus ``ridge / 2`` times the squared coefficients
+    (not the intercept's).  A round is one aggregate of the rows into the normal equations,
+    (terms + 1) ** 2 / 2 sums, of which the driver solves the small system; a step that
+    raises the loss is halved.  Rows with a null label or feature are left out; without rows of
+    both classes the coefficients are null."""
+    import numpy as np
+
+    used = inputs.select(*[F.col(f).cast("double").alias(f"x{i + 1}") for i, f in enumerate(features)],
+                         F.col(label_col).cast("double").alias("y")).na.drop()
+    used = materialize(used.withColumn("x0", F.lit(1.0)), "logistic_rows", per_org=True)
+    d = len(features) + 1
+    x = [F.col(f"x{i}") for i in range(d)]
+    penalty = np.diag([0.0] + [float(ridge)] * (d - 1))
+
+    def equations(beta):
+        z = sum((x[i] * F.lit(float(beta[i])) for i in range(1, d)), F.lit(float(beta[0])))
+        loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - F.col("y") * z
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
+        rows = used.select("*", z.alias("z"), loss.alias("loss")).withColumn("r", F.col("y") - p).withColumn("w", p * (F.lit(1.0) - p))
+        sums = rows.agg(F.sum("loss"), *[F.sum(F.col("r") * x[i]) for i in range(d)],
+                        *[F.sum(F.col("w") * x[i] * x[j]) for i in range(d) for j in range(i, d)]).first()
+        hessian = np.zeros((d, d))
+        hessian[np.triu_indices(d)] = sums[1 + d:]
+        hessian = hessian + np.triu(hessian, 1).T + penalty
+        return sums[0] + beta @ penalty @ beta / 2, np.array(sums[1:1 + d]) - penalty @ beta, hessian
+
+    schema = "term string, coefficient double, odds_ratio double"
+    terms = ["intercept", *features]
+    classes = used.agg(F.min("y"), F.max("y")).first()
+    if classes[0] is None or classes[0] == classes[1]:
+        return inputs.sparkSession.createDataFrame([(t, None, None) for t in terms], schema)
+    beta = np.zeros(d)
+    loss, gradient, hessian = equations(beta)
+    for _ in range(max_rounds):
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]  # least norm where terms repeat each other without a ridge
+        if np.abs(step).max() <= tolerance:
+            break
+        after = equations(beta + step)
+        while after[0] > loss + 1e-9 * abs(loss) and np.abs(step).max() > tolerance:
+            step = step / 2
+            after = equations(beta + step)
+        beta, (loss, gradient, hessian) = beta + step, after
+    return inputs.sparkSession.createDataFrame([(t, float(b), float(np.exp(b))) for t, b in zip(terms, beta)], schema)
+
+
 def build_models(org_table: DataFrame, key_col: str, features: list[str] | None = None, converted_col: str = "converted",
                  seed: int = SEED, kinds: tuple[str, ...] = MODEL_KINDS) -> dict[str, DataFrame]:
     """Fit the models; returns ``comparison``, ``importance`` and ``scores`` (key, model,

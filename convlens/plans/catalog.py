@@ -538,6 +538,16 @@ def q_model_inputs(spark, sf_dir):
     return _round_doubles(models.model_inputs(_org_table(spark, sf_dir), "ORGANIZATION_ID"))
 
 
+LOGISTIC_FEATURES = ["total_activities_count", "week1_activity_ratio"]
+
+
+@query("logistic_coefficients")
+def q_logistic_coefficients(spark, sf_dir):
+    train = _round_doubles(models.model_inputs(_org_table(spark, sf_dir), "ORGANIZATION_ID")).where(~F.col("is_test"))
+    fit = models.logistic_coefficients(train, LOGISTIC_FEATURES)
+    return fit.select("term", *[F.round(c, 6).alias(c) for c in ("coefficient", "odds_ratio")])
+
+
 @query("time_profile_tests")
 def q_time_profile_tests(spark, sf_dir):
     return _round_p(_round_doubles(stats.t_tests(cohorts.per_org_time_profile(_feature_log(spark, sf_dir)), TIME_PROFILE_FEATURES)))

@@ -843,6 +843,25 @@ register("model_inputs", feature_sql(
         f" / stddev_pop(COALESCE(o.{f}, 0)) FILTER (WHERE NOT s.is_test) OVER () ELSE 0.0 END, 9) AS {f}" for f in MODEL_F)
     + " FROM split s JOIN org o ON s.ORGANIZATION_ID = o.ORGANIZATION_ID",
     "split AS (" + ORACLE["model_split"][ORACLE["model_split"].index("\nSELECT p.ORGANIZATION_ID"):] + ")"))
+# Newton's steps on the penalized likelihood; the 3 x 3 system by Cramer's rule
+register("logistic_coefficients", """
+WITH RECURSIVE train AS MATERIALIZED (
+  SELECT CAST(label AS DOUBLE) AS y, total_activities_count AS u, week1_activity_ratio AS v FROM (""" + ORACLE["model_inputs"] + """) WHERE NOT is_test),
+fit(k, a, b, c) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1,
+    a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT k, a, b, c, sum(y - p) AS g0, sum((y - p) * u) - b AS g1, sum((y - p) * v) - c AS g2,
+           sum(p * (1 - p)) AS h00, sum(p * (1 - p) * u) AS h01, sum(p * (1 - p) * v) AS h02,
+           sum(p * (1 - p) * u * u) + 1 AS h11, sum(p * (1 - p) * u * v) AS h12, sum(p * (1 - p) * v * v) + 1 AS h22
+    FROM (SELECT *, 1 / (1 + exp(-(a + b * u + c * v))) AS p FROM fit, train WHERE k < 20) GROUP BY k, a, b, c)))
+SELECT t.term, round(t.coefficient, 6) AS coefficient, round(exp(t.coefficient), 6) AS odds_ratio FROM (
+  SELECT unnest([{'term': 'intercept', 'coefficient': a}, {'term': 'total_activities_count', 'coefficient': b},
+                 {'term': 'week1_activity_ratio', 'coefficient': c}]) AS t FROM fit WHERE k = 20)""")
 TIME_F = ["weekend_share", "mean_hour", "active_dates"]
 register("time_profile_tests", feature_sql(T_TESTS_WITH_P, """
 prof AS (

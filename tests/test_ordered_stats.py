@@ -1,7 +1,9 @@
+import math
 import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from convlens.functions.ordered import position_in_group, running_totals
 from convlens.operators import stats
@@ -175,3 +177,29 @@ def test_rank_auc_equals_the_evaluator(spark):
     label = df.selectExpr("CAST(converted AS double) AS label", "f")
     assert abs(auc - BinaryClassificationEvaluator(rawPredictionCol="f", labelCol="label", numBins=0).evaluate(label)) < 1e-9
     assert stats.rank_auc(df.where("converted"), ["f"]).first().auc is None
+
+
+def test_logistic_coefficients_equal_the_library_fit(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from convlens.operators import models
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(300):
+        a, b = r.gauss(0, 1), r.gauss(0, 1)
+        rows.append((a, b, a + 0.1 * r.gauss(0, 1), int(r.random() < 1 / (1 + math.exp(-(0.5 + 2 * a - b))))))
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int")
+    got = models.logistic_coefficients(df.unionByName(df.select(F.lit(None).cast("double").alias("a"), "b", "c", "label")), ["a", "b", "c"]).collect()
+    assert [x.term for x in got] == ["intercept", "a", "b", "c"]
+    fit = LogisticRegression(featuresCol="f", labelCol="label", maxIter=1000, tol=1e-13, regParam=1.0 / len(rows), standardization=False).fit(
+        VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df))
+    for x, want in zip(got, [fit.intercept, *fit.coefficients]):
+        assert abs(x.coefficient - want) < 1e-6 and abs(x.odds_ratio - math.exp(x.coefficient)) < 1e-9
+    # classes that a feature separates have a finite fit; one class alone and no rows have none
+    apart = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)], "x double, label int")
+    slope = models.logistic_coefficients(apart, ["x"]).collect()[1].coefficient
+    assert 0.5 < slope < 5
+    for frame in (apart.where("label = 1"), apart.limit(0)):
+        assert [x.coefficient for x in models.logistic_coefficients(frame, ["x"]).collect()] == [None, None]
