@@ -52,8 +52,11 @@ def shingles(hashed: Column, k: int) -> Column:
 
 
 def numbered(bag: Column) -> Column:
-    """A bag as a set: each value hashed with the number of its occurrence."""
-    return _bind(F.sort_array(bag), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x).cast("int"))))
+    """A bag as a set: each value hashed with the number of its occurrence (-1 for the
+    first); places are looked up only in a bag that repeats a value."""
+    first = F.lit(-1)
+    places = _bind(F.sort_array(bag), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x).cast("int"))))
+    return F.when(F.size(F.array_distinct(bag)) == F.size(bag), F.transform(bag, lambda x: F.xxhash64(x, first))).otherwise(places)
 
 
 def simhash(bag: Column) -> Column:
