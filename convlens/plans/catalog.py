@@ -18,7 +18,7 @@ from convlens.operators import charts, clean, cohorts, features, mart, models, s
 from convlens.session import ensure_checkpoint_dir, materialize
 from convlens.sources import inspect as inspect_
 from convlens.sources.log import fixture_log, fixture_log_with_duplicates, fixture_text_log, read_log
-from convlens.streaming.live_mart import live_staging_metrics, replay_as_stream, start_live_staging
+from convlens.streaming.live_mart import live_staging_metrics, replay_as_stream, start_live_staging, state_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,14 +582,7 @@ def q_live_staging(spark, sf_dir):
     compaction; trials of up to 31 days are held by day of activity beyond 10 days, so that state
     is evicted within the log's month.  Equals the batch table."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convlens-live/{uuid.uuid4().hex}"
-    # the stream's state store has one partition per shuffle partition, fixed
-    # at its first run: size it to the cluster's parallelism in an isolated
-    # session (same context, own SQL conf) instead of changing the caller's
-    live = spark.newSession()
-    try:
-        live.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the session's setting
-        pass
+    live = state_session(spark)
     stream = replay_as_stream(fixture_log_with_duplicates(live, sf_dir), base)
     q = start_live_staging(stream, f"{base}/staging", f"{base}/stream-checkpoint", lateness="7 days",
                            available_now=True, longest_trial="10 days", compact_every=2)

@@ -60,6 +60,12 @@ FACTS = ["converted", "trial_start", "trial_end"]
 DEDUP_SALTS = 16
 LONGEST_TRIAL = "31 days"
 COMPACT_EVERY = 8
+ROWS_PER_FILE = 200_000
+STATE_STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.boundedMemoryUsage": "true",  # one bound for all partitions on an executor
+    "rocksdb.trackTotalNumberOfRows": "false",  # a lookup per write, for a metric only
+}
 
 
 def closing_time(cols: LogColumns, longest_trial: str = LONGEST_TRIAL) -> Column:
@@ -114,6 +120,12 @@ def _numbered(spark: SparkSession, table_dir: str, kind: str) -> list[int]:
     return sorted(n for n in found if fs.exists(_folder(spark, f"{table_dir}/{kind}={n}/_SUCCESS")[1]))
 
 
+def _count_files(spark: SparkSession, path: str) -> int:
+    """The data files of a written folder."""
+    fs, p = _folder(spark, path)
+    return sum(s.isFile() and s.getPath().getName().startswith("part-") for s in fs.listStatus(p))
+
+
 def live_state(spark: SparkSession, table_dir: str) -> DataFrame:
     """The latest update of every (org, week, closes): the newest snapshot and the epochs after it."""
     table_dir = table_dir.rstrip("/")
@@ -181,23 +193,53 @@ def live_staging_metrics(spark: SparkSession, table_dir: str) -> DataFrame:
     )
 
 
-def replay_as_stream(log: DataFrame, work_dir: str, chunks: int = 4, ts_col: str = "TIMESTAMP") -> DataFrame:
+def state_session(spark: SparkSession) -> SparkSession:
+    """An isolated session (same context, own SQL conf) to run the stream in.
+    The state goes to RocksDB: on the executors' disks and, in memory, within a
+    fixed bound, where the default store holds every key on the heap.  It has one
+    partition per shuffle partition, fixed at the stream's first run: as
+    many as the cluster runs at a time."""
+    live = spark.newSession()
+    for name, value in STATE_STORE.items():
+        live.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
+    try:
+        live.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): keep the session's setting
+        pass
+    return live
+
+
+def replay_as_stream(log: DataFrame, work_dir: str, chunks: int = 4, ts_col: str = "TIMESTAMP",
+                     rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write a batch log as ``chunks`` time-ordered file groups under
     ``work_dir`` (shared storage) and return a file stream over them, read
-    one group per micro-batch.  Used to feed the live mart from a table."""
+    one group per micro-batch.  Used to feed the live mart from a table.
+
+    A micro-batch takes a number of files, so every group is written as equally
+    many, by the rows of the largest; where Spark writes none for an empty task, files
+    without rows make up the number.  So there are ``chunks`` micro-batches
+    whatever the log's size, and none holds a part of a group, whose rest
+    might come too late after it."""
     spark = log.sparkSession
     stored = f"{work_dir.rstrip('/')}/log"
     log.write.mode("overwrite").parquet(stored)
     table = spark.read.parquet(stored)
     bounds = table.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     src = f"{work_dir.rstrip('/')}/in"
+    files = 1
     if bounds.lo is not None:
         span = (bounds.hi - bounds.lo) / chunks
+        conds = []
         for i in range(chunks):
             lo, hi = bounds.lo + span * i, bounds.lo + span * (i + 1)
             cond = F.col(ts_col) >= lo if i > 0 else (F.col(ts_col) >= lo) | F.col(ts_col).isNull()
-            if i < chunks - 1:
-                cond = cond & (F.col(ts_col) < hi)
-            table.filter(cond).write.mode("overwrite").parquet(f"{src}/part{i:04d}")
-    return (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+            conds.append(cond & (F.col(ts_col) < hi) if i < chunks - 1 else cond)
+        largest = max(table.agg(*[F.count_if(c) for c in conds]).first())
+        files = max(1, -(-largest // rows_per_file))
+        for i, cond in enumerate(conds):
+            group = f"{src}/part{i:04d}"
+            table.filter(cond).repartition(files).write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(group)
+            for _ in range(files - _count_files(spark, group)):
+                table.limit(0).coalesce(1).write.mode("append").parquet(group)
+    return (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
             .option("recursiveFileLookup", "true").parquet(src))

@@ -195,3 +195,43 @@ def test_retried_batch_after_compaction(spark):
     for epoch, n in [(0, 1), (1, 2), (1, 2), (2, 3), (3, 5), (3, 5)]:  # epochs 1 and 3 are written again after their snapshots
         write(batch(n), epoch)
         assert live_staging_metrics(spark, root).first().total_activities == n
+
+
+def _replayed(spark, root, rows, **kw):
+    """The micro-batches' numbers of rows and the staging table of a replayed log."""
+    from convlens.streaming.live_mart import replay_as_stream, state_session
+    from tests.helpers import LOG_SCHEMA
+
+    live = state_session(spark)
+    # two tasks write each group, as they do where the log is large
+    stream = replay_as_stream(live.createDataFrame(rows, LOG_SCHEMA).repartition(2), root, **kw)
+    q = start_live_staging(stream, os.path.join(root, "staging"), os.path.join(root, "ckpt"), available_now=True, compact_every=2)
+    q.awaitTermination()
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    sizes = [p["numInputRows"] for p in q.recentProgress]
+    return sizes, dropped, live_staging_metrics(spark, os.path.join(root, "staging"))
+
+
+def test_replay_has_one_micro_batch_per_group(spark):
+    """The micro-batches are as many as the groups, however many files the log
+    is written in; groups with few rows or none count as well."""
+    from tests.helpers import LOG_SCHEMA
+
+    a = _trial("A", 0, 30)
+    days = [d / 16 for d in range(60)] + [8.5] + [23 + d / 16 for d in range(40)]  # none in the third of four groups
+    rows = [(f"o{i % 7}", *a(d, i)[1:]) for i, d in enumerate(days)]
+    rows += [(*r[:-1], r[-1] + 1000) for r in rows if r[-1] % 10 == 0]
+    last = [("Z", *a(30, 950)[1:])]  # the log's end
+    batch = mart.staging_metrics(mart.prepare_log(spark.createDataFrame(rows + last, LOG_SCHEMA).dropDuplicates(["ORGANIZATION_ID", "ACTIVITY_NAME", "TIMESTAMP"])))
+    for per_file in (10, 200_000):
+        sizes, dropped, live = _replayed(spark, tempfile.mkdtemp(prefix="convlens-groups-"), rows + last, rows_per_file=per_file)
+        assert [n for n in sizes if n] == [66, 2, 45] and len(sizes) <= 5 and dropped == 0
+        assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_replay_of_long_groups_loses_no_rows(spark):
+    """A group of half a year comes in one micro-batch, so none of its rows is late."""
+    rows = [_trial(f"o{i}", i * 2, i * 2 + 30)(i * 2 + 1, i) for i in range(360)]
+    sizes, dropped, live = _replayed(spark, tempfile.mkdtemp(prefix="convlens-long-"), rows, rows_per_file=20)
+    assert dropped == 0 and [n for n in sizes if n] == [90] * 4
+    assert live.count() == 360 and live.agg(F.sum("total_activities")).first()[0] == 360
